@@ -27,9 +27,7 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Links need 100 * intersection >= SHARE * union.
 SHARE = 75
-#: Pairs of a bucket's members beyond its pivot are looked at only where the sketches agree in so many coordinates:
-#: 0.75 * 128 = 96 are expected, and 64 is six standard deviations below.
-LEAST_AGREE = 64
+#: Sets that one task holds to compare others with.
 CHUNK = 256
 
 
@@ -61,7 +59,7 @@ def band_hashes(sketch: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (a 128-bit hash of the set), bands, sketch (a byte of each coordinate)."""
+    """doc_id, n_shingles, set_key (a 128-bit hash of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -75,12 +73,11 @@ def described(docs: DataFrame) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         bands,
-                        pa.array([s.tobytes() for s in (sketch & np.uint64(255)).astype(np.uint8)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                    ["doc_id", "n_shingles", "set_key", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -113,19 +110,53 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def agreeing(pairs: DataFrame, least: int = LEAST_AGREE) -> DataFrame:
-    """Of pairs (a, b, sa, sb), the (a, b) whose sketches agree in enough coordinates."""
+def overlaps(keys: np.ndarray, owners: np.ndarray, n: int, s: np.ndarray) -> np.ndarray:
+    """Sizes of s's intersections with n sets, whose elements are keys (sorted), each with its set in owners."""
+    first, last = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
+    count = last - first
+    first, count = first[count > 0], count[count > 0]
+    at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return np.bincount(owners[at], minlength=n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (raw_bytes(batch.column(c)).reshape(-1, COORDINATES) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
-    return pairs.mapInArrow(run, "a long, b long")
+def linked_across(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows: band, rep, component. The links (a, b) between members of one band that are in different components.
+
+    Members outside their band's largest component are dealt in chunks of about CHUNK, whose full sets become one
+    inverted index; all members are streamed past it. Pairs are counted, not made: only links come out.
+    """
+    sizes = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
+    home = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("home"), (F.sum("n") - F.max("n")).alias("few")).filter("few > 0")
+    x = rows.join(home, "band").withColumn("chunks", F.ceil(F.col("few") / CHUNK).cast("long"))
+    few = x.filter("component <> home").select("band", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), F.lit(0).alias("role"), "rep", "component")
+    every = x.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "rep", "component")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index = None, [], None
+        for big in batches:
+            for batch in balanced(big, "text"):
+                columns = [batch.column(c).to_pylist() for c in ("band", "chunk", "role", "rep", "component")]
+                found: list[tuple[int, int]] = []
+                for band, chunk, role, rep, component, s in zip(*columns, shingle_sets(batch.column("text"), WIDTH), strict=True):
+                    if (band, chunk) != at:
+                        at, held, index = (band, chunk), [], None
+                    if role == 0:
+                        held.append((rep, component, s))
+                        continue
+                    if index is None:
+                        keys = np.concatenate([h[2] for h in held]) if held else s[:0]
+                        owners = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+                        order = np.argsort(keys, kind="stable")
+                        index = keys[order], owners[order], np.array([len(h[2]) for h in held]), np.array([h[0] for h in held]), np.array([h[1] for h in held])
+                    keys, owners, lengths, reps, components_ = index
+                    same = overlaps(keys, owners, len(lengths), s)
+                    hit = (100 * same >= SHARE * (lengths + len(s) - same)) & (components_ != component)
+                    found += [(min(rep, r), max(rep, r)) for r in reps[hit].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-def raw_bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    dealt = few.unionByName(every).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "band", "chunk").sortWithinPartitions("band", "chunk", "role")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -133,7 +164,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents of one shingle set are one class, whose smallest doc_id stands for it. Classes that share a band are a
     bucket. Each bucket's smallest member, its pivot, is checked against the others on full sets; where members are
-    still in different components, pairs across components are checked too, after their sketches. So no pair within a
+    still in different components, pairs across components are counted too. So no pair within a
     component is ever made. Null and empty texts have no set and are linked with nothing (component_id: their own
     doc_id); texts of fewer than WIDTH words have one shingle, the whole; rows of one doc_id are one document with
     several texts, linked through either; null doc_ids make no links and have a null component_id; other columns are
@@ -143,8 +174,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     every = cut(described(docs))
     some = every.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = some.join(classes, "set_key").select("doc_id", "rep", "bands", "sketch")
-    reps = members.filter("doc_id = rep").select("rep", "bands", "sketch")
+    members = some.join(classes, "set_key").select("doc_id", "rep", "bands")
+    reps = members.filter("doc_id = rep").select("rep", "bands")
     rows = reps.select("rep", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).filter("pivot < other")
     held = cut(rows.join(buckets.select("band", "pivot"), "band").select("band", "rep", "pivot").distinct())
@@ -154,13 +185,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = cut(verified(first, texts))
     found = components(links)
     place = held.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "pivot", F.coalesce("component", "rep").alias("component"))
+    place = place.filter("rep <> pivot")
     open_bands = place.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    rest = place.join(open_bands, "band").join(reps.select("rep", "sketch"), "rep")
-    rest = cut(rest.filter("rep <> pivot").distinct())
-    a = rest.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    b = rest.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-    across = a.join(b, "band").filter("ca < cb").drop("band", "ca", "cb")
-    more = cut(verified(agreeing(across).distinct(), texts))
+    rest = cut(place.join(open_bands, "band").select("band", "rep", "component").distinct())
+    more = cut(linked_across(rest, texts))
     same = members.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = components(links.unionByName(more).unionByName(same))
     out = every.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
