@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, neardup, packing, quality, substrings, tokens
+from . import classifier, media, mixing, neardup, packing, quality, substrings, tokens
 from .common import read_table
 
 
@@ -26,6 +26,10 @@ def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,6 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op3_near_duplicates, op5_token_counts, op6_remove_repeats, op8_quality_rules, op9_mix_sources, op10_pack_sequences)
+    f.__name__: f for f in (op1_media_columns, op3_near_duplicates, op5_token_counts, op6_remove_repeats, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_pack_sequences)
 }
 ORACLE_SQL: dict[str, str] = {}
