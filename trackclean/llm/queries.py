@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, media, mixing, neardup, packing, quality, substrings, tokens
+from . import classifier, ctw, media, mixing, neardup, packing, quality, substrings, tokens
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op3_near_duplicates, op5_token_counts, op6_remove_repeats, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_pack_sequences)
+    f.__name__: f for f in (op1_media_columns, op2_context_tree_scores, op3_near_duplicates, op5_token_counts, op6_remove_repeats, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_pack_sequences)
 }
 ORACLE_SQL: dict[str, str] = {}
