@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, ctw, media, mixing, neardup, packing, quality, substrings, tokens
+from . import classifier, ctw, licenses, media, mixing, neardup, packing, quality, substrings, tokens
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_context_tree_scores, op3_near_duplicates, op5_token_counts, op6_remove_repeats, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_pack_sequences)
+    f.__name__: f for f in (op1_media_columns, op2_context_tree_scores, op3_near_duplicates, op4_license_scan, op5_token_counts, op6_remove_repeats, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_pack_sequences)
 }
 ORACLE_SQL: dict[str, str] = {}
