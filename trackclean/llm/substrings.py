@@ -103,18 +103,26 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """seed, context, doc_id, at (of the anchor in the text), before and after (first start and last start, from it)."""
+    """seed, context, doc_id, at (of the anchor in the text), before and after (first start and last start, from it).
+
+    settled: rows that an earlier row of the same batch and context already settles; they need no comparing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in balanced(big, "text"):
                 x = anchors(*raw(batch.column("text")))
                 doc = batch.column("doc_id").to_numpy()[x["text"]]
+                order = np.lexsort((x["anchor"], doc, x["context"], x["seed"]))
+                seed, context = x["seed"][order], x["context"][order]
+                known = np.zeros(len(order), bool)
+                known[1:] = (seed[1:] == seed[:-1]) & (context[1:] == context[:-1])
+                at = x["anchor"][order]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (x["seed"], x["context"], doc, x["anchor"])] + [pa.array(x["anchor"] - x[k], pa.int16()) for k in ("first", "last")],
-                    ["seed", "context", "doc_id", "at", "before", "after"])
+                    [pa.array(c) for c in (seed, context, doc[order], at)] + [pa.array(at - x[k][order], pa.int16()) for k in ("first", "last")] + [pa.array(known)],
+                    ["seed", "context", "doc_id", "at", "before", "after", "settled"])
 
-    return docs.mapInArrow(run, "seed long, context long, doc_id long, at long, before short, after short")
+    return docs.mapInArrow(run, "seed long, context long, doc_id long, at long, before short, after short, settled boolean")
 
 
 def contexts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -220,20 +228,67 @@ def settled_by_window(contexts: DataFrame) -> DataFrame:
     return late.select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
+def narrowed(contexts: DataFrame, width: int = 23) -> DataFrame:
+    """contexts cut into stretches of at most width windows; the new seed is the bytes that all of a stretch share.
+
+    Equal windows are in equal stretches of one seed, as a window's place is told by its anchor.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            columns = [batch.column(c).to_pylist() for c in ("seed", "doc_id", "at", "before", "after", "bytes")]
+            for seed, doc, at, before, after, data in zip(*columns, strict=True):
+                for part in range(after // width, before // width + 1):
+                    most, least = min(before, part * width + width - 1), max(after, part * width)
+                    cut = data[before - most : before - least + LENGTH]
+                    # what windows at all places of the stretch share, whether or not this context has them all
+                    shared = data[max(0, before - part * width) : before - (part * width + width - 1) + LENGTH]
+                    hashed = [int.from_bytes(hashlib.blake2b(x, digest_size=8, key=seed.to_bytes(8, "little", signed=True)).digest(), "little", signed=True) for x in (bytes([part]) + shared, bytes([part, most - least, before - most]) + cut)]
+                    rows.append((*hashed, doc, at, most, least, cut))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], ["seed", "context", "doc_id", "at", "before", "after", "bytes"])
+
+    return contexts.mapInArrow(run, "seed long, context long, doc_id long, at long, before short, after short, bytes binary")
+
+
+def later_than(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id, first, last of all rows of a context but its first."""
+    several = firsts.filter("n > 1").select("seed", "context", "one")
+    again = rows.join(several, ["seed", "context"]).filter((F.col("doc_id") != F.col("one.doc_id")) | (F.col("at") != F.col("one.at")))
+    return runs_of(again)
+
+
+def runs_of(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", (F.col("at") - F.col("before")).alias("first"), (F.col("at") - F.col("after")).alias("last"))
+
+
+def settled_large(contexts: DataFrame) -> DataFrame:
+    """The same as settled for buckets of any size: contexts are cut into stretches, which fall into smaller buckets, and
+    equal stretches are settled by counting. Buckets still too large are settled window by window."""
+    rows = store(narrowed(contexts.select("seed", "doc_id", "at", "before", "after", "bytes")))
+    place = F.struct("doc_id", "at", "before", "after")
+    firsts = store(rows.groupBy("seed", "context").agg(F.min(place).alias("one"), F.min_by("bytes", place).alias("bytes"), F.count("*").alias("n")))
+    kinds = firsts.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    left = firsts.join(kinds, "seed").select("seed", "one.*", "bytes", "kinds")
+    return later_than(rows, firsts).unionByName(settled(left.filter(F.col("kinds") <= 4 * LARGE))).unionByName(settled_by_window(left.filter(F.col("kinds") > 4 * LARGE)))
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """docs: doc_id (not null), text (not null). Runs of starts (doc_id, first, last) of windows that also start earlier."""
     found = anchored(docs)
-    often = store(found.withColumn("n", F.count("*").over(W.partitionBy("seed"))).filter("n > 1").drop("n"))
+    apart = F.when(F.col("settled"), F.xxhash64("doc_id", "at")).otherwise(F.col("seed"))
+    kept = found.withColumn("n", F.count("*").over(W.partitionBy("settled", apart))).filter("settled or n > 1").drop("n")
+    every = store(kept)
+    often = every.filter("not settled").drop("settled")
     place = F.struct("doc_id", "at", "before", "after")
     firsts = store(often.groupBy("seed", "context").agg(F.min(place).alias("one"), F.count("*").alias("n")))
-    several = firsts.filter("n > 1").select("seed", "context", "one")
-    again = often.join(several, ["seed", "context"]).filter((F.col("doc_id") != F.col("one.doc_id")) | (F.col("at") != F.col("one.at")))
-    whole = again.select("doc_id", (F.col("at") - F.col("before")).alias("first"), (F.col("at") - F.col("after")).alias("last"))
+    whole = runs_of(every.filter("settled")).unionByName(later_than(often, firsts))
     kinds = firsts.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     wanted = firsts.join(kinds, "seed").select("seed", "context", "one.*", "kinds")
     contexts = store(contexts_of(wanted, docs).join(kinds, "seed"))
     small = settled(contexts.filter(F.col("kinds") <= LARGE))
-    large = settled_by_window(contexts.filter(F.col("kinds") > LARGE))
+    large = settled_large(contexts.filter(F.col("kinds") > LARGE))
     return whole.unionByName(small).unionByName(large)
 
 
