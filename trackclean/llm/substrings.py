@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import shuffle_parts, store
@@ -292,19 +293,22 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return whole.unionByName(small).unionByName(large)
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs' rows with what is left of their texts.
 
-    doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the text that is left, as bytes). Matches
+    doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the text that is left, as bytes) and
+    the columns in carry. Matches
     are bytewise, lie within one text, and overlap; what is removed may leave half a character. Null and empty texts and
     those shorter than LENGTH lose nothing; of equal texts the one of the smallest doc_id stays; rows that share a doc_id
     are taken for one document (equal rows fare alike); null doc_ids are not compared and lose nothing; other columns
     are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    carried = docs.select(*carry).schema
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0), *carry).alias("carried"))
     known = docs.filter("doc_id is not null")
-    runs = repeated_windows(known).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
+    runs = repeated_windows(known.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    schema = T.StructType([*schema.fields, *carried.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -327,7 +331,9 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
                     left = b"".join([*kept, text[at:]])
                     rows.append((doc, len(text), gone, spans, hashlib.sha256(left).hexdigest(), left)[: 5 + texts])
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts])
+                others = batch.column("carried").flatten()[1:]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)] + others
+                yield pa.RecordBatch.from_arrays(columns, [*["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts], *carry])
 
     alone = docs.filter("doc_id is null").withColumn("runs", F.lit(None).cast("array<struct<first:long,last:long>>"))
-    return known.join(runs, "doc_id", "left").unionByName(alone).select("doc_id", "text", "runs").mapInArrow(run, schema)
+    return known.join(runs, "doc_id", "left").unionByName(alone).select("doc_id", "text", "runs", "carried").mapInArrow(run, schema)
