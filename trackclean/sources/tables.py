@@ -56,3 +56,58 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each order line: an album for each order, with twelve kinds of albums and sixteen of dirty titles."""
     return spark.sql(SPARK_TRACKS, **{t: read_table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier")})
+
+
+#: Decisions: approvals, skips and edits of three in five tracks, some twice, some of tracks that are gone.
+DECISIONS_SQL = """
+WITH d AS (
+  SELECT root, CASE WHEN l_partkey % 97 = 0 THEN path || '.gone' ELSE path END AS path,
+    CASE WHEN l_suppkey % 3 = 0 THEN 'approve' WHEN l_suppkey % 3 = 1 THEN 'skip' ELSE 'edit' END AS action,
+    CASE WHEN l_suppkey % 3 < 2 OR l_linenumber % 3 = 1 THEN NULL WHEN l_linenumber % 3 = 0 THEN upper(p_name) ELSE '' END AS final_title,
+    cast(NULL as string) AS final_artist,
+    CASE WHEN l_suppkey % 3 = 0 AND l_partkey % 4 = 0 THEN 'auto-approved' ELSE NULL END AS note,
+    l_orderkey * 1000 + l_linenumber * 10 AS ord, l_partkey
+  FROM (TRACKS) t WHERE l_partkey % 5 < 3)
+SELECT root, path, action, final_title, final_artist, note, ord FROM d
+UNION ALL SELECT root, path, 'skip', NULL, NULL, NULL, ord + 5 FROM d WHERE l_partkey % 11 = 0
+"""
+#: Fingerprints of an earlier scan: albums whose order key divides by nine are not in it, by four have another size.
+PREVIOUS_SQL = """
+SELECT root, path, mtime_us, CASE WHEN l_orderkey % 4 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes
+FROM (TRACKS) t WHERE l_orderkey % 9 <> 0
+"""
+#: Responses of a model, one for each chunk of two tracks: every fifth track is left out, some chunks are malformed.
+RESPONSES_SQL = """
+SELECT root, chunk, CASE WHEN l_orderkey % 7 = 1 THEN 'not json' WHEN l_orderkey % 7 = 2 THEN '[1]' WHEN l_orderkey % 7 = 3 THEN '{{"tracks": 5}}'
+    ELSE '{{"tracks": [' || entries || ']}}' END AS raw
+FROM (
+  SELECT root, chunk, min(l_orderkey) AS l_orderkey, JOINED AS entries
+  FROM (
+    SELECT root, pos, cast(floor(pos / 2) as int) AS chunk, l_orderkey,
+      '{{"track_path": "' || path || '", "action": "' || CASE WHEN l_partkey % 31 = 0 THEN 'destroy' ELSE 'propose_fix' END || '", "proposed_title": ' ||
+      CASE WHEN l_partkey % 29 = 0 THEN '7' WHEN l_partkey % 4 = 0 THEN 'null' ELSE '"' || p_name || '"' END || ', "proposed_artist": null, "confidence": ' ||
+      CASE WHEN l_partkey % 37 = 0 THEN '1.5' WHEN l_partkey % 2 = 0 THEN '"0.75"' ELSE '0.5' END || ', "issue_flags": ["scene_junk", "unheard_of"], "reason": "r"}}' AS entry
+    FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY coalesce(disc_number, 0), coalesce(track_number, 0), lower(filename), filename) - 1 AS pos FROM (TRACKS) t) p
+    WHERE l_partkey % 5 <> 4) e
+  GROUP BY root, chunk) g
+"""
+DUCK_DECISIONS = DECISIONS_SQL.replace("TRACKS", DUCK_TRACKS)
+DUCK_PREVIOUS = PREVIOUS_SQL.replace("TRACKS", DUCK_TRACKS)
+DUCK_RESPONSES = RESPONSES_SQL.replace("TRACKS", DUCK_TRACKS).replace("JOINED", "string_agg(entry, ', ' ORDER BY pos)").replace("{{", "{").replace("}}", "}")
+
+
+def _derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql.replace("TRACKS", SPARK_TRACKS), **{t: read_table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier")})
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, DECISIONS_SQL)
+
+
+def previous_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, PREVIOUS_SQL)
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = "array_join(transform(array_sort(collect_list(struct(pos, entry))), x -> x.entry), ', ')"
+    return _derived(spark, sf_dir, RESPONSES_SQL.replace("JOINED", joined))
