@@ -1 +1,383 @@
-ORACLE_SQL = {}
+"""DuckDB SQL for the registered queries, written as chains of common table expressions over the derived tracks."""
+
+from __future__ import annotations
+
+from ..functions import flags as G
+from ..functions import text as X
+from ..options import ARTIST_SEPARATORS, BLOCKING, DEFAULT, HARD, MANUAL, PENDING, PREFIX_SEPARATORS, SOFT, STOP_WORDS, UPPER_NAMES
+from ..sources.tables import DUCK_DECISIONS, DUCK_PREVIOUS, DUCK_RESPONSES, DUCK_TRACKS
+
+O = DEFAULT
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def names(items) -> str:
+    return ", ".join(map(q, items))
+
+
+def sub(s: str, pattern: str, put: str = "") -> str:
+    return f"regexp_replace({s}, {q(pattern)}, {q(put)}, 'g')"
+
+
+def like(s: str, pattern: str) -> str:
+    return f"regexp_matches({s}, {q(pattern)})"
+
+
+def strip(s: str) -> str:
+    return sub(s, f"^{X.WS}+|{X.WS}+$")
+
+
+def lstrip(s: str) -> str:
+    return sub(s, f"^{X.WS}+")
+
+
+def rstrip(s: str) -> str:
+    return sub(s, f"{X.WS}+$")
+
+
+def squeeze(s: str) -> str:
+    return strip(sub(s, f"{X.WS}+", " "))
+
+
+def blank(s: str) -> str:
+    return f"(NOT {like(f'coalesce({s}, {q(str())})', f'[^{X.SPACES}]')})"
+
+
+def symbolic(s: str) -> str:
+    t = f"lower({strip(f'coalesce({s}, {q(str())})')})"
+    return f"({like(t, '^[a-zß-ÿ]{1,6}$')} AND (replace({t}, left({t}, 1), '') = '' OR {like(t, '^[ivx]+$')}))"
+
+
+def unreadable(s: str) -> str:
+    t = strip(f"coalesce({s}, '')")
+    return f"(NOT {symbolic(s)} AND (length({t}) < 2 OR length({sub(t, '[^\\p{L}]')}) / greatest(length({t}), 1) < 0.3))"
+
+
+def detect(t: str, a: str) -> str:
+    t, a = f"coalesce({t}, '')", f"coalesce({a}, '')"
+    s = strip(t)
+    rules = {
+        "artist_missing": blank(a),
+        "embedded_track_number": like(t, G.NUMBERED),
+        "embedded_artist": f"(contains({t}, ' - ') AND len(string_split({t}, ' - ')) <= 4)",
+        "junk_prefix": "(" + " OR ".join(f"starts_with(lower({lstrip(t)}), {q(p)})" for p in O.junk_prefixes) + ")",
+        "junk_suffix": "(" + " OR ".join(f"ends_with(lower({rstrip(t)}), {q(p)})" for p in O.junk_suffixes) + ")",
+        "original_mix_redundant": like(t, G.ORIGINAL_MIX),
+        "bpm_suffix": like(t, G.TEMPO_MARK),
+        "weird_separators": f"(contains({t}, '_') OR contains({t}, '  ') OR " + " OR ".join(f"contains({t}, {q(x)})" for x in O.replace_with_dash) + f" OR {like(t, G.DASHES)})",
+        "bad_capitalization": f"({like(t, '\\p{L}')} AND NOT {symbolic(t)} AND ({s} = lower({s}) AND {s} <> upper({s}) OR {s} = upper({s}) AND length({s}) > 3))",
+        "generic_track_name": like(t, X.GENERIC),
+        "unreadable_title": f"({blank(t)} OR {unreadable(t)})",
+        "duplicate_artist_title": f"({a} <> '' AND {t} <> '' AND lower({strip(a)}) = lower({s}))",
+        "scene_junk": "(" + " OR ".join(f"contains(lower({t}), {q(m)})" for m in O.scene_markers) + ")",
+        "missing_artist_but_present_in_title": f"({blank(a)} AND contains({t}, ' - '))",
+    }
+    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {q(n)} END" for n, c in rules.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def overlap(flags: str, these) -> str:
+    return f"list_has_any({flags}, [{names(these)}])"
+
+
+def track_number(s: str) -> str:
+    rest = lstrip(f"regexp_replace({s}, {q(X.NUMBER)}, '')")
+    return f"CASE WHEN {like(s, X.NUMBER)} AND length({rest}) >= 2 THEN {rest} ELSE {s} END"
+
+
+def separators(s: str) -> tuple[str, str]:
+    hits = []
+    for token, put in [(x, " - ") for x in O.replace_with_dash] + [(x, " ") for x in O.collapse]:
+        hits.append(f"contains({s}, {q(token)})")
+        s = f"replace({s}, {q(token)}, {q(put)})"
+    return squeeze(s), "(" + " OR ".join(hits) + ")"
+
+
+def after(s: str, n: str) -> str:
+    return f"ltrim(substr({s}, {n} + 1), {q(X.EDGE)})"
+
+
+def tempo(s: str, k: int) -> str:
+    rest = f"rtrim(regexp_replace({s}, {q(X.TEMPO[k])}, ''), {q(' -_[(),')})"
+    return f"CASE WHEN {like(s, X.TEMPO[k])} AND NOT {blank(rest)} THEN {rest} ELSE {s} END"
+
+
+def original_mix(s: str) -> str:
+    return "CASE " + " ".join(f"WHEN {like(s, p)} THEN {rstrip(f'regexp_replace({s}, {q(p)}, {q(str())})')}" for p in X.MIX) + f" ELSE {s} END"
+
+
+def title_case(s: str) -> str:
+    word = lambda w: f"(NOT {like(w, f'^(?:{X.WS}+|[-/])$')})"
+    toks = f"regexp_extract_all({s}, {q(f'({X.WS}+|[-/]|[^-/{X.SPACES}]+)')}, 1)"
+    n = f"len(list_filter({toks}, lambda w: {word('w')}))"
+    nth = f"len(list_filter(({toks})[1:i - 1], lambda w: {word('w')}))"
+    one = (f"CASE WHEN NOT {word('x')} THEN x WHEN upper(x) IN ({names(UPPER_NAMES)}) THEN upper(x) "
+           f"WHEN lower(x) IN ({names(STOP_WORDS)}) AND {nth} > 0 AND {nth} < {n} - 1 THEN lower(x) ELSE upper(left(x, 1)) || lower(substr(x, 2)) END")
+    return f"coalesce(array_to_string(list_transform({toks}, lambda x, i: {one}), ''), '')"
+
+
+def filename(s: str, two: str) -> str:
+    """A struct (artist, title) or null."""
+    cases = []
+    for pattern, both, allowed in [(*p, None) for p in X.FILENAMES] + [(*X.TWO_PARTS, two)]:
+        title = strip(f"regexp_extract({s}, {q(pattern)}, {2 if both else 1})")
+        artist = strip(f"regexp_extract({s}, {q(pattern)}, 1)") if both else "cast(NULL as varchar)"
+        fit = f"{like(s, pattern)} AND length({title}) >= 2" + f" AND length({artist}) >= 2" * both + f" AND {allowed}" * bool(allowed)
+        cases.append(f"WHEN {fit} THEN {{'artist': {artist}, 'title': {title}}}")
+    return "CASE " + " ".join(cases) + " END"
+
+
+STEM = squeeze("replace(regexp_replace(filename, '^(.+)\\.[^.]*$', '\\1', 's'), '_', ' ')")
+ORDER = "coalesce(disc_number, 0), coalesce(track_number, 0), lower(filename), filename"
+SAMPLED = "(pos IN (0, 1) OR pos = (n - 1) // 2 OR pos = n - 1)"
+
+
+class Chain:
+    """Common table expressions, one after another."""
+
+    def __init__(self) -> None:
+        self.steps = [f"t AS ({DUCK_TRACKS})", f"p AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY {ORDER}) - 1 AS pos, count(*) OVER (PARTITION BY root) AS n FROM t)"]
+        self.last = "p"
+
+    def add(self, name: str, select: str) -> Chain:
+        self.steps.append(f"{name} AS MATERIALIZED ({select})")
+        self.last = name
+        return self
+
+    def then(self, select: str) -> Chain:
+        """select has {0} for what was last added."""
+        name = f"s{len(self.steps)}"
+        return self.add(name, select.replace("{0}", self.last))
+
+    def sql(self, select: str) -> str:
+        return "WITH " + ",\n".join(self.steps) + "\n" + select.replace("{0}", self.last)
+
+
+def chain() -> Chain:
+    return Chain()
+
+
+def hints(c: Chain) -> Chain:
+    t, a = strip("coalesce(title, '')"), strip("coalesce(artist, '')")
+    left, right = strip(f"split_part({t}, ' - ', 1)"), strip(f"split_part({t}, ' - ', 2)")
+    hint = f"(len(string_split({t}, ' - ')) = 2 AND length({left}) >= 2 AND length({right}) >= 2 AND ({a} = '' OR lower({a}) = lower({t})))"
+    c.add("h", f"SELECT *, {STEM} AS stem FROM p")
+    return c.add("hinted", f"SELECT root, count(*) FILTER ({SAMPLED} AND {hint}) AS split_hints, count(*) FILTER ({filename('stem', 'false')} IS NOT NULL) AS filename_hints FROM h GROUP BY root")
+
+
+def prefix(c: Chain) -> Chain:
+    c.add("pt", f"SELECT root, pos, {strip(track_number('coalesce(title, ' + q('') + ')'))} AS tt FROM p")
+    c.add("pn", "SELECT *, count(*) OVER (PARTITION BY root) AS titles FROM pt WHERE tt <> ''")
+    cuts = " UNION ALL ".join(f"SELECT root, pos, titles, unnest(list_transform(range(1, len(string_split(tt, {q(s)}))), lambda i: array_to_string(string_split(tt, {q(s)})[1:i], {q(s)}) || {q(s)})) AS prefix FROM pn WHERE titles >= 3 AND contains(tt, {q(s)})" for s in PREFIX_SEPARATORS)
+    c.add("pc", f"SELECT * FROM ({cuts}) WHERE length(prefix) >= 4")
+    c.add("pg", "SELECT root, lower(prefix) AS low, count(*) AS support, arg_min(prefix, pos) AS prefix, min(pos) AS pos FROM pc GROUP BY root, lower(prefix), titles HAVING count(*) >= greatest(2, floor(titles * cast(0.6 as double)))")
+    return c.add("prefixes", "SELECT root, prefix AS album_prefix, support FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY length(prefix) DESC, support DESC, pos) AS r FROM pg) WHERE r = 1")
+
+
+def majority(c: Chain, name: str, value: str) -> Chain:
+    return c.add(name, f"SELECT root, v FROM (SELECT root, v, row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, min(pos)) AS r FROM (SELECT root, pos, {value} AS v FROM p) WHERE v IS NOT NULL AND v <> '' GROUP BY root, v) WHERE r = 1")
+
+
+def candidate_chain() -> Chain:
+    c = majority(prefix(hints(chain())), "major", strip("album_artist"))
+    seg = "CASE " + " ".join(f"WHEN contains(album_prefix, {q(s)}) THEN {strip(f'split_part(album_prefix, {q(s)}, 1)')}" for s in PREFIX_SEPARATORS) + " END"
+    c.then(f"SELECT h.*, split_hints >= 2 OR filename_hints >= 2 AS allow_split, album_prefix, v AS majority_artist, CASE WHEN length({seg}) >= 2 THEN {seg} END AS prefix_artist FROM h JOIN hinted USING (root) LEFT JOIN prefixes USING (root) LEFT JOIN major USING (root)")
+    c.then(f"SELECT *, coalesce(title, '') AS t, coalesce(artist, '') AS a, {detect('title', 'artist')} AS original_flags, CASE WHEN {blank('title')} OR {like('coalesce(title, ' + q('') + ')', X.GENERIC)} THEN {filename('stem', 'allow_split')} END AS file FROM {{0}}")
+    c.then(f"SELECT * REPLACE (coalesce(file.title, t) AS t, CASE WHEN {blank('a')} AND file.artist IS NOT NULL THEN file.artist ELSE a END AS a), CASE WHEN file IS NULL THEN cast([] as varchar[]) WHEN {blank('a')} AND file.artist IS NOT NULL THEN ['title from filename', 'artist from filename'] ELSE ['title from filename'] END AS notes FROM {{0}}")
+
+    def step(value: str, note: str) -> None:
+        c.then(f"SELECT *, {value} AS new FROM {{0}}")
+        c.then(f"SELECT * EXCLUDE (new) REPLACE (new AS t, CASE WHEN new <> t THEN list_append(notes, {q(note)}) ELSE notes END AS notes) FROM {{0}}")
+
+    step(track_number("t"), "stripped track number")
+    value, noted = separators("t")
+    c.then(f"SELECT * REPLACE ({value} AS t, CASE WHEN {noted} THEN list_append(notes, 'normalized separators') ELSE notes END AS notes) FROM {{0}}")
+    c.then("SELECT *, t AS before FROM {0}")
+    rest = after("t", "length(album_prefix)")
+    step(f"CASE WHEN coalesce(starts_with(lower(t), lower(album_prefix)) AND NOT {blank(rest)}, false) THEN {rest} ELSE t END", "stripped album prefix")
+    back = f"(before <> t AND {blank('a')} AND prefix_artist IS NOT NULL)"
+    c.then(f"SELECT * REPLACE (CASE WHEN {back} THEN prefix_artist ELSE a END AS a, CASE WHEN {back} THEN list_append(notes, 'artist from album prefix') ELSE notes END AS notes) FROM {{0}}")
+    cases = []
+    for name in (strip("a"), strip("coalesce(majority_artist, '')")):
+        for s in ARTIST_SEPARATORS:
+            rest = after("t", f"(length({name}) + {len(s)})")
+            cases.append(f"WHEN {name} <> '' AND starts_with(lower(t), lower({name} || {q(s)})) AND NOT {blank(rest)} THEN {rest}")
+    step("CASE " + " ".join(cases) + " ELSE t END", "stripped artist prefix")
+    step("CASE " + " ".join(f"WHEN starts_with(lower({lstrip('t')}), {q(x)}) THEN {after(lstrip('t'), str(len(x)))}" for x in O.junk_prefixes) + " ELSE t END", "stripped junk prefix")
+    step("CASE " + " ".join(f"WHEN ends_with(lower({rstrip('t')}), {q(x)}) THEN rtrim(left({rstrip('t')}, length({rstrip('t')}) - {len(x)}), {q(X.EDGE)})" for x in O.junk_suffixes) + " ELSE t END", "stripped junk suffix")
+    c.then("SELECT *, t AS old FROM {0}")
+    for k in (0, 1, 0, 1):
+        c.then(f"SELECT * REPLACE ({tempo('t', k)} AS t) FROM {{0}}")
+    c.then("SELECT * EXCLUDE (old) REPLACE (CASE WHEN old <> t THEN list_append(notes, 'stripped tempo') ELSE notes END AS notes) FROM {0}")
+    step(original_mix("t"), "stripped original mix")
+    left, right = strip("split_part(t, ' - ', 1)"), strip("substr(t, strpos(t, ' - ') + 3)")
+    fit = f"allow_split AND ({blank('a')} OR lower({strip('a')}) = lower({strip('t')})) AND contains(t, ' - ') AND length({left}) >= 2 AND length({right}) >= 2 AND NOT contains({right}, ' - ')"
+    c.then(f"SELECT * REPLACE (CASE WHEN {fit} THEN {left} ELSE a END AS a, CASE WHEN {fit} THEN {right} ELSE t END AS t, CASE WHEN {fit} THEN list_append(notes, 'split artist from title') ELSE notes END AS notes) FROM {{0}}")
+    c.then(f"SELECT * REPLACE ({squeeze('t')} AS t, {squeeze('a')} AS a) FROM {{0}}")
+    t_case = f"({like('t', '\\p{L}')} AND NOT {symbolic('t')} AND (t = lower(t) OR t = upper(t) AND length(t) > 3))"
+    a_case = f"({like('a', '\\p{L}')} AND NOT {like('a', '[0-9]')} AND a = lower(a) AND a <> upper(a))"
+    c.then(f"SELECT * REPLACE (CASE WHEN {t_case} THEN {title_case('t')} ELSE t END AS t, CASE WHEN {a_case} THEN {title_case('a')} ELSE a END AS a) FROM {{0}}")
+    c.then(f"SELECT *, {detect('t', 'a')} AS remaining_flags, CASE WHEN t <> '' AND t <> coalesce(title, '') THEN t END AS proposed_title, CASE WHEN a <> '' AND a <> coalesce(artist, '') THEN a END AS proposed_artist FROM {{0}}")
+    return c.add("cand", f"SELECT *, cast(CASE WHEN {overlap('remaining_flags', BLOCKING)} THEN 0.3 WHEN t = coalesce(title, '') AND a = coalesce(artist, '') THEN 1.0 WHEN {blank('artist')} AND NOT {blank('a')} THEN 0.75 ELSE 0.9 END as double) AS confidence FROM {c.last}")
+
+
+def class_chain() -> Chain:
+    c = candidate_chain()
+    count = lambda these: f"len(list_filter(original_flags, lambda f: f IN ({names(these)})))"
+    bad = overlap("remaining_flags", ("unreadable_title", "generic_track_name"))
+    c.add("alb", f"SELECT root, count(*) AS n, round(greatest(0, 1 - sum({count(HARD)} * 4 + {count(SOFT)}) FILTER ({SAMPLED}) / (10.0::double * count(*) FILTER ({SAMPLED}))), 3) AS score, bool_or(proposed_title IS NOT NULL OR proposed_artist IS NOT NULL) AS any_change, bool_and(confidence >= 0.75) AS confident, bool_or({overlap('remaining_flags', BLOCKING)}) AS blocked, count(*) FILTER ({bad}) AS bad FROM cand GROUP BY root")
+    c.add("alc", "SELECT *, CASE WHEN score >= 0.9 AND NOT any_change THEN 'clean' WHEN score >= 0.6 AND confident AND NOT blocked THEN 'deterministic' WHEN bad * 2 > n THEN 'broken' ELSE 'mixed' END AS class, (cast(round(score * 1000) as bigint) + 5) // 10 AS h FROM alb")
+    two = "(cast(h // 100 as varchar) || '.' || lpad(cast(h % 100 as varchar), 2, '0'))"
+    mixed = f"concat_ws('; ', CASE WHEN score < 0.6 THEN 'probe ' || {two} || ' < deterministic_threshold 0.60' END, CASE WHEN NOT confident THEN 'low-confidence deterministic candidates' END, CASE WHEN blocked THEN 'blocking remaining flags present' END)"
+    return c.add("cls", f"SELECT root, score, class, CASE class WHEN 'clean' THEN 'probe ' || {two} || ' ≥ clean_threshold 0.90 and no rule changes' WHEN 'deterministic' THEN 'probe ' || {two} || ' ≥ deterministic_threshold 0.60; all candidates confident and no blocking remaining flags' WHEN 'broken' THEN 'majority of tracks have unreadable/generic titles after deterministic pass' ELSE CASE WHEN {mixed} = '' THEN 'mixed evidence' ELSE {mixed} END END AS class_reason FROM alc")
+
+
+def suggestion_chain() -> Chain:
+    c = class_chain()
+    action = f"CASE WHEN class = 'clean' THEN 'keep' WHEN proposed_title IS NOT NULL OR proposed_artist IS NOT NULL THEN 'propose_fix' WHEN list_contains(remaining_flags, 'unreadable_title') THEN {q(MANUAL)} ELSE 'keep' END"
+    return c.add("sugg", f"""SELECT root, path, pos, ext, class, score, title AS current_title, artist AS current_artist,
+      CASE WHEN class = 'clean' THEN title ELSE coalesce(proposed_title, title) END AS proposed_title, CASE WHEN class = 'clean' THEN artist ELSE coalesce(proposed_artist, artist) END AS proposed_artist,
+      {action} AS action, remaining_flags AS issue_flags, remaining_flags, CASE WHEN class = 'clean' THEN 1.0::double ELSE confidence END AS confidence,
+      CASE WHEN class = 'clean' THEN 'album probe clean; no change needed' WHEN len(notes) = 0 THEN 'no changes proposed' ELSE array_to_string(notes, '; ') END AS reason,
+      CASE WHEN class = 'clean' THEN 'none' ELSE 'deterministic' END AS source FROM cand JOIN cls USING (root)""")
+
+
+def changed(p: str, c: str) -> str:
+    return f"({p} IS NOT NULL AND {p} <> coalesce({c}, ''))"
+
+
+def validate(c: Chain, source: str) -> Chain:
+    toks = lambda s: f"list_filter(regexp_split_to_array(lower(coalesce({s}, '')), {q(f'[{X.SPACES}\\-_/]+')}), lambda w: length(w) > 1)"
+    apart = lambda a, b: f"(len({toks(a)}) > 0 AND len({toks(b)}) > 0 AND NOT list_has_any({toks(a)}, {toks(b)}))"
+    c.add("v0", f"SELECT *, cast(NULL as varchar) AS downgraded_from, cast([] as varchar[]) AS validator_notes FROM {source}")
+
+    def rule(when: str, note: str, cap: float | None = None, down: bool = False, **sets: str) -> None:
+        sets["validator_notes"] = f"list_append(validator_notes, {q(note)})"
+        if cap is not None:
+            sets["confidence"] = f"least(confidence, {cap}::double)"
+        if down:
+            sets["downgraded_from"] = f"CASE WHEN action <> {q(MANUAL)} THEN coalesce(downgraded_from, action) ELSE downgraded_from END"
+            sets["action"] = q(MANUAL)
+        c.then(f"SELECT *, coalesce({when}, false) AS hit FROM {{0}}")
+        c.then("SELECT * EXCLUDE (hit) REPLACE (" + ", ".join(f"CASE WHEN hit THEN {v} ELSE {k} END AS {k}" for k, v in sets.items()) + ") FROM {0}")
+
+    rule(f"source = 'llm' AND proposed_title IS NOT NULL AND {symbolic('current_title')} AND {strip('proposed_title')} <> {strip('coalesce(current_title, ' + q('') + ')')}", "rejected edit of symbolic title", 0.3, proposed_title="current_title")
+    c.then(f"SELECT *, {changed('proposed_title', 'current_title')} OR {changed('proposed_artist', 'current_artist')} AS live FROM {{0}}")
+    rule("NOT live AND action = 'propose_fix'", "no effective change, marked keep", action="'keep'")
+    rule(f"live AND proposed_title IS NOT NULL AND {blank('proposed_title')}", "rejected empty proposed_title", 0.3, True, proposed_title="current_title")
+    rule(f"live AND proposed_artist IS NOT NULL AND {blank('proposed_artist')}", "rejected empty proposed_artist", 0.3, proposed_artist="current_artist")
+    c.then(f"SELECT *, coalesce(proposed_title <> '' AND {like('proposed_title', X.GENERIC)}, false) AS generic FROM {{0}}")
+    rule("live AND generic", "proposed title is still generic", 0.3, True)
+    drop = lambda k: f"list_filter({k}, lambda f: f <> 'generic_track_name')"
+    rule("live AND NOT generic AND proposed_title <> '' AND list_contains(remaining_flags, 'generic_track_name')", "removed spurious generic_track_name flag", remaining_flags=drop("remaining_flags"), issue_flags=drop("issue_flags"))
+    rule(f"live AND proposed_title <> '' AND {unreadable('proposed_title')}", "proposed title still looks unreadable", None, True)
+    c.then(f"SELECT *, {apart('current_title', 'proposed_title')} AND {apart('current_artist', 'proposed_artist')} AS rewritten FROM {{0}}")
+    rule(f"live AND source = 'llm' AND rewritten AND ({changed('proposed_title', 'current_title')} OR {changed('proposed_artist', 'current_artist')})", "possible invention", 0.4)
+    low = lambda k: f"lower({strip(f'coalesce({k}, {q(str())})')})"
+    rule(f"live AND {low('current_title')} <> '' AND {low('current_artist')} <> '' AND {low('current_title')} = {low('proposed_artist')} AND {low('current_artist')} = {low('proposed_title')}", "artist/title look swapped", None, True, issue_flags="list_distinct(list_append(issue_flags, 'suspicious_swap_artist_title'))")
+    rule("live AND confidence < 0.6 AND action = 'propose_fix'", "low confidence")
+    rule(f"live AND rewritten AND {changed('proposed_title', 'current_title')} AND {changed('proposed_artist', 'current_artist')}", "both fields fully rewritten", None, True)
+    return c.add("val", f"SELECT * FROM {c.last}")
+
+
+def valid_chain() -> Chain:
+    return validate(suggestion_chain(), "sugg")
+
+
+def decided_chain() -> Chain:
+    c = valid_chain().add("dec", DUCK_DECISIONS)
+    return c.add("open", f"SELECT * FROM val WHERE action IN ({names(PENDING)}) AND NOT EXISTS (SELECT 1 FROM dec WHERE dec.root = val.root AND dec.path = val.path)")
+
+
+def audit_chain() -> Chain:
+    c = decided_chain()
+    final = lambda f: f"CASE WHEN d.action = 'edit' THEN d.final_{f} WHEN v.action = {q(MANUAL)} THEN current_{f} ELSE proposed_{f} END"
+    c.add("fin", f"SELECT v.root, v.path, v.ext, d.ord, d.action AS decision, current_title, current_artist, {final('title')} AS ft, {final('artist')} AS fa FROM dec d JOIN val v ON d.root = v.root AND d.path = v.path")
+    c.add("wri", f"SELECT *, CASE WHEN {changed('ft', 'current_title')} THEN ft END AS wt, CASE WHEN {changed('fa', 'current_artist')} THEN fa END AS wa FROM fin")
+    c.add("ref", f"SELECT *, CASE WHEN decision = 'skip' THEN 'skipped by reviewer' WHEN wt IS NULL AND wa IS NULL THEN 'no change needed after edit' WHEN wt IS NOT NULL AND {blank('wt')} THEN 'refusing to write empty title' WHEN wa IS NOT NULL AND {blank('wa')} THEN 'refusing to write empty artist' WHEN ext NOT IN ('.flac', '.mp3', '.m4a', '.mp4', '.ogg', '.opus') THEN 'unsupported format' END AS note FROM wri")
+    return c.add("aud", "SELECT root, path, ord, decision, CASE WHEN note IS NULL THEN wt END AS applied_title, CASE WHEN note IS NULL THEN wa END AS applied_artist, current_title AS previous_title, current_artist AS previous_artist, decision = 'skip' OR (wt IS NULL AND wa IS NULL) OR note IS NULL AS success, note FROM ref")
+
+
+def merge_chain() -> Chain:
+    c = suggestion_chain().add("resp", DUCK_RESPONSES)
+    wrong = ("CASE WHEN json_type(e) <> 'OBJECT' THEN 'entry is not an object' WHEN coalesce(json_type(e, '$.track_path') <> 'VARCHAR' OR e->>'$.track_path' = '', true) THEN 'missing track_path' "
+             "WHEN coalesce((e->>'$.action') NOT IN ('keep', " + names(PENDING) + "), true) THEN 'unknown action' WHEN coalesce(NOT (try_cast(e->>'$.confidence' as double) BETWEEN 0 AND 1), true) THEN 'bad confidence' "
+             "WHEN coalesce(json_type(e, '$.issue_flags') <> 'ARRAY', true) THEN 'issue_flags is not a list' WHEN coalesce(json_type(e, '$.proposed_title'), 'NULL') NOT IN ('VARCHAR', 'NULL') OR coalesce(json_type(e, '$.proposed_artist'), 'NULL') NOT IN ('VARCHAR', 'NULL') THEN 'proposal is not a string' END")
+    c.add("chk", f"SELECT root, chunk, raw, CASE WHEN NOT json_valid(raw) THEN 'not JSON' WHEN json_type(raw) <> 'OBJECT' THEN 'not an object' WHEN coalesce(json_type(raw, '$.tracks'), '') <> 'ARRAY' THEN 'tracks is not a list' ELSE list_filter(list_transform(cast(json_extract(raw, '$.tracks') as json[]), lambda e: {wrong}), lambda r: r IS NOT NULL)[1] END AS reason FROM resp")
+    c.add("ent", "SELECT root, unnest(cast(json_extract(raw, '$.tracks') as json[])) AS e FROM chk WHERE reason IS NULL")
+    c.add("rows_", "SELECT root, e->>'$.track_path' AS path, e->>'$.action' AS m_action, e->>'$.proposed_title' AS m_title, e->>'$.proposed_artist' AS m_artist, cast(e->>'$.confidence' as double) AS m_confidence, list_filter(cast(json_extract(e, '$.issue_flags') as varchar[]), lambda f: f = 'scene_junk') AS m_flags FROM ent")
+    hit, missing = "(g.root IS NOT NULL AND m_action IS NOT NULL)", "(g.root IS NOT NULL AND m_action IS NULL)"
+    return c.add("mer", f"""SELECT s.root, s.path, pos, current_title, current_artist,
+      CASE WHEN {hit} THEN coalesce(nullif(m_title, ''), current_title) ELSE proposed_title END AS proposed_title, CASE WHEN {hit} THEN coalesce(nullif(m_artist, ''), current_artist) ELSE proposed_artist END AS proposed_artist,
+      CASE WHEN {hit} THEN m_action WHEN {missing} THEN 'keep' ELSE action END AS action, CASE WHEN {hit} THEN m_confidence WHEN {missing} THEN 0.5::double ELSE confidence END AS confidence,
+      CASE WHEN {hit} THEN m_flags ELSE issue_flags END AS issue_flags, CASE WHEN {hit} THEN m_flags ELSE remaining_flags END AS remaining_flags,
+      CASE WHEN {hit} THEN 'llm' WHEN {missing} THEN 'deterministic' ELSE source END AS source
+      FROM sugg s LEFT JOIN (SELECT root, chunk FROM chk WHERE reason IS NULL) g ON g.root = s.root AND g.chunk = s.pos // 2 LEFT JOIN rows_ r ON r.root = s.root AND r.path = s.path""")
+
+
+def text(c: str) -> str:
+    return f"array_to_string({c}, ';') AS {c}"
+
+
+def title_rule(value: str) -> str:
+    return f"SELECT path, {value.replace('$', 'coalesce(title, ' + q('') + ')')} AS value FROM ({DUCK_TRACKS})"
+
+
+def _fingerprints(tracks: str) -> str:
+    part = f"SELECT root, left(md5(path), 2) AS part, sha1(string_agg(line, chr(10) ORDER BY line)) AS h FROM (SELECT root, path, path || chr(0) || cast(mtime_us as varchar) || chr(0) || cast(size_bytes as varchar) AS line FROM ({tracks})) GROUP BY root, part"
+    return f"SELECT root, sha1(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) AS fingerprint FROM ({part}) GROUP BY root"
+
+
+def _queries() -> dict[str, str]:
+    count = lambda these: f"sum(len(list_filter(flags, lambda f: f IN ({names(these)}))))"
+    probe = chain().add("f", f"SELECT *, {detect('title', 'artist')} AS flags FROM p WHERE {SAMPLED}")
+    probe.add("g", f"SELECT root, count(*) AS n_sampled, {count(HARD)} AS hard_flags, {count(SOFT)} AS soft_flags, count(*) FILTER ({blank('title')}) AS empty_titles FROM f GROUP BY root")
+    table = majority(majority(chain(), "m1", "album"), "m2", "album_artist")
+    twice = chain().then("SELECT path, coalesce(title, '') AS x FROM p")
+    for k in (0, 1, 0, 1):
+        twice.then(f"SELECT path, {tempo('x', k)} AS x FROM {{0}}")
+    intish = lambda s: f"coalesce(try_cast(trim(split_part({s}, '/', 1)) as int), try_cast(left(split_part({s}, '/', 1), 4) as int))"
+    return {
+        "detect_issues": f"SELECT path, array_to_string({detect('title', 'artist')}, ';') AS flags FROM ({DUCK_TRACKS})",
+        "issue_counts_top15": f"SELECT flag, count(*) AS n FROM (SELECT unnest({detect('title', 'artist')}) AS flag FROM ({DUCK_TRACKS})) GROUP BY flag ORDER BY n DESC, flag LIMIT 15",
+        "album_sample": chain().sql(f"SELECT root, path, pos, n FROM p WHERE {SAMPLED}"),
+        "album_probe_score": probe.sql("SELECT *, round(greatest(0, 1 - (hard_flags * 4 + soft_flags) / (10.0::double * n_sampled)), 3) AS score FROM g"),
+        "album_majority": majority(chain(), "m", "album_artist").sql("SELECT root, v AS album_artist FROM m"),
+        "album_common_prefix": prefix(chain()).sql("SELECT * FROM prefixes"),
+        "album_split_support": hints(chain()).sql("SELECT root, split_hints FROM hinted"),
+        "album_filename_support": hints(chain()).sql("SELECT root, filename_hints, split_hints >= 2 OR filename_hints >= 2 AS allow_split FROM hinted"),
+        "album_table": table.sql("SELECT g.root, left(sha1(replace(g.root, '/lib/', '')), 12) AS album_id, coalesce(m1.v, split_part(g.root, '/', 4)) AS album_name, m2.v AS album_artist, tracks FROM (SELECT root, count(*) AS tracks FROM p GROUP BY root) g LEFT JOIN m1 USING (root) LEFT JOIN m2 USING (root)"),
+        "album_fingerprint": _fingerprints(DUCK_TRACKS),
+        "changed_albums": f"SELECT a.root, CASE WHEN b.root IS NULL THEN 'new' WHEN a.fingerprint = b.fingerprint THEN 'unchanged' ELSE 'changed' END AS status FROM ({_fingerprints(DUCK_TRACKS)}) a LEFT JOIN ({_fingerprints(DUCK_PREVIOUS)}) b ON a.root = b.root",
+        "filename_parse": f"SELECT path, x.artist AS artist, x.title AS title FROM (SELECT path, {filename('stem', 'l_linenumber % 2 = 0')} AS x FROM (SELECT *, {STEM} AS stem FROM ({DUCK_TRACKS})))",
+        "strip_track_number": title_rule(track_number("$")),
+        "normalize_separators": title_rule(separators("$")[0]),
+        "strip_tempo": twice.sql("SELECT path, x AS value FROM {0}"),
+        "strip_original_mix": title_rule(original_mix("coalesce(title, '')")),
+        "smart_title_case": title_rule(title_case("coalesce(title, '')")),
+        "track_candidates": candidate_chain().sql(f"SELECT path, proposed_title, proposed_artist, {text('notes')}, {text('original_flags')}, {text('remaining_flags')}, confidence FROM cand"),
+        "album_classification": class_chain().sql("SELECT * FROM cls"),
+        "suggestions": suggestion_chain().sql(f"SELECT path, class, current_title, current_artist, proposed_title, proposed_artist, action, {text('issue_flags')}, confidence, reason, source FROM sugg"),
+        "validated_suggestions": valid_chain().sql(f"SELECT path, proposed_title, proposed_artist, action, {text('issue_flags')}, {text('remaining_flags')}, confidence, downgraded_from, {text('validator_notes')} FROM val"),
+        "pending_export": valid_chain().sql(f"SELECT path, coalesce(current_title, '') AS current_title, coalesce(current_artist, '') AS current_artist, coalesce(proposed_title, '') AS proposed_title, coalesce(proposed_artist, '') AS proposed_artist, action, printf('%.2f', confidence) AS confidence, {text('issue_flags')} FROM val WHERE action IN ({names(PENDING)})"),
+        "review_queue": decided_chain().sql("SELECT path, class, score, action, row_number() OVER (PARTITION BY root ORDER BY pos) AS i, count(*) OVER (PARTITION BY root) AS of FROM open"),
+        "auto_approve": decided_chain().sql("SELECT path, 'approve' AS action, 'auto-approved' AS note FROM open WHERE action = 'propose_fix' AND source = 'deterministic' AND confidence >= 0.9 AND NOT " + overlap("CASE WHEN len(remaining_flags) > 0 THEN remaining_flags ELSE issue_flags END", ("generic_track_name", "unreadable_title", "suspicious_swap_artist_title"))),
+        "cascade_decisions": decided_chain().sql("SELECT path, v AS action, 'bulk ' || v || CASE WHEN pos = 1 THEN '' ELSE ' (cascade)' END AS note FROM (SELECT *, CASE WHEN regexp_matches(root, '[02468]$') THEN 'skip' ELSE 'approve' END AS v FROM open) WHERE pos >= 1"),
+        "latest_decisions": f"SELECT root, path, action, final_title, final_artist, note, ord FROM (SELECT *, row_number() OVER (PARTITION BY root, path ORDER BY ord DESC) AS r FROM ({DUCK_DECISIONS})) WHERE r = 1",
+        "apply_audit": audit_chain().sql("SELECT * EXCLUDE (root) FROM aud"),
+        "apply_counters": audit_chain().sql("SELECT (SELECT count(DISTINCT root) FROM val) AS albums, count(DISTINCT root) AS albums_applied, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed FROM aud"),
+        "cleaned_tracks": audit_chain().sql("SELECT p.path, coalesce(x.t, title) AS title, coalesce(x.a, artist) AS artist, album, album_artist, track_number FROM p LEFT JOIN (SELECT root, path, arg_max(applied_title, ord) FILTER (applied_title IS NOT NULL) AS t, arg_max(applied_artist, ord) FILTER (applied_artist IS NOT NULL) AS a FROM aud WHERE success GROUP BY root, path) x ON x.root = p.root AND x.path = p.path"),
+        "library_report": decided_chain().sql(f"""SELECT a.*, r.*, d.*, (SELECT count(*) FROM open) AS pending_review FROM
+          (SELECT count(*) AS total_albums, count(*) FILTER (class = 'clean') AS clean_albums, count(*) FILTER (class = 'deterministic') AS deterministic_albums, count(*) FILTER (class = 'broken') AS broken_albums, count(*) FILTER (class = 'mixed') AS mixed_albums FROM cls) a,
+          (SELECT count(*) AS total_tracks, count(*) FILTER (action = 'propose_fix') AS proposed, count(*) FILTER (action = {q(MANUAL)}) AS unreadable, count(*) FILTER (confidence < 0.6 AND action = 'propose_fix') AS low_confidence FROM val) r,
+          (SELECT count(*) FILTER (action = 'approve') AS approved, count(*) FILTER (action = 'approve' AND note = 'auto-approved') AS auto_approved, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'edit') AS edited FROM dec) d"""),
+        "tag_flatten": f"SELECT path, nullif({strip('title')}, '') AS title, nullif({strip('artist')}, '') AS artist, album, album_artist, track_number, cast(NULL as int) AS disc_number, {intish('cast(l_orderkey % 40 + 1980 as varchar)')} AS year FROM ({DUCK_TRACKS})",
+        "model_response_check": merge_chain().sql("SELECT root, chunk, reason IS NULL AS ok, reason FROM chk"),
+        "model_merge": merge_chain().sql(f"SELECT path, proposed_title, proposed_artist, action, confidence, {text('issue_flags')}, source FROM mer"),
+        "model_merge_validated": validate(merge_chain(), "mer").sql(f"SELECT path, proposed_title, proposed_artist, action, confidence, source, {text('validator_notes')} FROM val"),
+    }
+
+
+ORACLE_SQL: dict[str, str] = _queries()
