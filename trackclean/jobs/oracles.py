@@ -322,7 +322,7 @@ def text(c: str) -> str:
 
 
 def title_rule(value: str) -> str:
-    return f"SELECT path, {value.replace('$', 'coalesce(title, ' + q('') + ')')} AS value FROM ({DUCK_TRACKS})"
+    return f"SELECT path, {value} AS value FROM ({DUCK_TRACKS})"
 
 
 def _fingerprints(tracks: str) -> str:
@@ -352,8 +352,8 @@ def _queries() -> dict[str, str]:
         "album_fingerprint": _fingerprints(DUCK_TRACKS),
         "changed_albums": f"SELECT a.root, CASE WHEN b.root IS NULL THEN 'new' WHEN a.fingerprint = b.fingerprint THEN 'unchanged' ELSE 'changed' END AS status FROM ({_fingerprints(DUCK_TRACKS)}) a LEFT JOIN ({_fingerprints(DUCK_PREVIOUS)}) b ON a.root = b.root",
         "filename_parse": f"SELECT path, x.artist AS artist, x.title AS title FROM (SELECT path, {filename('stem', 'l_linenumber % 2 = 0')} AS x FROM (SELECT *, {STEM} AS stem FROM ({DUCK_TRACKS})))",
-        "strip_track_number": title_rule(track_number("$")),
-        "normalize_separators": title_rule(separators("$")[0]),
+        "strip_track_number": title_rule(track_number("coalesce(title, '')")),
+        "normalize_separators": title_rule(separators("coalesce(title, '')")[0]),
         "strip_tempo": twice.sql("SELECT path, x AS value FROM {0}"),
         "strip_original_mix": title_rule(original_mix("coalesce(title, '')")),
         "smart_title_case": title_rule(title_case("coalesce(title, '')")),
