@@ -10,6 +10,7 @@ lose every window. Different contexts of one seed are a bucket; each bucket's co
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,13 @@ from .tokens import balanced
 LENGTH = 100
 SEED = 32
 SPAN = LENGTH - SEED + 1
+HALF = (LENGTH - SEED) // 2
 #: Buckets of more contexts are settled window by window, by grouping on a window's hash: exact at any size.
 LARGE = 64
 #: Symbols sorted at once.
 BATCH = 1 << 21
+#: Bytes of text whose 64-bit hashes are worked out at once.
+CACHED = 1 << 18
 
 
 def rolling(buf: np.ndarray, width: int) -> np.ndarray:
@@ -103,6 +107,17 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"seed": seed.view(np.int64), "context": context.view(np.int64), "text": text, "first": first - base, "last": last - base, "anchor": anchor - base}
 
 
+def anchors_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """anchors of a batch's texts, worked out in stretches that stay in a processor's cache."""
+    found, first = [], 0
+    for part in balanced(batch, "text", CACHED):
+        x = anchors(*raw(part.column("text")))
+        x["text"] = x["text"] + first
+        found.append(x)
+        first += part.num_rows
+    return {k: np.concatenate([x[k] for x in found]) for k in found[0]}
+
+
 def anchored(docs: DataFrame) -> DataFrame:
     """seed, context, doc_id, at (of the anchor in the text), before and after (first start and last start, from it).
 
@@ -112,15 +127,18 @@ def anchored(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in balanced(big, "text"):
-                x = anchors(*raw(batch.column("text")))
+                x = anchors_of(batch)
                 doc = batch.column("doc_id").to_numpy()[x["text"]]
-                order = np.lexsort((x["anchor"], doc, x["context"], x["seed"]))
-                seed, context = x["seed"][order], x["context"][order]
+                order = np.argsort(x["context"])
+                again = np.zeros(len(order), bool)
+                again[1:] = x["context"][order[1:]] == x["context"][order[:-1]]
+                again[:-1] |= again[1:]
+                some = order[again]
+                some = some[np.lexsort((x["anchor"][some], doc[some], x["seed"][some], x["context"][some]))]
                 known = np.zeros(len(order), bool)
-                known[1:] = (seed[1:] == seed[:-1]) & (context[1:] == context[:-1])
-                at = x["anchor"][order]
+                known[some[1:]] = (x["seed"][some[1:]] == x["seed"][some[:-1]]) & (x["context"][some[1:]] == x["context"][some[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (seed, context, doc[order], at)] + [pa.array(at - x[k][order], pa.int16()) for k in ("first", "last")] + [pa.array(known)],
+                    [pa.array(c) for c in (x["seed"], x["context"], doc, x["anchor"])] + [pa.array(x["anchor"] - x[k], pa.int16()) for k in ("first", "last")] + [pa.array(known)],
                     ["seed", "context", "doc_id", "at", "before", "after", "settled"])
 
     return docs.mapInArrow(run, "seed long, context long, doc_id long, at long, before short, after short, settled boolean")
@@ -179,6 +197,27 @@ def later_windows(rows: list[tuple], bounds: list[int]) -> Iterator[tuple[int, i
         yield rows[k][0], start + a, start + b - 1
 
 
+def comparable(rows: list[tuple]) -> list[tuple]:
+    """A bucket's contexts cut to the windows that another context may have.
+
+    Windows that start HALF bytes before the anchor or earlier share the HALF bytes in front of it, all others the HALF
+    bytes behind the seed; a side whose bytes no other context has is left out.
+    """
+    sides: list[tuple[bytes | None, bytes | None]] = []
+    for _, _, before, after, data in rows:
+        left = data[before - HALF : before] if before >= HALF else None
+        right = data[before + SEED : before + SEED + HALF] if after < HALF else None
+        sides.append((left, right))
+    lefts, rights = Counter(s[0] for s in sides), Counter(s[1] for s in sides)
+    out = []
+    for (doc, at, before, after, data), (left, right) in zip(rows, sides, strict=True):
+        most = before if left is not None and lefts[left] > 1 else min(before, HALF - 1)
+        least = after if right is not None and rights[right] > 1 else max(after, HALF)
+        if most >= least:
+            out.append((doc, at, most, least, data[before - most : before - least + LENGTH]))
+    return out
+
+
 def settled(buckets: DataFrame) -> DataFrame:
     """doc_id, first, last: runs of window starts that come later than an equal window of their bucket."""
 
@@ -189,18 +228,31 @@ def settled(buckets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         bounds: list[int] = []
+        bucket: list[tuple] = []
         seed, held = None, 0
+
+        def close() -> None:
+            nonlocal held
+            some = comparable(bucket)
+            if len(some) > 1:
+                bounds.append(len(rows))
+                rows.extend(some)
+                held += sum(len(r[4]) + 1 for r in some)
+            bucket.clear()
+
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("seed", "doc_id", "at", "before", "after", "bytes")]
             for s, *row in zip(*columns, strict=True):
-                if s != seed or not rows:
+                if s != seed:
+                    close()
                     if held >= BATCH:
                         yield emit(rows, bounds)
-                        rows, bounds, held = [], [], 0
-                    bounds.append(len(rows))
+                        rows.clear()
+                        bounds.clear()
+                        held = 0
                     seed = s
-                rows.append(tuple(row))
-                held += len(row[-1]) + 1
+                bucket.append(tuple(row))
+        close()
         yield emit(rows, bounds)
 
     dealt = buckets.repartition(shuffle_parts(buckets.sparkSession), "seed").sortWithinPartitions("seed", "doc_id", "at")
