@@ -33,6 +33,8 @@ HALF = (LENGTH - SEED) // 2
 LARGE = 64
 #: Symbols sorted at once.
 BATCH = 1 << 21
+#: Windows in a stretch of a large bucket's context, at first and after that.
+WIDTHS = (23, 6)
 #: Bytes of text whose 64-bit hashes are worked out at once.
 CACHED = 1 << 18
 
@@ -281,7 +283,7 @@ def settled_by_window(contexts: DataFrame) -> DataFrame:
     return late.select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
-def narrowed(contexts: DataFrame, width: int = 23) -> DataFrame:
+def narrowed(contexts: DataFrame, width: int) -> DataFrame:
     """contexts cut into stretches of at most width windows; the new seed is the bytes that all of a stretch share.
 
     Equal windows are in equal stretches of one seed, as a window's place is told by its anchor.
@@ -316,15 +318,18 @@ def runs_of(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("at") - F.col("before")).alias("first"), (F.col("at") - F.col("after")).alias("last"))
 
 
-def settled_large(contexts: DataFrame) -> DataFrame:
+def settled_large(contexts: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """The same as settled for buckets of any size: contexts are cut into stretches, which fall into smaller buckets, and
-    equal stretches are settled by counting. Buckets still too large are settled window by window."""
-    rows = store(narrowed(contexts.select("seed", "doc_id", "at", "before", "after", "bytes")))
+    equal stretches are settled by counting. Buckets still too large are cut into shorter stretches, and in the end
+    settled window by window."""
+    rows = store(narrowed(contexts.select("seed", "doc_id", "at", "before", "after", "bytes"), widths[0]))
     place = F.struct("doc_id", "at", "before", "after")
     firsts = store(rows.groupBy("seed", "context").agg(F.min(place).alias("one"), F.min_by("bytes", place).alias("bytes"), F.count("*").alias("n")))
     kinds = firsts.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     left = firsts.join(kinds, "seed").select("seed", "one.*", "bytes", "kinds")
-    return later_than(rows, firsts).unionByName(settled(left.filter(F.col("kinds") <= 4 * LARGE))).unionByName(settled_by_window(left.filter(F.col("kinds") > 4 * LARGE)))
+    large = left.filter(F.col("kinds") > 4 * LARGE)
+    rest = settled_large(large, widths[1:]) if len(widths) > 1 else settled_by_window(large)
+    return later_than(rows, firsts).unionByName(settled(left.filter(F.col("kinds") <= 4 * LARGE))).unionByName(rest)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
