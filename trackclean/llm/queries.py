@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, ctw, licenses, media, mixing, neardup, packing, quality, substrings, tokens
+from . import classifier, ctw, licenses, media, mixing, neardup, oracles, packing, quality, substrings, tokens
 from .common import read_table
 
 
@@ -53,4 +53,4 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_media_columns, op2_context_tree_scores, op3_near_duplicates, op4_license_scan, op5_token_counts, op6_remove_repeats, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_pack_sequences)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
