@@ -86,7 +86,7 @@ def tag_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.tracks(spark, sf_dir)
     key = lambda name: F.when(F.col("l_linenumber") % 2 == 0, F.lit(name.upper())).otherwise(F.lit(name))
     year = F.concat((F.col("l_orderkey") % 40 + 1980).cast("string"), F.lit("-05-03"))
-    pairs = {"title": F.col("title"), "artist": F.concat(F.lit(" "), "artist", F.lit(" ")), "album": F.col("album"), "albumartist": F.col("album_artist"), "tracknumber": F.concat(F.col("track_number").cast("string"), F.lit("/9")), "date": year}
+    pairs = {"title": F.col("title"), "artist": F.concat(F.lit(" "), "artist", F.lit(" ")), "album": F.col("album"), "albumartist": F.col("album_artist"), "tracknumber": F.concat(F.col("track_number").cast("string"), F.lit("/9")), "discnumber": F.concat((F.col("l_linenumber") % 2 + 1).cast("string"), F.lit("/2")), "date": year}
     return t.select("path", F.map_from_arrays(F.array(*map(key, pairs)), F.array(*[F.array(v) for v in pairs.values()])).alias("raw_tags"))
 
 
