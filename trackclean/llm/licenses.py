@@ -67,6 +67,8 @@ WIDTH = 5
 BANDS, ROWS = 8, 2
 STRIDE = 8
 SHARE = 75
+#: Bytes of text whose hashes are worked out at once: they stay in a processor's cache.
+CACHED = 1 << 18
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
@@ -116,15 +118,15 @@ class Scanner:
     def banded(rows: list[np.ndarray]) -> list[np.ndarray]:
         return [mix(rows[ROWS * b] * np.uint64(3) ^ mix(rows[ROWS * b + 1] + np.uint64(b))) for b in range(BANDS)]
 
-    def scan(self, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
-        """(text number, template number, first word, words, containment) of every verified place.
+    def scan(self, column: pa.Array) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray]:
+        """(text number, template number, first word, words, containment) of every verified place, and the texts' words.
 
         Places of one template whose words overlap are one, where it is contained most (ties: first).
         """
         values, bounds, _, words = shingled(*raw(column))
         found: list[tuple[int, int, int, int, float]] = []
         if not len(values):
-            return found
+            return found, words
         by_length: dict[int, list[int]] = {}
         for t, m in enumerate(self.lengths):
             by_length.setdefault(m, []).append(t)
@@ -173,7 +175,7 @@ class Scanner:
                     best = (d, place, place, share)
                 if best:
                     found.append((best[0], t, best[1], m + WIDTH - 1, best[3]))
-        return found
+        return found, words
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -187,13 +189,13 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in balanced(big, "text"):
+            for batch in balanced(big, "text", CACHED):
+                found, words = scanner.scan(batch.column("text"))
                 matches: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                for d, t, first, n, share in scanner.scan(batch.column("text")):
+                for d, t, first, n, share in found:
                     matches[d].append({"license": scanner.names[t], "first_word": first, "n_words": n, "containment": share})
                 for m in matches:
                     m.sort(key=lambda x: (x["first_word"], x["license"]))
-                words = shingled(*raw(batch.column("text")))[3]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(matches, kind)], ["doc_id", "n_words", "matches"])
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
