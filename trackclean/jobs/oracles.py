@@ -374,6 +374,9 @@ def _queries() -> dict[str, str]:
           (SELECT count(*) AS total_tracks, count(*) FILTER (action = 'propose_fix') AS proposed, count(*) FILTER (action = {q(MANUAL)}) AS unreadable, count(*) FILTER (confidence < 0.6 AND action = 'propose_fix') AS low_confidence FROM val) r,
           (SELECT count(*) FILTER (action = 'approve') AS approved, count(*) FILTER (action = 'approve' AND note = 'auto-approved') AS auto_approved, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'edit') AS edited FROM dec) d"""),
         "tag_flatten": f"SELECT path, nullif({strip('title')}, '') AS title, nullif({strip('artist')}, '') AS artist, album, album_artist, track_number, cast(l_linenumber % 2 + 1 as int) AS disc_number, {intish('cast(l_orderkey % 40 + 1980 as varchar)')} AS year FROM ({DUCK_TRACKS})",
+        "model_batches": chain().add("j", """SELECT root, pos, cast(pos // 2 as int) AS chunk, '{"path":"' || path || '","filename":"' || filename || '","track_number":' || track_number
+          || coalesce(',"current_title":"' || title || '"', '') || coalesce(',"current_artist":"' || artist || '"', '') || '}' AS one FROM p""").sql(
+            """SELECT root, chunk, count(*) AS n, '{"root":"' || root || '","tracks":[' || string_agg(one, ',' ORDER BY pos) || ']}' AS payload FROM j GROUP BY root, chunk"""),
         "model_response_check": merge_chain().sql("SELECT root, chunk, reason IS NULL AS ok, reason FROM chk"),
         "model_merge": merge_chain().sql(f"SELECT path, proposed_title, proposed_artist, action, confidence, {text('issue_flags')}, source FROM mer"),
         "model_merge_validated": validate(merge_chain(), "mer").sql(f"SELECT path, proposed_title, proposed_artist, action, confidence, source, {text('validator_notes')} FROM val"),

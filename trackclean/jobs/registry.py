@@ -136,7 +136,7 @@ QUERIES: dict[str, Query] = {
     "cleaned_tracks": cleaned,
     "library_report": lambda spark, d: decisions.library_report(valid(spark, d), tables.decisions(spark, d)),
     "tag_flatten": lambda spark, d: tags.flatten_tags(tag_records(spark, d)),
-    "model_batches": lambda spark, d: modelio.model_batches(albums.positioned(tables.tracks(spark, d)), SMALL_CHUNKS).select("root", "chunk", "n", F.length("payload").alias("payload_chars")),
+    "model_batches": lambda spark, d: modelio.model_batches(albums.positioned(tables.tracks(spark, d)), SMALL_CHUNKS),
     "model_response_check": lambda spark, d: modelio.check_responses(tables.responses(spark, d)).select("root", "chunk", "ok", "reason"),
     "model_merge": merged,
     "model_merge_validated": merged_valid,
