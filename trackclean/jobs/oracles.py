@@ -108,6 +108,23 @@ def original_mix(s: str) -> str:
     return "CASE " + " ".join(f"WHEN {like(s, p)} THEN {rstrip(f'regexp_replace({s}, {q(p)}, {q(str())})')}" for p in X.MIX) + f" ELSE {s} END"
 
 
+def artist_prefix(t: str, artists: tuple[str, ...]) -> str:
+    cases = []
+    for name in (strip(f"coalesce({a}, '')") for a in artists):
+        for s in ARTIST_SEPARATORS:
+            rest = after(t, f"(length({name}) + {len(s)})")
+            cases.append(f"WHEN {name} <> '' AND starts_with(lower({t}), lower({name} || {q(s)})) AND NOT {blank(rest)} THEN {rest}")
+    return "CASE " + " ".join(cases) + f" ELSE {t} END"
+
+
+def junk_prefix(t: str) -> str:
+    return "CASE " + " ".join(f"WHEN starts_with(lower({lstrip(t)}), {q(x)}) THEN {after(lstrip(t), str(len(x)))}" for x in O.junk_prefixes) + f" ELSE {t} END"
+
+
+def junk_suffix(t: str) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with(lower({rstrip(t)}), {q(x)}) THEN rtrim(left({rstrip(t)}, length({rstrip(t)}) - {len(x)}), {q(X.EDGE)})" for x in O.junk_suffixes) + f" ELSE {t} END"
+
+
 def title_case(s: str) -> str:
     word = lambda w: f"(NOT {like(w, f'^(?:{X.WS}+|[-/])$')})"
     toks = f"regexp_extract_all({s}, {q(f'({X.WS}+|[-/]|[^-/{X.SPACES}]+)')}, 1)"
@@ -199,14 +216,9 @@ def candidate_chain() -> Chain:
     step(f"CASE WHEN coalesce(starts_with(lower(t), lower(album_prefix)) AND NOT {blank(rest)}, false) THEN {rest} ELSE t END", "stripped album prefix")
     back = f"(before <> t AND {blank('a')} AND prefix_artist IS NOT NULL)"
     c.then(f"SELECT * REPLACE (CASE WHEN {back} THEN prefix_artist ELSE a END AS a, CASE WHEN {back} THEN list_append(notes, 'artist from album prefix') ELSE notes END AS notes) FROM {{0}}")
-    cases = []
-    for name in (strip("a"), strip("coalesce(majority_artist, '')")):
-        for s in ARTIST_SEPARATORS:
-            rest = after("t", f"(length({name}) + {len(s)})")
-            cases.append(f"WHEN {name} <> '' AND starts_with(lower(t), lower({name} || {q(s)})) AND NOT {blank(rest)} THEN {rest}")
-    step("CASE " + " ".join(cases) + " ELSE t END", "stripped artist prefix")
-    step("CASE " + " ".join(f"WHEN starts_with(lower({lstrip('t')}), {q(x)}) THEN {after(lstrip('t'), str(len(x)))}" for x in O.junk_prefixes) + " ELSE t END", "stripped junk prefix")
-    step("CASE " + " ".join(f"WHEN ends_with(lower({rstrip('t')}), {q(x)}) THEN rtrim(left({rstrip('t')}, length({rstrip('t')}) - {len(x)}), {q(X.EDGE)})" for x in O.junk_suffixes) + " ELSE t END", "stripped junk suffix")
+    step(artist_prefix("t", ("a", "majority_artist")), "stripped artist prefix")
+    step(junk_prefix("t"), "stripped junk prefix")
+    step(junk_suffix("t"), "stripped junk suffix")
     c.then("SELECT *, t AS old FROM {0}")
     for k in (0, 1, 0, 1):
         c.then(f"SELECT * REPLACE ({tempo('t', k)} AS t) FROM {{0}}")
@@ -361,7 +373,7 @@ def _queries() -> dict[str, str]:
         "album_classification": class_chain().sql("SELECT * FROM cls"),
         "suggestions": suggestion_chain().sql(f"SELECT path, class, current_title, current_artist, proposed_title, proposed_artist, action, {text('issue_flags')}, confidence, reason, source FROM sugg"),
         "validated_suggestions": valid_chain().sql(f"SELECT path, proposed_title, proposed_artist, action, {text('issue_flags')}, {text('remaining_flags')}, confidence, downgraded_from, {text('validator_notes')} FROM val"),
-        "pending_export": valid_chain().sql(f"SELECT path, coalesce(current_title, '') AS current_title, coalesce(current_artist, '') AS current_artist, coalesce(proposed_title, '') AS proposed_title, coalesce(proposed_artist, '') AS proposed_artist, action, printf('%.2f', confidence) AS confidence, {text('issue_flags')} FROM val WHERE action IN ({names(PENDING)})"),
+        "pending_export": valid_chain().sql(f"SELECT left(sha1(replace(root, '/lib/', '')), 12) AS album_id, source, reason, path, coalesce(current_title, '') AS current_title, coalesce(current_artist, '') AS current_artist, coalesce(proposed_title, '') AS proposed_title, coalesce(proposed_artist, '') AS proposed_artist, action, printf('%.2f', confidence) AS confidence, {text('issue_flags')} FROM val WHERE action IN ({names(PENDING)})"),
         "review_queue": decided_chain().sql("SELECT path, class, score, action, row_number() OVER (PARTITION BY root ORDER BY pos) AS i, count(*) OVER (PARTITION BY root) AS of FROM open"),
         "auto_approve": decided_chain().sql("SELECT path, 'approve' AS action, 'auto-approved' AS note FROM open WHERE action = 'propose_fix' AND source = 'deterministic' AND confidence >= 0.9 AND NOT " + overlap("CASE WHEN len(remaining_flags) > 0 THEN remaining_flags ELSE issue_flags END", ("generic_track_name", "unreadable_title", "suspicious_swap_artist_title"))),
         "cascade_decisions": decided_chain().sql("SELECT path, v AS action, 'bulk ' || v || CASE WHEN pos = 1 THEN '' ELSE ' (cascade)' END AS note FROM (SELECT *, CASE WHEN regexp_matches(root, '[02468]$') THEN 'skip' ELSE 'approve' END AS v FROM open) WHERE pos >= 1"),
@@ -383,4 +395,53 @@ def _queries() -> dict[str, str]:
     }
 
 
-ORACLE_SQL: dict[str, str] = _queries()
+SAFE = "action = 'propose_fix' AND source = 'deterministic' AND confidence >= 0.9 AND NOT " + overlap("CASE WHEN len(remaining_flags) > 0 THEN remaining_flags ELSE issue_flags END", ("generic_track_name", "unreadable_title", "suspicious_swap_artist_title"))
+
+
+def routed_chain() -> Chain:
+    """The merge, but with responses of mixed and broken albums that have one for every chunk only."""
+    c = merge_chain()
+    c.add("used", "SELECT a.root FROM (SELECT root, max(pos) // 2 + 1 AS chunks FROM sugg WHERE class IN ('mixed', 'broken') GROUP BY root) a JOIN (SELECT root, count(DISTINCT chunk) AS got FROM resp GROUP BY root) b USING (root) WHERE got = chunks")
+    either = lambda k: f"CASE WHEN u.root IS NULL THEN s.{k} ELSE m.{k} END AS {k}"
+    reason = "CASE WHEN u.root IS NULL OR g.root IS NULL THEN s.reason WHEN m.source = 'llm' THEN 'r' ELSE 'not in the model''s response; the rules'' values are shown' END AS reason"
+    c.add("rou", f"SELECT s.root, s.path, s.pos, class, s.current_title, s.current_artist, {', '.join(map(either, ('proposed_title', 'proposed_artist', 'action', 'confidence', 'issue_flags', 'remaining_flags', 'source')))}, {reason}, u.root IS NOT NULL AS used_model FROM sugg s JOIN mer m ON m.root = s.root AND m.path = s.path LEFT JOIN used u ON u.root = s.root LEFT JOIN (SELECT root, chunk FROM chk WHERE reason IS NULL) g ON g.root = s.root AND g.chunk = s.pos // 2")
+    return validate(c, "rou")
+
+
+def _more() -> dict[str, str]:
+    left, right = strip("split_part(t, ' - ', 1)"), strip("substr(t, strpos(t, ' - ') + 3)")
+    status = f"SELECT a.root, coalesce(a.fingerprint = b.fingerprint, false) AS same FROM ({_fingerprints(DUCK_TRACKS)}) a LEFT JOIN ({_fingerprints(DUCK_PREVIOUS)}) b ON a.root = b.root"
+    name = "CASE WHEN l_partkey % 13 = 0 THEN '.' || filename WHEN l_partkey % 7 = 0 THEN filename || '.txt' WHEN l_partkey % 3 = 0 THEN upper(filename) ELSE filename END"
+    found = chain().add("li", f"SELECT p.*, root || '/' || ({name}) AS file, {name} AS name FROM p WHERE l_partkey % 13 <> 0 AND l_partkey % 7 <> 0")
+    changed_only = routed_chain().add("same", status).add("kept", "SELECT * FROM val WHERE root NOT IN (SELECT root FROM same WHERE same)").add("dec", DUCK_DECISIONS)
+    tokens = f"list_filter(string_split_regex(lower(coalesce({{0}}, '')), {q(f'[{X.SPACES}\\-_/]+')}), lambda x: length(x) > 1)"
+    tt, ta = tokens.replace("{0}", "title"), tokens.replace("{0}", "artist")
+    shown = ", ".join(f"coalesce({k}, '') AS {k}" for k in ("current_title", "proposed_title", "current_artist", "proposed_artist"))
+    return {
+        "review_sheet": valid_chain().sql(f"SELECT path AS track_path, action, printf('%.2f', confidence) AS confidence, {shown}, {text('issue_flags')}, reason FROM val"),
+        "scan_counters": f"SELECT count(*) AS albums, count(*) FILTER (NOT same) AS written, count(*) FILTER (same) AS unchanged FROM ({status})",
+        "file_listing": found.sql("SELECT file AS path, size_bytes, mtime_us FROM li"),
+        "path_parts": found.sql("SELECT file AS path, root, name AS filename, ext, left(sha1(replace(root, '/lib/', '')), 12) AS album_id FROM li"),
+        "scan_with_tags": found.sql(f"SELECT file AS path, root, ext, size_bytes, CASE WHEN l_partkey % 3 <> 0 THEN nullif({strip('title')}, '') END AS title, CASE WHEN l_partkey % 3 <> 0 THEN nullif({strip('artist')}, '') END AS artist, CASE WHEN l_partkey % 3 <> 0 THEN track_number END AS track_number FROM li"),
+        "approval_counters": decided_chain().sql(f"SELECT (SELECT count(DISTINCT root) FROM val) AS albums, (SELECT count(*) FROM val WHERE action IN ({names(PENDING)})) AS considered, (SELECT count(*) FROM val WHERE action IN ({names(PENDING)})) - count(*) AS already_decided, count(*) FILTER ({SAFE}) AS newly_approved FROM open"),
+        "decision_log": decided_chain().sql(f"SELECT path, action, final_title, final_artist, note, ord FROM (SELECT *, row_number() OVER (PARTITION BY root, path ORDER BY ord DESC) AS r FROM dec) WHERE r = 1 UNION ALL SELECT path, 'approve', NULL, NULL, 'auto-approved', (SELECT max(ord) + 1 FROM dec) FROM open WHERE {SAFE}"),
+        "orphan_decisions": f"SELECT path, action, ord FROM ({DUCK_DECISIONS}) d WHERE path NOT IN (SELECT path FROM ({DUCK_TRACKS}))",
+        "document_reload": valid_chain().sql(f"SELECT path, cast(pos // 2 as int) AS part, class, proposed_title, action, {text('issue_flags')}, confidence, source FROM val WHERE NOT regexp_matches(root, '7$')"),
+        "decision_reload": f"SELECT path, action, final_title, note, cast(2 as bigint) AS ord FROM ({DUCK_DECISIONS}) WHERE NOT regexp_matches(root, '7$') AND ord % 3 <> 0",
+        "routed_suggestions": routed_chain().sql("SELECT path, class, proposed_title, action, confidence, source, reason, used_model FROM val"),
+        "routed_report": changed_only.sql(f"""SELECT a.*, r.*, d.*,
+          (SELECT count(*) FROM kept k WHERE action IN ({names(PENDING)}) AND NOT EXISTS (SELECT 1 FROM dec WHERE dec.root = k.root AND dec.path = k.path)) AS pending_review,
+          (SELECT count(*) FROM same WHERE same) AS skipped_unchanged, (SELECT count(DISTINCT root) FROM kept WHERE class = 'mixed' AND used_model) AS model_albums FROM
+          (SELECT (SELECT count(*) FROM same) AS total_albums, count(*) FILTER (class = 'clean') AS clean_albums, count(*) FILTER (class = 'deterministic') AS deterministic_albums, count(*) FILTER (class = 'broken') AS broken_albums, count(*) FILTER (class = 'mixed') AS mixed_albums FROM (SELECT DISTINCT root, class FROM kept)) a,
+          (SELECT count(*) AS total_tracks, count(*) FILTER (action = 'propose_fix') AS proposed, count(*) FILTER (action = {q(MANUAL)}) AS unreadable, count(*) FILTER (confidence < 0.6 AND action = 'propose_fix') AS low_confidence FROM kept) r,
+          (SELECT count(*) FILTER (action = 'approve') AS approved, count(*) FILTER (action = 'approve' AND note = 'auto-approved') AS auto_approved, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'edit') AS edited FROM dec WHERE root IN (SELECT root FROM kept)) d"""),
+        "title_tests": f"SELECT path, {like('coalesce(title, ' + q('') + ')', X.GENERIC)} AS generic, {symbolic('title')} AS symbolic, {unreadable('title')} AS unreadable FROM ({DUCK_TRACKS})",
+        "title_tokens": f"SELECT path, array_to_string({tt}, '|') AS tokens, len({tt}) > 0 AND len({ta}) > 0 AND NOT list_has_any({tt}, {ta}) AS apart FROM ({DUCK_TRACKS})",
+        "split_artist_title": f"SELECT path, CASE WHEN fit THEN {left} END AS artist, CASE WHEN fit THEN {right} END AS title FROM (SELECT *, contains(t, ' - ') AND length({left}) >= 2 AND length({right}) >= 2 AND NOT contains({right}, ' - ') AS fit FROM (SELECT path, coalesce(title, '') AS t FROM ({DUCK_TRACKS})))",
+        "strip_artist_prefix": f"SELECT path, {artist_prefix('t', ('artist', 'album_artist'))} AS value, CASE WHEN starts_with(lower(t), 'va - ') AND NOT {blank(after('t', '5'))} THEN {after('t', '5')} ELSE t END AS literal FROM (SELECT path, coalesce(title, '') AS t, artist, album_artist FROM ({DUCK_TRACKS}))",
+        "strip_junk_prefix": title_rule(junk_prefix("coalesce(title, '')")),
+        "strip_junk_suffix": title_rule(junk_suffix("coalesce(title, '')")),
+    }
+
+
+ORACLE_SQL: dict[str, str] = _queries() | _more()

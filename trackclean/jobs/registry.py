@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.flags import detect_issues
+from ..functions.flags import detect_issues, is_generic, is_unreadable
 from ..operators import albums, decisions, modelio, normalize, suggest, tags
 from ..options import DEFAULT
-from ..sources import tables
+from ..sources import files, tables
 from .oracles import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,85 @@ def merged_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("path", "proposed_title", "proposed_artist", "action", "confidence", "source", joined("validator_notes"))
 
 
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelio.routed(candidates(spark, sf_dir), tables.responses(spark, sf_dir), SMALL_CHUNKS)
+
+
+def routed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run that left out the albums whose earlier scan was the same."""
+    t = tables.tracks(spark, sf_dir)
+    changed = albums.changed_albums(albums.fingerprints(t), albums.fingerprints(tables.previous_tracks(spark, sf_dir))).filter("status <> 'unchanged'")
+    s = routed(spark, sf_dir).join(changed.select("root"), "root", "left_semi")
+    return decisions.routed_report(s, tables.decisions(spark, sf_dir), t)
+
+
+def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = albums.fingerprints(tables.previous_tracks(spark, sf_dir))
+    return albums.scan_counters(albums.changed_albums(albums.fingerprints(tables.tracks(spark, sf_dir)), before))
+
+
+def file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing of the tracks' files with hidden names, other kinds of files and endings in upper case."""
+    name = (F.when(F.col("l_partkey") % 13 == 0, F.concat(F.lit("."), "filename")).when(F.col("l_partkey") % 7 == 0, F.concat("filename", F.lit(".txt")))
+            .when(F.col("l_partkey") % 3 == 0, F.upper("filename")).otherwise(F.col("filename")))
+    return tables.tracks(spark, sf_dir).select(F.concat("root", F.lit("/"), name).alias("path"), "size_bytes", "mtime_us")
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.listed_files(file_table(spark, sf_dir))
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed files with their tags; one track in three has none."""
+    return files.with_tags(listed(spark, sf_dir), tag_records(spark, sf_dir)).select("path", "root", "ext", "size_bytes", "title", "artist", "track_number")
+
+
+def reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions written as documents of two tracks and read again; those of folders ending in 7 are cut off."""
+    docs = files.documents(valid(spark, sf_dir), 2)
+    cut = F.when(F.col("root").rlike("7$"), F.substring("doc", 1, 40)).otherwise(F.col("doc"))
+    return files.parse_documents(docs.withColumn("doc", cut)).select("path", "part", "class", "proposed_title", "action", joined("issue_flags"), "confidence", "source")
+
+
+def reloaded_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions written as lists and read again, with lists that are none and items that are no decisions."""
+    d = tables.decisions(spark, sf_dir).withColumnRenamed("path", "track_path")
+    bad = F.lit('{"track_path": null, "action": "skip"}, 7, ')
+    item = F.to_json(F.struct("track_path", F.when(F.col("ord") % 3 == 0, "burn").otherwise(F.col("action")).alias("action"), "final_title", "final_artist", "note"))
+    doc = F.when(F.col("root").rlike("7$"), F.concat(F.lit("["), item)).otherwise(F.concat(F.lit("["), bad, item, F.lit("]")))
+    return files.parse_decisions(d.select("root", doc.alias("doc"))).select("path", "action", "final_title", "note", "ord")
+
+
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tables.decisions(spark, sf_dir)
+    return decisions.decision_log(d, decisions.auto_approve(valid(spark, sf_dir), d, least=0.9)).drop("root")
+
+
+def title_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("title")
+    return tables.tracks(spark, sf_dir).select("path", is_generic(X.text(t)).alias("generic"), X.is_symbolic(t).alias("symbolic"), is_unreadable(t).alias("unreadable"))
+
+
+def split_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = tables.tracks(spark, sf_dir).select("path", X.split_artist_title(X.text(F.col("title"))).alias("two"))
+    return x.select("path", "two.artist", "two.title")
+
+
+def artist_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles without their artist's name, and without the literal prefix "va - "."""
+    t = X.text(F.col("title"))
+    return tables.tracks(spark, sf_dir).select("path", X.strip_artist_prefix(t, X.text(F.col("artist")), F.col("album_artist")).alias("value"), X.strip_literal_prefix(t, F.lit("va - ")).alias("literal"))
+
+
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed(spark, sf_dir).select("path", "root", "filename", "ext", albums.album_id(F.col("root")).alias("album_id"))
+
+
+def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of titles, and whether title and artist share none."""
+    return tables.tracks(spark, sf_dir).select("path", F.array_join(X.tokens(F.col("title")), "|").alias("tokens"), X.no_shared_tokens(F.col("title"), F.col("artist")).alias("apart"))
+
+
 def of_tracks(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(tables.tracks(spark, sf_dir))
 
@@ -140,4 +219,22 @@ QUERIES: dict[str, Query] = {
     "model_response_check": lambda spark, d: modelio.check_responses(tables.responses(spark, d)).select("root", "chunk", "ok", "reason"),
     "model_merge": merged,
     "model_merge_validated": merged_valid,
+    "review_sheet": lambda spark, d: decisions.review_rows(valid(spark, d)).drop("root", "pos"),
+    "scan_counters": scan_counters,
+    "file_listing": lambda spark, d: listed(spark, d).select("path", "size_bytes", "mtime_us"),
+    "path_parts": path_parts,
+    "scan_with_tags": scanned,
+    "approval_counters": lambda spark, d: decisions.approval_counters(valid(spark, d), tables.decisions(spark, d), least=0.9),
+    "decision_log": decision_log,
+    "orphan_decisions": lambda spark, d: decisions.orphan_decisions(valid(spark, d), tables.decisions(spark, d)).select("path", "action", "ord"),
+    "document_reload": reloaded,
+    "decision_reload": reloaded_decisions,
+    "routed_suggestions": lambda spark, d: routed(spark, d).select("path", "class", "proposed_title", "action", "confidence", "source", "reason", "used_model"),
+    "routed_report": routed_report,
+    "title_tests": title_tests,
+    "title_tokens": title_tokens,
+    "split_artist_title": split_titles,
+    "strip_artist_prefix": artist_prefixes,
+    "strip_junk_prefix": on_titles(X.strip_junk_prefix, "value"),
+    "strip_junk_suffix": on_titles(X.strip_junk_suffix, "value"),
 }

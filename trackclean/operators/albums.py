@@ -120,6 +120,12 @@ def changed_albums(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(old, "root", "left").select("root", "fingerprint", status.alias("status"))
 
 
+def scan_counters(changed: DataFrame) -> DataFrame:
+    """One row of changed_albums: albums, those to write, those that are as they were."""
+    same = F.col("status") == "unchanged"
+    return changed.agg(F.count("*").alias("albums"), F.count_if(~same).alias("written"), F.count_if(same).alias("unchanged"))
+
+
 def album_id(root: Column, base: str = "/lib/") -> Column:
     """Twelve hex digits of the SHA-1 of the folder's path below base."""
     relative = F.when(F.startswith(root, F.lit(base)), F.substring(root, F.lit(len(base) + 1), F.length(root))).otherwise(root)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import has_any
 from ..functions.text import blank, text
-from ..options import AUTO_NOTE, BLOCKING, DEFAULT, MANUAL, PENDING, WRITABLE, Options
+from ..options import AUTO_NOTE, DEFAULT, MANUAL, PENDING, WRITABLE, Options
+from .albums import album_id
 
 #: Flags that no row may have that is approved without a reviewer.
 AUTO_BLOCKING = ("generic_track_name", "unreadable_title", "suspicious_swap_artist_title")
@@ -47,6 +48,32 @@ def auto_approve(s: DataFrame, decisions: DataFrame, least: float = 0.95, allow_
     return undecided(s, decisions).filter(safe_to_approve(least, allow_model)).select("root", "path", F.lit("approve").alias("action"), F.lit(AUTO_NOTE).alias("note"))
 
 
+def decision_log(decisions: DataFrame, approvals: DataFrame) -> DataFrame:
+    """Decisions, the last of each track, with new approvals after them: columns and order numbers as in decisions.
+
+    New approvals are of tracks without a decision, so that one order number after all others serves them all.
+    """
+    after = decisions.agg((F.coalesce(F.max("ord"), F.lit(0)) + 1).alias("ord"))
+    new = approvals.crossJoin(F.broadcast(after))
+    return latest(decisions).unionByName(new, allowMissingColumns=True)
+
+
+def approval_counters(s: DataFrame, decisions: DataFrame, least: float = 0.95, allow_model: bool = False) -> DataFrame:
+    """One row: albums, pending tracks, those of them that have a decision, and those newly approved."""
+    old = decisions.select("root", "path", F.lit(True).alias("decided")).distinct()
+    x = s.withColumn("is_pending", F.col("action").isin(*PENDING)).join(old, ["root", "path"], "left")
+    open_ = F.col("is_pending") & F.col("decided").isNull()
+    return x.agg(
+        F.countDistinct("root").alias("albums"), F.count_if("is_pending").alias("considered"),
+        F.count_if(F.col("is_pending") & F.col("decided").isNotNull()).alias("already_decided"),
+        F.count_if(open_ & safe_to_approve(least, allow_model)).alias("newly_approved"))
+
+
+def orphan_decisions(s: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Decisions of tracks that have no suggestion: they are not applied."""
+    return decisions.join(s.select("root", "path"), ["root", "path"], "left_anti")
+
+
 def cascade(s: DataFrame, decisions: DataFrame, verdicts: DataFrame) -> DataFrame:
     """verdicts (root, from_pos, action): the verdict's row and all later undecided pending rows of the album take it."""
     x = undecided(s, decisions).join(verdicts.withColumnRenamed("action", "verdict"), "root").filter("pos >= from_pos")
@@ -110,6 +137,15 @@ def library_report(s: DataFrame, decisions: DataFrame, o: Options = DEFAULT) ->
     return a.crossJoin(r).crossJoin(d).crossJoin(p)
 
 
+def routed_report(s: DataFrame, decisions: DataFrame, scanned: DataFrame, o: Options = DEFAULT) -> DataFrame:
+    """The report of suggestions with used_model, over all scanned albums (root): an album without suggestions counts as
+    skipped_unchanged and in the total; model_albums are the mixed ones that the model answered."""
+    skipped = scanned.select("root").distinct().join(s.select("root").distinct(), "root", "left_anti").agg(F.count("*").alias("skipped_unchanged"))
+    model = s.filter((F.col("class") == "mixed") & F.col("used_model")).agg(F.countDistinct("root").alias("model_albums"))
+    x = library_report(s, decisions, o).crossJoin(skipped).crossJoin(model)
+    return x.withColumn("total_albums", F.col("total_albums") + F.col("skipped_unchanged"))
+
+
 def top_issues(flagged: DataFrame, column: str, most: int = 15) -> DataFrame:
     """The most frequent flags; ties by name."""
     x = flagged.select(F.explode(column).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
@@ -119,5 +155,12 @@ def top_issues(flagged: DataFrame, column: str, most: int = 15) -> DataFrame:
 def export_rows(s: DataFrame) -> DataFrame:
     """Pending rows as the export has them: text columns, empty for null, confidence with two decimals."""
     show = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return pending(s).select("root", "path", *map(show, ("current_title", "current_artist", "proposed_title", "proposed_artist")), "action",
-                             F.format_string("%.2f", "confidence").alias("confidence"), F.array_join("issue_flags", ";").alias("issue_flags"))
+    return pending(s).select("root", album_id(F.col("root")).alias("album_id"), "path", "source", *map(show, ("current_title", "current_artist", "proposed_title", "proposed_artist")), "action",
+                             F.format_string("%.2f", "confidence").alias("confidence"), F.array_join("issue_flags", ";").alias("issue_flags"), "reason")
+
+
+def review_rows(s: DataFrame) -> DataFrame:
+    """All rows as an album's review sheet has them, null as empty text."""
+    show = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return s.select("root", "pos", F.col("path").alias("track_path"), "action", F.format_string("%.2f", "confidence").alias("confidence"),
+                    *map(show, ("current_title", "proposed_title", "current_artist", "proposed_artist")), F.array_join("issue_flags", ";").alias("issue_flags"), "reason")

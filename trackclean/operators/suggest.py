@@ -43,10 +43,10 @@ def classes(candidates: DataFrame, o: Options = DEFAULT) -> DataFrame:
     return with_classes(candidates, o).groupBy("root").agg(F.first("score").alias("score"), F.first("class").alias("class"), F.first("class_reason").alias("class_reason"))
 
 
-def suggestions(candidates: DataFrame, o: Options = DEFAULT) -> DataFrame:
-    """A suggestion for every track: kept as it is in clean albums, else what the rules propose."""
+def suggestions(candidates: DataFrame, o: Options = DEFAULT, keep_clean: bool = True) -> DataFrame:
+    """A suggestion for every track: kept as it is in clean albums (unless keep_clean is off), else what the rules propose."""
     x = with_classes(candidates, o)
-    clean = F.col("class") == "clean"
+    clean = (F.col("class") == "clean") & F.lit(keep_clean)
     changed = F.col("proposed_title").isNotNull() | F.col("proposed_artist").isNotNull()
     action = (F.when(clean, "keep").when(changed, "propose_fix")
               .when(F.array_contains("remaining_flags", "unreadable_title"), MANUAL).otherwise("keep"))
