@@ -58,7 +58,7 @@ def read_scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def _write_csv(rows: DataFrame, folder: str, order: tuple[str, ...], keep: Column | None = None) -> int:
     """Rows in order as CSV parts with a header and RFC quotes; returns their number, observed while they are written."""
     seen = Observation()
-    counted = rows.observe(seen, F.count("*").alias("n")).orderBy(*order)
+    counted = rows.orderBy(*order).observe(seen, F.count("*").alias("n"))  # behind the sort, which samples its input first
     counted.drop("pos").write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
     return seen.get["n"]
 
