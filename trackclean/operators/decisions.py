@@ -125,25 +125,41 @@ def apply_counters(s: DataFrame, audit: DataFrame) -> DataFrame:
     return s.agg(F.countDistinct("root").alias("albums")).crossJoin(a)
 
 
+ROW_COUNTERS = ("total_tracks", "proposed", "unreadable", "low_confidence")
+DECISION_COUNTERS = ("approved", "auto_approved", "skipped", "edited")
+
+
+def _album_counters(s: DataFrame, decisions: DataFrame, o: Options) -> DataFrame:
+    """One row for each album of the suggestions: its class and its counters. The suggestions are gone through once."""
+    low = (F.col("confidence") < o.low_confidence_flag) & (F.col("action") == "propose_fix")
+    x = s.join(decisions.select("root", "path", F.lit(True).alias("decided")).distinct(), ["root", "path"], "left")
+    model = [F.bool_or("used_model").alias("used_model")] if "used_model" in s.columns else []
+    x = x.groupBy("root").agg(
+        F.first("class").alias("class"), F.count("*").alias("total_tracks"), F.count_if(F.col("action") == "propose_fix").alias("proposed"),
+        F.count_if(F.col("action") == MANUAL).alias("unreadable"), F.count_if(low).alias("low_confidence"),
+        F.count_if(F.col("action").isin(*PENDING) & F.col("decided").isNull()).alias("pending_review"), *model)
+    d = decisions.groupBy("root").agg(
+        F.count_if(F.col("action") == "approve").alias("approved"), F.count_if((F.col("action") == "approve") & (F.col("note") == AUTO_NOTE)).alias("auto_approved"),
+        F.count_if(F.col("action") == "skip").alias("skipped"), F.count_if(F.col("action") == "edit").alias("edited"))
+    return x.join(d, "root", "left")
+
+
+def _totals(albums: DataFrame, *more: Column) -> DataFrame:
+    of = lambda k: F.count_if(F.col("class") == k).alias(f"{k}_albums")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return albums.agg(F.count("*").alias("total_albums"), of("clean"), of("deterministic"), of("broken"), of("mixed"), *map(total, (*ROW_COUNTERS, *DECISION_COUNTERS, "pending_review")), *more)
+
+
 def library_report(s: DataFrame, decisions: DataFrame, o: Options = DEFAULT) -> DataFrame:
     """One row of counters over albums, suggestions and all decision rows of albums that have suggestions."""
-    of = lambda k: F.count_if(F.col("class") == k).alias(f"{k}_albums")
-    a = s.groupBy("root").agg(F.first("class").alias("class")).agg(F.count("*").alias("total_albums"), of("clean"), of("deterministic"), of("broken"), of("mixed"))
-    low = (F.col("confidence") < o.low_confidence_flag) & (F.col("action") == "propose_fix")
-    r = s.agg(F.count("*").alias("total_tracks"), F.count_if(F.col("action") == "propose_fix").alias("proposed"), F.count_if(F.col("action") == MANUAL).alias("unreadable"), F.count_if(low).alias("low_confidence"))
-    d = decisions.join(s.select("root").distinct(), "root", "left_semi")
-    d = d.agg(F.count_if(F.col("action") == "approve").alias("approved"), F.count_if((F.col("action") == "approve") & (F.col("note") == AUTO_NOTE)).alias("auto_approved"), F.count_if(F.col("action") == "skip").alias("skipped"), F.count_if(F.col("action") == "edit").alias("edited"))
-    p = undecided(s, decisions).agg(F.count("*").alias("pending_review"))
-    return a.crossJoin(r).crossJoin(d).crossJoin(p)
+    return _totals(_album_counters(s, decisions, o))
 
 
 def routed_report(s: DataFrame, decisions: DataFrame, scanned: DataFrame, o: Options = DEFAULT) -> DataFrame:
     """The report of suggestions with used_model, over all scanned albums (root): an album without suggestions counts as
     skipped_unchanged and in the total; model_albums are the mixed ones that the model answered."""
-    skipped = scanned.select("root").distinct().join(s.select("root").distinct(), "root", "left_anti").agg(F.count("*").alias("skipped_unchanged"))
-    model = s.filter((F.col("class") == "mixed") & F.col("used_model")).agg(F.countDistinct("root").alias("model_albums"))
-    x = library_report(s, decisions, o).crossJoin(skipped).crossJoin(model)
-    return x.withColumn("total_albums", F.col("total_albums") + F.col("skipped_unchanged"))
+    x = scanned.select("root").distinct().join(_album_counters(s, decisions, o), "root", "full")
+    return _totals(x, F.count_if(F.col("class").isNull()).alias("skipped_unchanged"), F.count_if((F.col("class") == "mixed") & F.col("used_model")).alias("model_albums"))
 
 
 def top_issues(flagged: DataFrame, column: str, most: int = 15) -> DataFrame:
