@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, ctw, licenses, media, mixing, neardup, oracles, packing, quality, substrings, tokens
+from . import bytestream, classifier, licenses, media, mixing, neardup, oracles, packing, quality, substrings, tokens
 from .common import read_table
 
 
@@ -15,7 +15,7 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score_documents(read_table(spark, sf_dir, "documents"))
+    return bytestream.score_texts(read_table(spark, sf_dir, "documents"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
