@@ -1,16 +1,16 @@
-"""License scans: MinHash bands over overlapping text windows retrieve templates; exact containment verifies them.
-
-Words are lower-cased runs of letters, digits and bytes beyond ASCII; sets are of five-word shingles. A template of m
-shingles is looked for in windows of m shingles that start every max(1, m // STRIDE) words. A window whose sketch agrees
-with the template's in a band of ROWS rows is a candidate. The best-placed window of a text that holds the template has
-a similarity of at least 0.75 (1 for short templates, whose windows start at every word), where BANDS bands of ROWS rows
-agree at least once with a probability above 0.998. A candidate counts if the words around it (the window and a stride on
-both sides) contain SHARE hundredths of the template's shingles.
+"""License scans: every shingle of a text is looked up in the templates' sets; exact containment in a window decides.
+
+Words are lower-cased runs of letters, digits and bytes beyond ASCII; sets are of five-word shingles; a template of fewer
+words is one shingle, its whole word sequence, looked for at every word. A template of m shingles is held by a window of m
+shingles and a stride (max(1, m // STRIDE)) on both sides if they contain SHARE hundredths of its shingles. All windows are
+judged: those that start at a shingle of the template contain as much as any other. Templates of one name, and templates
+that hold each other (the headers of the GPL's versions), are one place where their words overlap: the one contained most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from .shingles import LOWER, PLACE, mix, raw, word_hashes
 from .tokens import balanced
 
 #: Public license texts and usual notices.
-TEMPLATES = {
+TEMPLATES: dict[str, str | tuple[str, ...]] = {
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
@@ -56,15 +56,48 @@ TEMPLATES = {
         "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
         "version."
     ),
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT notice": "Released under the MIT License.",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
+    ),
+    "LGPL-2.1 header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later "
+        "version."
+    ),
+    "LGPL-3.0 header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version."
+    ),
+    "AGPL-3.0 header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version."
+    ),
+    "MPL-2.0 header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "Apache-2.0 notice": ("Licensed under the Apache License, Version 2.0.", "Apache License 2.0", "Apache-2.0 license"),
+    "GPL-3.0 notice": ("This work is licensed under the GNU General Public License, version 3.", "GPL v3", "GPLv3", "GPL-3.0"),
+    "GPL-2.0 notice": ("This work is licensed under the GNU General Public License, version 2.", "GPL v2", "GPLv2", "GPL-2.0"),
+    "LGPL notice": ("GNU Lesser General Public License", "LGPL v3", "LGPLv3", "LGPL-3.0", "LGPL v2.1", "LGPLv2.1", "LGPL-2.1"),
+    "AGPL-3.0 notice": ("GNU Affero General Public License", "AGPL v3", "AGPLv3", "AGPL-3.0"),
+    "MPL-2.0 notice": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "BSD notice": ("under the BSD License", "under the BSD licence", "BSD 3-Clause License", "BSD 2-Clause License"),
+    "MIT notice": ("Released under the MIT License.", "under the MIT License", "under the MIT licence"),
+    "CC-BY-NC-4.0 notice": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0"),
+    "CC-BY-4.0 notice": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC BY 4.0", "Creative Commons Attribution 4.0"),
+    "CC-BY-SA-4.0 notice": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0"),
+    "CC-BY-ND-4.0 notice": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0"),
+    "CC-BY-NC-SA-4.0 notice": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0"),
+    "CC-BY-NC-ND-4.0 notice": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"),
+    "CC0-1.0 notice": ("CC0 1.0 Universal", "Creative Commons Zero"),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Proprietary notice": "All rights reserved.",
 }
 WIDTH = 5
-BANDS, ROWS = 8, 2
 STRIDE = 8
 SHARE = 75
 #: Bytes of text whose hashes are worked out at once: they stay in a processor's cache.
@@ -73,8 +106,9 @@ _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
 
-def shingled(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle hashes, first shingle of each text and the end, first shingle-bearing word of each text, words of each)."""
+def shingled(buf: np.ndarray, offsets: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """(shingle hashes, first shingle of each text and the end, first word of each text, words of each, and hashes of the
+    shorter word sequences asked for, at every word)."""
     buf = LOWER[buf]
     word = _WORD[buf]
     start = word.copy()
@@ -91,98 +125,108 @@ def shingled(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = np.diff(first)
     m = np.maximum(n - WIDTH + 1, 0)
     total = np.zeros(len(hashes), np.uint64)
-    for k in range(WIDTH):
+    shorter = {}
+    for k in range(min(WIDTH, len(hashes))):
         total[: len(hashes) - k] += hashes[k:] * PLACE[k]
+        if k + 1 in short:
+            shorter[k + 1] = total.copy()
     keep = np.repeat(first[:-1] - np.cumsum(m) + m, m) + np.arange(m.sum())
-    return mix(total[keep]), np.append(0, np.cumsum(m)), first[:-1], n
-
-
-def _row(values: np.ndarray, row: int) -> np.ndarray:
-    return mix(values ^ np.uint64((row + 1) * 0xA0761D6478BD642F % (1 << 64)))
+    return mix(total[keep]), np.append(0, np.cumsum(m)), first[:-1], n, shorter
 
 
 class Scanner:
-    """The templates' sets and band hashes, and the search of a batch of texts for them."""
-
-    def __init__(self, templates: dict[str, str]) -> None:
-        self.names = list(templates)
-        texts = pa.array(templates.values(), pa.string())
-        values, bounds, _, words = shingled(*raw(texts))
-        self.sets = [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.lengths = [int(b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        if min(self.lengths) < 1:
-            raise ValueError(f"a template needs {WIDTH} words")
-        self.bands = [self.banded([_row(s, r).min(keepdims=True) for r in range(BANDS * ROWS)]) for s in self.sets]
+    """The templates' sets, and the search of a batch of texts for them."""
+
+    def __init__(self, templates: dict[str, str | tuple[str, ...]]) -> None:
+        wordings = [(name, t) for name, x in templates.items() for t in ((x,) if isinstance(x, str) else x)]
+        self.names = [name for name, _ in wordings]
+        values, bounds, first, words, shorter = shingled(*raw(pa.array([t for _, t in wordings], pa.string())), short=tuple(range(1, WIDTH)))
+        if len(words) and words.min() < 1:
+            raise ValueError("a template needs a word")
+        self.lengths = [int(n) for n in np.diff(bounds)]
+        #: template: its number of words and hash, for those of fewer words than WIDTH
+        self.short = {t: (int(n), shorter[int(n)][first[t]]) for t, n in enumerate(words) if n < WIDTH}
+        sets = [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.sizes = [len(x) for x in sets]
+        # the sets as one table of (hash, template), by hash, and a first test by 20 bits
+        order = np.argsort(np.concatenate([*sets, values[:0]]), kind="stable")
+        self.keys = np.concatenate([*sets, values[:0]])[order]
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        #: templates of one group are one place where they overlap
+        self.groups = [min(u for u in range(t + 1) if self.names[u] == name or self.alike(sets[u], sets[t])) for t, name in enumerate(self.names)]
 
     @staticmethod
-    def banded(rows: list[np.ndarray]) -> list[np.ndarray]:
-        return [mix(rows[ROWS * b] * np.uint64(3) ^ mix(rows[ROWS * b + 1] + np.uint64(b))) for b in range(BANDS)]
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        return len(a) > 0 and 100 * np.isin(a, b).sum() >= SHARE * max(len(a), len(b))
+
+    def places(self, t: int, at: np.ndarray, values: np.ndarray) -> list[tuple[int, float]]:
+        """(first shingle, containment) of one text's places of a template, from where its shingles are."""
+        m, size = self.lengths[t], self.sizes[t]
+        reach = np.searchsorted(at, at + m + 2 * max(1, m // STRIDE))
+        inside: dict[int, int] = {}
+        held, share = 0, np.zeros(len(at))
+        listed = values.tolist()
+        for i, stop in enumerate(reach.tolist()):
+            for k in listed[held:stop]:
+                inside[k] = inside.get(k, 0) + 1
+            held = stop
+            share[i] = len(inside) / size
+            inside[listed[i]] -= 1
+            if not inside[listed[i]]:
+                del inside[listed[i]]
+        out, i = [], 0
+        good = np.flatnonzero(100 * share >= SHARE)
+        while i < len(good):
+            near = good[i : np.searchsorted(at[good], at[good[i]] + m + WIDTH - 1)]
+            best = near[np.argmax(share[near])]
+            out.append((int(at[best]), float(share[best])))
+            i = int(np.searchsorted(at[good], at[best] + m + WIDTH - 1))
+        return out
 
     def scan(self, column: pa.Array) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray]:
         """(text number, template number, first word, words, containment) of every verified place, and the texts' words.
 
-        Places of one template whose words overlap are one, where it is contained most (ties: first).
+        Places of one group whose words overlap are one, where it is contained most (ties: the most words, the first).
         """
-        values, bounds, _, words = shingled(*raw(column))
+        values, bounds, first, words, shorter = shingled(*raw(column), short=tuple({n for n, _ in self.short.values()}))
         found: list[tuple[int, int, int, int, float]] = []
-        if not len(values):
-            return found, words
-        by_length: dict[int, list[int]] = {}
-        for t, m in enumerate(self.lengths):
-            by_length.setdefault(m, []).append(t)
-        sizes = np.diff(bounds)
-        places, mins = {}, {}
-        for m in by_length:
-            step = max(1, m // STRIDE)
-            n = np.where(sizes >= m, (sizes - m) // step + 2, np.minimum(sizes, 1))
-            # starts every step, and the last start that is whole; a text shorter than the template is one window
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            text = np.repeat(np.arange(len(sizes)), n)
-            places[m] = (text, bounds[text] + np.minimum(nth * step, np.maximum(sizes[text] - m, 0)))
-            mins[m] = []
-        for r in range(BANDS * ROWS):
-            level, width = _row(values, r), 1
-            for m in sorted(by_length):
-                while 2 * width <= m:
-                    level = level.copy()
-                    level[:-width] = np.minimum(level[:-width], level[width:])
-                    width *= 2
-                text, at = places[m]
-                stop = np.minimum(at + m, bounds[text + 1])
-                mins[m].append(np.minimum(level[at], level[np.maximum(stop - width, at)]))
-        for m, templates in by_length.items():
-            text, at = places[m]
-            step = max(1, m // STRIDE)
-            bands = self.banded(mins[m])
-            for t in templates:
-                hit = np.zeros(len(at), bool)
-                for b in range(BANDS):
-                    hit |= bands[b] == self.bands[t][b]
-                best: tuple[int, int, int, float] | None = None
-                for k in np.flatnonzero(hit).tolist():
-                    d = int(text[k])
-                    a, z = max(int(bounds[d]), int(at[k]) - step), min(int(bounds[d + 1]), int(at[k]) + m + step)
-                    share = float(np.isin(self.sets[t], values[a:z]).mean())
-                    if 100 * share < SHARE:
-                        continue
-                    place = int(at[k] - bounds[d])
-                    if best and best[0] == d and place < best[1] + m + WIDTH - 1:
-                        if share > best[3]:
-                            best = (d, place, best[2], share)
-                        continue
-                    if best:
-                        found.append((best[0], t, best[1], m + WIDTH - 1, best[3]))
-                    best = (d, place, place, share)
-                if best:
-                    found.append((best[0], t, best[1], m + WIDTH - 1, best[3]))
-        return found, words
-
-
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+        for t, (n, key) in self.short.items():
+            for k in np.flatnonzero(shorter[n] == key).tolist() if n in shorter else ():
+                d = int(np.searchsorted(first, k, "right")) - 1
+                if k + n <= first[d] + words[d]:
+                    found.append((d, t, k - int(first[d]), n, 1.0))
+        maybe = np.flatnonzero(self.seen[(values & np.uint64(0xFFFFF)).astype(np.int64)])
+        left = np.searchsorted(self.keys, values[maybe], "left")
+        times = np.searchsorted(self.keys, values[maybe], "right") - left
+        at = np.repeat(maybe, times)
+        owner = self.owners[np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        text = np.searchsorted(bounds, at, "right") - 1
+        order = np.lexsort((at, owner, text))
+        at, owner, text = at[order], owner[order], text[order]
+        cuts = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+        for a, b in pairwise([*cuts.tolist(), len(at)]):
+            t, d = int(owner[a]), int(text[a])
+            if 100 * (b - a) >= SHARE * self.sizes[t]:
+                found += [(d, t, place - int(bounds[d]), self.lengths[t] + WIDTH - 1, share) for place, share in self.places(t, at[a:b], values[at[a:b]])]
+        return self.apart(found), words
+
+    def apart(self, found: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+        """Of the places of one text and group that overlap, the one contained most."""
+        kept: dict[tuple[int, int], list] = {}
+        for x in sorted(found, key=lambda x: (-x[4], -x[3], x[2], x[1])):
+            others = kept.setdefault((x[0], self.groups[x[1]]), [])
+            if not any(x[2] < o[2] + o[3] and o[2] < x[2] + x[3] for o in others):
+                others.append(x)
+        return [x for others in kept.values() for x in others]
+
+
+def license_matches(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, n_words, matches (license, first_word, n_words, containment; by place) of every row's whole text.
 
-    Null and empty texts, and texts of fewer than five words, match nothing; equal rows match alike; other columns are
-    ignored; templates: name to text, five words at least each.
+    Null and empty texts match nothing; equal rows match alike; other columns are ignored; templates: name to text, or to
+    several wordings, of one word at least each.
     """
     scanner = Scanner(templates or TEMPLATES)
     kind = pa.list_(pa.struct([("license", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())]))
