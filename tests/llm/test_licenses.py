@@ -1,9 +1,31 @@
-"""License scans: short templates and the families."""
+"""License scans against a brute-force containment scan of all windows, short templates and the families."""
+
+import random
+import re
 
 import pyarrow as pa
+import pytest
 
 from trackclean.llm import licenses
 
+T = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+def words_of(text):
+    return T.findall(text.encode().lower())
+
+
+def brute(text, template):
+    """The highest containment of the template in any window of the text."""
+    w, t = words_of(text), words_of(template)
+    if len(t) < 5:
+        return float(any(w[i : i + len(t)] == t for i in range(len(w) - len(t) + 1)))
+    m = len(t) - 4
+    s = {tuple(t[i : i + 5]) for i in range(m)}
+    x = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    size = m + 2 * max(1, m // licenses.STRIDE)
+    return max((len(s & set(x[i : i + size])) / len(s) for i in range(len(x))), default=0.0)
+
 
 def names(text):
     scanner = licenses.Scanner(licenses.TEMPLATES)
@@ -24,3 +46,25 @@ def test_families():
             assert name in names("some words before. " + wording + " and some behind"), wording
     assert names(licenses.TEMPLATES["GPL-2.0 header"]) == {"GPL-2.0 header"}
     assert names(licenses.TEMPLATES["BSD-2-Clause"] + " " + licenses.TEMPLATES["BSD-3-Clause"]) == {"BSD-2-Clause", "BSD-3-Clause"}
+
+
+@pytest.mark.parametrize("name", ["MIT", "ISC", "BSD-2-Clause", "MPL-2.0 header", "Unlicense"])
+def test_altered_copies_against_all_windows(name):
+    """Copies with words replaced, near the threshold on both sides: found if and only if a window contains enough."""
+    rng = random.Random(9)
+    template = licenses.TEMPLATES[name]
+    scanner = licenses.Scanner({name: template})
+    texts, near = [], 0
+    for i in range(400):
+        w = template.split()
+        for k in rng.sample(range(len(w)), max(1, rng.randint(len(w) // 40, len(w) // 15 + 1))):
+            w[k] = f"other{k}"
+        texts.append(" ".join([f"a{j}" for j in range(rng.randrange(40))] + w + [f"b{j}" for j in range(rng.randrange(40))]))
+    best = [0.0] * len(texts)
+    for d, _, _, _, share in scanner.scan(pa.array(texts))[0]:
+        best[d] = max(best[d], share)
+    for text, got in zip(texts, best, strict=True):
+        want = brute(text, template)
+        near += 0.7 <= want <= 0.8
+        assert got == pytest.approx(want if 100 * want >= licenses.SHARE else 0.0)
+    assert near or len(words_of(template)) < 20
