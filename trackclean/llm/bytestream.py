@@ -27,7 +27,7 @@ from .shingles import mix, word_hashes, word_spans
 #: So many pairs are gathered before equal ones are added up.
 PENDING = 4_000_000
 #: Bytes of text that are coded at once, and branches of the tree for each partition of a shuffle.
-GATHERED = 2 << 20
+GATHERED = 1 << 20
 BRANCHES = 4
 
 
@@ -194,7 +194,9 @@ def document_scores(table: pa.Table, replies: pa.Table) -> pa.Table:
     keys = np.concatenate([unsqueezed_keys(k) for k in pairs.column("keys").to_pylist()])
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    chance = np.concatenate([unsqueezed(x, np.float32) for x in pairs.column("chances").to_pylist()])[order].astype(np.float64)
+    del words, replies
+    chance = np.concatenate([unsqueezed(x, np.float32) for x in pairs.column("chances").to_pylist()])[order]
+    del pairs, order
     parts = []
     for doc, held, buf, offsets in together(table):
         starts, ends, text = word_spans(buf, offsets)
