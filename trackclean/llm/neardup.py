@@ -91,19 +91,23 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pivots = x.select("a", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, of = None, None
+        pivots, of = [], None
         for big in batches:
             for batch in balanced(big, "text"):
                 found: list[tuple[int, int]] = []
-                keys = zip(batch.column("a").to_pylist(), batch.column("role").to_pylist(), batch.column("b").to_pylist(), strict=True)
-                for (a, role, b), s in zip(keys, shingle_sets(batch.column("text"), WIDTH), strict=True):
+                keys = zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "role", "b")), strict=True)
+                for (a, chunk, role, b), s in zip(keys, shingle_sets(batch.column("text"), WIDTH), strict=True):
                     if role == 0:
-                        pivot, of = s, a
+                        if (a, chunk) != of:
+                            pivots, of = [], (a, chunk)
+                        pivots.append(s)
                         continue
-                    assert a == of
-                    same = len(np.intersect1d(pivot, s, assume_unique=True))
-                    if 100 * same >= SHARE * (len(pivot) + len(s) - same):
-                        found.append((a, b))
+                    assert (a, chunk) == of
+                    for pivot in pivots:
+                        same = len(np.intersect1d(pivot, s, assume_unique=True))
+                        if 100 * same >= SHARE * (len(pivot) + len(s) - same):
+                            found.append((a, b))
+                            break
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     rows = members.unionByName(pivots).repartition(shuffle_parts(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role", "b")
