@@ -8,6 +8,7 @@ misses. Arrow batches are cut so that each holds about the same number of bytes.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ LIMIT = 4096
 #: Texts are handled in groups of about so many bytes; so many parts' lengths are remembered.
 GROUP_BYTES = 4 << 20
 REMEMBERED = 400_000
+#: Characters of a part without spaces beyond which it is cut on.
+LONGEST = 1 << 16
 MARK = "▁"
 #: A part in the library's own spelling of spaces: marks, then anything up to the next mark.
 PART = re.compile(f"{MARK}+[^{MARK}]*")
@@ -39,15 +42,23 @@ def balanced(batch: pa.RecordBatch, column: str, most: int = GROUP_BYTES) -> Ite
 
 
 class PieceCounter:
-    """Lengths of texts under a sentencepiece model of which no piece goes on past a mark that follows another character."""
+    """Lengths of texts under a sentencepiece model of which no piece goes on past a mark that follows another character.
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+    Parts of more than longest characters are cut on between two characters that stand next to each other in no piece:
+    both are pieces of their own that Unicode's compatibility form leaves alone, as is the one behind them.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED, longest: int = LONGEST) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.splits = not any(re.search(f"[^{MARK}]{MARK}", self.model.id_to_piece(i)) for i in range(self.model.vocab_size()))
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
+        self.joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        self.plain = {p for p in pieces if len(p) == 1 and p != MARK and unicodedata.normalize("NFKC", p) == p and not unicodedata.combining(p)}
         self.known: dict[str, int] = {}
         self.remembered = remembered
+        self.longest = longest
 
     def parts(self, text: str) -> list[str]:
         """The text's parts, each without the mark that the library puts in front of what it encodes."""
@@ -56,19 +67,39 @@ class PieceCounter:
         if not self.splits:
             return [text]
         plain = text.split(" ")
-        if "" not in plain:
+        if "" not in plain and MARK not in text:
             return plain
         return [p[1:] for p in PART.findall(MARK + text.replace(" ", MARK))]
 
+    def cut(self, part: str) -> tuple[list[str], list[str]]:
+        """(pieces of a long part, characters that they have too much): every piece but the first starts with the character
+        in front of it, as the library puts a mark before what it encodes."""
+        out, extra, start, i = [], [], 0, self.longest
+        while i < len(part) - 1:
+            a, b, c = part[i - 1 : i + 2]
+            if a in self.plain and b in self.plain and c in self.plain and a + b not in self.joined:
+                out.append(part[start:i])
+                extra.append(a)
+                start, i = i - 1, i + self.longest
+            else:
+                i += 1
+        return [*out, part[start:]], extra
+
     def counts(self, texts: list[str]) -> list[int]:
         known = self.known
         split = [self.parts(t) for t in texts]
+        extra: dict[int, list[str]] = {}
+        for k, parts in enumerate(split):
+            if len(texts[k]) > self.longest and self.splits and any(len(p) > self.longest for p in parts):
+                cuts = [self.cut(p) for p in parts]
+                split[k] = [x for c in cuts for x in c[0]]
+                extra[k] = [x for c in cuts for x in c[1]]
         if len(known) > self.remembered:
             known.clear()
-        new = list({p for parts in split for p in parts if p not in known})
+        new = list({p for parts in [*split, *extra.values()] for p in parts if p not in known})
         # the library encodes an empty text as nothing, but an empty part stands for a lone mark: one piece
         known.update(zip(new, (len(x) if p else 1 for p, x in zip(new, self.model.encode(new, num_threads=1), strict=True)), strict=True))
-        return [sum(map(known.__getitem__, parts)) for parts in split]
+        return [sum(map(known.__getitem__, parts)) - sum(known[x] for x in extra.get(k, ())) for k, parts in enumerate(split)]
 
 
 def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> DataFrame:
