@@ -21,32 +21,51 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is set (tests, a laptop) a folder of our own."""
+    """The shared folder that the cluster names; only where none is set, on a local master, a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get() if found.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a reliable checkpoint in the shared folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Folders of the tables that were stored and not yet let go.
+_stored: list[str] = []
 
 
 def store(df: DataFrame) -> DataFrame:
-    """The same for larger tables: written as Parquet to the shared folder and read again."""
+    """The table written as Parquet to the shared folder and read again: it cuts the lineage, and a lost executor costs no
+    recomputation of what led to it."""
     where = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(where)
+    _stored.append(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+#: Small tables are cut the same way.
+cut = store
+
+
+def let_go(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the stored tables from number since on, but for the last keep: nothing reads them any more."""
+    gone = _stored[since : len(_stored) - keep]
+    for where in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _stored.remove(where)
+
+
+def stored() -> int:
+    """How many stored tables there are: where let_go may start."""
+    return len(_stored)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

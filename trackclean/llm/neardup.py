@@ -8,15 +8,16 @@ with the concentration of independent trials, in time linear in the set for all
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from .common import cut, shuffle_parts
+from .common import cut, shuffle_parts, store
 from .components import components
 from .shingles import mix, shingle_sets
 from .tokens import balanced
@@ -27,8 +28,10 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Links need 100 * intersection >= SHARE * union.
 SHARE = 75
-#: Sets that one task holds to compare others with.
+#: Pairs of one pivot that are checked together; shingles of the sets that an index holds; sets streamed past it at once.
 CHUNK = 256
+INDEXED = 1 << 20
+STREAMED = 4096
 
 
 def sketches(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
@@ -59,55 +62,52 @@ def band_hashes(sketch: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (a 128-bit hash of the set), bands."""
+    """docs: doc_id, text and perhaps text_key. doc_id, text_key, n_shingles, set_key (a 128-bit hash of the set), bands."""
+    extra = [c for c in docs.columns if c == "text_key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in balanced(big, "text"):
                 sets = shingle_sets(batch.column("text"), WIDTH)
-                sketch = sketches(sets)
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(band_hashes(sketch).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        bands,
-                    ],
-                    ["doc_id", "n_shingles", "set_key", "bands"],
-                )
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(band_hashes(sketches(sets)).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), set_keys(batch.column("text"), sets), bands]
+                yield pa.RecordBatch.from_arrays([*columns, *map(batch.column, extra)], ["doc_id", "n_shingles", "set_key", "bands", *extra])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>" + ", text_key string" * len(extra))
+
+
+def set_keys(column: pa.Array, sets: list[np.ndarray]) -> pa.Array:
+    """A 128-bit hash of each set; of a set of one shingle by the words themselves, so that short texts differ for sure."""
+    few = np.flatnonzero([len(s) == 1 for s in sets])
+    other = iter(shingle_sets(column.take(pa.array(few)), WIDTH, 1)) if len(few) else iter(())
+    return pa.array([xxh3_128_digest(s.tobytes() + (next(other).tobytes() if len(s) == 1 else b"")) for s in sets], pa.binary())
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose texts' full sets are similar enough. texts: doc_id, text.
+    """Of pairs (a, b) of nodes, those whose texts' full sets are similar enough. texts: node, text.
 
-    The pairs of one a are dealt in chunks of about CHUNK, each with one copy of a's text, and streamed past it.
+    The pairs of one a are dealt in chunks of about CHUNK, each with one copy of a's text, and streamed past it. Sets are
+    of the other half of the words' hashes than the bands, so that a link needs 128 bits to agree.
     """
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
+    counts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks")))
     x = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
-    members = x.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "chunk", F.lit(1).alias("role"), "b", "text")
-    pivots = x.select("a", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
+    members = x.join(texts.withColumnRenamed("node", "b"), "b").select("a", "chunk", F.lit(1).alias("role"), "b", "text")
+    pivots = x.select("a", "chunk").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, of = [], None
+        pivot, of = None, None
         for big in batches:
             for batch in balanced(big, "text"):
                 found: list[tuple[int, int]] = []
                 keys = zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "role", "b")), strict=True)
-                for (a, chunk, role, b), s in zip(keys, shingle_sets(batch.column("text"), WIDTH), strict=True):
+                for (a, chunk, role, b), s in zip(keys, shingle_sets(batch.column("text"), WIDTH, 1), strict=True):
                     if role == 0:
-                        if (a, chunk) != of:
-                            pivots, of = [], (a, chunk)
-                        pivots.append(s)
+                        pivot, of = s, (a, chunk)
                         continue
                     assert (a, chunk) == of
-                    for pivot in pivots:
-                        same = len(np.intersect1d(pivot, s, assume_unique=True))
-                        if 100 * same >= SHARE * (len(pivot) + len(s) - same):
-                            found.append((a, b))
-                            break
+                    same = len(np.intersect1d(pivot, s, assume_unique=True))
+                    if 100 * same >= SHARE * (len(pivot) + len(s) - same):
+                        found.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     rows = members.unionByName(pivots).repartition(shuffle_parts(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role", "b")
@@ -124,77 +124,125 @@ def overlaps(keys: np.ndarray, owners: np.ndarray, n: int, s: np.ndarray) -> np.
 
 
 def linked_across(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows: band, rep, component. The links (a, b) between members of one band that are in different components.
+    """rows: band, node, n_shingles, component. The links (a, b) between members of one band in different components.
 
-    Members outside their band's largest component are dealt in chunks of about CHUNK, whose full sets become one
-    inverted index; all members are streamed past it. Pairs are counted, not made: only links come out.
+    Members outside their band's largest component are dealt in chunks of about INDEXED shingles, whose full sets become
+    one inverted index; all members, dealt in parts of about STREAMED, are streamed past it. Pairs are counted, not
+    made: only links come out, of two components one for each task at least.
     """
-    sizes = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
-    home = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("home"), (F.sum("n") - F.max("n")).alias("few")).filter("few > 0")
-    x = rows.join(home, "band").withColumn("chunks", F.ceil(F.col("few") / CHUNK).cast("long"))
-    few = x.filter("component <> home").select("band", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), F.lit(0).alias("role"), "rep", "component")
-    every = x.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "rep", "component")
+    sizes = rows.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
+    home = cut(sizes.groupBy("band").agg(
+        F.max_by("component", F.struct("n", "component")).alias("home"),
+        F.ceil((F.sum("held") - F.max_by("held", F.struct("n", "component"))) / INDEXED).cast("long").alias("chunks"),
+        F.ceil(F.sum("n") / STREAMED).cast("long").alias("parts")).filter("chunks > 0"))
+    x = rows.join(home, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    few = x.filter("component <> home").select("band", "chunk", each("parts").alias("part"), F.lit(0).alias("role"), "node", "component")
+    every = x.select("band", each("chunks").alias("chunk"), "part", F.lit(1).alias("role"), "node", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, index = None, [], None
+        at, held, index, known = None, [], None, set()
         for big in batches:
             for batch in balanced(big, "text"):
-                columns = [batch.column(c).to_pylist() for c in ("band", "chunk", "role", "rep", "component")]
+                columns = [batch.column(c).to_pylist() for c in ("band", "chunk", "part", "role", "node", "component")]
                 found: list[tuple[int, int]] = []
-                for band, chunk, role, rep, component, s in zip(*columns, shingle_sets(batch.column("text"), WIDTH), strict=True):
-                    if (band, chunk) != at:
-                        at, held, index = (band, chunk), [], None
+                for band, chunk, part, role, node, component, s in zip(*columns, shingle_sets(batch.column("text"), WIDTH, 1), strict=True):
+                    if (band, chunk, part) != at:
+                        at, held, index = (band, chunk, part), [], None
+                        known.clear()
                     if role == 0:
-                        held.append((rep, component, s))
+                        held.append((node, component, s))
                         continue
                     if index is None:
                         keys = np.concatenate([h[2] for h in held]) if held else s[:0]
                         owners = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
                         order = np.argsort(keys, kind="stable")
                         index = keys[order], owners[order], np.array([len(h[2]) for h in held]), np.array([h[0] for h in held]), np.array([h[1] for h in held])
-                    keys, owners, lengths, reps, components_ = index
+                    keys, owners, lengths, nodes, components_ = index
                     same = overlaps(keys, owners, len(lengths), s)
                     hit = (100 * same >= SHARE * (lengths + len(s) - same)) & (components_ != component)
-                    found += [(min(rep, r), max(rep, r)) for r in reps[hit].tolist()]
+                    for other, c in zip(nodes[hit].tolist(), components_[hit].tolist(), strict=True):
+                        if (both := (min(c, component), max(c, component))) not in known:
+                            known.add(both)
+                            found.append((min(node, other), max(node, other)))
+                    if len(known) > 1_000_000:
+                        known.clear()
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    dealt = few.unionByName(every).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "band", "chunk").sortWithinPartitions("band", "chunk", "role")
+    dealt = few.unionByName(every).join(texts, "node")
+    dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "band", "chunk", "part").sortWithinPartitions("band", "chunk", "part", "role")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """docs: doc_id, text; nodes: node, doc_id, set_key, several. node and text: one text of each node's set.
+
+    Where a doc_id has several sets, the text is the one whose set has the node's key.
+    """
+    found = docs.join(nodes, "doc_id")
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in balanced(big, "text"):
+                keep = pc.equal(set_keys(batch.column("text"), shingle_sets(batch.column("text"), WIDTH)), batch.column("set_key"))
+                yield batch.select(["node", "text"]).filter(keep)
+
+    one = found.filter("not several").select("node", "text")
+    some = found.filter("several").select("node", "text", "set_key").mapInArrow(right, "node long, text string")
+    return one.unionByName(some).dropDuplicates(["node"])
+
+
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id (long), text (not null) and perhaps text_key. (every row described, set_key with label and component_id).
+
+    Texts of one shingle set are one class, and classes are the nodes, by numbers of their own. Classes that share a band
+    are a bucket. Each bucket's pivot, its smallest node, is checked against the others on full sets; where members are
+    still in different components, pairs across components are counted too. So no pair within a component is ever made.
+    """
+    every = store(described(docs))
+    some = every.filter("n_shingles > 0 and doc_id is not null")
+    sets = some.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = store(sets.withColumn("node", F.monotonically_increasing_id()))
+    rows = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    buckets = cut(rows.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other").select("band", "pivot"))
+    held = store(rows.join(buckets, "band").select("band", "node", "n_shingles", "pivot"))
+    wanted = classes.join(held.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id"), "set_key")
+    several = some.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").select("doc_id", F.lit(True).alias("several"))
+    wanted = wanted.join(several, "doc_id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    texts = store(texts_of(docs.select("doc_id", "text"), wanted))
+    links = cut(verified(held.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), texts))
+    place = held.filter("node <> pivot").join(components(links), "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    place = cut(place)
+    open_bands = cut(place.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band"))
+    more = cut(linked_across(place.join(open_bands, "band"), texts))
+    found = components(links.unionByName(more))
+    label = classes.select("node", "set_key", "least").join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    linked = label.filter("component is not null").groupBy("label").agg(F.min("least").alias("first"))
+    label = label.join(linked, "label", "left").select("set_key", "label", F.coalesce("first", "least").alias("component_id"))
+    return every, cut(label)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
-    Documents of one shingle set are one class, whose smallest doc_id stands for it. Classes that share a band are a
-    bucket. Each bucket's smallest member, its pivot, is checked against the others on full sets; where members are
-    still in different components, pairs across components are counted too. So no pair within a
-    component is ever made. Null and empty texts have no set and are linked with nothing (component_id: their own
-    doc_id); texts of fewer than WIDTH words have one shingle, the whole; rows of one doc_id are one document with
-    several texts, linked through either; null doc_ids make no links and have a null component_id; other columns are
-    ignored.
+    Null and empty texts have no set and are linked with nothing (component_id: their own doc_id); texts of fewer than
+    WIDTH words have one shingle, the whole; rows of one doc_id are rows of their own, so with different texts they may be
+    in different components; null doc_ids make no links and have a null component_id; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    every = cut(described(docs))
-    some = every.filter("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = some.join(classes, "set_key").select("doc_id", "rep", "bands")
-    reps = members.filter("doc_id = rep").select("rep", "bands")
-    rows = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).filter("pivot < other")
-    held = cut(rows.join(buckets.select("band", "pivot"), "band").select("band", "rep", "pivot").distinct())
-    wanted = held.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(docs.join(wanted, "doc_id", "left_semi").distinct())
-    first = held.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(verified(first, texts))
-    found = components(links)
-    place = held.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "pivot", F.coalesce("component", "rep").alias("component"))
-    place = place.filter("rep <> pivot")
-    open_bands = place.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    rest = cut(place.join(open_bands, "band").select("band", "rep", "component").distinct())
-    more = cut(linked_across(rest, texts))
-    same = members.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.unionByName(more).unionByName(same))
-    out = every.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
+    every, label = labelled(docs)
+    out = every.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(label, "set_key", "left")
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """doc_id and text_key (MD5) of the texts that stay, one of each component: the least doc_id, then the least key.
+
+    Texts without a word all stay. Null doc_ids are not looked at.
+    """
+    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    every, label = labelled(docs.withColumn("text_key", F.md5("text")))
+    joined = every.filter("n_shingles > 0").select("doc_id", "text_key", "set_key").join(label.select("set_key", "label"), "set_key")
+    first = joined.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    return first.unionByName(every.filter("n_shingles = 0").select("doc_id", "text_key").distinct())

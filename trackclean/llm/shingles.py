@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_128_digest
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -13,6 +14,7 @@ _RANDOM = np.random.default_rng(20240229)
 #: A random number for each byte value, and odd multipliers for places in a shingle.
 BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE = _RANDOM.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SEED = 20240229
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -61,25 +63,41 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: differences of a running polynomial hash, brought to one exponent."""
+def distinct_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words, as bytes, and each word's number among them: words are told apart by all their bytes."""
+    size = ends - starts
+    total = int(size.sum())
+    inside = np.zeros(len(buf) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    data = buf[np.cumsum(inside[:-1], dtype=np.int8).view(bool)] if total < len(buf) else buf
+    offsets = np.append(0, np.cumsum(size)).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, half: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: one half (0 or 1) of the 128-bit XXH3 hash of its bytes."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE[buf] * powers(BASE, len(buf)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(buf))[starts])
+    words, nth = distinct_words(buf, starts, ends)
+    digests = b"".join([xxh3_128_digest(w, SEED) for w in words.to_pylist()])
+    return np.frombuffer(digests, np.uint64)[half::2][nth]
+
 
+def shingle_sets(column: pa.Array, width: int = 5, half: int = 0) -> list[np.ndarray]:
+    """Each text's sorted distinct hashes of width lower-cased words; with fewer words, one for them all; else none.
 
-def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
-    """Each text's sorted distinct hashes of width lower-cased words; with fewer words, one for them all; else none."""
+    The two halves are of independent hashes: what is found by one can be confirmed by the other.
+    """
     buf, offsets = raw(column)
     buf = LOWER[buf]
     starts, ends, text = word_spans(buf, offsets)
-    hashes = word_hashes(buf, starts, ends)
+    hashes = word_hashes(buf, starts, ends, half)
     first = np.searchsorted(text, np.arange(len(offsets)))
     n = len(hashes)
     whole = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         whole[: n - k] += hashes[k:] * PLACE[k]
     whole = mix(whole)
     out = []
