@@ -37,6 +37,8 @@ BATCH = 1 << 21
 WIDTHS = (23, 6)
 #: Bytes of text whose 64-bit hashes are worked out at once.
 CACHED = 1 << 18
+#: What a batch knows of an anchor's row.
+ONE, FIRST, AGAIN, SETTLED = range(4)
 
 
 def rolling(buf: np.ndarray, width: int) -> np.ndarray:
@@ -121,9 +123,11 @@ def anchors_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """seed, context, doc_id, at (of the anchor in the text), before and after (first start and last start, from it).
+    """seed, context, doc_id, at (of the anchor in the text), before and after (first start and last start, from it), kind.
 
-    settled: rows that an earlier row of the same batch and context already settles; they need no comparing.
+    kind: SETTLED rows are those that an earlier row of the same batch and context already settles; they need no
+    comparing. Of the others, rows whose seed another row of the batch has are AGAIN, but the first of them, which stands
+    for them where seeds are counted, is FIRST; the rest are ONE.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +141,25 @@ def anchored(docs: DataFrame) -> DataFrame:
                 again[:-1] |= again[1:]
                 some = order[again]
                 some = some[np.lexsort((x["anchor"][some], doc[some], x["seed"][some], x["context"][some]))]
-                known = np.zeros(len(order), bool)
-                known[some[1:]] = (x["seed"][some[1:]] == x["seed"][some[:-1]]) & (x["context"][some[1:]] == x["context"][some[:-1]])
+                kind = np.zeros(len(order), np.int8)
+                settled = some[1:][(x["seed"][some[1:]] == x["seed"][some[:-1]]) & (x["context"][some[1:]] == x["context"][some[:-1]])]
+                kind[settled] = SETTLED
+                left = np.flatnonzero(kind == ONE)
+                left = left[np.argsort(x["seed"][left], kind="stable")]
+                same = x["seed"][left[1:]] == x["seed"][left[:-1]]
+                kind[left[:-1][same]] = FIRST
+                kind[left[1:][same]] = AGAIN
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (x["seed"], x["context"], doc, x["anchor"])] + [pa.array(x["anchor"] - x[k], pa.int16()) for k in ("first", "last")] + [pa.array(known)],
-                    ["seed", "context", "doc_id", "at", "before", "after", "settled"])
+                    [pa.array(c) for c in (x["seed"], x["context"], doc, x["anchor"])] + [pa.array(x["anchor"] - x[k], pa.int16()) for k in ("first", "last")] + [pa.array(kind)],
+                    ["seed", "context", "doc_id", "at", "before", "after", "kind"])
 
-    return docs.mapInArrow(run, "seed long, context long, doc_id long, at long, before short, after short, settled boolean")
+    return docs.mapInArrow(run, "seed long, context long, doc_id long, at long, before short, after short, kind byte")
 
 
 def contexts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """wanted rows with their context's bytes, sliced from the documents."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "context", "at", "before", "after")).alias("wanted"))
-    schema = "seed long, context long, doc_id long, at long, before short, after short, bytes binary"
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "context", "at", "before", "after", "kinds")).alias("wanted"))
+    schema = "seed long, context long, doc_id long, at long, before short, after short, kinds long, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -157,14 +167,23 @@ def contexts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 rows = []
                 for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                     for w in spans:
-                        rows.append((w["seed"], w["context"], doc, w["at"], w["before"], w["after"], text[w["at"] - w["before"] : w["at"] - w["after"] + LENGTH]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary())
+                        rows.append((w["seed"], w["context"], doc, w["at"], w["before"], w["after"], w["kinds"], text[w["at"] - w["before"] : w["at"] - w["after"] + LENGTH]))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.binary())
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["seed", "context", "doc_id", "at", "before", "after", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["seed", "context", "doc_id", "at", "before", "after", "kinds", "bytes"])
 
     return docs.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, schema)
 
 
+def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the LENGTH bytes from a on are those from b on, eight at a time."""
+    eight = np.ndarray(max(len(text) - 7, 0), "<u8", text.tobytes(), strides=(1,))
+    same = np.ones(len(a), bool)
+    for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+        same &= eight[a + k] == eight[b + k]
+    return same
+
+
 def later_windows(rows: list[tuple], bounds: list[int]) -> Iterator[tuple[int, int, int]]:
     """(doc_id, first start, last start) of the windows of contexts that are also in an earlier context of their bucket.
 
@@ -187,6 +206,8 @@ def later_windows(rows: list[tuple], bounds: list[int]) -> Iterator[tuple[int, i
     bucket = np.searchsorted(np.asarray(bounds), row[order], "right")
     new = np.ones(len(order), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (bucket[1:] != bucket[:-1])
+    maybe = np.flatnonzero(~new)
+    new[maybe[~same_bytes(text, order[maybe - 1], order[maybe])]] = True
     kind = np.cumsum(new) - 1
     least = np.full(kind[-1] + 1 if len(kind) else 0, len(rows))
     np.minimum.at(least, kind, row[order])
@@ -235,7 +256,7 @@ def settled(buckets: DataFrame) -> DataFrame:
 
         def close() -> None:
             nonlocal held
-            some = comparable(bucket)
+            some = comparable(list(dict.fromkeys(bucket)))  # rows of one text that is there several times are one
             if len(some) > 1:
                 bounds.append(len(rows))
                 rows.extend(some)
@@ -325,7 +346,7 @@ def settled_large(contexts: DataFrame, widths: tuple[int, ...] = WIDTHS) -> Data
     rows = store(narrowed(contexts.select("seed", "doc_id", "at", "before", "after", "bytes"), widths[0]))
     place = F.struct("doc_id", "at", "before", "after")
     firsts = store(rows.groupBy("seed", "context").agg(F.min(place).alias("one"), F.min_by("bytes", place).alias("bytes"), F.count("*").alias("n")))
-    kinds = firsts.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    kinds = store(firsts.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     left = firsts.join(kinds, "seed").select("seed", "one.*", "bytes", "kinds")
     large = left.filter(F.col("kinds") > 4 * LARGE)
     rest = settled_large(large, widths[1:]) if len(widths) > 1 else settled_by_window(large)
@@ -333,38 +354,55 @@ def settled_large(contexts: DataFrame, widths: tuple[int, ...] = WIDTHS) -> Data
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """docs: doc_id (not null), text (not null). Runs of starts (doc_id, first, last) of windows that also start earlier."""
-    found = anchored(docs)
-    apart = F.when(F.col("settled"), F.xxhash64("doc_id", "at")).otherwise(F.col("seed"))
-    kept = found.withColumn("n", F.count("*").over(W.partitionBy("settled", apart))).filter("settled or n > 1").drop("n")
-    every = store(kept)
-    often = every.filter("not settled").drop("settled")
+    """docs: doc_id (not null), text (not null). Runs of starts (doc_id, first, last) of windows that also start earlier.
+
+    Of rows that share a doc_id, equal texts are one document. Seeds are counted over all batches by the rows that are ONE
+    or FIRST, so that a seed of a great share of the texts has a row for each batch where it is counted.
+    """
+    counted = F.col("kind") <= FIRST
+    apart = F.when(counted, F.col("seed")).otherwise(F.xxhash64("doc_id", "at"))
+    found = anchored(docs).withColumn("n", F.count("*").over(W.partitionBy(counted, apart)))
+    every = store(found.filter(f"kind > {ONE} or n > 1").drop("n"))
+    often = every.filter(F.col("kind") < SETTLED).drop("kind")
     place = F.struct("doc_id", "at", "before", "after")
     firsts = store(often.groupBy("seed", "context").agg(F.min(place).alias("one"), F.count("*").alias("n")))
-    whole = runs_of(every.filter("settled")).unionByName(later_than(often, firsts))
-    kinds = firsts.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    whole = runs_of(every.filter(F.col("kind") == SETTLED)).unionByName(later_than(often, firsts))
+    kinds = store(firsts.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     wanted = firsts.join(kinds, "seed").select("seed", "context", "one.*", "kinds")
-    contexts = store(contexts_of(wanted, docs).join(kinds, "seed"))
+    contexts = store(contexts_of(wanted, docs))
     small = settled(contexts.filter(F.col("kinds") <= LARGE))
     large = settled_large(contexts.filter(F.col("kinds") > LARGE))
     return whole.unionByName(small).unionByName(large)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, not null, text and others) with row: the doc_id, or where doc_ids have several texts, numbers that
+    rise with doc_id and text, one for each text of a doc_id."""
+    key = F.xxhash64("text")
+    shared = docs.groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y")).filter("x <> y")
+    if shared.isEmpty():
+        return docs.withColumn("row", F.col("doc_id"))
+    keyed = docs.withColumn("key", F.sha2("text", 256))
+    rows = keyed.select("doc_id", "key").distinct().repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", "key").sortWithinPartitions("doc_id", "key")
+    rows = store(rows.withColumn("row", F.monotonically_increasing_id()))
+    return keyed.join(rows, ["doc_id", "key"]).drop("key")
+
+
 def remove_repeats(docs: DataFrame, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs' rows with what is left of their texts.
 
-    doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the text that is left, as bytes) and
-    the columns in carry. Matches
-    are bytewise, lie within one text, and overlap; what is removed may leave half a character. Null and empty texts and
-    those shorter than LENGTH lose nothing; of equal texts the one of the smallest doc_id stays; rows that share a doc_id
-    are taken for one document (equal rows fare alike); null doc_ids are not compared and lose nothing; other columns
-    are ignored.
+    doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the text that is left, without what a cut
+    leaves of a character; kept_sha256 is of all bytes left) and the columns in carry. Matches are bytewise, lie within
+    one text, and overlap. Null and empty texts and
+    those shorter than LENGTH lose nothing; of equal texts the one of the smallest doc_id stays; different texts that
+    share a doc_id are documents of their own, in the order of their hashes, and equal ones one document (equal rows fare
+    alike); null doc_ids are not compared and lose nothing; other columns are ignored.
     """
     carried = docs.select(*carry).schema
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0), *carry).alias("carried"))
-    known = docs.filter("doc_id is not null")
-    runs = repeated_windows(known.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    known = with_rows(docs.filter("doc_id is not null"))
+    runs = repeated_windows(known.select(F.col("row").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("row")).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
     schema = T.StructType([*schema.fields, *carried.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,12 +423,13 @@ def remove_repeats(docs: DataFrame, texts: bool = False, carry: tuple[str, ...]
                     if end >= 0:
                         kept.append(text[at:begin])
                         gone, spans, at = gone + end - begin, spans + 1, end
-                    left = b"".join([*kept, text[at:]])
-                    rows.append((doc, len(text), gone, spans, hashlib.sha256(left).hexdigest(), left)[: 5 + texts])
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                    kept.append(text[at:])
+                    whole = "".join(part.decode("utf-8", "ignore") for part in kept) if texts else None
+                    rows.append((doc, len(text), gone, spans, hashlib.sha256(b"".join(kept)).hexdigest(), whole)[: 5 + texts])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 others = batch.column("carried").flatten()[1:]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)] + others
                 yield pa.RecordBatch.from_arrays(columns, [*["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts], *carry])
 
     alone = docs.filter("doc_id is null").withColumn("runs", F.lit(None).cast("array<struct<first:long,last:long>>"))
-    return known.join(runs, "doc_id", "left").unionByName(alone).select("doc_id", "text", "runs", "carried").mapInArrow(run, schema)
+    return known.join(runs, "row", "left").drop("row").unionByName(alone).select("doc_id", "text", "runs", "carried").mapInArrow(run, schema)
