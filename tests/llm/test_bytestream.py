@@ -2,7 +2,7 @@
 
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -68,13 +68,30 @@ def test_stream_scores(spark, monkeypatch):
     rows = [(r[0], r[1]) for r in sample_rows()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = plain_scores({i: t or "" for i, t in rows})
-    words = {r.doc_id: r for r in ctw.score_documents(docs).collect()}
+    of = {i: [*WORD.findall(lowered(t or "")), None] for i, t in rows}
+    counts = Counter(w for i, x in of.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in x)
+    n, v = sum(counts.values()), len(counts)
     got = bytestream.score_texts(docs).collect()
     assert len(got) == len(rows)
     for r in got:
-        w = words[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (w.held_out, w.n_tokens, w.n_known, w.train_tokens)
-        assert r.base_score == pytest.approx(w.base_score) and r.score == pytest.approx(want[r.doc_id], rel=1e-6)
+        w = of[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2, len(w), sum(counts[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)) and r.score == pytest.approx(want[r.doc_id], rel=1e-6)
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / (sum(len(x.encode()) + 1 for x in w[:-1]) + 1))
+    # asks and answers of more blocks than are taken together
+    monkeypatch.setattr(bytestream, "JOINED", 2)
+    assert {r.doc_id: r.score for r in bytestream.score_texts(docs).collect()} == pytest.approx({r.doc_id: r.score for r in got})
+
+
+def test_chances_sum_to_one():
+    context = np.array([1, 2, 3, 0x7A7A7A7A7A7A], np.int64) << 20
+    keys = np.sort(np.concatenate([(c << 8) | np.arange(256) for c in context]))
+    counts = np.where(np.arange(len(keys)) % 7 == 0, 3, 0)
+    rows = defaultdict(lambda: np.zeros(3))
+    for node, *x in zip(*ctw.branch_top(keys, counts), strict=True):
+        rows[int(node)] += x
+    p = 10 ** ctw.log10_chances(keys, counts, ctw.top_of_tree([(k, *x) for k, x in rows.items()]))
+    assert p.reshape(-1, 256).sum(axis=1) == pytest.approx(np.ones(4))
 
 
 def test_order_of_words_counts(spark, tmp_path):

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackclean.llm import classifier, ctw, licenses, lyndon, media, mixing, neardup, packing, quality, queries, substrings, tokens
+from trackclean.llm import bytestream, classifier, licenses, lyndon, media, mixing, neardup, packing, quality, queries, substrings, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, bucket string, seed long, n int, key string"
@@ -54,7 +54,7 @@ def test_empty_tables_and_null_keys(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
     for operator in (
-        media.media_digest, ctw.score_documents, neardup.near_duplicates, licenses.license_digest, tokens.token_counts, substrings.remove_repeats,
+        media.media_digest, bytestream.score_texts, neardup.near_duplicates, licenses.license_digest, tokens.token_counts, substrings.remove_repeats,
         lambda d: classifier.quality_scores(d, labels), quality.quality_rules, mixing.mix_digest, packing.pack_documents,
     ):
         assert operator(docs.limit(0)).count() == 0
@@ -80,77 +80,6 @@ def test_media_finds_a_tone():
     assert (media.spectral_peaks(tone)[:-1, 0] == 40).all()
 
 
-def test_context_tree_scores(docs, texts):
-    counts = Counter()
-    of = {i: WORD.findall(lowered(t)) + ["\n"] for i, t in texts.items()}
-    for i, v in of.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            counts.update(v)
-    n, v = sum(counts.values()), len(counts)
-    tree = defaultdict(lambda: [0, 0])
-    coded = lambda w: b"\n" if w == "\n" else w.encode() + b" "
-
-    def context(c, i):
-        return [c[i - k] if i >= k else 32 if i - k == -1 else 0 for k in range(1, ctw.DEPTH + 1)]
-
-    def bits(byte):
-        node = 1
-        for k in range(7, -1, -1):
-            yield node, byte >> k & 1
-            node = node * 2 + (byte >> k & 1)
-
-    for w, k in counts.items():
-        c = coded(w)
-        for i in range(len(c)):
-            for node, bit in bits(c[i]):
-                for d in range(ctw.DEPTH + 1):
-                    tree[tuple(context(c, i)[:d]), node][bit] += k
-    kids = defaultdict(list)
-    for ctx, node in list(tree):
-        if ctx:
-            kids[ctx[:-1], node].append((ctx, node))
-    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-    weight, below = {}, {}
-    for key in sorted(tree, key=lambda k: -len(k[0])):
-        own = kt(*tree[key])
-        below[key] = sum(weight[k] for k in kids[key])
-        weight[key] = own if len(key[0]) == ctw.DEPTH else math.log(0.5) + np.logaddexp(own, below[key])
-
-    def chance(ctx, node, d=0):
-        key = (tuple(ctx[:d]), node)
-        if key not in tree:
-            return 0.5
-        a, b = tree[key]
-        if d == ctw.DEPTH:
-            return (b + 0.5) / (a + b + 1)
-        own = 1 / (1 + math.exp(min(below[key] - kt(a, b), 700)))
-        return own * (b + 0.5) / (a + b + 1) + (1 - own) * chance(ctx, node, d + 1)
-
-    def word(w):
-        c = coded(w)
-        return sum(math.log10(p if bit else 1 - p) for i in range(len(c)) for node, bit in bits(c[i]) for p in [chance(context(c, i), node)])
-
-    known = {w: word(w) for w in {w for x in of.values() for w in x}}
-    for r in ctw.score_documents(docs).collect():
-        w = of[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2, len(w), sum(counts[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w))
-        assert r.score == pytest.approx(sum(known[x] for x in w), rel=1e-6)
-
-
-def test_chances_sum_to_one():
-    keys, _, n = ctw.pairs_of([b"abc", b"abd", b"\n"], np.array([5, 3, 2]))
-    keys, back = np.unique(keys, return_inverse=True)
-    levels = ctw.Levels(keys, np.bincount(back, weights=n))
-    k = levels.keys[2]
-    up = (k >> 16 & 255) << 8 | (k & 255)
-    rows = [(u, levels.zeros[2][up == u].sum(), levels.ones[2][up == u].sum(), levels.weight[2][up == u].sum()) for u in np.unique(up)]
-    top = ctw.top_of_tree(rows)
-    for context in (keys[0] >> 8, keys[-1] >> 8, 0x7A7A7A7A7A7A):
-        p = 10 ** ctw.log10_chances(levels, top, (np.int64(context) << 8) | np.arange(256))
-        assert p.sum() == pytest.approx(1)
-
-
 def shingles(t):
     w = WORD.findall(lowered(t))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

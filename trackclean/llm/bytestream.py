@@ -1,4 +1,4 @@
-"""Context-tree weighting of whole texts: contexts run on over the space into the words before.
+"""LM scoring of whole texts by context-tree weighting: contexts run on over the space into the words before.
 
 A text is one stream of bytes: each word's, then a space; at the end a line feed. A byte's context is the DEPTH bytes
 before it in the stream, whichever words they are in; in front of a text there is a space, and zeros before that. Nodes,
@@ -6,7 +6,8 @@ estimates and mixing are those of ctw.
 
 Blocks of documents count their distinct (context, byte) pairs and ask for the pairs' chances; the tree is split by the
 last two bytes of context. Asks and answers are sorted arrays, one for each block and branch, so that a pair takes a few
-bytes on disk. What is sent to all tasks is the top of the tree, of 256 * 255 nodes at most.
+bytes on disk. Every group has a bound: a block its bytes of text, a branch's sums JOINED rows at once and its answers
+those of JOINED blocks. What is sent to all tasks is the top of the tree, of 256 * 255 nodes at most.
 """
 
 from __future__ import annotations
@@ -17,22 +18,56 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_parts, store
-from .ctw import BLOCK_BYTES, DEPTH, END_HASH, GAP, STOP, Levels, block_words, is_held_out, log10_chances, packed, top_of_tree, unpacked
-from .shingles import mix, word_hashes, word_spans
-
+from .ctw import DEPTH, branch_top, log10_chances, top_of_tree
+from .shingles import LOWER, distinct_words, mix, raw, word_spans
+from .tokens import balanced
+
+GAP, STOP = 0x20, 0x0A
+#: About so many bytes of text are a block of documents, so many a row of packed texts.
+BLOCK_BYTES = 32 << 20
+SLICE_BYTES = 1 << 20
 #: So many pairs are gathered before equal ones are added up.
-PENDING = 4_000_000
-#: Bytes of text that are coded at once, and branches of the tree for each partition of a shuffle.
-GATHERED = 1 << 20
+PENDING = 2_000_000
+#: Branches of the tree for each partition of a shuffle; blocks whose asks of a branch are taken together.
 BRANCHES = 4
+JOINED = 512
+
+
+def is_held_out(c: Column) -> Column:
+    return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 7 == 2
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, held_out, text) as rows of many documents: their lower-cased texts are compressed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        names = ["doc_id", "held_out", "sizes", "texts"]
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())
+        for big in batches:
+            for batch in balanced(big, "text", SLICE_BYTES):
+                buf, offsets = raw(batch.column("text"))
+                row = (batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), np.diff(offsets), pack.compress(LOWER[buf].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
+
+    return docs.mapInArrow(run, "doc_id array<long>, held_out array<boolean>, sizes array<long>, texts binary")
+
+
+def unpacked(table: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, held_out, bytes, offsets) of each row."""
+    unpack = zstandard.ZstdDecompressor()
+    for i in range(table.num_rows):
+        doc, held, sizes, texts = (table.column(c)[i].as_py() for c in ("doc_id", "held_out", "sizes", "texts"))
+        buf = np.frombuffer(unpack.decompress(texts, max_output_size=max(sum(sizes), 1)), np.uint8)
+        yield doc, np.array(held, bool), buf, np.append(0, np.cumsum(sizes)).astype(np.int64)
 
 
 def stream_keys(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text number) of each byte of the texts' streams; a key is laid out as in ctw.pairs_of."""
+    """(key, text number) of each byte of the texts' streams."""
     starts, ends, text = word_spans(buf, offsets)
     size, texts = ends - starts, len(offsets) - 1
     ahead = np.cumsum(size) - size + np.arange(len(size)) + (DEPTH + 1) * text + DEPTH
@@ -72,23 +107,6 @@ def unsqueezed_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueezed(data, np.int64))
 
 
-def together(table: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """What ctw.unpacked gives, of rows taken together up to about GATHERED bytes."""
-    held: list[tuple] = []
-
-    def joined() -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.concatenate([np.diff(h[3]) for h in held])
-        return [d for h in held for d in h[0]], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), np.append(0, np.cumsum(sizes))
-
-    for row in unpacked(table):
-        held.append(row)
-        if sum(len(h[2]) for h in held) >= GATHERED:
-            yield joined()
-            held.clear()
-    if held:
-        yield joined()
-
-
 def added(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct keys of parts of sorted distinct keys and counts, and the sums of their counts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -110,72 +128,94 @@ def added(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     return held[0]
 
 
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
+def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys and how often they are in training texts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
     first = np.flatnonzero(np.diff(keys, prepend=-1))
-    return keys[first], np.diff(np.append(first, len(keys)))
+    return keys[first], np.add.reduceat(train[order].astype(np.int64), first) if len(first) else first
 
 
 def block_asks(table: pa.Table, parts: int) -> pa.Table:
-    """What a block asks for: its words (block_words) and, by branch, its pairs with their counts in training rows."""
+    """What a block asks for: its distinct words and, by branch, its pairs, with their counts in training rows.
+
+    The end of a text counts as a word, the line feed.
+    """
+    words: list[pa.Table] = []
 
     def pairs() -> Iterable[tuple[np.ndarray, np.ndarray]]:
-        for _, held, buf, offsets in together(table):
+        for _, held, buf, offsets in unpacked(table):
+            starts, ends, text = word_spans(buf, offsets)
+            found, nth = distinct_words(buf, starts, ends)
+            n = np.bincount(nth, weights=~held[text], minlength=len(found)).astype(np.int64)
+            words.append(pa.table([pa.concat_arrays([found, pa.array([bytes([STOP])], pa.large_binary())]), pa.array(np.append(n, (~held).sum()))], ["word", "n"]))
             keys, text = stream_keys(buf, offsets)
-            out = held[text]
-            yield counted(keys[~out])
-            asked, n = counted(keys[out])
-            yield asked, n * 0
+            yield counted(keys, ~held[text])
 
     keys, n = added(pairs())
     branch = (mix((keys >> (8 * (DEPTH - 1))).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(branch, kind="stable")
     rows = [(int(branch[at[0]]), squeezed_keys(keys[at]), squeezed(n[at])) for at in np.split(order, np.flatnonzero(np.diff(branch[order])) + 1)]
-    words = block_words(table)
-    none = lambda kind, k: pa.nulls(k, kind)
     block = table.column("block")[0].as_py()
-    mine = [pa.array(np.full(len(rows), block)), none(pa.int64(), len(rows)), none(pa.binary(), len(rows)), none(pa.int64(), len(rows))]
-    mine += [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]
-    names = ["block", "hash", "word", "n", "branch", "keys", "counts"]
-    theirs = [words.column(c).combine_chunks() for c in names[:4]] + [none(k, words.num_rows) for k in (pa.int32(), pa.binary(), pa.binary())]
-    return pa.concat_tables([pa.table(mine, names), pa.table(theirs, names)])
+    mine = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["branch", "keys", "counts"])
+    theirs = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
+    theirs = pa.table([theirs.column("word").cast(pa.binary()), theirs.column("n_sum")], ["word", "n"])
+    both = pa.concat_tables([mine, theirs], promote_options="default")
+    return both.append_column("block", pa.array(np.full(both.num_rows, block))).select(["block", "word", "n", "branch", "keys", "counts"])
 
 
-def pair_chances(asked: DataFrame) -> DataFrame:
-    """asked: block, branch, keys, counts. block, keys and chances (log10, 32 bits) under the tree fitted on the counts."""
+def tree_of(asked: DataFrame, blocks: int) -> DataFrame:
+    """asked: branch, block, keys, counts. branch, keys and counts: of each branch all pairs and their sums.
+
+    No more than JOINED rows are added up at once; of more, the sums of some are added up in turn.
+    """
 
     def add(table: pa.Table) -> pa.Table:
-        keys, n = added((unsqueezed_keys(k), unsqueezed(c, np.int64)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True))
-        return pa.table([table.column("branch").slice(0, 1), pa.array([squeezed_keys(keys)], pa.binary()), pa.array([squeezed(n)], pa.binary())], ["branch", "keys", "counts"])
+        found = ((unsqueezed_keys(table.column("keys")[i].as_py()), unsqueezed(table.column("counts")[i].as_py(), np.int64)) for i in range(table.num_rows))
+        keys, n = added(found)
+        return pa.table([table.column("branch").slice(0, 1), table.column("block").slice(0, 1), pa.array([squeezed_keys(keys)], pa.binary()), pa.array([squeezed(n)], pa.binary())], ["branch", "block", "keys", "counts"])
+
+    while blocks > JOINED:
+        blocks = -(-blocks // JOINED)
+        dealt = asked.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(blocks)))
+        asked = store(dealt.groupBy("branch", "block").applyInArrow(add, "branch int, block long, keys binary, counts binary"))
+    return store(asked.groupBy("branch").applyInArrow(add, "branch int, block long, keys binary, counts binary").drop("block"))
 
-    def fitted(table: pa.Table) -> tuple[np.ndarray, Levels]:
-        keys, n = unsqueezed_keys(table.column("keys")[0].as_py()), unsqueezed(table.column("counts")[0].as_py(), np.int64)
-        return keys, Levels(keys[n > 0], n[n > 0])
+
+def pair_chances(asked: DataFrame, blocks: int) -> DataFrame:
+    """asked: block, branch, keys, counts. block, keys and chances (log10, 32 bits) under the tree fitted on the counts."""
+
+    def pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return unsqueezed_keys(table.column("keys")[0].as_py()), unsqueezed(table.column("counts")[0].as_py(), np.int64)
 
     def weigh(table: pa.Table) -> pa.Table:
-        _, x = fitted(table)
-        k = x.keys[2]
-        up, back = np.unique((k >> 16 & 255) << 8 | (k & 255), return_inverse=True)
-        return pa.table([pa.array(up), *[pa.array(np.bincount(back, weights=w, minlength=len(up)).astype(np.float64)) for w in (x.zeros[2], x.ones[2], x.weight[2])]], ["node", "zeros", "ones", "below"])
+        return pa.table([pa.array(x) for x in branch_top(*pairs(table))], ["node", "zeros", "ones", "below"])
 
-    tree = store(asked.groupBy("branch").applyInArrow(add, "branch int, keys binary, counts binary"))
+    tree = tree_of(asked, blocks)
     top = tree.groupBy("branch").applyInArrow(weigh, "node long, zeros double, ones double, below double")
     top = top_of_tree(top.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect())
 
+    def weighed(table: pa.Table) -> pa.Table:
+        keys, n = pairs(table)
+        chances = log10_chances(keys, n, top).astype(np.float32)
+        return pa.table([table.column("branch"), table.column("keys"), pa.array([squeezed(chances)], pa.binary())], ["branch", "keys", "chances"])
+
     def answer(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        keys, x = fitted(table)
-        chance = log10_chances(x, top, keys).astype(np.float32)
-        out = [squeezed(chance[np.searchsorted(keys, unsqueezed_keys(k))]) for k in wanted.column("keys").to_pylist()]
+        keys, chances = unsqueezed_keys(table.column("keys")[0].as_py()), unsqueezed(table.column("chances")[0].as_py(), np.float32)
+        out = [squeezed(chances[np.searchsorted(keys, unsqueezed_keys(wanted.column("keys")[i].as_py()))]) for i in range(wanted.num_rows)]
         return pa.table([wanted.column("block"), wanted.column("keys"), pa.array(out, pa.binary())], ["block", "keys", "chances"])
 
-    wanted = asked.select("branch", "block", "keys")
-    return tree.groupBy("branch").cogroup(wanted.groupBy("branch")).applyInArrow(answer, "block long, keys binary, chances binary")
+    shares = -(-blocks // JOINED)
+    fitted = tree.groupBy("branch").applyInArrow(weighed, "branch int, keys binary, chances binary")
+    fitted = fitted.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    wanted = asked.select("branch", "block", "keys", F.pmod(F.xxhash64("block"), F.lit(shares)).alias("share"))
+    return fitted.groupBy("branch", "share").cogroup(wanted.groupBy("branch", "share")).applyInArrow(answer, "block long, keys binary, chances binary")
 
 
-def places(keys: np.ndarray, wanted: np.ndarray, kind: type) -> np.ndarray:
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where each of wanted is in the sorted keys: distinct ones are looked for in order, as that stays in the cache."""
     coded = pa.array(wanted).dictionary_encode()
-    distinct = coded.dictionary.to_numpy().view(kind)
+    distinct = coded.dictionary.to_numpy()
     order = np.argsort(distinct)
     at = np.empty(len(distinct), np.int64)
     at[order] = np.searchsorted(keys, distinct[order])
@@ -184,52 +224,57 @@ def places(keys: np.ndarray, wanted: np.ndarray, kind: type) -> np.ndarray:
 
 def document_scores(table: pa.Table, replies: pa.Table) -> pa.Table:
     """The block's documents with the sums over their words and over their streams' bytes."""
-    words = replies.filter(pc.is_valid(replies.column("hash")))
-    hashes = words.column("hash").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    c, base = (words.column(k).to_numpy()[order] for k in ("c", "base"))
-    end = int(np.searchsorted(hashes, END_HASH))
+    words = replies.filter(pc.is_valid(replies.column("word")))
+    value_set = words.column("word").combine_chunks().cast(pa.large_binary())
+    c, base = (words.column(k).to_numpy() for k in ("c", "base"))
+    end = pc.index_in(pa.array([bytes([STOP])], pa.large_binary()), value_set)[0].as_py()
     pairs = replies.filter(pc.is_valid(replies.column("keys")))
-    keys = np.concatenate([unsqueezed_keys(k) for k in pairs.column("keys").to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
     del words, replies
-    chance = np.concatenate([unsqueezed(x, np.float32) for x in pairs.column("chances").to_pylist()])[order]
-    del pairs, order
+    keys = np.concatenate([unsqueezed_keys(pairs.column("keys")[i].as_py()) for i in range(pairs.num_rows)])
+    chance = np.concatenate([unsqueezed(pairs.column("chances")[i].as_py(), np.float32) for i in range(pairs.num_rows)])
+    del pairs
+    order = np.argsort(keys)
+    keys, chance = keys[order], chance[order]
+    del order
     parts = []
-    for doc, held, buf, offsets in together(table):
+    for doc, held, buf, offsets in unpacked(table):
         starts, ends, text = word_spans(buf, offsets)
-        at = places(hashes, word_hashes(buf, starts, ends).view(np.int64), np.uint64)
+        found, nth = distinct_words(buf, starts, ends)
+        at = pc.index_in(found, value_set).to_numpy()[nth] if len(found) else nth
         count = lambda weights: np.bincount(text, weights=weights, minlength=len(doc))  # noqa: E731, B023
         key, of = stream_keys(buf, offsets)
-        value = chance[places(keys, key, np.int64)]
+        score = np.bincount(of, weights=chance[places(keys, key)], minlength=len(doc))
+        coded = np.bincount(of, minlength=len(doc))
         parts.append(pa.table([
             pa.array(doc, pa.int64()), pa.array(held), pa.array(np.bincount(text, minlength=len(doc)) + 1),
-            pa.array(count(c[at] > 0).astype(np.int64) + int(c[end] > 0)), pa.array(count(base[at]) + base[end]), pa.array(np.bincount(of, weights=value, minlength=len(doc))),
-        ], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
+            pa.array(count(c[at] > 0).astype(np.int64) + int(c[end] > 0)), pa.array(count(base[at]) + base[end]), pa.array(score),
+            pa.array(-score / np.log10(2) / coded),
+        ], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]))
     return pa.concat_tables(parts)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row's whole text.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row's whole text.
 
-    The tree and the word counts are of the rows that are not held out. Null and empty texts are an end alone; equal
-    texts score alike; null doc_ids count by the empty string; with no training rows every chance is even; other columns
-    are ignored. A text's code length in bits is -score / log10(2); runs of white space are coded as one space.
+    The tree and the word counts are of the rows that are not held out. bits_per_byte is the code length of a byte of the
+    text's stream. Null and empty texts are an end alone; equal texts score alike; null doc_ids count by the empty string;
+    with no training rows every chance is even; other columns are ignored. Runs of white space are coded as one space.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = store(packed(docs).withColumn("piece", F.monotonically_increasing_id()))
+    size = rows.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + x))).first()[0] or 0
     blocks = max(1, round(size / BLOCK_BYTES))
-    docs = packed(docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("long")))
+    # round robin, from a place of each partition's own: blocks of one size whatever the doc_ids and texts are
+    start = F.xxhash64(F.shiftright("piece", 33))
+    rows = rows.withColumn("block", F.pmod(F.pmod(start, F.lit(blocks)) + F.col("piece").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(blocks)))
     parts = BRANCHES * shuffle_parts(docs.sparkSession)
-    asked = store(docs.groupBy("block").applyInArrow(lambda t: block_asks(t, parts), "block long, hash long, word binary, n long, branch int, keys binary, counts binary"))
-    by_word = asked.filter("hash is not null").select("block", "hash", "word", "n")
+    asked = store(rows.groupBy("block").applyInArrow(lambda t: block_asks(t, parts), "block long, word binary, n long, branch int, keys binary, counts binary"))
+    by_word = asked.filter("word is not null").select("block", "word", "n")
     words = store(by_word.groupBy("word").agg(F.sum("n").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     words = words.withColumn("base", F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))))
-    replies = by_word.select("block", "hash", "word").join(words, "word").select("block", "hash", "c", "base")
-    chances = pair_chances(asked.filter("hash is null").select("block", "branch", "keys", "counts"))
+    replies = by_word.select("block", "word").join(words, "word").select("block", "word", "c", "base")
+    chances = pair_chances(asked.filter("keys is not null").select("block", "branch", "keys", "counts"), blocks)
     replies = replies.unionByName(chances, allowMissingColumns=True)
-    out = docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(document_scores, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = rows.drop("piece").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(document_scores, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -1,37 +1,22 @@
-"""LM scoring by context-tree weighting.
+"""Context-tree weighting over binary decisions: the tree's estimates and their mixing, for arrays of (context, byte) pairs.
 
-Texts are coded as bytes: each word's, then a space; at the end a line feed. A byte is eight binary decisions, each at
-its own node (the bits so far, 1 to 255) of a context tree over the bytes before it in its word, back to the space in
-front, DEPTH at most. At every context the node's Krichevsky-Trofimov estimate is mixed, half and half, with the product
-of the contexts one byte longer; so all depths are mixed by what they have foretold of the training text.
+A byte is eight binary decisions, each at its own node (the bits so far, 1 to 255) of a context tree over the DEPTH bytes
+before it. At every context the node's Krichevsky-Trofimov estimate is mixed, half and half, with the product of the
+contexts one byte longer; so all depths are mixed by what they have foretold of the training text.
 
-A word's bytes depend on nothing outside it, so words are counted first and everything after works on distinct words:
-blocks of documents ask for the scores of the words they hold, blocks of words ask for the scores of the (context, byte)
-pairs they hold, and the tree is split by the last two bytes of context. Every table is shuffled by key; what is sent to
-all tasks is the top of the tree, of 256 * 255 nodes at most.
+A pair is a 64-bit key: the last byte of context in its top byte, then the ones before it, and the byte itself at the
+bottom. A branch is the part of the tree below some contexts of two bytes; branches are worked out one by one, and what
+they share, the contexts of one byte and of none, is the top, of 256 * 255 nodes at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import shuffle_parts, store
-from .shingles import LOWER, raw, word_hashes, word_spans
-from .tokens import balanced
 
 #: Bytes of context; with the byte itself they fit a 64-bit number.
 DEPTH = 6
-GAP, STOP = 0x20, 0x0A
-#: About so many bytes of text are a block of documents, so many words a block of words.
-BLOCK_BYTES = 48 << 20
-BLOCK_WORDS = 150_000
-SLICE_BYTES = 4 << 20
 HALF = np.log(0.5)
 LOG10 = np.log(10.0)
 
@@ -46,77 +31,76 @@ def lgamma(x: np.ndarray) -> np.ndarray:
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """log of the Krichevsky-Trofimov estimate of so many zeros and ones."""
-    return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - lgamma(zeros + ones + 1.0) - np.log(np.pi)
+    """log of the Krichevsky-Trofimov estimate of so many zeros and ones; they are mostly few, so that of equal counts it
+    is worked out once."""
+    small = (zeros < len(_KT)) & (ones < len(_KT))
+    out = np.empty(len(zeros))
+    out[small] = _KT[zeros[small].astype(np.int64), ones[small].astype(np.int64)]
+    z, o = zeros[~small], ones[~small]
+    out[~small] = lgamma(z + 0.5) + lgamma(o + 0.5) - lgamma(z + o + 1.0) - np.log(np.pi)
+    return out
 
 
-def pairs_of(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, word number, count) of each byte of the coded words.
+_COUNTS = np.arange(64.0)[:, None]
+_KT = lgamma(_COUNTS + 0.5) + lgamma(_COUNTS.T + 0.5) - lgamma(_COUNTS + _COUNTS.T + 1.0) - np.log(np.pi)
 
-    A key has the last byte of context in its top byte, then the ones before it, and the byte itself at the bottom.
-    The word b"\\n" is the end of a text, coded as that byte alone.
-    """
-    stop = bytes([STOP])
-    coded = [w if w == stop else w + b" " for w in words]
-    size = np.array([len(c) for c in coded], np.int64)
-    buf = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
-    begin = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(coded)), size)
-    nth = np.arange(len(buf)) - np.repeat(begin, size)
-    key = buf.copy()
-    for d in range(1, DEPTH + 1):
-        before = np.zeros(len(buf), np.uint64)
-        before[d:] = buf[:-d] if len(buf) > d else before[d:]
-        before[nth == d - 1] = GAP
-        before[nth < d - 1] = 0
-        key |= before << np.uint64(8 * (DEPTH + 1 - d))
-    return key.view(np.int64), word, counts[word]
 
+def own_share(kt: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """The weight of a node's own estimate against that of the contexts below it."""
+    return 1 / (1 + np.exp(np.clip(below - kt, -700, 700)))
+
+
+@dataclass
+class Level:
+    """Nodes of one depth for one bit of the byte: keys, counts, log weights; parent: each one's place a depth up."""
+
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    kt: np.ndarray
+    below: np.ndarray
+    weight: np.ndarray
+    parent: np.ndarray
 
-class Levels:
-    """The nodes of the tree from depth 2 on, for whole subtrees: keys, counts and log weights of each depth."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        byte, context = keys & 255, keys >> 8
-        counts = counts.astype(np.float64)
-        self.keys: dict[int, np.ndarray] = {}
-        self.zeros: dict[int, np.ndarray] = {}
-        self.ones: dict[int, np.ndarray] = {}
-        self.kt: dict[int, np.ndarray] = {}
-        self.below: dict[int, np.ndarray] = {}
-        self.weight: dict[int, np.ndarray] = {}
-        bits = np.arange(8)
-        node = (1 << bits)[:, None] | (byte[None, :] >> (8 - bits)[:, None])
-        one = (byte[None, :] >> (7 - bits)[:, None] & 1).astype(bool).ravel()
-        for d in range(DEPTH, 1, -1):
-            at = ((context >> (8 * (DEPTH - d)))[None, :] << 8 | node).ravel()
-            self.keys[d], back = np.unique(at, return_inverse=True)
-            n = np.tile(counts, 8)
-            self.ones[d] = np.bincount(back, weights=np.where(one, n, 0), minlength=len(self.keys[d]))
-            self.zeros[d] = np.bincount(back, weights=np.where(one, 0, n), minlength=len(self.keys[d]))
-            self.kt[d] = log_kt(self.zeros[d], self.ones[d])
-            if d == DEPTH:
-                self.weight[d] = self.kt[d]
-            else:
-                up = (self.keys[d + 1] >> 16 << 8) | (self.keys[d + 1] & 255)
-                self.below[d] = np.bincount(np.searchsorted(self.keys[d], up), weights=self.weight[d + 1], minlength=len(self.keys[d]))
-                self.weight[d] = np.logaddexp(HALF + self.kt[d], HALF + self.below[d])
+def levels(keys: np.ndarray, counts: np.ndarray, bit: int) -> tuple[list[Level], np.ndarray, np.ndarray]:
+    """(levels of depth 2 to DEPTH, each pair's node in the deepest, each pair's bit) of a branch's sorted distinct keys.
 
-    def estimates(self, top_sum: np.ndarray, top_rest: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Of each depth's nodes: the mixed chance of a one from all depths so far, and the weight left for deeper ones."""
-        out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for d in range(2, DEPTH + 1):
-            k = self.keys[d]
-            if d == 2:
-                up = (k >> 16 & 255) << 8 | (k & 255)
-                total, rest = top_sum[up], top_rest[up]
-            else:
-                up = np.searchsorted(self.keys[d - 1], (k >> 16 << 8) | (k & 255))
-                total, rest = out[d - 1][0][up], out[d - 1][1][up]
-            kt = (self.ones[d] + 0.5) / (self.zeros[d] + self.ones[d] + 1)
-            own = np.ones(len(k)) if d == DEPTH else 1 / (1 + np.exp(np.clip(self.below[d] - self.kt[d], -700, 700)))
-            out[d] = total + rest * own * kt, rest * (1 - own)
-        return out
+    Pairs that are counted 0 times have nodes too: without counts a node weighs nothing and its chances are even.
+    """
+    byte, context = keys & 255, keys >> 8
+    node = (1 << bit) | (byte >> (8 - bit))
+    one = (byte >> (7 - bit) & 1).astype(bool)
+    at = context << 8 | node  # sorted, as keys are
+    new = np.diff(at, prepend=-1) != 0
+    back = deepest = np.cumsum(new) - 1
+    at = at[new]
+    ones = np.bincount(back, weights=np.where(one, counts, 0), minlength=len(at))
+    zeros = np.bincount(back, weights=np.where(one, 0, counts), minlength=len(at))
+    kt = log_kt(zeros, ones)
+    out = [Level(at, zeros, ones, kt, kt, kt, back)]
+    for _ in range(DEPTH - 2):
+        child = out[0]
+        at, child.parent = np.unique((child.keys >> 16 << 8) | (child.keys & 255), return_inverse=True)
+        zeros, ones, below = (np.bincount(child.parent, weights=w, minlength=len(at)) for w in (child.zeros, child.ones, child.weight))
+        kt = log_kt(zeros, ones)
+        out.insert(0, Level(at, zeros, ones, kt, below, np.logaddexp(HALF + kt, HALF + below), child.parent))
+    return out, deepest, one
+
+
+def above(level: Level) -> np.ndarray:
+    """For each node of depth 2 the place of its node of depth 1 in the top: last byte << 8 | node."""
+    return (level.keys >> 16 & 255) << 8 | (level.keys & 255)
+
+
+def branch_top(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node of depth 1, zeros, ones, weight below) that a branch adds to the top; a node may come several times."""
+    parts = []
+    for bit in range(8):
+        two = levels(keys, counts, bit)[0][0]
+        up, back = np.unique(above(two), return_inverse=True)
+        parts.append((up, *(np.bincount(back, weights=w, minlength=len(up)) for w in (two.zeros, two.ones, two.weight))))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def top_of_tree(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,171 +112,26 @@ def top_of_tree(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     kt1 = log_kt(zeros, ones)
     weight1 = np.where(seen, np.logaddexp(HALF + kt1, HALF + below), 0.0).reshape(256, 256).sum(axis=0)
     z0, o0 = zeros.reshape(256, 256).sum(axis=0), ones.reshape(256, 256).sum(axis=0)
-    own = lambda kt, deeper: 1 / (1 + np.exp(np.clip(deeper - kt, -700, 700)))
-    own0 = np.where(z0 + o0 > 0, own(log_kt(z0, o0), weight1), 0.0)
+    own0 = np.where(z0 + o0 > 0, own_share(log_kt(z0, o0), weight1), 0.0)
     sum0, rest0 = own0 * (o0 + 0.5) / (z0 + o0 + 1), 1 - own0
-    own1 = np.where(seen, own(kt1, below), 0.0)
+    own1 = np.where(seen, own_share(kt1, below), 0.0)
     total = np.tile(sum0, 256) + np.tile(rest0, 256) * own1 * (ones + 0.5) / (zeros + ones + 1)
     return total, np.tile(rest0, 256) * (1 - own1)
 
 
-def log10_chances(levels: Levels, top: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """log10 of the chance of each key's byte in its context. What is unseen below a node is even."""
-    est = levels.estimates(*top)
-    byte, context = keys & 255, keys >> 8
+def log10_chances(keys: np.ndarray, counts: np.ndarray, top: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 of the chance of each pair's byte in its context, for a branch's sorted distinct keys."""
     out = np.zeros(len(keys))
-    last = context >> (8 * (DEPTH - 1))
     for bit in range(8):
-        node = (1 << bit) | (byte >> (8 - bit))
-        chance = top[0][last << 8 | node] + top[1][last << 8 | node] / 2
-        open_ = np.arange(len(keys))
-        for d in range(DEPTH, 1, -1):
-            at = context[open_] >> (8 * (DEPTH - d)) << 8 | node[open_]
-            place = np.minimum(np.searchsorted(levels.keys[d], at), max(len(levels.keys[d]) - 1, 0))
-            hit = levels.keys[d][place] == at if len(levels.keys[d]) else np.zeros(len(at), bool)
-            total, rest = est[d]
-            chance[open_[hit]] = total[place[hit]] + rest[place[hit]] / 2
-            open_ = open_[~hit]
-        one = (byte >> (7 - bit) & 1).astype(bool)
+        tree, deepest, one = levels(keys, counts, bit)
+        up = above(tree[0])
+        total, rest = top[0][up], top[1][up]
+        for d, x in enumerate(tree):
+            if d:
+                total, rest = total[x.parent], rest[x.parent]
+            estimate = (x.ones + 0.5) / (x.zeros + x.ones + 1)
+            own = np.ones(len(x.keys)) if d == DEPTH - 2 else own_share(x.kt, x.below)
+            total, rest = total + rest * own * estimate, rest * (1 - own)
+        chance = total[deepest]
         out += np.log(np.maximum(np.where(one, chance, 1 - chance), 1e-300))
     return out / LOG10
-
-
-def is_held_out(c) -> object:
-    return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 7 == 2
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, held_out, text, block) as rows of many documents of one block: their texts are compressed together,
-    which halves what is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for big in batches:
-            for batch in balanced(big, "text", SLICE_BYTES):
-                block = batch.column("block").to_numpy()
-                order = np.argsort(block, kind="stable")
-                text = batch.column("text").cast(pa.large_binary())
-                rows = []
-                for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                    take = pa.array(part)
-                    buf, offsets = raw(text.take(take))
-                    rows.append((int(block[part[0]]), batch.column("doc_id").take(take).to_pylist(), batch.column("held_out").take(take).to_pylist(), np.diff(offsets), pack.compress(buf.tobytes())))
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "doc_id", "held_out", "sizes", "texts"])
-
-    return docs.mapInArrow(run, "block long, doc_id array<long>, held_out array<boolean>, sizes array<long>, texts binary")
-
-
-def unpacked(table: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, held_out, bytes, offsets) of each row, lower-cased."""
-    unpack = zstandard.ZstdDecompressor()
-    for row in zip(*(table.column(c).to_pylist() for c in ("doc_id", "held_out", "sizes", "texts")), strict=True):
-        doc, held, sizes, texts = row
-        total = sum(sizes)
-        buf = np.frombuffer(unpack.decompress(texts, max_output_size=max(total, 1)), np.uint8)
-        yield doc, np.array(held, bool), LOWER[buf], np.append(0, np.cumsum(sizes)).astype(np.int64)
-
-
-END_HASH = np.uint64(0x0E4D0F7E87)
-
-
-def block_words(table: pa.Table) -> pa.Table:
-    """block, hash, word, n (in training rows) of the distinct words of a block; the end of text counts as a word."""
-    known: dict[int, list] = {int(END_HASH): [bytes([STOP]), 0]}
-    for _, held, buf, offsets in unpacked(table):
-        known[int(END_HASH)][1] += int((~held).sum())
-        starts, ends, text = word_spans(buf, offsets)
-        hashes, one, back = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        n = np.bincount(back, weights=~held[text], minlength=len(hashes)).astype(np.int64)
-        data = buf.tobytes()
-        for h, a, b, k in zip(hashes.tolist(), starts[one].tolist(), ends[one].tolist(), n.tolist(), strict=True):
-            if (x := known.get(h)) is None:
-                known[h] = [data[a:b], k]
-            else:
-                x[1] += k
-    hashes = np.fromiter(known, np.uint64, len(known)).view(np.int64)
-    block = np.full(len(known), table.column("block")[0].as_py())
-    return pa.table([pa.array(block), pa.array(hashes), pa.array([x[0] for x in known.values()], pa.binary()), pa.array([x[1] for x in known.values()], pa.int64())], ["block", "hash", "word", "n"])
-
-
-def document_scores(table: pa.Table, words: pa.Table) -> pa.Table:
-    """The block's documents with their sums over words: hash, c, base and score of each word are given."""
-    hashes = words.column("hash").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    c, base, score = (words.column(k).to_numpy()[order] for k in ("c", "base", "score"))
-    end = int(np.searchsorted(hashes, END_HASH))
-    parts = []
-    for doc, held, buf, offsets in unpacked(table):
-        starts, ends, text = word_spans(buf, offsets)
-        at = np.searchsorted(hashes, word_hashes(buf, starts, ends))
-        count = lambda weights: np.bincount(text, weights=weights, minlength=len(doc))  # noqa: E731, B023
-        parts.append(pa.table([
-            pa.array(doc, pa.int64()), pa.array(held), pa.array(np.bincount(text, minlength=len(doc)) + 1),
-            pa.array(count(c[at] > 0).astype(np.int64) + int(c[end] > 0)), pa.array(count(base[at]) + base[end]), pa.array(count(score[at]) + score[end]),
-        ], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
-    return pa.concat_tables(parts)
-
-
-def word_scores(words: DataFrame) -> DataFrame:
-    """words: word, c. The same with score: log10 of the word's chance under the tree fitted on words by their counts."""
-    parts = shuffle_parts(words.sparkSession)
-    blocks = max(1, -(-words.count() // BLOCK_WORDS))
-    dealt = words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int"))
-
-    def ask(table: pa.Table) -> pa.Table:
-        key, _, n = pairs_of(table.column("word").to_pylist(), table.column("c").to_numpy())
-        keys, back = np.unique(key, return_inverse=True)
-        return pa.table([pa.array(keys), pa.array(np.full(len(keys), table.column("block")[0].as_py(), np.int32)), pa.array(np.bincount(back, weights=n).astype(np.int64))], ["key", "block", "n"])
-
-    asked = store(dealt.groupBy("block").applyInArrow(ask, "key long, block int, n long"))
-    branch = F.pmod(F.hash(F.shiftright("key", 8 * (DEPTH - 1))), F.lit(parts)).alias("branch")
-    trained = asked.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0").select(branch, "key", "n")
-
-    def weigh(table: pa.Table) -> pa.Table:
-        x = Levels(table.column("key").to_numpy(), table.column("n").to_numpy())
-        k = x.keys[2]
-        up, back = np.unique((k >> 16 & 255) << 8 | (k & 255), return_inverse=True)
-        return pa.table([pa.array(up), *[pa.array(np.bincount(back, weights=w, minlength=len(up))) for w in (x.zeros[2], x.ones[2], x.weight[2])]], ["node", "zeros", "ones", "below"])
-
-    trained = store(trained)
-    top = trained.groupBy("branch").applyInArrow(weigh, "node long, zeros double, ones double, below double")
-    top = top_of_tree(top.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect())
-
-    def answer(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        x = Levels(table.column("key").to_numpy(), table.column("n").to_numpy())
-        keys, back = np.unique(wanted.column("key").to_numpy(), return_inverse=True)
-        return pa.table([wanted.column("block"), wanted.column("key"), pa.array(log10_chances(x, top, keys)[back])], ["block", "key", "chance"])
-
-    answers = trained.groupBy("branch").cogroup(asked.select(branch, "key", "block").groupBy("branch")).applyInArrow(answer, "block int, key long, chance double")
-
-    def spell(table: pa.Table, chances: pa.Table) -> pa.Table:
-        keys = chances.column("key").to_numpy()
-        order = np.argsort(keys)
-        key, word, _ = pairs_of(table.column("word").to_pylist(), table.column("c").to_numpy())
-        value = chances.column("chance").to_numpy()[order][np.searchsorted(keys[order], key)]
-        return pa.table([table.column("word"), table.column("c"), pa.array(np.bincount(word, weights=value, minlength=table.num_rows))], ["word", "c", "score"])
-
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(spell, "word binary, c long, score double")
-
-
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row's whole text.
-
-    The tree and the word counts are of the rows that are not held out. Null and empty texts are an end alone; equal
-    texts score alike; null doc_ids count by the empty string; with no training rows every chance is even; other columns
-    are ignored. A text's code length in bits is -score / log10(2).
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, round(size / BLOCK_BYTES))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("long"))
-    docs = packed(docs)
-    asked = store(docs.groupBy("block").applyInArrow(block_words, "block long, hash long, word binary, n long"))
-    words = store(asked.groupBy("word").agg(F.sum("n").alias("c")))
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    scored = word_scores(words).withColumn("base", F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))))
-    replies = asked.select("block", "hash", "word").join(scored, "word").select("block", "hash", "c", "base", "score")
-    out = docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(document_scores, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
