@@ -7,21 +7,35 @@ from .common import WORD
 
 
 def mix_sql() -> str:
-    """The mix takes each source's stream from its start, so a document's words follow from where it stands in it."""
+    """The same mix, slot by slot: ranks by one window, blocks by one join of documents' stretches with slots."""
     weights = " ".join(f"WHEN r % {len(mixing.WEIGHTS)} = {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS))
+    slots = mixing.SLOTS
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size, md5(coalesce(cast(doc_id AS varchar), '')) AS k FROM documents),
-p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY cast('0x' || left(k, 3) AS int) % {mixing.BUCKETS}, k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+WITH d AS (SELECT doc_id, source, md5(coalesce(cast(doc_id AS varchar), '') || '|' || coalesce(md5(source), '') || '|' || coalesce(text, '')) AS row_key, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size, md5(coalesce(cast(doc_id AS varchar), '')) AS k FROM documents),
+p AS (SELECT *, row_number() OVER w AS nth, cast(sum(size) OVER w - size AS bigint) AS start FROM d
+  WINDOW w AS (PARTITION BY source ORDER BY cast('0x' || left(k, 3) AS int) % {mixing.BUCKETS}, k, doc_id, size, row_key ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
 w AS (SELECT *, cast(CASE {weights} END AS double) AS weight, source_size * {mixing.MOST_REPEATS}.0::double AS cap FROM s),
 o AS (SELECT *, cap / weight AS ratio, cast(sum(source_size) OVER () AS double) AS words,
   coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
   sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS free FROM w),
 l AS (SELECT arg_min((words - capped) / free, ratio) AS level FROM o WHERE (words - capped) / free <= ratio),
-t AS (SELECT source, cast(source_size AS bigint) AS source_size, least(cap, level * weight) AS target FROM o, l),
-f AS (SELECT *, cast(round(target) AS bigint) // nullif(source_size, 0) AS whole, cast(round(target) AS bigint) % nullif(source_size, 0) AS rest FROM t)
-SELECT doc_id, size, source_size, target, cast(coalesce(whole * size + greatest(0, least(size, rest - start)), 0) AS bigint) AS taken
-FROM p JOIN f ON p.source IS NOT DISTINCT FROM f.source"""
+t AS (SELECT source, cast(source_size AS bigint) AS source_size, words, least(cap, level * weight) AS target FROM o, l),
+h AS (SELECT *, sum(target / words) OVER (ORDER BY source NULLS LAST) AS hi, row_number() OVER (ORDER BY source DESC NULLS FIRST) = 1 AS final,
+  cast(greatest(ceil(words / {slots}), 1) AS bigint) AS b, cast(round(target) AS bigint) AS wanted FROM t WHERE source_size > 0),
+n AS (SELECT *, hi - target / words AS lo, wanted // source_size AS whole, wanted % source_size AS rest FROM h),
+f AS (SELECT source, source_size, target, lo, CASE WHEN final THEN 2.0 ELSE hi END AS hi, b, cast(ceil(source_size / b) AS bigint) AS blocks, whole, rest,
+  whole * cast(ceil(source_size / b) AS bigint) + cast(ceil(rest / b) AS bigint) AS ranks FROM n),
+g AS (SELECT i AS slot, f.*, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS rank FROM (SELECT i, (i * {mixing.GOLDEN} % {1 << 32}) / {float(1 << 32)} AS x FROM range({slots}) r(i)) JOIN f ON x >= lo AND x < hi),
+e AS (SELECT {slots} + rank AS slot, source, rank FROM (SELECT f.source, unnest(range(coalesce(had, 0), ranks)) AS rank FROM f LEFT JOIN (SELECT source, count(*) AS had FROM g GROUP BY source) c ON f.source IS NOT DISTINCT FROM c.source)),
+a AS (SELECT slot, source, rank FROM g UNION ALL SELECT slot, source, rank FROM e),
+c AS (SELECT slot, a.source, rank % blocks AS block, b, CASE WHEN rank >= whole * blocks THEN least(least(b, source_size - rank % blocks * b), rest - rank % blocks * b) ELSE least(b, source_size - rank % blocks * b) END AS take
+  FROM a JOIN f ON a.source IS NOT DISTINCT FROM f.source WHERE rank < ranks),
+q AS (SELECT p.source, nth, start, size, unnest(range(start // b, (start + size - 1) // b + 1)) AS block FROM p JOIN f ON p.source IS NOT DISTINCT FROM f.source WHERE size > 0),
+m AS (SELECT q.source, nth, slot, least(start + size, block * b + take) - greatest(start, block * b) AS n_words FROM q JOIN c USING (block) WHERE q.source IS NOT DISTINCT FROM c.source),
+u AS (SELECT source, nth, sum(n_words) AS taken, min(slot) AS first_slot, count(DISTINCT slot) AS n_slots FROM m WHERE n_words > 0 GROUP BY source, nth)
+SELECT doc_id, cast(size AS bigint) AS size, source_size, target, cast(coalesce(taken, 0) AS bigint) AS taken, cast(first_slot AS bigint) AS first_slot, cast(coalesce(n_slots, 0) AS bigint) AS n_slots
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN u ON p.source IS NOT DISTINCT FROM u.source AND p.nth = u.nth"""
 
 
 def quality_sql() -> str:
