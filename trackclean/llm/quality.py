@@ -67,21 +67,21 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts and the two histograms of every document; null texts have no words.
+def measured(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, carried (the columns in carry), the base counts and the two histograms of every document; null texts have no words.
 
     classes: a-z, A-Z, 0-9, white space, symbols, ASCII beyond those, other characters. Only the second and later ones
     are counted one by one, in what is left without a-z and white space. bins: BINS function words of the row's
     language, then all other words.
     """
-    x = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    x = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0), *carry).alias("carried"))
     x = x.withColumn("words", split_words(F.col("text")))
     x = x.withColumn("hashes", window_hashes(F.col("words"))).withColumn("rest", F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", ""))
     x = x.withColumn("lines", F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD)))
     word = lambda i: reduce(lambda rest, k: F.when(F.col("lang") == k, F.lit(COMMON[k][i])).otherwise(rest), COMMON, F.lit("\n"))
     long = lambda c: c.cast("long")
     x = x.select(
-        "doc_id", "lang",
+        "doc_id", "lang", "carried",
         long(F.size("words")).alias("n_words"),
         long(F.char_length(F.array_join("words", ""))).alias("word_chars"),
         long(F.regexp_count("rest", F.lit(SYMBOLS))).alias("n_symbols"),
@@ -96,7 +96,7 @@ def measured(docs: DataFrame) -> DataFrame:
     x = x.withColumn("classes", F.array(lower, "upper", "digit", F.col("chars") - F.col("word_chars"), "n_symbols", F.col("ascii") - F.col("upper") - F.col("digit") - F.col("n_symbols"), other))
     known = reduce(lambda a, b: a + b, [F.col(f"b{i}") for i in range(BINS)])
     x = x.withColumn("bins", F.array(*[f"b{i}" for i in range(BINS)], F.col("n_words") - known))
-    return x.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "classes", "bins")
+    return x.select("doc_id", "lang", "carried", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "classes", "bins")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -115,15 +115,16 @@ def references(counts: DataFrame) -> DataFrame:
     return x.select("lang", "r_words", F.array(*[f"c{i}" for i in range(CLASSES)]).alias("r_classes"), F.array(*[f"b{i}" for i in range(BINS + 1)]).alias("r_bins"))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts, base_failed, the two distances and kept, for every row of docs.
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, base counts, base_failed, kept, the two distances and carried (a struct of the columns in carry, if there
+    are any), for every row of docs.
 
     kept is false if base_failed, or if a histogram is further from its language's reference than allowed. A text of
     fewer than MIN_CHARS characters (MIN_WORDS words) is not judged by the first (second) histogram, and languages with
     little text judge nothing. Null texts count as empty (no words: base_failed); null languages are a language of their
     own; equal rows are judged alike; other columns are ignored.
     """
-    counts = cut(measured(docs))
+    counts = cut(measured(docs, carry))
     x = join_same(counts, references(counts), ["lang"])
     doubles = lambda c: F.col(c).cast("array<double>")
     enough = F.col("r_words") >= MIN_REFERENCE_WORDS
@@ -133,4 +134,5 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return x.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "word_distance")
+        failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "word_distance",
+        *["carried"] * bool(carry))
