@@ -11,43 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackclean.llm import mixing, neardup, packing, quality, substrings
-from trackclean.llm.common import WORD, join_same, read_table, store
+from trackclean.llm.common import WORD, join_same, let_go, read_table, store, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    kept = quality.quality_rules(docs).filter("kept").select("doc_id")
-    return join_same(docs.select(*COLUMNS), kept, ["doc_id"], "left_semi")
+    """Rows that the quality rules keep, each by its own verdict."""
+    kept = quality.quality_rules(docs, carry=tuple(COLUMNS)).filter("kept")
+    return kept.select(*[f"carried.{c}" for c in COLUMNS])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates; rows without doc_id all stay."""
-    gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row of each group of near-duplicates: that of the smallest doc_id, of those the one whose text's MD5 is least.
+
+    Rows that share a doc_id are documents of their own. Rows without doc_id or without a word all stay.
+    """
+    worded = F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(WORD)
+    x = docs.select(*COLUMNS)
+    stay = neardup.representatives(x.filter(worded))
+    found = join_same(x.filter(worded).withColumn("text_key", F.md5("text")), stay, ["doc_id", "text_key"])
+    return found.dropDuplicates(["doc_id", "text_key"]).select(*COLUMNS).unionByName(x.filter(~worded))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that start earlier; half characters at a cut go too."""
-    left = substrings.remove_repeats(docs, texts=True, carry=("lang", "source"))
-    text = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    return left.withColumn("text", text).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    """Texts without passages that start earlier; what a cut leaves of a character goes too."""
+    left = substrings.remove_repeats(docs, texts=True, carry=("lang", "source")).withColumnRenamed("kept", "text")
+    return left.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document; a source's last one may be its first words only.
+    """A row for each time that the mix takes a document, in the order of the schedule's slots.
 
-    A source's stream is taken from its start on, so that a document's last copy is what is left of its words. Rows that
-    share doc_id, source and size each get the largest of their shares.
+    Where the mix takes a document's first words only, the text ends behind the last of them, white space as it is. Of rows
+    that are equal in doc_id, source and text, lang is one's of them.
     """
-    taken = mixing.mix_digest(docs).filter("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    x = docs.select(*COLUMNS).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    x = join_same(x, taken, ["doc_id", "size"])
-    x = x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
-    words = F.least("size", F.col("taken") - (F.col("copy") - 1) * F.col("size"))
-    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
-    x = x.withColumn("text", F.when(words < F.col("size"), start).otherwise(F.col("text")))
+    x = docs.select(*COLUMNS).withColumn("row_key", mixing.row_key(F.col("doc_id"), F.col("source").cast("string"), F.col("text")))
+    x = x.dropDuplicates(["row_key"]).drop("n_chars").join(mixing.taken_documents(docs), "row_key")
+    words = F.regexp_extract_all("text", F.lit(f"[ \\t-\\r]*{WORD}"), F.lit(0))
+    start = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")
+    x = x.withColumn("text", F.when(F.col("words") < F.regexp_count("text", F.lit(WORD)), start).otherwise(F.col("text")))
+    x = x.orderBy("first_slot", "bucket", "nth")
     return x.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
@@ -63,15 +67,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources", mix_stage),
     ("best-fit packing", pack_stage),
 ]
-#: Near-duplicate components, byte-level passages, hash orders and tokens are beyond SQL: tests hold run() against brute force.
+#: Near-duplicate components, byte-level passages and tokens are beyond SQL: tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what a stage returns is written to the shared folder before the next one reads it."""
+    """All stages over the documents; what a stage returns is written to the shared folder before the next one reads it.
+    What a stage stored on its way is deleted when its result has been written."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        since = stored()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = store(docs)
+            let_go(spark, since, keep=1)
     return docs
