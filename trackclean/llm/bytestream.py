@@ -13,6 +13,7 @@ those of JOINED blocks. What is sent to all tasks is the top of the tree, of 256
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import shuffle_parts, store
 from .ctw import DEPTH, branch_top, log10_chances, top_of_tree
@@ -27,6 +29,7 @@ from .shingles import LOWER, distinct_words, mix, raw, word_spans
 from .tokens import balanced
 
 GAP, STOP = 0x20, 0x0A
+END = bytes([STOP])
 #: About so many bytes of text are a block of documents, so many a row of packed texts.
 BLOCK_BYTES = 32 << 20
 SLICE_BYTES = 1 << 20
@@ -129,17 +132,22 @@ def added(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 
 def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct keys and how often they are in training texts."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    """The sorted distinct keys and how often they are in training texts; a key has 56 bits, so there is room for a mark."""
+    marked = np.sort(keys << 1 | train)
+    keys = marked >> 1
     first = np.flatnonzero(np.diff(keys, prepend=-1))
-    return keys[first], np.add.reduceat(train[order].astype(np.int64), first) if len(first) else first
+    return keys[first], np.add.reduceat(marked & 1, first) if len(first) else first
+
+
+def hashes(words: pa.Array, seed: int) -> np.ndarray:
+    return np.fromiter((xxh3_64_intdigest(w, seed) for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
 
 
 def block_asks(table: pa.Table, parts: int) -> pa.Table:
     """What a block asks for: its distinct words and, by branch, its pairs, with their counts in training rows.
 
-    The end of a text counts as a word, the line feed.
+    A word's answer comes under a hash, whose seed is the first that tells all words of the block apart. The end of a text
+    counts as a word, the line feed.
     """
     words: list[pa.Table] = []
 
@@ -148,7 +156,7 @@ def block_asks(table: pa.Table, parts: int) -> pa.Table:
             starts, ends, text = word_spans(buf, offsets)
             found, nth = distinct_words(buf, starts, ends)
             n = np.bincount(nth, weights=~held[text], minlength=len(found)).astype(np.int64)
-            words.append(pa.table([pa.concat_arrays([found, pa.array([bytes([STOP])], pa.large_binary())]), pa.array(np.append(n, (~held).sum()))], ["word", "n"]))
+            words.append(pa.table([pa.concat_arrays([found, pa.array([END], pa.large_binary())]), pa.array(np.append(n, (~held).sum()))], ["word", "n"]))
             keys, text = stream_keys(buf, offsets)
             yield counted(keys, ~held[text])
 
@@ -156,12 +164,15 @@ def block_asks(table: pa.Table, parts: int) -> pa.Table:
     branch = (mix((keys >> (8 * (DEPTH - 1))).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(branch, kind="stable")
     rows = [(int(branch[at[0]]), squeezed_keys(keys[at]), squeezed(n[at])) for at in np.split(order, np.flatnonzero(np.diff(branch[order])) + 1)]
-    block = table.column("block")[0].as_py()
     mine = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["branch", "keys", "counts"])
     theirs = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
-    theirs = pa.table([theirs.column("word").cast(pa.binary()), theirs.column("n_sum")], ["word", "n"])
+    word = theirs.column("word").combine_chunks()
+    seed = next(k for k in count() if len(np.unique(hashes(word, k))) == len(word))
+    theirs = pa.table([word.cast(pa.binary()), pa.array(hashes(word, seed)), theirs.column("n_sum")], ["word", "hash", "n"])
     both = pa.concat_tables([mine, theirs], promote_options="default")
-    return both.append_column("block", pa.array(np.full(both.num_rows, block))).select(["block", "word", "n", "branch", "keys", "counts"])
+    same = lambda x, kind: pa.array(np.full(both.num_rows, x, kind))
+    both = both.append_column("block", same(table.column("block")[0].as_py(), np.int64)).append_column("seed", same(seed, np.int32))
+    return both.select(["block", "seed", "hash", "word", "n", "branch", "keys", "counts"])
 
 
 def tree_of(asked: DataFrame, blocks: int) -> DataFrame:
@@ -222,14 +233,15 @@ def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return at[coded.indices.to_numpy()]
 
 
-def document_scores(table: pa.Table, replies: pa.Table) -> pa.Table:
-    """The block's documents with the sums over their words and over their streams' bytes."""
-    words = replies.filter(pc.is_valid(replies.column("word")))
-    value_set = words.column("word").combine_chunks().cast(pa.large_binary())
-    c, base = (words.column(k).to_numpy() for k in ("c", "base"))
-    end = pc.index_in(pa.array([bytes([STOP])], pa.large_binary()), value_set)[0].as_py()
-    pairs = replies.filter(pc.is_valid(replies.column("keys")))
-    del words, replies
+def document_scores(table: pa.Table, replies: pa.Table, total: int) -> pa.Table:
+    """The block's documents with the sums over their words and over their streams' bytes; total: N + V + 1."""
+    word = pc.is_valid(replies.column("hash"))
+    known, c, seed = (pc.filter(replies.column(k), word).to_numpy() for k in ("hash", "c", "seed"))
+    order = np.argsort(known)
+    known, c, seed = known[order], c[order], int(seed[0])
+    base = np.log10((c + 1) / total)
+    end = int(np.searchsorted(known, hashes(pa.array([END]), seed)[0]))
+    pairs = replies.select(["keys", "chances"]).filter(pc.is_valid(replies.column("keys")))
     keys = np.concatenate([unsqueezed_keys(pairs.column("keys")[i].as_py()) for i in range(pairs.num_rows)])
     chance = np.concatenate([unsqueezed(pairs.column("chances")[i].as_py(), np.float32) for i in range(pairs.num_rows)])
     del pairs
@@ -240,14 +252,14 @@ def document_scores(table: pa.Table, replies: pa.Table) -> pa.Table:
     for doc, held, buf, offsets in unpacked(table):
         starts, ends, text = word_spans(buf, offsets)
         found, nth = distinct_words(buf, starts, ends)
-        at = pc.index_in(found, value_set).to_numpy()[nth] if len(found) else nth
-        count = lambda weights: np.bincount(text, weights=weights, minlength=len(doc))  # noqa: E731, B023
+        at = np.searchsorted(known, hashes(found, seed))[nth]
+        summed = lambda weights: np.bincount(text, weights=weights, minlength=len(doc))  # noqa: E731, B023
         key, of = stream_keys(buf, offsets)
         score = np.bincount(of, weights=chance[places(keys, key)], minlength=len(doc))
         coded = np.bincount(of, minlength=len(doc))
         parts.append(pa.table([
             pa.array(doc, pa.int64()), pa.array(held), pa.array(np.bincount(text, minlength=len(doc)) + 1),
-            pa.array(count(c[at] > 0).astype(np.int64) + int(c[end] > 0)), pa.array(count(base[at]) + base[end]), pa.array(score),
+            pa.array(summed(c[at] > 0).astype(np.int64) + int(c[end] > 0)), pa.array(summed(base[at]) + base[end]), pa.array(score),
             pa.array(-score / np.log10(2) / coded),
         ], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]))
     return pa.concat_tables(parts)
@@ -268,13 +280,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
     start = F.xxhash64(F.shiftright("piece", 33))
     rows = rows.withColumn("block", F.pmod(F.pmod(start, F.lit(blocks)) + F.col("piece").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(blocks)))
     parts = BRANCHES * shuffle_parts(docs.sparkSession)
-    asked = store(rows.groupBy("block").applyInArrow(lambda t: block_asks(t, parts), "block long, word binary, n long, branch int, keys binary, counts binary"))
-    by_word = asked.filter("word is not null").select("block", "word", "n")
+    asked = store(rows.groupBy("block").applyInArrow(lambda t: block_asks(t, parts), "block long, seed int, hash long, word binary, n long, branch int, keys binary, counts binary"))
+    by_word = asked.filter("word is not null").select("block", "seed", "hash", "word", "n")
     words = store(by_word.groupBy("word").agg(F.sum("n").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    words = words.withColumn("base", F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))))
-    replies = by_word.select("block", "word").join(words, "word").select("block", "word", "c", "base")
+    replies = by_word.select("block", "seed", "hash", "word").join(words, "word").select("block", "seed", "hash", "c")
     chances = pair_chances(asked.filter("keys is not null").select("block", "branch", "keys", "counts"), blocks)
     replies = replies.unionByName(chances, allowMissingColumns=True)
-    out = rows.drop("piece").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(document_scores, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    out = rows.drop("piece").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
+        lambda texts, answers: document_scores(texts, answers, n + v + 1),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
