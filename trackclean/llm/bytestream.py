@@ -31,10 +31,10 @@ from .tokens import balanced
 GAP, STOP = 0x20, 0x0A
 END = bytes([STOP])
 #: About so many bytes of text are a block of documents, so many a row of packed texts.
-BLOCK_BYTES = 32 << 20
-SLICE_BYTES = 1 << 20
+BLOCK_BYTES = 16 << 20
+SLICE_BYTES = 1 << 19
 #: So many pairs are gathered before equal ones are added up.
-PENDING = 2_000_000
+PENDING = 1_000_000
 #: Branches of the tree for each partition of a shuffle; blocks whose asks of a branch are taken together.
 BRANCHES = 4
 JOINED = 512
