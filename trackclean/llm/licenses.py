@@ -1,10 +1,17 @@
-"""License scans: every shingle of a text is looked up in the templates' sets; exact containment in a window decides.
+"""License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
-Words are lower-cased runs of letters, digits and bytes beyond ASCII; sets are of five-word shingles; a template of fewer
-words is one shingle, its whole word sequence, looked for at every word. A template of m shingles is held by a window of m
-shingles and a stride (max(1, m // STRIDE)) on both sides if they contain SHARE hundredths of its shingles. All windows are
-judged: those that start at a shingle of the template contain as much as any other. Templates of one name, and templates
-that hold each other (the headers of the GPL's versions), are one place where their words overlap: the one contained most.
+Words are lower-cased runs of letters, digits and bytes beyond ASCII; sets are of five-word shingles. A text's windows are
+WINDOW shingles long and start STRIDE apart; a template's start at every shingle. Windows are sketched by BANDS bands of
+ROWS minima, and a window that agrees in a band with a template's retrieves it. Equal windows always agree, so it is
+certain that a template is retrieved where RUN of its shingles in a row are left as they were. That is so in every altered
+copy that still contains SHARE hundredths of a template of LONG shingles or more: a change inside it takes four shingles in
+a row at least, so that changes that take a quarter in all leave a run of RUN between them. Shorter templates have windows
+of one shingle, whose sketch is the shingle's hash; a template of fewer words than a shingle is one, its whole word
+sequence, looked for at every word.
+
+What is retrieved is judged by the whole text: a place contains a template if SHARE hundredths of its shingles are in a
+window of TIGHT, else of wider, eighths of its length. Templates of one name, and templates that hold each other (the
+headers of the GPL's versions), are one place where their words overlap: the one contained most.
 """
 
 from __future__ import annotations
@@ -22,17 +29,28 @@ from .tokens import balanced
 
 #: Public license texts and usual notices.
 TEMPLATES: dict[str, str | tuple[str, ...]] = {
-    "MIT": (
+    "MIT": ((
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
         "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
         "notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "ISC": (
+    ), (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    )),
+    "ISC": ((
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."
-    ),
+    ), (
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+        "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE."
+    )),
     "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
@@ -94,12 +112,43 @@ TEMPLATES: dict[str, str | tuple[str, ...]] = {
     "CC-BY-NC-SA-4.0 notice": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0"),
     "CC-BY-NC-ND-4.0 notice": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"),
     "CC0-1.0 notice": ("CC0 1.0 Universal", "Creative Commons Zero"),
+    "BSD disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+        "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+        "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+        "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+        "for any damages arising from the use of this software. Permission is granted to anyone to use this software for any "
+        "purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+        "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+        "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but "
+        "is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+        "original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, "
+        "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+        "Software is furnished to do so, all subject to the following:"
+    ),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Proprietary notice": "All rights reserved.",
 }
 WIDTH = 5
-STRIDE = 8
 SHARE = 75
+#: Shingles of a window, from one window to the next, and in a row that make it certain that one is whole.
+WINDOW, STRIDE = 4, 3
+RUN = WINDOW + STRIDE - 1
+#: Templates of fewer shingles have windows of one.
+LONG = 8
+BANDS, ROWS = 2, 2
+#: Lengths of the windows of verification, in eighths of the template's.
+REACHES = (10, 12, 16)
 #: Bytes of text whose hashes are worked out at once: they stay in a processor's cache.
 CACHED = 1 << 18
 _WORD = np.zeros(256, bool)
@@ -134,8 +183,40 @@ def shingled(buf: np.ndarray, offsets: np.ndarray, short: tuple[int, ...] = ())
     return mix(total[keep]), np.append(0, np.cumsum(m)), first[:-1], n, shorter
 
 
+def bands(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each window of WINDOW shingles from the starts given."""
+    out = np.empty((len(starts), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(starts), b + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for r in range(ROWS):
+            h = mix(values + np.uint64((b * ROWS + r + 1) * 0xD1342543DE82EF95 % (1 << 64)))
+            least = h[starts]
+            for k in range(1, WINDOW):
+                least = np.minimum(least, h[starts + k])
+            key = mix(key ^ least)
+        out[:, b] = key
+    return out
+
+
+class Lookup:
+    """Templates by keys: a sorted table, and a first test by 20 bits."""
+
+    def __init__(self, keys: np.ndarray, owners: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], owners[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in keys, template) of all agreements."""
+        maybe = np.flatnonzero(self.seen[(keys & np.uint64(0xFFFFF)).astype(np.int64)])
+        left = np.searchsorted(self.keys, keys[maybe], "left")
+        times = np.searchsorted(self.keys, keys[maybe], "right") - left
+        return np.repeat(maybe, times), self.owners[np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())]
+
+
 class Scanner:
-    """The templates' sets, and the search of a batch of texts for them."""
+    """The templates' windows and sets, and the search of a batch of texts for them."""
 
     def __init__(self, templates: dict[str, str | tuple[str, ...]]) -> None:
         wordings = [(name, t) for name, x in templates.items() for t in ((x,) if isinstance(x, str) else x)]
@@ -143,46 +224,58 @@ class Scanner:
         values, bounds, first, words, shorter = shingled(*raw(pa.array([t for _, t in wordings], pa.string())), short=tuple(range(1, WIDTH)))
         if len(words) and words.min() < 1:
             raise ValueError("a template needs a word")
-        self.lengths = [int(n) for n in np.diff(bounds)]
+        self.lengths = np.diff(bounds).tolist()
         #: template: its number of words and hash, for those of fewer words than WIDTH
         self.short = {t: (int(n), shorter[int(n)][first[t]]) for t, n in enumerate(words) if n < WIDTH}
-        sets = [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.sizes = [len(x) for x in sets]
-        # the sets as one table of (hash, template), by hash, and a first test by 20 bits
-        order = np.argsort(np.concatenate([*sets, values[:0]]), kind="stable")
-        self.keys = np.concatenate([*sets, values[:0]])[order]
-        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.sets = [np.unique(values[a:b]) for a, b in pairwise(bounds.tolist())]
+        starts = [np.arange(a, b - WINDOW + 1) if b - a >= LONG else np.arange(0) for a, b in pairwise(bounds.tolist())]
+        self.windows = Lookup(bands(values, np.concatenate(starts)).ravel(), np.repeat(np.arange(len(starts)), [len(x) * BANDS for x in starts]))
+        single = [x if n < LONG else x[:0] for x, n in zip(self.sets, self.lengths, strict=True)]
+        self.singles = Lookup(np.concatenate(single), np.repeat(np.arange(len(single)), [len(x) for x in single]))
         #: templates of one group are one place where they overlap
-        self.groups = [min(u for u in range(t + 1) if self.names[u] == name or self.alike(sets[u], sets[t])) for t, name in enumerate(self.names)]
+        self.groups = [min(u for u in range(t + 1) if self.names[u] == name or self.alike(self.sets[u], self.sets[t])) for t, name in enumerate(self.names)]
 
     @staticmethod
     def alike(a: np.ndarray, b: np.ndarray) -> bool:
         return len(a) > 0 and 100 * np.isin(a, b).sum() >= SHARE * max(len(a), len(b))
 
-    def places(self, t: int, at: np.ndarray, values: np.ndarray) -> list[tuple[int, float]]:
-        """(first shingle, containment) of one text's places of a template, from where its shingles are."""
-        m, size = self.lengths[t], self.sizes[t]
-        reach = np.searchsorted(at, at + m + 2 * max(1, m // STRIDE))
+    def retrieved(self, values: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+        """(text, template) of which a window of the text agrees in a band with one of the template."""
+        size = np.diff(bounds)
+        n = np.maximum((size - WINDOW) // STRIDE + 1, 0)
+        starts = np.repeat(bounds[:-1] - STRIDE * (np.cumsum(n) - n), n) + STRIDE * np.arange(n.sum())
+        at, owner = self.windows.hits(bands(values, starts).ravel())
+        one, other = self.singles.hits(values)
+        at, owner = np.concatenate([starts[at // BANDS], one]), np.concatenate([owner, other])
+        text = np.searchsorted(bounds, at, "right") - 1
+        return np.unique(np.stack([text, owner], axis=1), axis=0).tolist()
+
+    def places(self, t: int, at: np.ndarray, values: np.ndarray, reach: int) -> list[tuple[int, int, float]]:
+        """(first and last shingle, containment) of one text's places of a template, from where its shingles are.
+
+        A place is a window of reach shingles; it ends with the last shingle that it has not had before.
+        """
+        stops = np.searchsorted(at, at + reach)
         inside: dict[int, int] = {}
         held, share = 0, np.zeros(len(at))
         listed = values.tolist()
-        for i, stop in enumerate(reach.tolist()):
+        for i, stop in enumerate(stops.tolist()):
             for k in listed[held:stop]:
                 inside[k] = inside.get(k, 0) + 1
             held = stop
-            share[i] = len(inside) / size
+            share[i] = len(inside) / len(self.sets[t])
             inside[listed[i]] -= 1
             if not inside[listed[i]]:
                 del inside[listed[i]]
         out, i = [], 0
         good = np.flatnonzero(100 * share >= SHARE)
         while i < len(good):
-            near = good[i : np.searchsorted(at[good], at[good[i]] + m + WIDTH - 1)]
-            best = near[np.argmax(share[near])]
-            out.append((int(at[best]), float(share[best])))
-            i = int(np.searchsorted(at[good], at[best] + m + WIDTH - 1))
+            near = good[i : np.searchsorted(at[good], at[good[i]] + reach)]
+            best = int(near[np.argmax(share[near])])
+            new = np.unique(values[best : stops[best]], return_index=True)[1]
+            last = int(at[best + new.max()])
+            out.append((int(at[best]), last, float(share[best])))
+            i = int(np.searchsorted(at[good], last + WIDTH))
         return out
 
     def scan(self, column: pa.Array) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray]:
@@ -197,19 +290,15 @@ class Scanner:
                 d = int(np.searchsorted(first, k, "right")) - 1
                 if k + n <= first[d] + words[d]:
                     found.append((d, t, k - int(first[d]), n, 1.0))
-        maybe = np.flatnonzero(self.seen[(values & np.uint64(0xFFFFF)).astype(np.int64)])
-        left = np.searchsorted(self.keys, values[maybe], "left")
-        times = np.searchsorted(self.keys, values[maybe], "right") - left
-        at = np.repeat(maybe, times)
-        owner = self.owners[np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())]
-        text = np.searchsorted(bounds, at, "right") - 1
-        order = np.lexsort((at, owner, text))
-        at, owner, text = at[order], owner[order], text[order]
-        cuts = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-        for a, b in pairwise([*cuts.tolist(), len(at)]):
-            t, d = int(owner[a]), int(text[a])
-            if 100 * (b - a) >= SHARE * self.sizes[t]:
-                found += [(d, t, place - int(bounds[d]), self.lengths[t] + WIDTH - 1, share) for place, share in self.places(t, at[a:b], values[at[a:b]])]
+        for d, t in self.retrieved(values, bounds):
+            mine = values[bounds[d] : bounds[d + 1]]
+            at = np.flatnonzero(np.isin(mine, self.sets[t]))
+            for eighths in REACHES:
+                if 100 * len(at) < SHARE * len(self.sets[t]):
+                    break
+                for a, b, share in self.places(t, at, mine[at], max(self.lengths[t] + 2, self.lengths[t] * eighths // 8)):
+                    found.append((d, t, a, b - a + WIDTH, share))
+                    at = at[(at < a) | (at > b)]
         return self.apart(found), words
 
     def apart(self, found: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
