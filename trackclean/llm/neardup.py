@@ -31,7 +31,7 @@ SHARE = 75
 #: Pairs of one pivot that are checked together; shingles of the sets that an index holds; sets streamed past it at once.
 CHUNK = 256
 INDEXED = 1 << 20
-STREAMED = 4096
+STREAMED = 1024
 
 
 def sketches(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
