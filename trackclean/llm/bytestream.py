@@ -34,7 +34,7 @@ END = bytes([STOP])
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 1 << 19
 #: So many pairs are gathered before equal ones are added up.
-PENDING = 1_000_000
+PENDING = 500_000
 #: Branches of the tree for each partition of a shuffle; blocks whose asks of a branch are taken together.
 BRANCHES = 4
 JOINED = 512
@@ -140,7 +140,9 @@ def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashes(words: pa.Array, seed: int) -> np.ndarray:
-    return np.fromiter((xxh3_64_intdigest(w, seed) for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
+    """64-bit hashes of words; few are Python objects at once."""
+    few = (words.slice(k, 1 << 14).to_pylist() for k in range(0, len(words), 1 << 14))
+    return np.fromiter((xxh3_64_intdigest(w, seed) for part in few for w in part), np.uint64, len(words)).view(np.int64)
 
 
 def block_asks(table: pa.Table, parts: int) -> pa.Table:
@@ -165,7 +167,7 @@ def block_asks(table: pa.Table, parts: int) -> pa.Table:
     order = np.argsort(branch, kind="stable")
     rows = [(int(branch[at[0]]), squeezed_keys(keys[at]), squeezed(n[at])) for at in np.split(order, np.flatnonzero(np.diff(branch[order])) + 1)]
     mine = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["branch", "keys", "counts"])
-    theirs = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
+    theirs = pa.concat_tables(words).group_by("word", use_threads=False).aggregate([("n", "sum")])
     word = theirs.column("word").combine_chunks()
     seed = next(k for k in count() if len(np.unique(hashes(word, k))) == len(word))
     theirs = pa.table([word.cast(pa.binary()), pa.array(hashes(word, seed)), theirs.column("n_sum")], ["word", "hash", "n"])
