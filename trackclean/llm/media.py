@@ -20,7 +20,8 @@ RATE = 8000
 #: Short-time Fourier transform: samples in a frame and from one frame to the next.
 FRAME = 256
 HOP = 128
-#: The spectrum is cut into BANDS; a frame's peak is its strongest band bin; an anchor is paired with the next FAN peaks.
+#: A frame's peaks are its strongest bins that are stronger than both neighbours; each is paired with the strongest peak of
+#: each of the next FAN frames.
 PEAKS = 2
 FAN = 3
 #: Frames transformed at once, whatever the length of the media.
@@ -52,9 +53,11 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def spectral_peaks(samples: np.ndarray) -> np.ndarray:
-    """The PEAKS strongest bins of each frame (a row for each frame; strongest first, ties by lower bin).
+    """The PEAKS strongest local maxima of each frame's spectrum (a row for each frame; strongest first, ties by lower bin;
+    0 where a frame has fewer).
 
-    Samples are centred and padded with silence to whole frames; frames overlap by FRAME - HOP.
+    Samples are centred and padded with silence to whole frames; frames overlap by FRAME - HOP. Of a plateau its first bin
+    counts. Strengths are rounded to two places, so that equal samples give equal peaks on every machine.
     """
     n = max(1, -(-max(0, len(samples) - FRAME) // HOP) + 1)
     x = np.zeros((n - 1) * HOP + FRAME, np.float32)
@@ -62,30 +65,35 @@ def spectral_peaks(samples: np.ndarray) -> np.ndarray:
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     found = []
     for at in range(0, n, CHUNK_FRAMES):
-        power = np.abs(np.fft.rfft(frames[at : at + CHUNK_FRAMES] * _WINDOW, axis=1)[:, 1:]).round(2)
+        power = np.abs(np.fft.rfft(frames[at : at + CHUNK_FRAMES] * _WINDOW, axis=1)).round(2)
+        inner = power[:, 1:-1]
+        strength = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]), inner, 0)
         best = []
         for _ in range(PEAKS):
-            k = power.argmax(axis=1)
-            power[np.arange(len(k)), k] = -1
-            best.append(k + 1)
+            k = strength.argmax(axis=1)
+            rows = np.arange(len(k))
+            best.append(np.where(strength[rows, k] > 0, k + 1, 0))
+            strength[rows, k] = 0
         found.append(np.stack(best, axis=1))
     return np.concatenate(found).astype(np.int64)
 
 
 def pair_fingerprint(peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(times, codes): each frame's peaks paired with the first peak of the next FAN frames.
+    """(times, codes): each frame's peaks paired with the first peak of the next FAN frames, ordered by time, then code.
 
-    A code is anchor bin, target bin and frames between, 8 bits each; its time is the anchor's frame.
+    A code is anchor bin, target bin and frames between, 8 bits each; its time is the anchor's frame. A sound without any
+    pair has one code, its first peak alone.
     """
     n = len(peaks)
-    times, codes = [], []
+    times, codes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for step in range(1, min(FAN, n - 1) + 1):
         a, b = peaks[: n - step], peaks[step:, :1]
-        codes.append(((a << 16) | (b << 8) | step).ravel())
-        times.append(np.repeat(np.arange(n - step), peaks.shape[1]))
-    if not codes:
-        return np.zeros(1, np.int64), peaks[:1, 0] << 16
+        there = (a > 0) & (b > 0)
+        codes.append(((a << 16) | (b << 8) | step)[there])
+        times.append(np.repeat(np.arange(n - step), peaks.shape[1]).reshape(a.shape)[there])
     t, c = np.concatenate(times), np.concatenate(codes)
+    if not len(c):
+        return np.zeros(1, np.int64), peaks[:1, 0] << 16
     order = np.lexsort((c, t))
     return t[order], c[order]
 
