@@ -11,6 +11,8 @@ from ..options import ARTIST_SEPARATORS, DEFAULT, PREFIX_SEPARATORS, STOP_WORDS,
 
 SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{SPACES}]"
+#: The same characters one by one, for trimming.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 EDGE = " -_:"
 GENERIC = rf"(?i)^{WS}*(?:track{WS}*[0-9]+|untitled(?:{WS}*[0-9]+)?|audio{WS}*track{WS}*[0-9]+|t[0-9]+|[0-9]{{1,3}}){WS}*$"
 NUMBER = rf"^(?:{WS}*[0-9]{{1,3}}{WS}*[-._)\]]{WS}*|{WS}*[0-9]{{1,3}}{WS}+)"
@@ -32,15 +34,15 @@ def let(value: Column, body) -> Column:
 
 
 def ustrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+", "")
+    return F.ltrim(c, F.lit(BLANKS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+$", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def text(c: Column) -> Column:
@@ -48,7 +50,7 @@ def text(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return ~text(c).rlike(f"[^{SPACES}]")
+    return ustrip(text(c)) == ""
 
 
 def squeeze(c: Column) -> Column:
@@ -113,7 +115,8 @@ def strip_tempo(s: Column) -> Column:
     def once(v: Column) -> Column:
         return let(without(v, TEMPO[0]), lambda x: without(x, TEMPO[1]))
 
-    passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(s) / 4).cast("int")))
+    # every pass that changes something takes a number away
+    passes = F.sequence(F.lit(1), F.regexp_count(s, F.lit("[0-9]+")))
     return F.when(s.rlike(TEMPO[0]) | s.rlike(TEMPO[1]), F.aggregate(passes, s, lambda v, _: once(v))).otherwise(s)
 
 

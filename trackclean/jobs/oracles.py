@@ -307,9 +307,9 @@ def audit_chain() -> Chain:
     c = decided_chain()
     final = lambda f: f"CASE WHEN d.action = 'edit' THEN d.final_{f} WHEN v.action = {q(MANUAL)} THEN current_{f} ELSE proposed_{f} END"
     c.add("fin", f"SELECT v.root, v.path, v.ext, d.ord, d.action AS decision, current_title, current_artist, {final('title')} AS ft, {final('artist')} AS fa FROM dec d JOIN val v ON d.root = v.root AND d.path = v.path")
-    c.add("wri", f"SELECT *, CASE WHEN {changed('ft', 'current_title')} THEN ft END AS wt, CASE WHEN {changed('fa', 'current_artist')} THEN fa END AS wa FROM fin")
+    c.add("wri", "SELECT *, CASE WHEN ft IS DISTINCT FROM current_title THEN ft END AS wt, CASE WHEN fa IS DISTINCT FROM current_artist THEN fa END AS wa FROM fin")
     c.add("ref", f"SELECT *, CASE WHEN decision = 'skip' THEN 'skipped by reviewer' WHEN wt IS NULL AND wa IS NULL THEN 'no change needed after edit' WHEN wt IS NOT NULL AND {blank('wt')} THEN 'refusing to write empty title' WHEN wa IS NOT NULL AND {blank('wa')} THEN 'refusing to write empty artist' WHEN ext NOT IN ('.flac', '.mp3', '.m4a', '.mp4', '.ogg', '.opus') THEN 'unsupported format' END AS note FROM wri")
-    return c.add("aud", "SELECT root, path, ord, decision, CASE WHEN note IS NULL THEN wt END AS applied_title, CASE WHEN note IS NULL THEN wa END AS applied_artist, current_title AS previous_title, current_artist AS previous_artist, decision = 'skip' OR (wt IS NULL AND wa IS NULL) OR note IS NULL AS success, note FROM ref")
+    return c.add("aud", "SELECT root, path, ord, decision, CASE WHEN decision <> 'skip' THEN wt END AS applied_title, CASE WHEN decision <> 'skip' THEN wa END AS applied_artist, current_title AS previous_title, current_artist AS previous_artist, decision = 'skip' OR (wt IS NULL AND wa IS NULL) OR note IS NULL AS success, note, false AS dry_run FROM ref")
 
 
 def merge_chain() -> Chain:
@@ -373,13 +373,13 @@ def _queries() -> dict[str, str]:
         "album_classification": class_chain().sql("SELECT * FROM cls"),
         "suggestions": suggestion_chain().sql(f"SELECT path, class, current_title, current_artist, proposed_title, proposed_artist, action, {text('issue_flags')}, confidence, reason, source FROM sugg"),
         "validated_suggestions": valid_chain().sql(f"SELECT path, proposed_title, proposed_artist, action, {text('issue_flags')}, {text('remaining_flags')}, confidence, downgraded_from, {text('validator_notes')} FROM val"),
-        "pending_export": valid_chain().sql(f"SELECT left(sha1(replace(root, '/lib/', '')), 12) AS album_id, source, reason, path, coalesce(current_title, '') AS current_title, coalesce(current_artist, '') AS current_artist, coalesce(proposed_title, '') AS proposed_title, coalesce(proposed_artist, '') AS proposed_artist, action, printf('%.2f', confidence) AS confidence, {text('issue_flags')} FROM val WHERE action IN ({names(PENDING)})"),
+        "pending_export": valid_chain().sql(f"SELECT left(sha1(replace(root, '/lib/', '')), 12) AS album_id, source, reason, path AS track_path, coalesce(current_title, '') AS current_title, coalesce(current_artist, '') AS current_artist, coalesce(proposed_title, '') AS proposed_title, coalesce(proposed_artist, '') AS proposed_artist, printf('%.2f', confidence) AS confidence, {text('issue_flags')} FROM val WHERE action IN ({names(PENDING)})"),
         "review_queue": decided_chain().sql("SELECT path, class, score, action, row_number() OVER (PARTITION BY root ORDER BY pos) AS i, count(*) OVER (PARTITION BY root) AS of FROM open"),
         "auto_approve": decided_chain().sql("SELECT path, 'approve' AS action, 'auto-approved' AS note FROM open WHERE action = 'propose_fix' AND source = 'deterministic' AND confidence >= 0.9 AND NOT " + overlap("CASE WHEN len(remaining_flags) > 0 THEN remaining_flags ELSE issue_flags END", ("generic_track_name", "unreadable_title", "suspicious_swap_artist_title"))),
         "cascade_decisions": decided_chain().sql("SELECT path, v AS action, 'bulk ' || v || CASE WHEN pos = 1 THEN '' ELSE ' (cascade)' END AS note FROM (SELECT *, CASE WHEN regexp_matches(root, '[02468]$') THEN 'skip' ELSE 'approve' END AS v FROM open) WHERE pos >= 1"),
         "latest_decisions": f"SELECT root, path, action, final_title, final_artist, note, ord FROM (SELECT *, row_number() OVER (PARTITION BY root, path ORDER BY ord DESC) AS r FROM ({DUCK_DECISIONS})) WHERE r = 1",
         "apply_audit": audit_chain().sql("SELECT * EXCLUDE (root) FROM aud"),
-        "apply_counters": audit_chain().sql("SELECT (SELECT count(DISTINCT root) FROM val) AS albums, count(DISTINCT root) AS albums_applied, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed FROM aud"),
+        "apply_counters": audit_chain().sql("SELECT (SELECT count(DISTINCT root) FROM val) AS albums, (SELECT count(DISTINCT root) FROM val WHERE root IN (SELECT root FROM dec)) AS albums_applied, (SELECT count(DISTINCT root) FROM val WHERE root NOT IN (SELECT root FROM dec)) AS albums_no_decisions, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed FROM aud"),
         "cleaned_tracks": audit_chain().sql("SELECT p.path, coalesce(x.t, title) AS title, coalesce(x.a, artist) AS artist, album, album_artist, track_number FROM p LEFT JOIN (SELECT root, path, arg_max(applied_title, ord) FILTER (applied_title IS NOT NULL) AS t, arg_max(applied_artist, ord) FILTER (applied_artist IS NOT NULL) AS a FROM aud WHERE success GROUP BY root, path) x ON x.root = p.root AND x.path = p.path"),
         "library_report": decided_chain().sql(f"""SELECT a.*, r.*, d.*, (SELECT count(*) FROM open) AS pending_review FROM
           (SELECT count(*) AS total_albums, count(*) FILTER (class = 'clean') AS clean_albums, count(*) FILTER (class = 'deterministic') AS deterministic_albums, count(*) FILTER (class = 'broken') AS broken_albums, count(*) FILTER (class = 'mixed') AS mixed_albums FROM cls) a,
@@ -426,7 +426,7 @@ def _more() -> dict[str, str]:
         "approval_counters": decided_chain().sql(f"SELECT (SELECT count(DISTINCT root) FROM val) AS albums, (SELECT count(*) FROM val WHERE action IN ({names(PENDING)})) AS considered, (SELECT count(*) FROM val WHERE action IN ({names(PENDING)})) - count(*) AS already_decided, count(*) FILTER ({SAFE}) AS newly_approved FROM open"),
         "decision_log": decided_chain().sql(f"SELECT path, action, final_title, final_artist, note, ord FROM (SELECT *, row_number() OVER (PARTITION BY root, path ORDER BY ord DESC) AS r FROM dec) WHERE r = 1 UNION ALL SELECT path, 'approve', NULL, NULL, 'auto-approved', (SELECT max(ord) + 1 FROM dec) FROM open WHERE {SAFE}"),
         "orphan_decisions": f"SELECT path, action, ord FROM ({DUCK_DECISIONS}) d WHERE path NOT IN (SELECT path FROM ({DUCK_TRACKS}))",
-        "document_reload": valid_chain().sql(f"SELECT path, cast(pos // 2 as int) AS part, class, proposed_title, action, {text('issue_flags')}, confidence, source FROM val WHERE NOT regexp_matches(root, '7$')"),
+        "document_reload": valid_chain().sql(f"SELECT path, cast(pos // 2 as int) AS part, class, pos, proposed_title, action, {text('issue_flags')}, {text('remaining_flags')}, downgraded_from, {text('validator_notes')}, confidence, source FROM val WHERE NOT regexp_matches(root, '7$')"),
         "decision_reload": f"SELECT path, action, final_title, note, cast(2 as bigint) AS ord FROM ({DUCK_DECISIONS}) WHERE NOT regexp_matches(root, '7$') AND ord % 3 <> 0",
         "routed_suggestions": routed_chain().sql("SELECT path, class, proposed_title, action, confidence, source, reason, used_model FROM val"),
         "routed_report": changed_only.sql(f"""SELECT a.*, r.*, d.*,

@@ -73,11 +73,11 @@ def cascaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions.apply_audit(valid(spark, sf_dir), tables.decisions(spark, sf_dir)).drop("root")
+    return decisions.apply_audit(valid(spark, sf_dir), tables.decisions(spark, sf_dir), dry_run=False).drop("root")
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decisions.apply_audit(valid(spark, sf_dir), tables.decisions(spark, sf_dir))
+    done = decisions.apply_audit(valid(spark, sf_dir), tables.decisions(spark, sf_dir), dry_run=False)
     return decisions.cleaned_tracks(tables.tracks(spark, sf_dir), done).select("path", "title", "artist", "album", "album_artist", "track_number")
 
 
@@ -137,7 +137,7 @@ def reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions written as documents of two tracks and read again; those of folders ending in 7 are cut off."""
     docs = files.documents(valid(spark, sf_dir), 2)
     cut = F.when(F.col("root").rlike("7$"), F.substring("doc", 1, 40)).otherwise(F.col("doc"))
-    return files.parse_documents(docs.withColumn("doc", cut)).select("path", "part", "class", "proposed_title", "action", joined("issue_flags"), "confidence", "source")
+    return files.parse_documents(docs.withColumn("doc", cut)).select("path", "part", "class", "pos", "proposed_title", "action", joined("issue_flags"), joined("remaining_flags"), "downgraded_from", joined("validator_notes"), "confidence", "source")
 
 
 def reloaded_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,13 +205,13 @@ QUERIES: dict[str, Query] = {
     "album_classification": lambda spark, d: suggest.classes(candidates(spark, d)),
     "suggestions": suggestion_rows,
     "validated_suggestions": validated_rows,
-    "pending_export": lambda spark, d: decisions.export_rows(valid(spark, d)).drop("root"),
+    "pending_export": lambda spark, d: decisions.export_rows(valid(spark, d)).drop("root", "pos"),
     "review_queue": queue,
     "auto_approve": lambda spark, d: decisions.auto_approve(valid(spark, d), tables.decisions(spark, d), least=0.9).drop("root"),
     "cascade_decisions": cascaded,
     "latest_decisions": lambda spark, d: decisions.latest(tables.decisions(spark, d)),
     "apply_audit": audit,
-    "apply_counters": lambda spark, d: decisions.apply_counters(valid(spark, d), decisions.apply_audit(valid(spark, d), tables.decisions(spark, d))),
+    "apply_counters": lambda spark, d: decisions.apply_counters(valid(spark, d), tables.decisions(spark, d), dry_run=False),
     "cleaned_tracks": cleaned,
     "library_report": lambda spark, d: decisions.library_report(valid(spark, d), tables.decisions(spark, d)),
     "tag_flatten": lambda spark, d: tags.flatten_tags(tag_records(spark, d)),

@@ -90,8 +90,13 @@ def with_album_facts(tracks: DataFrame) -> DataFrame:
     x = x.withColumn("split_hints", F.count_if(in_sample() & split_hint()).over(whole))
     x = x.withColumn("filename_hints", F.count_if(X.parse_filename(F.col("filename"), F.lit(False)).isNotNull()).over(whole))
     x = x.withColumn("allow_split", (F.col("split_hints") >= 2) | (F.col("filename_hints") >= 2))
-    facts = common_prefix(tracks).drop("support").join(majority(tracks, "album_artist", trimmed=True).withColumnRenamed("album_artist", "majority_artist"), "root", "full")
-    return x.join(facts, "root", "left").withColumn("prefix_artist", X.leftmost_segment(F.col("album_prefix")))
+    # the majority value by aggregates of the same shuffle: how often a value occurs, ties to the first in track order
+    x = x.withColumn("value", F.nullif(X.ustrip(F.col("album_artist")), F.lit("")))
+    same = W.partitionBy("root", "value")
+    x = x.withColumn("k", F.count("*").over(same)).withColumn("first", F.min("pos").over(same))
+    best = F.max(F.when(F.col("value").isNotNull(), F.struct("k", -F.col("first"), "value"))).over(whole)
+    x = x.withColumn("majority_artist", best["value"]).drop("value", "k", "first")
+    return x.join(common_prefix(tracks).drop("support"), "root", "left").withColumn("prefix_artist", X.leftmost_segment(F.col("album_prefix")))
 
 
 def support(tracks: DataFrame) -> DataFrame:

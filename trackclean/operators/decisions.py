@@ -81,20 +81,25 @@ def cascade(s: DataFrame, decisions: DataFrame, verdicts: DataFrame) -> DataFram
     return x.select("root", "path", "pos", F.col("verdict").alias("action"), note.alias("note"))
 
 
-def apply_audit(s: DataFrame, decisions: DataFrame, dry_run: bool = False) -> DataFrame:
+def apply_audit(s: DataFrame, decisions: DataFrame, dry_run: bool = True) -> DataFrame:
     """One row for each decision that has a suggestion: what is written, or why nothing is.
 
     Values that stay as they are are not written; blank values are refused, dry run or not; other formats than those that
-    can be written fail when it is no dry run.
+    can be written fail when it is no dry run. What was attempted is kept where it failed. Null and empty are different.
     """
-    x = decisions.select("root", "path", "ord", F.col("action").alias("decision"), "final_title", "final_artist").join(s, ["root", "path"])
+    return _audited(s, decisions, dry_run, "inner").drop("current_title", "current_artist")
+
+
+def _audited(s: DataFrame, decisions: DataFrame, dry_run: bool, how: str) -> DataFrame:
+    """The audit's rows, or by a left join one row at least for every suggestion, whose decision may be null."""
+    x = s.join(decisions.select("root", "path", "ord", F.col("action").alias("decision"), "final_title", "final_artist"), ["root", "path"], how)
     manual = F.col("action") == MANUAL
 
     def final(edit: str, proposed: str, current: str) -> Column:
         return F.when(F.col("decision") == "edit", F.col(edit)).when(manual, F.col(current)).otherwise(F.col(proposed))
 
     def write(value: str, current: str) -> Column:
-        return F.when(F.col(value).isNotNull() & (F.col(value) != text(F.col(current))), F.col(value))
+        return F.when(F.col(value).isNotNull() & ~F.col(value).eqNullSafe(F.col(current)), F.col(value))
 
     x = x.withColumn("ft", final("final_title", "proposed_title", "current_title")).withColumn("fa", final("final_artist", "proposed_artist", "current_artist"))
     x = x.withColumn("wt", write("ft", "current_title")).withColumn("wa", write("fa", "current_artist"))
@@ -106,9 +111,10 @@ def apply_audit(s: DataFrame, decisions: DataFrame, dry_run: bool = False) -> Da
                .when(~F.lit(dry_run) & ~F.col("ext").isin(*WRITABLE), "unsupported format"))
     x = x.withColumn("note", refused)
     ok = skip | nothing | F.col("note").isNull()
-    wrote = F.col("note").isNull()
-    return x.select("root", "path", "ord", "decision", F.when(wrote, F.col("wt")).alias("applied_title"), F.when(wrote, F.col("wa")).alias("applied_artist"),
-                    F.col("current_title").alias("previous_title"), F.col("current_artist").alias("previous_artist"), ok.alias("success"), "note")
+    tried = ~skip
+    return x.select("root", "path", "ord", "decision", F.when(tried, F.col("wt")).alias("applied_title"), F.when(tried, F.col("wa")).alias("applied_artist"),
+                    F.col("current_title").alias("previous_title"), F.col("current_artist").alias("previous_artist"), ok.alias("success"), "note", F.lit(dry_run).alias("dry_run"),
+                    "current_title", "current_artist")
 
 
 def cleaned_tracks(tracks: DataFrame, audit: DataFrame) -> DataFrame:
@@ -119,10 +125,16 @@ def cleaned_tracks(tracks: DataFrame, audit: DataFrame) -> DataFrame:
     return x.withColumn("title", F.coalesce("new_title", "title")).withColumn("artist", F.coalesce("new_artist", "artist")).drop("new_title", "new_artist")
 
 
-def apply_counters(s: DataFrame, audit: DataFrame) -> DataFrame:
-    """One row: albums, albums with decisions, rows that went well and that failed."""
-    a = audit.agg(F.countDistinct("root").alias("albums_applied"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"))
-    return s.agg(F.countDistinct("root").alias("albums")).crossJoin(a)
+def apply_counters(s: DataFrame, decisions: DataFrame, dry_run: bool = True) -> DataFrame:
+    """One row: albums, those with any decision and those without, rows that went well and that failed.
+
+    A decision counts for its album even if its track has no suggestion. The suggestions are gone through once.
+    """
+    x = _audited(s, decisions, dry_run, "left").join(decisions.select("root", F.lit(True).alias("has")).distinct(), "root", "left")
+    made = F.col("decision").isNotNull()
+    x = x.groupBy("root").agg(F.bool_or("has").alias("has"), F.count_if(made & F.col("success")).alias("ok"), F.count_if(made & ~F.col("success")).alias("failed"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return x.agg(F.count("*").alias("albums"), F.count_if("has").alias("albums_applied"), F.count_if(F.col("has").isNull()).alias("albums_no_decisions"), total("ok"), total("failed"))
 
 
 ROW_COUNTERS = ("total_tracks", "proposed", "unreadable", "low_confidence")
@@ -169,10 +181,10 @@ def top_issues(flagged: DataFrame, column: str, most: int = 15) -> DataFrame:
 
 
 def export_rows(s: DataFrame) -> DataFrame:
-    """Pending rows as the export has them: text columns, empty for null, confidence with two decimals."""
+    """Pending rows as the export has them behind root and pos: text columns, empty for null, confidence with two decimals."""
     show = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return pending(s).select("root", album_id(F.col("root")).alias("album_id"), "path", "source", *map(show, ("current_title", "current_artist", "proposed_title", "proposed_artist")), "action",
-                             F.format_string("%.2f", "confidence").alias("confidence"), F.array_join("issue_flags", ";").alias("issue_flags"), "reason")
+    return pending(s).select("root", "pos", album_id(F.col("root")).alias("album_id"), F.col("path").alias("track_path"), "source", F.format_string("%.2f", "confidence").alias("confidence"),
+                             *map(show, ("current_title", "proposed_title", "current_artist", "proposed_artist")), F.array_join("issue_flags", ";").alias("issue_flags"), "reason")
 
 
 def review_rows(s: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import int_ish, ustrip
 
-EXTENSIONS = (".flac", ".mp3", ".m4a", ".ogg", ".wav")
+EXTENSIONS = (".flac", ".mp3", ".m4a", ".ogg", ".opus", ".wav")
 
 
 def flatten_tags(records: DataFrame) -> DataFrame:

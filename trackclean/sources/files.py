@@ -14,7 +14,7 @@ from ..operators.tags import EXTENSIONS, flatten_tags, listed_files
 
 #: Tracks of one nested document: a larger album has several, so that no row grows with its album.
 DOCUMENT_TRACKS = 1000
-TRACK = "struct<track_path:string,current_title:string,current_artist:string,proposed_title:string,proposed_artist:string,action:string,issue_flags:array<string>,confidence:double,reason:string,source:string>"
+TRACK = "struct<pos:long,original_flags:array<string>,remaining_flags:array<string>,downgraded_from:string,validator_notes:array<string>,used_model:boolean,track_path:string,current_title:string,current_artist:string,proposed_title:string,proposed_artist:string,action:string,issue_flags:array<string>,confidence:double,reason:string,source:string>"
 DOCUMENT = f"struct<root:string,part:int,class:string,score:double,class_reason:string,suggestions:array<{TRACK}>>"
 DECISION = "struct<track_path:string,action:string,final_title:string,final_artist:string,note:string>"
 REVIEW_ACTIONS = ("approve", "edit", "skip")
@@ -39,27 +39,29 @@ def with_tags(files: DataFrame, records: DataFrame) -> DataFrame:
 def write_scan(tracks: DataFrame, before: DataFrame, folder: str, scan: int) -> None:
     """Albums that are new or changed against before (root, fingerprint), and their tracks, as generation scan of a folder.
 
-    A generation is written under its own number, so a job that is run again overwrites what it wrote itself only.
+    A generation is written under its own number, so a job that is run again overwrites what it wrote itself only. Tracks
+    come first: an album counts as scanned when its row is there. Albums that are gone have a row without a fingerprint.
     """
     found = albums(tracks)
     changed = changed_albums(found.select("root", "fingerprint"), before).filter("status <> 'unchanged'").select("root")
-    found.join(changed, "root", "left_semi").write.mode("overwrite").parquet(f"{folder}/albums/scan={scan}")
+    gone = before.select("root").join(found, "root", "left_anti")
     tracks.join(changed, "root", "left_semi").write.mode("overwrite").parquet(f"{folder}/tracks/scan={scan}")
+    found.join(changed, "root", "left_semi").unionByName(gone, allowMissingColumns=True).write.mode("overwrite").parquet(f"{folder}/albums/scan={scan}")
 
 
 def read_scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Albums and tracks of a folder of generations: of each album what was written last."""
+    """Albums and tracks of a folder of generations: of each album what was written last, unless it is gone."""
     found = spark.read.parquet(f"{folder}/albums")
     last = found.groupBy("root").agg(F.max("scan").alias("scan"))
-    latest = found.join(last, ["root", "scan"], "left_semi")
-    return latest, spark.read.parquet(f"{folder}/tracks").join(last, ["root", "scan"], "left_semi")
+    latest = found.join(last, ["root", "scan"], "left_semi").filter("fingerprint is not null")
+    return latest, spark.read.parquet(f"{folder}/tracks").join(latest.select("root", "scan"), ["root", "scan"], "left_semi")
 
 
 def _write_csv(rows: DataFrame, folder: str, order: tuple[str, ...], keep: Column | None = None) -> int:
     """Rows in order as CSV parts with a header and RFC quotes; returns their number, observed while they are written."""
     seen = Observation()
     counted = rows.orderBy(*order).observe(seen, F.count("*").alias("n"))  # behind the sort, which samples its input first
-    counted.drop("pos").write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
+    counted.drop("root", "pos").write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
     return seen.get["n"]
 
 
@@ -69,16 +71,17 @@ def write_review_sheet(s: DataFrame, folder: str) -> int:
 
 def write_pending(s: DataFrame, folder: str) -> int:
     """Pending suggestions; what is decided already is not left out."""
-    return _write_csv(export_rows(s), folder, ("root", "path"))
+    return _write_csv(export_rows(s), folder, ("root", "pos"))
 
 
 def documents(s: DataFrame, most: int = DOCUMENT_TRACKS) -> DataFrame:
-    """root, part, doc: the suggestions of an album in track order, nested under its header, as JSON."""
-    track = F.struct("pos", F.col("path").alias("track_path"), "current_title", "current_artist", "proposed_title", "proposed_artist", "action", "issue_flags", "confidence", "reason", "source")
+    """root, part, doc: the suggestions of an album in track order, nested under its header, as JSON. What validation adds
+    is there if s has it."""
+    more = [c for c in ("original_flags", "remaining_flags", "downgraded_from", "validator_notes", "used_model") if c in s.columns]
+    track = F.struct("pos", F.col("path").alias("track_path"), *more, "current_title", "current_artist", "proposed_title", "proposed_artist", "action", "issue_flags", "confidence", "reason", "source")
     x = s.groupBy("root", F.floor(F.col("pos") / most).cast("int").alias("part"))
     x = x.agg(*[F.first(c).alias(c) for c in ("class", "score", "class_reason")], F.array_sort(F.collect_list(track)).alias("tracks"))
-    nested = F.transform("tracks", lambda t: t.dropFields("pos")).alias("suggestions")
-    return x.select("root", "part", F.to_json(F.struct("root", "part", "class", "score", "class_reason", nested)).alias("doc"))
+    return x.select("root", "part", F.to_json(F.struct("root", "part", "class", "score", "class_reason", F.col("tracks").alias("suggestions"))).alias("doc"))
 
 
 def write_documents(docs: DataFrame, folder: str) -> None:
@@ -89,7 +92,7 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     """doc -> suggestion rows; a document that is no JSON, or has no root or no suggestions, is left out as a whole."""
     x = docs.select(F.from_json("doc", DOCUMENT, {"mode": "PERMISSIVE"}).alias("d")).filter("d.root is not null and d.suggestions is not null")
     x = x.select("d.root", "d.part", "d.class", "d.score", "d.class_reason", F.posexplode("d.suggestions").alias("nth", "t"))
-    return x.select("root", "part", "nth", "class", "score", "class_reason", F.col("t.track_path").alias("path"), *[f"t.{c}" for c in ("current_title", "current_artist", "proposed_title", "proposed_artist", "action", "issue_flags", "confidence", "reason", "source")])
+    return x.select("root", "part", "nth", "class", "score", "class_reason", F.col("t.track_path").alias("path"), *[f"t.{c}" for c in ("pos", "original_flags", "remaining_flags", "downgraded_from", "validator_notes", "used_model", "current_title", "current_artist", "proposed_title", "proposed_artist", "action", "issue_flags", "confidence", "reason", "source")])
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
