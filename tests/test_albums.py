@@ -117,8 +117,8 @@ def test_decisions(spark):
     d = spark.createDataFrame([("/r", "/r/0", "skip", None, None, None, 1), ("/r", "/r/1", "approve", None, None, None, 2), ("/r", "/r/3", "approve", None, None, None, 3), ("/r", "/r/4", "edit", "", None, None, 4), ("/r", "/r/9", "approve", None, None, None, 5), ("/r", "/r/0", "edit", "Old Tune", None, None, 6)], kinds)
     assert [r.path for r in decisions.auto_approve(s, d).collect()] == []
     assert decisions.review_queue(s, d).count() == 1 and decisions.latest(d).filter("path = '/r/0'").first().action == "edit"
-    audit = {(r.path, r.ord): (r.success, r.note, r.applied_title) for r in decisions.apply_audit(s, d).collect()}
-    assert audit == {("/r/0", 1): (True, "skipped by reviewer", None), ("/r/1", 2): (True, None, "New Tune"), ("/r/3", 3): (False, "unsupported format", None), ("/r/4", 4): (False, "refusing to write empty title", None), ("/r/0", 6): (True, "no change needed after edit", None)}
+    audit = {(r.path, r.ord): (r.success, r.note, r.applied_title) for r in decisions.apply_audit(s, d, dry_run=False).collect()}
+    assert audit == {("/r/0", 1): (True, "skipped by reviewer", None), ("/r/1", 2): (True, None, "New Tune"), ("/r/3", 3): (False, "unsupported format", "New Tune"), ("/r/4", 4): (False, "refusing to write empty title", ""), ("/r/0", 6): (True, "no change needed after edit", None)}
     assert decisions.apply_audit(s, d, dry_run=True).filter("path = '/r/3'").first().success
     report = decisions.library_report(s, d).first()
     assert (report.approved, report.skipped, report.edited, report.pending_review) == (3, 1, 2, 1)
