@@ -125,7 +125,7 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     own; equal rows are judged alike; other columns are ignored.
     """
     counts = cut(measured(docs, carry))
-    x = join_same(counts, references(counts), ["lang"])
+    x = join_same(counts, cut(references(counts)), ["lang"])
     doubles = lambda c: F.col(c).cast("array<double>")
     enough = F.col("r_words") >= MIN_REFERENCE_WORDS
     x = x.withColumn("class_distance", F.when(enough & (F.col("chars") >= MIN_CHARS), distance(doubles("classes"), doubles("r_classes"))))
