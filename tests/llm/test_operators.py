@@ -181,6 +181,16 @@ def test_classifier_learns_and_ignores_held_out(spark):
     assert held and all(r.predicted == int(r.doc_id % 3 > 0) for r in held) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_classifier_on_held_out_rows(spark):
+    """Area under the curve of the rows that were not learnt from: at least 0.97 of the pairs stand in order."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{k}.parquet") for k in ("documents", "labels"))
+    got = classifier.quality_scores(docs, labels).filter("held_out").join(labels, "doc_id").select("score", "quality").toPandas()
+    good = got.quality == 1
+    ranks = got.score.rank()
+    pairs = good.sum() * (~good).sum()
+    assert pairs > 10000 and (ranks[good].sum() - good.sum() * (good.sum() + 1) / 2) / pairs > 0.97
+
+
 def test_factors_by_definition():
     rng = np.random.default_rng(3)
     m = classifier.Machine(0.1, rng.normal(size=classifier.COLUMNS).astype(np.float32) * 0.1, rng.normal(size=(classifier.COLUMNS, 3)).astype(np.float32) * 0.1, np.zeros(classifier.STATISTICS, np.float32), np.ones(classifier.STATISTICS, np.float32))
