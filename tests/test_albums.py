@@ -1,6 +1,10 @@
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from trackclean.operators import albums, decisions, modelio, normalize, suggest
+from trackclean.options import Options
 
 SCHEMA = "root string, path string, filename string, ext string, track_number int, disc_number int, title string, artist string, album string, album_artist string, mtime_us long, size_bytes long"
 
@@ -43,6 +47,33 @@ def test_sample_and_probe(spark):
         assert [r.pos for r in got] == want
     assert albums.probe_scores(album(spark, ["Good Tune"] * 10)).first().score == 1.0
     assert albums.probe_scores(album(spark, ["Track 1", None, "??", "12"])).first().score < 0.6
+    r = albums.probe_scores(album(spark, ["Tune", None, "Tune", " ", "Tune"])).first()
+    assert r.sampled_paths == [f"/lib/a/{i:03}.flac" for i in (0, 1, 2, 4)] and r.notes == ["001.flac: empty title"]
+
+
+def test_sample_positions_are_an_option(spark):
+    o = Options(sample_positions=("last", "second", "nowhere"))
+    assert [r.pos for r in albums.album_sample(album(spark, ["Tune"] * 5), o).orderBy("pos").collect()] == [1, 4]
+    r = albums.probe_scores(album(spark, ["Tune"]), Options(sample_positions=("second",))).first()
+    assert (r.score, r.n_sampled, r.hard_flags, r.sampled_paths, r.notes) == (0.0, 0, 0, [], ["no tracks"])
+    kind = suggest.classes(normalize.candidates(album(spark, ["Good Tune"]), Options(sample_positions=())), Options(sample_positions=())).first()
+    assert kind.score == 0.0
+
+
+def test_batches_have_the_header_of_their_album(spark):
+    x = album(spark, ["A1", None, "A3"], album_artists={0: "Zed"})
+    got = modelio.model_batches(albums.positioned(x), albums.headers(x), Options(max_tracks_per_call=2)).orderBy("chunk").collect()
+    one = json.loads(got[0].payload)
+    assert [r.n for r in got] == [2, 1] and (one["album_name"], one["album_artist"], one["album_folder"]) == ("a", "Zed", "/lib/a")
+    assert one["album_id"] == hashlib.sha1(b"a").hexdigest()[:12]
+    assert one["tracks"][1] == {"path": "/lib/a/001.flac", "filename": "001.flac", "track_number": 1, "disc_number": None, "current_title": None, "current_artist": "Some Name"}
+
+
+def test_selected_albums(spark):
+    x = album(spark, ["A"] * 2).unionByName(album(spark, ["B"], root="/lib/b"))
+    wanted = spark.createDataFrame([(hashlib.sha1(b"b").hexdigest()[:12],), ("none",)], "album_id string")
+    assert [r.title for r in albums.selected_albums(x, wanted).collect()] == ["B"]
+    assert albums.selected_albums(x, wanted.filter("false")).count() == 0
 
 
 def test_majority_ties_go_to_the_first(spark):
@@ -116,12 +147,15 @@ def test_decisions(spark):
     assert decisions.auto_approve(s, none, allow_model=True).count() == 4
     d = spark.createDataFrame([("/r", "/r/0", "skip", None, None, None, 1), ("/r", "/r/1", "approve", None, None, None, 2), ("/r", "/r/3", "approve", None, None, None, 3), ("/r", "/r/4", "edit", "", None, None, 4), ("/r", "/r/9", "approve", None, None, None, 5), ("/r", "/r/0", "edit", "Old Tune", None, None, 6)], kinds)
     assert [r.path for r in decisions.auto_approve(s, d).collect()] == []
+    assert decisions.review_queue(s.withColumn("action", F.lit("keep")), none, show_all=True).count() == 5
     assert decisions.review_queue(s, d).count() == 1 and decisions.latest(d).filter("path = '/r/0'").first().action == "edit"
     audit = {(r.path, r.ord): (r.success, r.note, r.applied_title) for r in decisions.apply_audit(s, d, dry_run=False).collect()}
     assert audit == {("/r/0", 1): (True, "skipped by reviewer", None), ("/r/1", 2): (True, None, "New Tune"), ("/r/3", 3): (False, "unsupported format", "New Tune"), ("/r/4", 4): (False, "refusing to write empty title", ""), ("/r/0", 6): (True, "no change needed after edit", None)}
     assert decisions.apply_audit(s, d, dry_run=True).filter("path = '/r/3'").first().success
     report = decisions.library_report(s, d).first()
     assert (report.approved, report.skipped, report.edited, report.pending_review) == (3, 1, 2, 1)
+    flagged = s.withColumn("issue_flags", F.when(F.col("pos") < 2, F.array(F.lit("scene_junk"), F.lit("bpm_suffix"))).otherwise(F.array(F.lit("bpm_suffix"))))
+    assert [tuple(i) for i in decisions.library_report(flagged, d).first().top_issues] == [("bpm_suffix", 5), ("scene_junk", 2)]
 
 
 def test_response_checks(spark):

@@ -333,6 +333,10 @@ def text(c: str) -> str:
     return f"array_to_string({c}, ';') AS {c}"
 
 
+def top_issues(rows: str) -> str:
+    return f"(SELECT coalesce(string_agg(flag || '=' || k, ';' ORDER BY k DESC, flag), '') FROM (SELECT flag, count(*) AS k FROM (SELECT unnest(issue_flags) AS flag FROM {rows}) GROUP BY flag ORDER BY k DESC, flag LIMIT 15))"
+
+
 def title_rule(value: str) -> str:
     return f"SELECT path, {value} AS value FROM ({DUCK_TRACKS})"
 
@@ -345,7 +349,7 @@ def _fingerprints(tracks: str) -> str:
 def _queries() -> dict[str, str]:
     count = lambda these: f"sum(len(list_filter(flags, lambda f: f IN ({names(these)}))))"
     probe = chain().add("f", f"SELECT *, {detect('title', 'artist')} AS flags FROM p WHERE {SAMPLED}")
-    probe.add("g", f"SELECT root, count(*) AS n_sampled, {count(HARD)} AS hard_flags, {count(SOFT)} AS soft_flags, count(*) FILTER ({blank('title')}) AS empty_titles FROM f GROUP BY root")
+    probe.add("g", f"SELECT root, count(*) AS n_sampled, {count(HARD)} AS hard_flags, {count(SOFT)} AS soft_flags, count(*) FILTER ({blank('title')}) AS empty_titles, string_agg(path, ';' ORDER BY pos) AS sampled_paths, coalesce(string_agg(filename || ': empty title', ';' ORDER BY pos) FILTER ({blank('title')}), '') AS notes FROM f GROUP BY root")
     table = majority(majority(chain(), "m1", "album"), "m2", "album_artist")
     twice = chain().then("SELECT path, coalesce(title, '') AS x FROM p")
     for k in (0, 1, 0, 1):
@@ -375,20 +379,23 @@ def _queries() -> dict[str, str]:
         "validated_suggestions": valid_chain().sql(f"SELECT path, proposed_title, proposed_artist, action, {text('issue_flags')}, {text('remaining_flags')}, confidence, downgraded_from, {text('validator_notes')} FROM val"),
         "pending_export": valid_chain().sql(f"SELECT left(sha1(replace(root, '/lib/', '')), 12) AS album_id, source, reason, path AS track_path, coalesce(current_title, '') AS current_title, coalesce(current_artist, '') AS current_artist, coalesce(proposed_title, '') AS proposed_title, coalesce(proposed_artist, '') AS proposed_artist, printf('%.2f', confidence) AS confidence, {text('issue_flags')} FROM val WHERE action IN ({names(PENDING)})"),
         "review_queue": decided_chain().sql("SELECT path, class, score, action, row_number() OVER (PARTITION BY root ORDER BY pos) AS i, count(*) OVER (PARTITION BY root) AS of FROM open"),
+        "review_queue_all": decided_chain().sql("SELECT path, action, row_number() OVER (PARTITION BY root ORDER BY pos) AS i, count(*) OVER (PARTITION BY root) AS of FROM val WHERE NOT EXISTS (SELECT 1 FROM dec WHERE dec.root = val.root AND dec.path = val.path)"),
+        "selected_albums": decided_chain().sql("SELECT path, class, action FROM val WHERE root IN (SELECT root FROM dec WHERE action = 'edit')"),
         "auto_approve": decided_chain().sql("SELECT path, 'approve' AS action, 'auto-approved' AS note FROM open WHERE action = 'propose_fix' AND source = 'deterministic' AND confidence >= 0.9 AND NOT " + overlap("CASE WHEN len(remaining_flags) > 0 THEN remaining_flags ELSE issue_flags END", ("generic_track_name", "unreadable_title", "suspicious_swap_artist_title"))),
         "cascade_decisions": decided_chain().sql("SELECT path, v AS action, 'bulk ' || v || CASE WHEN pos = 1 THEN '' ELSE ' (cascade)' END AS note FROM (SELECT *, CASE WHEN regexp_matches(root, '[02468]$') THEN 'skip' ELSE 'approve' END AS v FROM open) WHERE pos >= 1"),
         "latest_decisions": f"SELECT root, path, action, final_title, final_artist, note, ord FROM (SELECT *, row_number() OVER (PARTITION BY root, path ORDER BY ord DESC) AS r FROM ({DUCK_DECISIONS})) WHERE r = 1",
         "apply_audit": audit_chain().sql("SELECT * EXCLUDE (root) FROM aud"),
         "apply_counters": audit_chain().sql("SELECT (SELECT count(DISTINCT root) FROM val) AS albums, (SELECT count(DISTINCT root) FROM val WHERE root IN (SELECT root FROM dec)) AS albums_applied, (SELECT count(DISTINCT root) FROM val WHERE root NOT IN (SELECT root FROM dec)) AS albums_no_decisions, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed FROM aud"),
         "cleaned_tracks": audit_chain().sql("SELECT p.path, coalesce(x.t, title) AS title, coalesce(x.a, artist) AS artist, album, album_artist, track_number FROM p LEFT JOIN (SELECT root, path, arg_max(applied_title, ord) FILTER (applied_title IS NOT NULL) AS t, arg_max(applied_artist, ord) FILTER (applied_artist IS NOT NULL) AS a FROM aud WHERE success GROUP BY root, path) x ON x.root = p.root AND x.path = p.path"),
-        "library_report": decided_chain().sql(f"""SELECT a.*, r.*, d.*, (SELECT count(*) FROM open) AS pending_review FROM
+        "library_report": decided_chain().sql(f"""SELECT a.*, r.*, d.*, (SELECT count(*) FROM open) AS pending_review, {top_issues('val')} AS top_issues FROM
           (SELECT count(*) AS total_albums, count(*) FILTER (class = 'clean') AS clean_albums, count(*) FILTER (class = 'deterministic') AS deterministic_albums, count(*) FILTER (class = 'broken') AS broken_albums, count(*) FILTER (class = 'mixed') AS mixed_albums FROM cls) a,
           (SELECT count(*) AS total_tracks, count(*) FILTER (action = 'propose_fix') AS proposed, count(*) FILTER (action = {q(MANUAL)}) AS unreadable, count(*) FILTER (confidence < 0.6 AND action = 'propose_fix') AS low_confidence FROM val) r,
           (SELECT count(*) FILTER (action = 'approve') AS approved, count(*) FILTER (action = 'approve' AND note = 'auto-approved') AS auto_approved, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'edit') AS edited FROM dec) d"""),
         "tag_flatten": f"SELECT path, nullif({strip('title')}, '') AS title, nullif({strip('artist')}, '') AS artist, album, album_artist, track_number, cast(l_linenumber % 2 + 1 as int) AS disc_number, {intish('cast(l_orderkey % 40 + 1980 as varchar)')} AS year FROM ({DUCK_TRACKS})",
-        "model_batches": chain().add("j", """SELECT root, pos, cast(pos // 2 as int) AS chunk, '{"path":"' || path || '","filename":"' || filename || '","track_number":' || track_number
-          || coalesce(',"current_title":"' || title || '"', '') || coalesce(',"current_artist":"' || artist || '"', '') || '}' AS one FROM p""").sql(
-            """SELECT root, chunk, count(*) AS n, '{"root":"' || root || '","tracks":[' || string_agg(one, ',' ORDER BY pos) || ']}' AS payload FROM j GROUP BY root, chunk"""),
+        "model_batches": majority(majority(chain(), "m1", "album"), "m2", "album_artist").add("j", """SELECT root, pos, cast(pos // 2 as int) AS chunk, '{"path":"' || path || '","filename":"' || filename || '","track_number":' || track_number
+          || ',"disc_number":' || coalesce(cast(disc_number as varchar), 'null') || ',"current_title":' || coalesce('"' || title || '"', 'null') || ',"current_artist":' || coalesce('"' || artist || '"', 'null') || '}' AS one FROM p""").sql(
+            """SELECT j.root AS root, chunk, count(*) AS n, '{"album_id":"' || left(sha1(replace(j.root, '/lib/', '')), 12) || '","album_name":"' || coalesce(any_value(m1.v), split_part(j.root, '/', 4)) || '","album_artist":' || coalesce('"' || any_value(m2.v) || '"', 'null')
+            || ',"album_folder":"' || j.root || '","tracks":[' || string_agg(one, ',' ORDER BY pos) || ']}' AS payload FROM j LEFT JOIN m1 ON m1.root = j.root LEFT JOIN m2 ON m2.root = j.root GROUP BY j.root, chunk"""),
         "model_response_check": merge_chain().sql("SELECT root, chunk, reason IS NULL AS ok, reason FROM chk"),
         "model_merge": merge_chain().sql(f"SELECT path, proposed_title, proposed_artist, action, confidence, {text('issue_flags')}, source FROM mer"),
         "model_merge_validated": validate(merge_chain(), "mer").sql(f"SELECT path, proposed_title, proposed_artist, action, confidence, source, {text('validator_notes')} FROM val"),
@@ -430,7 +437,7 @@ def _more() -> dict[str, str]:
         "decision_reload": f"SELECT path, action, final_title, note, cast(2 as bigint) AS ord FROM ({DUCK_DECISIONS}) WHERE NOT regexp_matches(root, '7$') AND ord % 3 <> 0",
         "routed_suggestions": routed_chain().sql("SELECT path, class, proposed_title, action, confidence, source, reason, used_model FROM val"),
         "routed_report": changed_only.sql(f"""SELECT a.*, r.*, d.*,
-          (SELECT count(*) FROM kept k WHERE action IN ({names(PENDING)}) AND NOT EXISTS (SELECT 1 FROM dec WHERE dec.root = k.root AND dec.path = k.path)) AS pending_review,
+          (SELECT count(*) FROM kept k WHERE action IN ({names(PENDING)}) AND NOT EXISTS (SELECT 1 FROM dec WHERE dec.root = k.root AND dec.path = k.path)) AS pending_review, {top_issues('kept')} AS top_issues,
           (SELECT count(*) FROM same WHERE same) AS skipped_unchanged, (SELECT count(DISTINCT root) FROM kept WHERE class = 'mixed' AND used_model) AS model_albums FROM
           (SELECT (SELECT count(*) FROM same) AS total_albums, count(*) FILTER (class = 'clean') AS clean_albums, count(*) FILTER (class = 'deterministic') AS deterministic_albums, count(*) FILTER (class = 'broken') AS broken_albums, count(*) FILTER (class = 'mixed') AS mixed_albums FROM (SELECT DISTINCT root, class FROM kept)) a,
           (SELECT count(*) AS total_tracks, count(*) FILTER (action = 'propose_fix') AS proposed, count(*) FILTER (action = {q(MANUAL)}) AS unreadable, count(*) FILTER (confidence < 0.6 AND action = 'propose_fix') AS low_confidence FROM kept) r,

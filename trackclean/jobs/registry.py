@@ -65,6 +65,29 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.review_queue(valid(spark, sf_dir), tables.decisions(spark, sf_dir)).select("path", "class", "score", "action", "i", "of")
 
 
+def full_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.review_queue(valid(spark, sf_dir), tables.decisions(spark, sf_dir), show_all=True).select("path", "action", "i", "of")
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.tracks(spark, sf_dir)
+    return modelio.model_batches(albums.positioned(t), albums.headers(t), SMALL_CHUNKS)
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return albums.probe_scores(tables.tracks(spark, sf_dir)).withColumn("sampled_paths", F.array_join("sampled_paths", ";")).withColumn("notes", F.array_join("notes", ";"))
+
+
+def named_albums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions of the albums whose id is given: those with an edit among their decisions."""
+    edited = tables.decisions(spark, sf_dir).filter("action = 'edit'").select(albums.album_id(F.col("root")).alias("album_id")).distinct()
+    return albums.selected_albums(valid(spark, sf_dir), edited).select("path", "class", "action")
+
+
+def issues_shown(report: DataFrame) -> DataFrame:
+    return report.withColumn("top_issues", F.array_join(F.transform("top_issues", lambda i: F.concat_ws("=", i["flag"], i["n"].cast("string"))), ";"))
+
+
 def cascaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict from the second track on, for each album: skip for folders ending in an even digit, else approve."""
     s = valid(spark, sf_dir)
@@ -109,7 +132,7 @@ def routed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.tracks(spark, sf_dir)
     changed = albums.changed_albums(albums.fingerprints(t), albums.fingerprints(tables.previous_tracks(spark, sf_dir))).filter("status <> 'unchanged'")
     s = routed(spark, sf_dir).join(changed.select("root"), "root", "left_semi")
-    return decisions.routed_report(s, tables.decisions(spark, sf_dir), t)
+    return issues_shown(decisions.routed_report(s, tables.decisions(spark, sf_dir), t))
 
 
 def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +210,7 @@ QUERIES: dict[str, Query] = {
     "detect_issues": lambda spark, d: issues(spark, d).select("path", joined("flags")),
     "issue_counts_top15": lambda spark, d: decisions.top_issues(issues(spark, d), "flags"),
     "album_sample": lambda spark, d: albums.album_sample(tables.tracks(spark, d)).select("root", "path", "pos", "n"),
-    "album_probe_score": of_tracks(albums.probe_scores),
+    "album_probe_score": probes,
     "album_majority": lambda spark, d: albums.majority(tables.tracks(spark, d), "album_artist"),
     "album_common_prefix": of_tracks(albums.common_prefix),
     "album_split_support": lambda spark, d: albums.support(tables.tracks(spark, d)).select("root", "split_hints"),
@@ -207,15 +230,17 @@ QUERIES: dict[str, Query] = {
     "validated_suggestions": validated_rows,
     "pending_export": lambda spark, d: decisions.export_rows(valid(spark, d)).drop("root", "pos"),
     "review_queue": queue,
+    "review_queue_all": full_queue,
+    "selected_albums": named_albums,
     "auto_approve": lambda spark, d: decisions.auto_approve(valid(spark, d), tables.decisions(spark, d), least=0.9).drop("root"),
     "cascade_decisions": cascaded,
     "latest_decisions": lambda spark, d: decisions.latest(tables.decisions(spark, d)),
     "apply_audit": audit,
     "apply_counters": lambda spark, d: decisions.apply_counters(valid(spark, d), tables.decisions(spark, d), dry_run=False),
     "cleaned_tracks": cleaned,
-    "library_report": lambda spark, d: decisions.library_report(valid(spark, d), tables.decisions(spark, d)),
+    "library_report": lambda spark, d: issues_shown(decisions.library_report(valid(spark, d), tables.decisions(spark, d))),
     "tag_flatten": lambda spark, d: tags.flatten_tags(tag_records(spark, d)),
-    "model_batches": lambda spark, d: modelio.model_batches(albums.positioned(tables.tracks(spark, d)), SMALL_CHUNKS),
+    "model_batches": batches,
     "model_response_check": lambda spark, d: modelio.check_responses(tables.responses(spark, d)).select("root", "chunk", "ok", "reason"),
     "model_merge": merged,
     "model_merge_validated": merged_valid,

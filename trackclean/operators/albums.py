@@ -6,6 +6,8 @@ by root, and facts of the same shuffle are window aggregates rather than joins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,23 +27,29 @@ def positioned(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn("pos", F.row_number().over(W.partitionBy("root").orderBy(*_order())) - 1).withColumn("n", F.count("*").over(W.partitionBy("root")))
 
 
-def in_sample() -> Column:
-    """First, second, middle and last track of the album."""
-    return F.col("pos").isin(0, 1) | (F.col("pos") == F.floor((F.col("n") - 1) / 2)) | (F.col("pos") == F.col("n") - 1)
+def in_sample(o: Options = DEFAULT) -> Column:
+    """Tracks at the option's positions: first, second, middle and last track of the album. Unknown names pick none."""
+    last = F.col("n") - 1
+    places = {"first": F.lit(0), "second": F.lit(1), "middle": F.floor(last / 2), "last": last}
+    return reduce(lambda a, b: a | b, [F.col("pos") == places[p] for p in o.sample_positions if p in places], F.lit(False))
 
 
-def album_sample(tracks: DataFrame) -> DataFrame:
-    return positioned(tracks).filter(in_sample())
+def album_sample(tracks: DataFrame, o: Options = DEFAULT) -> DataFrame:
+    return positioned(tracks).filter(in_sample(o))
 
 
 def probe_scores(tracks: DataFrame, o: Options = DEFAULT) -> DataFrame:
-    """root, n_sampled, hard_flags, soft_flags, empty_titles, score of each album's sample."""
-    x = album_sample(tracks).withColumn("flags", detect_issues(F.col("title"), F.col("artist"), o))
-    count = lambda names: F.sum(F.size(F.array_intersect("flags", F.array(*map(F.lit, names)))))
+    """root, n_sampled, hard_flags, soft_flags, empty_titles, score, sampled_paths and notes (both in track order) of each
+    album's sample. An album whose sample is empty has score 0 and the note "no tracks"."""
+    hit, empty = F.col("sampled"), X.blank(F.col("title"))
+    x = positioned(tracks).withColumn("sampled", in_sample(o)).withColumn("flags", F.when(hit, detect_issues(F.col("title"), F.col("artist"), o)))
+    count = lambda names: F.coalesce(F.sum(F.size(F.array_intersect("flags", F.array(*map(F.lit, names))))), F.lit(0))
+    in_order = lambda when, value: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("pos", value.alias("v"))))), lambda s: s["v"])
     x = x.groupBy("root").agg(
-        F.count("*").alias("n_sampled"), count(HARD).alias("hard_flags"), count(SOFT).alias("soft_flags"),
-        F.count_if(X.blank(F.col("title"))).alias("empty_titles"))
-    cost = (F.col("hard_flags") * 0.4 + F.col("soft_flags") * 0.1) / F.col("n_sampled")
+        F.count_if(hit).alias("n_sampled"), count(HARD).alias("hard_flags"), count(SOFT).alias("soft_flags"), F.count_if(hit & empty).alias("empty_titles"),
+        in_order(hit, F.col("path")).alias("sampled_paths"), in_order(hit & empty, F.concat("filename", F.lit(": empty title"))).alias("notes"))
+    cost = F.try_divide(F.col("hard_flags") * 0.4 + F.col("soft_flags") * 0.1, F.col("n_sampled"))
+    x = x.withColumn("notes", F.when(F.col("n_sampled") == 0, F.array(F.lit("no tracks"))).otherwise(F.col("notes")))
     return x.withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - cost), 3))
 
 
@@ -83,11 +91,11 @@ def split_hint() -> Column:
     return (F.size(F.split(t, " - ")) == 2) & (F.length(left) >= 2) & (F.length(right) >= 2) & ((a == "") | (F.lower(a) == F.lower(t)))
 
 
-def with_album_facts(tracks: DataFrame) -> DataFrame:
+def with_album_facts(tracks: DataFrame, o: Options = DEFAULT) -> DataFrame:
     """Tracks with pos, n, split_hints, filename_hints, allow_split, album_prefix, majority_artist, prefix_artist."""
     whole = W.partitionBy("root")
     x = positioned(tracks)
-    x = x.withColumn("split_hints", F.count_if(in_sample() & split_hint()).over(whole))
+    x = x.withColumn("split_hints", F.count_if(in_sample(o) & split_hint()).over(whole))
     x = x.withColumn("filename_hints", F.count_if(X.parse_filename(F.col("filename"), F.lit(False)).isNotNull()).over(whole))
     x = x.withColumn("allow_split", (F.col("split_hints") >= 2) | (F.col("filename_hints") >= 2))
     # the majority value by aggregates of the same shuffle: how often a value occurs, ties to the first in track order
@@ -99,10 +107,10 @@ def with_album_facts(tracks: DataFrame) -> DataFrame:
     return x.join(common_prefix(tracks).drop("support"), "root", "left").withColumn("prefix_artist", X.leftmost_segment(F.col("album_prefix")))
 
 
-def support(tracks: DataFrame) -> DataFrame:
+def support(tracks: DataFrame, o: Options = DEFAULT) -> DataFrame:
     """root, split_hints, filename_hints, allow_split."""
     x = positioned(tracks).groupBy("root").agg(
-        F.count_if(in_sample() & split_hint()).alias("split_hints"),
+        F.count_if(in_sample(o) & split_hint()).alias("split_hints"),
         F.count_if(X.parse_filename(F.col("filename"), F.lit(False)).isNotNull()).alias("filename_hints"))
     return x.withColumn("allow_split", (F.col("split_hints") >= 2) | (F.col("filename_hints") >= 2))
 
@@ -137,9 +145,20 @@ def album_id(root: Column, base: str = "/lib/") -> Column:
     return F.substring(F.sha1(relative), 1, 12)
 
 
-def albums(tracks: DataFrame) -> DataFrame:
-    """One row for each album: root, album_id, album_name (else the folder's), album_artist, tracks, fingerprint."""
+def headers(tracks: DataFrame) -> DataFrame:
+    """One row for each album: root, album_id, album_name (else the folder's), album_artist, tracks."""
     x = tracks.groupBy("root").agg(F.count("*").alias("tracks"))
-    x = x.join(majority(tracks, "album"), "root", "left").join(majority(tracks, "album_artist"), "root", "left").join(fingerprints(tracks), "root")
+    x = x.join(majority(tracks, "album"), "root", "left").join(majority(tracks, "album_artist"), "root", "left")
     name = F.coalesce("album", F.element_at(F.split("root", "/"), -1))
-    return x.select("root", album_id(F.col("root")).alias("album_id"), name.alias("album_name"), "album_artist", "tracks", "fingerprint")
+    return x.select("root", album_id(F.col("root")).alias("album_id"), name.alias("album_name"), "album_artist", "tracks")
+
+
+def albums(tracks: DataFrame) -> DataFrame:
+    """headers with the albums' fingerprints."""
+    return headers(tracks).join(fingerprints(tracks), "root")
+
+
+def selected_albums(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (with root) of the albums whose album_id is in wanted; ids of no album pick nothing."""
+    x = rows.withColumn("__id", album_id(F.col("root")))
+    return x.join(wanted.select(F.col("album_id").alias("__id")), "__id", "left_semi").drop("__id")

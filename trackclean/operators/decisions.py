@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import has_any
 from ..functions.text import blank, text
-from ..options import AUTO_NOTE, DEFAULT, MANUAL, PENDING, WRITABLE, Options
+from ..options import AUTO_NOTE, DEFAULT, FLAGS, MANUAL, PENDING, WRITABLE, Options
 from .albums import album_id
 
 #: Flags that no row may have that is approved without a reviewer.
@@ -19,9 +19,9 @@ def pending(s: DataFrame) -> DataFrame:
     return s.filter(F.col("action").isin(*PENDING))
 
 
-def undecided(s: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Pending suggestions without any decision."""
-    return pending(s).join(decisions.select("root", "path").distinct(), ["root", "path"], "left_anti")
+def undecided(s: DataFrame, decisions: DataFrame, show_all: bool = False) -> DataFrame:
+    """Pending suggestions (or all) without any decision."""
+    return (s if show_all else pending(s)).join(decisions.select("root", "path").distinct(), ["root", "path"], "left_anti")
 
 
 def latest(decisions: DataFrame) -> DataFrame:
@@ -31,10 +31,10 @@ def latest(decisions: DataFrame) -> DataFrame:
     return x.select("root", "path", "kept_row.*")
 
 
-def review_queue(s: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Undecided pending rows with i of n in their album."""
+def review_queue(s: DataFrame, decisions: DataFrame, show_all: bool = False) -> DataFrame:
+    """Undecided pending rows (or all undecided rows) with i of n in their album."""
     album = W.partitionBy("root")
-    return undecided(s, decisions).withColumn("i", F.row_number().over(album.orderBy("pos"))).withColumn("of", F.count("*").over(album))
+    return undecided(s, decisions, show_all).withColumn("i", F.row_number().over(album.orderBy("pos"))).withColumn("of", F.count("*").over(album))
 
 
 def safe_to_approve(least: float = 0.95, allow_model: bool = False) -> Column:
@@ -146,20 +146,26 @@ def _album_counters(s: DataFrame, decisions: DataFrame, o: Options) -> DataFrame
     low = (F.col("confidence") < o.low_confidence_flag) & (F.col("action") == "propose_fix")
     x = s.join(decisions.select("root", "path", F.lit(True).alias("decided")).distinct(), ["root", "path"], "left")
     model = [F.bool_or("used_model").alias("used_model")] if "used_model" in s.columns else []
+    number = lambda k: F.sum(F.size(F.filter("issue_flags", lambda f: f == k)))
+    flags = [number(k).alias(k) for k in FLAGS]
     x = x.groupBy("root").agg(
         F.first("class").alias("class"), F.count("*").alias("total_tracks"), F.count_if(F.col("action") == "propose_fix").alias("proposed"),
         F.count_if(F.col("action") == MANUAL).alias("unreadable"), F.count_if(low).alias("low_confidence"),
-        F.count_if(F.col("action").isin(*PENDING) & F.col("decided").isNull()).alias("pending_review"), *model)
+        F.count_if(F.col("action").isin(*PENDING) & F.col("decided").isNull()).alias("pending_review"), *model, *flags)
     d = decisions.groupBy("root").agg(
         F.count_if(F.col("action") == "approve").alias("approved"), F.count_if((F.col("action") == "approve") & (F.col("note") == AUTO_NOTE)).alias("auto_approved"),
         F.count_if(F.col("action") == "skip").alias("skipped"), F.count_if(F.col("action") == "edit").alias("edited"))
     return x.join(d, "root", "left")
 
 
-def _totals(albums: DataFrame, *more: Column) -> DataFrame:
+def _totals(albums: DataFrame, *more: Column, most: int = 15) -> DataFrame:
+    """top_issues: the most frequent issue flags and their numbers, ties by name; the flags are a fixed few."""
     of = lambda k: F.count_if(F.col("class") == k).alias(f"{k}_albums")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
-    return albums.agg(F.count("*").alias("total_albums"), of("clean"), of("deterministic"), of("broken"), of("mixed"), *map(total, (*ROW_COUNTERS, *DECISION_COUNTERS, "pending_review")), *more)
+    issue = lambda k: F.struct((-F.coalesce(F.sum(k), F.lit(0))).alias("less"), F.lit(k).alias("flag"))
+    x = albums.agg(F.count("*").alias("total_albums"), of("clean"), of("deterministic"), of("broken"), of("mixed"), *map(total, (*ROW_COUNTERS, *DECISION_COUNTERS, "pending_review")), *more, F.array(*map(issue, FLAGS)).alias("issues"))
+    found = F.slice(F.array_sort(F.filter("issues", lambda i: i["less"] < 0)), F.lit(1), F.lit(most))
+    return x.withColumn("top_issues", F.transform(found, lambda i: F.struct(i["flag"].alias("flag"), (-i["less"]).alias("n")))).drop("issues")
 
 
 def library_report(s: DataFrame, decisions: DataFrame, o: Options = DEFAULT) -> DataFrame:

@@ -58,4 +58,4 @@ def normalize(x: DataFrame, o: Options = DEFAULT) -> DataFrame:
 
 def candidates(tracks: DataFrame, o: Options = DEFAULT) -> DataFrame:
     """A candidate for every track, by album facts and the normaliser."""
-    return normalize(with_album_facts(tracks), o)
+    return normalize(with_album_facts(tracks, o), o)

@@ -16,7 +16,7 @@ def with_classes(candidates: DataFrame, o: Options = DEFAULT) -> DataFrame:
     """Candidates with their album's score, class and reason, all by aggregates over the album's one shuffle."""
     whole = W.partitionBy("root")
     count = lambda names: F.size(F.array_intersect("original_flags", F.array(*map(F.lit, names))))
-    x = candidates.withColumn("cost", F.when(in_sample(), count(HARD) * 0.4 + count(SOFT) * 0.1))
+    x = candidates.withColumn("cost", F.when(in_sample(o), count(HARD) * 0.4 + count(SOFT) * 0.1))
     changed = F.col("proposed_title").isNotNull() | F.col("proposed_artist").isNotNull()
     x = x.withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - F.sum("cost").over(whole) / F.count("cost").over(whole)), 3))
     x = x.withColumn("any_change", F.bool_or(changed).over(whole)).withColumn("confident", F.bool_and(F.col("confidence") >= 0.75).over(whole))

@@ -14,6 +14,7 @@ class Options:
     scene_markers: tuple[str, ...] = ("webrip", "promo")
     collapse: tuple[str, ...] = ("_", "  ")
     replace_with_dash: tuple[str, ...] = (" -- ", " – ", " — ")
+    sample_positions: tuple[str, ...] = ("first", "second", "middle", "last")
     clean_threshold: float = 0.9
     deterministic_threshold: float = 0.6
     low_confidence_flag: float = 0.6
