@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import merkle, mixing, quality
 from .common import WORD
 
 
@@ -70,4 +70,41 @@ SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(word_chars AS bigint) AS
   NOT base_failed AND coalesce(class_distance, 0) <= {quality.MAX_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {quality.MAX_WORD_DISTANCE} AS kept, class_distance, word_distance FROM y"""
 
 
-ORACLE_SQL = {"op8_quality_rules": quality_sql(), "op9_mix_sources": mix_sql()}
+def merkle_sql() -> str:
+    """The same trees, level by level in a recursion over all of them; DuckDB has no CRC-32, so its bits are reduced here."""
+    said = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(said(c) for c in ("cast(doc_id AS varchar)", "source", "lang", "cast(n_chars AS varchar)", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    step = "list_reduce(list_prepend(xor(c, b), [cast(i AS ubigint) FOR i IN range(8)]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::ubigint) ELSE x >> 1 END)"
+    codes = "[cast(ord(d) AS ubigint) FOR d IN string_split(coalesce(cast(doc_id AS varchar), ''), '') IF d <> '']"
+    crc = f"xor(list_reduce(list_prepend(4294967295::ubigint, {codes}), lambda c, b: {step}), 4294967295::ubigint)"
+
+    def tree(name: str, nodes: str) -> str:
+        """name(t, level, pos, hash, n): nodes (t, pos, hash) and all levels above; n: nodes of the level."""
+        return f"""{name} AS (SELECT t, 0 AS level, pos, hash, count(*) OVER (PARTITION BY t) AS n FROM {nodes}
+  UNION ALL SELECT *, count(*) OVER (PARTITION BY t) AS n FROM (SELECT t, level + 1 AS level, pos // {merkle.ARITY} AS pos, sha256(string_agg(hash, '' ORDER BY pos)) AS hash FROM {name} WHERE n > 1 GROUP BY t, level, pos // {merkle.ARITY}))"""
+
+    def pairs(name: str, nodes: str) -> str:
+        """name(t, level, pos, l, r): the hashes to the left and right of a node within its group."""
+        w = f"PARTITION BY t, level, pos // {merkle.ARITY} ORDER BY pos ROWS BETWEEN"
+        return f"""{name} AS (SELECT t, level, pos, coalesce(string_agg(hash, '') OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(hash, '') OVER ({w} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {nodes} WHERE n > 1)"""
+
+    arity = merkle.ARITY
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang AS t, {leaf("text")} AS hash, CASE WHEN {crc} % {merkle.ALTERED} = 0 THEN {leaf(lower)} END AS tampered FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, hash) - 1 AS pos FROM d),
+{tree("a", "k")}, {pairs("ap", "a")},
+s AS (SELECT t AS lang, '' AS t, hash, row_number() OVER (ORDER BY t NULLS FIRST) - 1 AS pos FROM a WHERE n = 1),
+{tree("b", "s")}, {pairs("bp", "b")}, z AS (SELECT hash AS root FROM b WHERE n = 1),
+u AS (SELECT s.lang, s.hash AS subroot, bp.level, l, r FROM s LEFT JOIN bp ON bp.pos = s.pos // cast({arity} ** bp.level AS bigint)),
+p AS (SELECT k.t, k.pos, 0 AS tier, ap.level, l, r FROM k JOIN ap ON k.t IS NOT DISTINCT FROM ap.t AND ap.pos = k.pos // cast({arity} ** ap.level AS bigint)
+  UNION ALL SELECT k.t, k.pos, 1, u.level, l, r FROM k JOIN u ON k.t IS NOT DISTINCT FROM u.lang WHERE u.level IS NOT NULL),
+q AS (SELECT t, pos, string_agg(l || r, '' ORDER BY tier, level) AS proof, list({{'l': l, 'r': r}} ORDER BY tier, level) AS steps FROM p GROUP BY t, pos),
+f AS (SELECT k.doc_id, k.hash AS leaf, k.t, coalesce(tampered, k.hash) AS h, coalesce(steps, []) AS steps, coalesce(proof, '') AS proof, 1 AS i FROM k LEFT JOIN q ON k.t IS NOT DISTINCT FROM q.t AND k.pos = q.pos
+  UNION ALL SELECT doc_id, leaf, t, sha256(steps[i].l || h || steps[i].r), steps, proof, i + 1 FROM f WHERE i <= len(steps))
+SELECT doc_id, leaf, s.hash AS subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM f JOIN s ON f.t IS NOT DISTINCT FROM s.lang, z WHERE i = len(steps) + 1"""
+
+
+ORACLE_SQL = {"op12_merkle_manifest": merkle_sql(), "op8_quality_rules": quality_sql(), "op9_mix_sources": mix_sql()}

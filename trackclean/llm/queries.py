@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytestream, classifier, licenses, media, mixing, neardup, oracles, packing, quality, substrings, tokens
+from . import bpe, bytestream, classifier, licenses, media, merkle, mixing, neardup, oracles, packing, quality, spelling, substrings, tokens
 from .common import read_table
 
 
@@ -50,7 +50,20 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_context_tree_scores, op3_near_duplicates, op4_license_scan, op5_token_counts, op6_remove_repeats, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_pack_sequences)
+    f.__name__: f for f in (op1_media_columns, op2_context_tree_scores, op3_near_duplicates, op4_license_scan, op5_token_counts, op6_remove_repeats, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_pack_sequences,
+                                 op11_spelling_variants, op12_merkle_manifest, op13_byte_level_bpe)
 }
 ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
