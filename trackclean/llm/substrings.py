@@ -84,27 +84,22 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     least = sliding_least(h, SPAN)[window]
     new = np.ones(len(window), bool)
     new[1:] = (least[1:] != least[:-1]) | (window[1:] != window[:-1] + 1)
-    # where the hash at a place is its window's least, that place is the anchor of the windows up to it, from the last such on
-    at = np.flatnonzero(new)
-    seed, first, last = least[at], window[at], window[np.append(at[1:], len(window)) - 1]
-    anchor = first.copy()
-    wrong = np.flatnonzero(h[anchor] != seed)
+    runs = np.flatnonzero(new)
+    ends = np.append(runs[1:], len(window)) - 1
+    # the anchor of a run's last window may lie behind it; that of another is the next window of the run that starts with the seed
+    tail = window[ends]
+    wrong = np.flatnonzero(h[tail] != least[ends])
     while len(wrong):
-        anchor[wrong] += 1
-        wrong = wrong[h[anchor[wrong]] != seed[wrong]]
-    # a run whose seed recurs inside it goes on with the next place of that seed
-    while True:
-        over = np.flatnonzero(last > anchor)
-        if not len(over):
-            break
-        tail_first, tail_last, tail_seed = anchor[over] + 1, last[over].copy(), seed[over]
-        last[over] = anchor[over]
-        tail = tail_first.copy()
-        wrong = np.flatnonzero(h[tail] != tail_seed)
-        while len(wrong):
-            tail[wrong] += 1
-            wrong = wrong[h[tail[wrong]] != tail_seed[wrong]]
-        first, last, seed, anchor = (np.concatenate(x) for x in ((first, tail_first), (last, tail_last), (seed, tail_seed), (anchor, tail)))
+        tail[wrong] += 1
+        wrong = wrong[h[tail[wrong]] != least[ends[wrong]]]
+    following = np.where(h[window] == least, np.arange(len(window)), len(window))
+    following = np.minimum.accumulate(following[::-1])[::-1]
+    size = np.diff(np.append(runs, len(window)))
+    inside = following <= np.repeat(ends, size)
+    where = np.where(inside, window[np.minimum(following, len(window) - 1)], np.repeat(tail, size))
+    new[1:] |= where[1:] != where[:-1]
+    at = np.flatnonzero(new)
+    seed, first, last, anchor = least[at], window[at], window[np.append(at[1:], len(window)) - 1], where[at]
     text = np.searchsorted(offsets, first, "right") - 1
     context = mix(span_hash(prefix_sums(buf), first, last + LENGTH) ^ ((anchor - first).astype(np.uint64) << np.uint64(32)) ^ (last - first).astype(np.uint64))
     base = offsets[text]
@@ -149,17 +144,31 @@ def anchored(docs: DataFrame) -> DataFrame:
                 same = x["seed"][left[1:]] == x["seed"][left[:-1]]
                 kind[left[:-1][same]] = FIRST
                 kind[left[1:][same]] = AGAIN
+                keep, last = joined_settled(x, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (x["seed"], x["context"], doc, x["anchor"])] + [pa.array(x["anchor"] - x[k], pa.int16()) for k in ("first", "last")] + [pa.array(kind)],
+                    [pa.array(c[keep]) for c in (x["seed"], x["context"], doc, x["anchor"])] + [pa.array((x["anchor"] - c)[keep], pa.int32()) for c in (x["first"], last)] + [pa.array(kind[keep])],
                     ["seed", "context", "doc_id", "at", "before", "after", "kind"])
 
-    return docs.mapInArrow(run, "seed long, context long, doc_id long, at long, before short, after short, kind byte")
+    return docs.mapInArrow(run, "seed long, context long, doc_id long, at long, before int, after int, kind byte")
+
+
+def joined_settled(x: dict[str, np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that stay, last starts): SETTLED rows whose starts follow each other are one, so that a text of one byte again
+    and again has few rows."""
+    order = np.lexsort((x["first"], x["text"]))
+    settled, text = kind[order] == SETTLED, x["text"][order]
+    follows = np.zeros(len(order), bool)
+    follows[1:] = settled[1:] & settled[:-1] & (text[1:] == text[:-1]) & (x["first"][order][1:] == x["last"][order][:-1] + 1)
+    heads = np.flatnonzero(~follows)
+    last = x["last"].copy()
+    last[order[heads]] = x["last"][order[np.append(heads[1:], len(order))[: len(heads)] - 1]]
+    return np.sort(order[heads]), last
 
 
 def contexts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """wanted rows with their context's bytes, sliced from the documents."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "context", "at", "before", "after", "kinds")).alias("wanted"))
-    schema = "seed long, context long, doc_id long, at long, before short, after short, kinds long, bytes binary"
+    schema = "seed long, context long, doc_id long, at long, before int, after int, kinds long, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -168,7 +177,7 @@ def contexts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                     for w in spans:
                         rows.append((w["seed"], w["context"], doc, w["at"], w["before"], w["after"], w["kinds"], text[w["at"] - w["before"] : w["at"] - w["after"] + LENGTH]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["seed", "context", "doc_id", "at", "before", "after", "kinds", "bytes"])
 
@@ -322,10 +331,10 @@ def narrowed(contexts: DataFrame, width: int) -> DataFrame:
                     shared = data[max(0, before - part * width) : before - (part * width + width - 1) + LENGTH]
                     hashed = [int.from_bytes(hashlib.blake2b(x, digest_size=8, key=seed.to_bytes(8, "little", signed=True)).digest(), "little", signed=True) for x in (bytes([part]) + shared, bytes([part, most - least, before - most]) + cut)]
                     rows.append((*hashed, doc, at, most, least, cut))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], ["seed", "context", "doc_id", "at", "before", "after", "bytes"])
 
-    return contexts.mapInArrow(run, "seed long, context long, doc_id long, at long, before short, after short, bytes binary")
+    return contexts.mapInArrow(run, "seed long, context long, doc_id long, at long, before int, after int, bytes binary")
 
 
 def later_than(rows: DataFrame, firsts: DataFrame) -> DataFrame:
