@@ -92,3 +92,9 @@ def test_tables_of_few_words(spark):
     rows = [(1, "hello world"), (2, "x " * 200_000), (3, "y " * 200_000 + LONG["ISC"])]
     got = {r.doc_id: r.licenses for r in licenses.license_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "", 2: "", 3: "ISC"}
+
+
+def test_many_notices_in_one_text(spark):
+    text = "All rights reserved. " * 50_000
+    found, words = licenses.Scanner(licenses.TEMPLATES).scan(pa.array([text]))
+    assert len(found) == 50_000 and words.tolist() == [150_000]

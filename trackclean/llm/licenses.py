@@ -16,6 +16,7 @@ headers of the GPL's versions), are one place where their words overlap: the one
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -303,12 +304,15 @@ class Scanner:
 
     def apart(self, found: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
         """Of the places of one text and group that overlap, the one contained most."""
-        kept: dict[tuple[int, int], list] = {}
+        kept: dict[tuple[int, int], tuple[list[int], list]] = {}
         for x in sorted(found, key=lambda x: (-x[4], -x[3], x[2], x[1])):
-            others = kept.setdefault((x[0], self.groups[x[1]]), [])
-            if not any(x[2] < o[2] + o[3] and o[2] < x[2] + x[3] for o in others):
-                others.append(x)
-        return [x for others in kept.values() for x in others]
+            # those kept of a group are apart and in order, so only the two next to a place may overlap it
+            starts, others = kept.setdefault((x[0], self.groups[x[1]]), ([], []))
+            k = bisect(starts, x[2])
+            if (not k or others[k - 1][2] + others[k - 1][3] <= x[2]) and (k == len(others) or x[2] + x[3] <= starts[k]):
+                starts.insert(k, x[2])
+                others.insert(k, x)
+        return [x for _, others in kept.values() for x in others]
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None) -> DataFrame:
