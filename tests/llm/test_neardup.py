@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from trackclean.llm import neardup
@@ -68,3 +69,32 @@ def test_recall_near_the_threshold(spark):
             rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
     got = {r.doc_id: r.component_id for r in labels(spark, rows)}
     assert all(got[i] == k for i, k in want.items()) and len(set(want.values()) & {i - 1 for i in want}) > 100
+
+
+def test_held_sets_tell_all_similar_ones():
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 40, 30, dtype=np.uint64)
+    sets = []
+    for _ in range(120):
+        own = rng.integers(0, 1 << 40, int(rng.integers(1, 60)), dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([common[: int(rng.integers(0, 30))], own])))
+    sets += [np.unique(np.append(s[: len(s) - len(s) // 8], np.uint64(k))) for k, s in enumerate(sets[:60])]
+    held = neardup.Held(sets)
+    for s in sets:
+        want = [k for k, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t))]
+        assert held.similar(s, held.candidates(s)).tolist() == want
+
+
+def test_many_texts_of_one_doc_id_and_a_bucket_of_many_components(spark):
+    """A shared passage puts texts into one bucket that are not similar; sizes at which quadratic work does not end."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(1, " ".join(word() for _ in range(30))) for _ in range(5000)]
+    rows += [(i, passage + " " + " ".join(word() for _ in range(40))) for i in range(10, 6010)]
+    rows += [(7000 + i, rows[5000 + i][1] + " end") for i in range(20)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    found = {r.doc_id: r.component_id for r in got}
+    assert all(found[7000 + i] == 10 + i for i in range(20))
+    assert all(found[i] == i for i in range(10, 6010))

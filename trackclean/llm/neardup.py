@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -62,8 +61,9 @@ def band_hashes(sketch: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text and perhaps text_key. doc_id, text_key, n_shingles, set_key (a 128-bit hash of the set), bands."""
-    extra = [c for c in docs.columns if c == "text_key"]
+    """docs: doc_id, text and perhaps text_key. doc_id, text_key, text_hash, n_shingles, set_key (a 128-bit hash of the
+    set), bands."""
+    extra = ["text_hash", *[c for c in docs.columns if c == "text_key"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -73,7 +73,8 @@ def described(docs: DataFrame) -> DataFrame:
                 columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), set_keys(batch.column("text"), sets), bands]
                 yield pa.RecordBatch.from_arrays([*columns, *map(batch.column, extra)], ["doc_id", "n_shingles", "set_key", "bands", *extra])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>" + ", text_key string" * len(extra))
+    kinds = ", text_hash long" + ", text_key string" * (len(extra) - 1)
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>" + kinds)
 
 
 def set_keys(column: pa.Array, sets: list[np.ndarray]) -> pa.Array:
@@ -114,13 +115,50 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def overlaps(keys: np.ndarray, owners: np.ndarray, n: int, s: np.ndarray) -> np.ndarray:
-    """Sizes of s's intersections with n sets, whose elements are keys (sorted), each with its set in owners."""
-    first, last = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
-    count = last - first
-    first, count = first[count > 0], count[count > 0]
-    at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-    return np.bincount(owners[at], minlength=n)
+class Held:
+    """Sets held in a task, as an inverted index that tells which of them another set is similar to.
+
+    Of a set of s elements only the s - ceil(SHARE * s / 100) + 1 that the fewest held sets have are looked for: a similar
+    set has SHARE hundredths of its elements, so it cannot lack them all. What many sets share, such as a passage, makes no
+    candidates then. Candidates are counted on full sets.
+    """
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets])
+        owners = np.repeat(np.arange(len(sets)), self.sizes)
+        values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        distinct, nth, count = np.unique(values, return_inverse=True, return_counts=True)
+        first = np.cumsum(self.sizes) - self.sizes
+        order = np.lexsort((nth, count[nth], owners))
+        rank = np.arange(len(values)) - first[owners]  # owners are in order, so ranks by place are ranks by rarity
+        looked = self.sizes - -(-SHARE * self.sizes // 100) + 1
+        rare = order[rank < looked[owners]]
+        self.all = self._index(values, owners)
+        self.rare = self._index(values[rare], owners[rare])
+
+    @staticmethod
+    def _index(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(values, kind="stable")
+        return values[order], owners[order]
+
+    def _hits(self, index: tuple[np.ndarray, np.ndarray], s: np.ndarray) -> np.ndarray:
+        """How many elements of s each held set has in the index."""
+        keys, owners = index
+        first, last = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
+        count = last - first
+        first, count = first[count > 0], count[count > 0]
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(owners[at], minlength=len(self.sizes))
+
+    def candidates(self, s: np.ndarray) -> np.ndarray:
+        """Held sets of a fitting size that have one of their rare elements in s: all that s is similar to are among them."""
+        fits = 100 * np.minimum(self.sizes, len(s)) >= SHARE * np.maximum(self.sizes, len(s))
+        return np.flatnonzero(fits & (self._hits(self.rare, s) > 0))
+
+    def similar(self, s: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """Of some held sets those that s is similar to."""
+        same = self._hits(self.all, s)[among]
+        return among[100 * same >= SHARE * (self.sizes[among] + len(s) - same)]
 
 
 def linked_across(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -141,7 +179,7 @@ def linked_across(rows: DataFrame, texts: DataFrame) -> DataFrame:
     every = x.select("band", each("chunks").alias("chunk"), "part", F.lit(1).alias("role"), "node", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, index, known = None, [], None, set()
+        at, held, index, places, known = None, [], None, None, set()
         for big in batches:
             for batch in balanced(big, "text"):
                 columns = [batch.column(c).to_pylist() for c in ("band", "chunk", "part", "role", "node", "component")]
@@ -154,14 +192,12 @@ def linked_across(rows: DataFrame, texts: DataFrame) -> DataFrame:
                         held.append((node, component, s))
                         continue
                     if index is None:
-                        keys = np.concatenate([h[2] for h in held]) if held else s[:0]
-                        owners = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
-                        order = np.argsort(keys, kind="stable")
-                        index = keys[order], owners[order], np.array([len(h[2]) for h in held]), np.array([h[0] for h in held]), np.array([h[1] for h in held])
-                    keys, owners, lengths, nodes, components_ = index
-                    same = overlaps(keys, owners, len(lengths), s)
-                    hit = (100 * same >= SHARE * (lengths + len(s) - same)) & (components_ != component)
-                    for other, c in zip(nodes[hit].tolist(), components_[hit].tolist(), strict=True):
+                        index, places = Held([h[2] for h in held]), np.array([h[1] for h in held])
+                    maybe = index.candidates(s)
+                    linked = [c for c in np.unique(places[maybe]).tolist() if c == component or (min(c, component), max(c, component)) in known]
+                    maybe = maybe[~np.isin(places[maybe], linked)]
+                    for k in index.similar(s, maybe).tolist() if len(maybe) else ():
+                        other, c, _ = held[k]
                         if (both := (min(c, component), max(c, component))) not in known:
                             known.add(both)
                             found.append((min(node, other), max(node, other)))
@@ -175,21 +211,12 @@ def linked_across(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """docs: doc_id, text; nodes: node, doc_id, set_key, several. node and text: one text of each node's set.
+    """docs: doc_id, text; nodes: node, doc_id, text_hash. node and text: one text of each node's set.
 
-    Where a doc_id has several sets, the text is the one whose set has the node's key.
+    Rows are found by doc_id and text, so that rows that share a doc_id, however many, do not meet each other.
     """
-    found = docs.join(nodes, "doc_id")
-
-    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for batch in balanced(big, "text"):
-                keep = pc.equal(set_keys(batch.column("text"), shingle_sets(batch.column("text"), WIDTH)), batch.column("set_key"))
-                yield batch.select(["node", "text"]).filter(keep)
-
-    one = found.filter("not several").select("node", "text")
-    some = found.filter("several").select("node", "text", "set_key").mapInArrow(right, "node long, text string")
-    return one.unionByName(some).dropDuplicates(["node"])
+    found = docs.withColumn("text_hash", F.xxhash64("text")).join(nodes, ["doc_id", "text_hash"])
+    return found.select("node", "text").dropDuplicates(["node"])
 
 
 def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -201,14 +228,12 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     every = store(described(docs))
     some = every.filter("n_shingles > 0 and doc_id is not null")
-    sets = some.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = store(sets.withColumn("node", F.monotonically_increasing_id()))
+    sets = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = store(sets.select("set_key", F.col("least.doc_id").alias("least"), "least.text_hash", "n_shingles", "bands", F.monotonically_increasing_id().alias("node")))
     rows = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
     buckets = cut(rows.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other").select("band", "pivot"))
     held = store(rows.join(buckets, "band").select("band", "node", "n_shingles", "pivot"))
-    wanted = classes.join(held.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id"), "set_key")
-    several = some.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").select("doc_id", F.lit(True).alias("several"))
-    wanted = wanted.join(several, "doc_id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    wanted = classes.join(held.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id"), "text_hash")
     texts = store(texts_of(docs.select("doc_id", "text"), wanted))
     links = cut(verified(held.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), texts))
     place = held.filter("node <> pivot").join(components(links), "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
