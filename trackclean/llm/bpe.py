@@ -26,8 +26,8 @@ from .tokens import balanced
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of text that are split at once, and pieces that are remembered.
-CHUNK = 4 << 20
-REMEMBERED = 400_000
+CHUNK = 2 << 20
+REMEMBERED = 150_000
 #: Characters of a block of the scan.
 BLOCK = 64
 #: Widths of the matrices of pieces; pieces of more bytes are merged with a heap.
