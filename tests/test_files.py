@@ -23,20 +23,6 @@ def test_listing_of_a_folder_with_and_without_tags(spark, tmp_path):
     assert got == {"01.flac": ("Tune", 3), "02.MP3": (None, None), "x.ogg": (None, None)}
 
 
-def test_scans_write_changed_albums_only(spark, tmp_path):
-    none = spark.createDataFrame([], "root string, fingerprint string")
-    first = album(spark, ["A", "B"]).unionByName(album(spark, ["C"], root="/lib/b"))
-    files.write_scan(first, none, str(tmp_path), 1)
-    now = album(spark, ["A", "B"]).unionByName(album(spark, ["C", "D"], root="/lib/b"))
-    before = files.read_scan(spark, str(tmp_path))[0].select("root", "fingerprint")
-    assert albums.scan_counters(albums.changed_albums(albums.fingerprints(now), before)).first() == (2, 1, 1)
-    for _ in range(2):
-        files.write_scan(now, before, str(tmp_path), 2)
-    a, t = files.read_scan(spark, str(tmp_path))
-    assert sorted((r.root, r.scan, r.tracks) for r in a.collect()) == [("/lib/a", 1, 2), ("/lib/b", 2, 2)]
-    assert sorted(r.title for r in t.collect()) == ["A", "B", "C", "D"]
-
-
 def rows_of(folder):
     out = []
     for f in sorted(glob.glob(f"{folder}/*.csv")):

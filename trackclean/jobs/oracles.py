@@ -427,6 +427,8 @@ def _more() -> dict[str, str]:
     return {
         "review_sheet": valid_chain().sql(f"SELECT path AS track_path, action, printf('%.2f', confidence) AS confidence, {shown}, {text('issue_flags')}, reason FROM val"),
         "scan_counters": f"SELECT count(*) AS albums, count(*) FILTER (NOT same) AS written, count(*) FILTER (same) AS unchanged FROM ({status})",
+        "incremental_suggestions": valid_chain().sql(f"SELECT path, proposed_title, proposed_artist, action, {text('issue_flags')}, {text('remaining_flags')}, confidence, downgraded_from, {text('validator_notes')} FROM val"),
+        "incremental_scan": f"SELECT root, count(*) AS tracks, cast(CASE WHEN l_orderkey % 9 = 0 OR l_orderkey % 4 = 0 THEN 2 ELSE 1 END AS bigint) AS scan, count(*) AS kept_tracks FROM ({DUCK_TRACKS}) GROUP BY root, l_orderkey",
         "file_listing": found.sql("SELECT file AS path, size_bytes, mtime_us FROM li"),
         "path_parts": found.sql("SELECT file AS path, root, name AS filename, ext, left(sha1(replace(root, '/lib/', '')), 12) AS album_id FROM li"),
         "scan_with_tags": found.sql(f"SELECT file AS path, root, ext, size_bytes, CASE WHEN l_partkey % 3 <> 0 THEN nullif({strip('title')}, '') END AS title, CASE WHEN l_partkey % 3 <> 0 THEN nullif({strip('artist')}, '') END AS artist, CASE WHEN l_partkey % 3 <> 0 THEN track_number END AS track_number FROM li"),

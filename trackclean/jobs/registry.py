@@ -12,7 +12,8 @@ from ..functions import text as X
 from ..functions.flags import detect_issues, is_generic, is_unreadable
 from ..operators import albums, decisions, modelio, normalize, suggest, tags
 from ..options import DEFAULT
-from ..sources import files, tables
+from ..sources import files, generations, tables
+from ..stored import new_folder, store
 from .oracles import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,11 +129,41 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of a run that left out the albums whose earlier scan was the same."""
-    t = tables.tracks(spark, sf_dir)
-    changed = albums.changed_albums(albums.fingerprints(t), albums.fingerprints(tables.previous_tracks(spark, sf_dir))).filter("status <> 'unchanged'")
-    s = routed(spark, sf_dir).join(changed.select("root"), "root", "left_semi")
-    return issues_shown(decisions.routed_report(s, tables.decisions(spark, sf_dir), t))
+    """The report of a run that left out the albums whose earlier scan was the same, from the scan's stored counters."""
+    folder, t = new_folder(spark, "library"), store(tables.tracks(spark, sf_dir))
+    before = albums.fingerprints(tables.previous_tracks(spark, sf_dir))
+    responses = tables.responses(spark, sf_dir)
+    generations.write_scan(t, folder, 1, lambda x: modelio.routed(normalize.candidates(x), responses, SMALL_CHUNKS), before=before, digits=1)
+    read = lambda name: generations.of_latest(spark, folder, name)
+    return issues_shown(decisions.report_of_counters(read("counters"), read("suggestions"), tables.decisions(spark, sf_dir), t))
+
+
+def two_scans(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a library that is scanned twice: the first time without some albums, with others that are gone later,
+    and with other titles and sizes in every fourth album."""
+    folder, now = new_folder(spark, "library"), store(tables.tracks(spark, sf_dir))
+    other = F.col("l_orderkey") % 4 == 0
+    first = now.filter("l_orderkey % 9 <> 0").withColumn("size_bytes", F.when(other, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
+    first = first.withColumn("title", F.when(other, F.concat(F.lit("va - "), "title")).otherwise(F.col("title")))
+    gone = now.filter("l_orderkey % 7 = 0").withColumn("root", F.concat("root", F.lit("-gone"))).withColumn("path", F.concat("root", F.lit("/"), "filename"))
+    generations.update(first.unionByName(gone), folder, 1, digits=1)
+    generations.update(now, folder, 2, digits=1)
+    return folder
+
+
+def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validated suggestions after two scans, the second of which works out the changed albums only: those of a full run."""
+    s = generations.of_latest(spark, two_scans(spark, sf_dir), "suggestions")
+    return s.select("path", "proposed_title", "proposed_artist", "action", joined("issue_flags"), joined("remaining_flags"), "confidence", "downgraded_from", joined("validator_notes"))
+
+
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Albums and the number of the scan that each was found changed in last, after two scans and a compaction."""
+    folder = two_scans(spark, sf_dir)
+    found = generations.read_albums(spark, folder).select("root", "tracks", F.col("scan").alias("scan"))
+    generations.compact(spark, folder)
+    kept = generations.of_latest(spark, folder, "tracks").groupBy("root").agg(F.count("*").alias("kept_tracks"))
+    return found.join(kept, "root", "left")
 
 
 def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,6 +277,8 @@ QUERIES: dict[str, Query] = {
     "model_merge_validated": merged_valid,
     "review_sheet": lambda spark, d: decisions.review_rows(valid(spark, d)).drop("root", "pos"),
     "scan_counters": scan_counters,
+    "incremental_suggestions": incremental,
+    "incremental_scan": incremental_scan,
     "file_listing": lambda spark, d: listed(spark, d).select("path", "size_bytes", "mtime_us"),
     "path_parts": path_parts,
     "scan_with_tags": scanned,

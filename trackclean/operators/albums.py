@@ -127,10 +127,10 @@ def fingerprints(tracks: DataFrame) -> DataFrame:
 
 
 def changed_albums(now: DataFrame, before: DataFrame) -> DataFrame:
-    """root, fingerprint, status (new, changed, unchanged) of each album against an earlier scan."""
-    old = before.withColumnRenamed("fingerprint", "old")
+    """now's rows (root, fingerprint and others) with status: new, changed or unchanged against an earlier scan."""
+    old = before.select("root", F.col("fingerprint").alias("old"))
     status = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("fingerprint"), "unchanged").otherwise("changed")
-    return now.join(old, "root", "left").select("root", "fingerprint", status.alias("status"))
+    return now.join(old, "root", "left").withColumn("status", status).drop("old")
 
 
 def scan_counters(changed: DataFrame) -> DataFrame:
@@ -139,26 +139,39 @@ def scan_counters(changed: DataFrame) -> DataFrame:
     return changed.agg(F.count("*").alias("albums"), F.count_if(~same).alias("written"), F.count_if(same).alias("unchanged"))
 
 
-def album_id(root: Column, base: str = "/lib/") -> Column:
-    """Twelve hex digits of the SHA-1 of the folder's path below base."""
+#: The library's folder where none is named.
+LIBRARY = "/lib/"
+
+
+def album_id(root: Column, base: str = LIBRARY) -> Column:
+    """Twelve hex digits of the SHA-1 of the folder's path below base; of the whole path where it is not below."""
+    base = base if base.endswith("/") else f"{base}/"
     relative = F.when(F.startswith(root, F.lit(base)), F.substring(root, F.lit(len(base) + 1), F.length(root))).otherwise(root)
     return F.substring(F.sha1(relative), 1, 12)
 
 
-def headers(tracks: DataFrame) -> DataFrame:
+def headers(tracks: DataFrame, base: str = LIBRARY) -> DataFrame:
     """One row for each album: root, album_id, album_name (else the folder's), album_artist, tracks."""
     x = tracks.groupBy("root").agg(F.count("*").alias("tracks"))
     x = x.join(majority(tracks, "album"), "root", "left").join(majority(tracks, "album_artist"), "root", "left")
     name = F.coalesce("album", F.element_at(F.split("root", "/"), -1))
-    return x.select("root", album_id(F.col("root")).alias("album_id"), name.alias("album_name"), "album_artist", "tracks")
+    return x.select("root", album_id(F.col("root"), base).alias("album_id"), name.alias("album_name"), "album_artist", "tracks")
 
 
-def albums(tracks: DataFrame) -> DataFrame:
+def albums(tracks: DataFrame, base: str = LIBRARY) -> DataFrame:
     """headers with the albums' fingerprints."""
-    return headers(tracks).join(fingerprints(tracks), "root")
+    return headers(tracks, base).join(fingerprints(tracks), "root")
 
 
-def selected_albums(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (with root) of the albums whose album_id is in wanted; ids of no album pick nothing."""
-    x = rows.withColumn("__id", album_id(F.col("root")))
-    return x.join(wanted.select(F.col("album_id").alias("__id")), "__id", "left_semi").drop("__id")
+def selected_albums(rows: DataFrame, wanted: DataFrame, base: str = LIBRARY, digits: int = 0) -> DataFrame:
+    """Rows (with root) of the albums whose album_id is in wanted; ids of no album pick nothing.
+
+    digits: of the ids that make the column bucket, where rows are partitioned by it; only wanted buckets are read then.
+    """
+    x = rows.withColumn("__id", album_id(F.col("root"), base))
+    ids = wanted.filter(F.length("album_id") == 12).select(F.col("album_id").alias("__id"))
+    keys = ["__id"]
+    if digits:
+        ids = ids.withColumn("bucket", F.substring("__id", 1, digits))
+        keys = ["bucket", "__id"]
+    return x.join(ids, keys, "left_semi").drop("__id").select(*rows.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.flags import has_any
 from ..functions.text import blank, text
 from ..options import AUTO_NOTE, DEFAULT, FLAGS, MANUAL, PENDING, WRITABLE, Options
-from .albums import album_id
+from .albums import LIBRARY, album_id
 
 #: Flags that no row may have that is approved without a reviewer.
 AUTO_BLOCKING = ("generic_track_name", "unreadable_title", "suspicious_swap_artist_title")
@@ -141,21 +141,31 @@ ROW_COUNTERS = ("total_tracks", "proposed", "unreadable", "low_confidence")
 DECISION_COUNTERS = ("approved", "auto_approved", "skipped", "edited")
 
 
-def _album_counters(s: DataFrame, decisions: DataFrame, o: Options) -> DataFrame:
-    """One row for each album of the suggestions: its class and its counters. The suggestions are gone through once."""
+def suggestion_counters(s: DataFrame, o: Options = DEFAULT) -> DataFrame:
+    """root, class and the counters of each album that suggestions alone tell, its flags' numbers too."""
     low = (F.col("confidence") < o.low_confidence_flag) & (F.col("action") == "propose_fix")
-    x = s.join(decisions.select("root", "path", F.lit(True).alias("decided")).distinct(), ["root", "path"], "left")
     model = [F.bool_or("used_model").alias("used_model")] if "used_model" in s.columns else []
     number = lambda k: F.sum(F.size(F.filter("issue_flags", lambda f: f == k)))
-    flags = [number(k).alias(k) for k in FLAGS]
-    x = x.groupBy("root").agg(
+    return s.groupBy("root").agg(
         F.first("class").alias("class"), F.count("*").alias("total_tracks"), F.count_if(F.col("action") == "propose_fix").alias("proposed"),
         F.count_if(F.col("action") == MANUAL).alias("unreadable"), F.count_if(low).alias("low_confidence"),
-        F.count_if(F.col("action").isin(*PENDING) & F.col("decided").isNull()).alias("pending_review"), *model, *flags)
-    d = decisions.groupBy("root").agg(
-        F.count_if(F.col("action") == "approve").alias("approved"), F.count_if((F.col("action") == "approve") & (F.col("note") == AUTO_NOTE)).alias("auto_approved"),
-        F.count_if(F.col("action") == "skip").alias("skipped"), F.count_if(F.col("action") == "edit").alias("edited"))
-    return x.join(d, "root", "left")
+        F.count_if(F.col("action").isin(*PENDING)).alias("pending"), *model, *[number(k).alias(k) for k in FLAGS])
+
+
+def decision_counters(s: DataFrame, decisions: DataFrame) -> DataFrame:
+    """root and the counters of each album's decisions; decided: its pending suggestions with a decision."""
+    of = lambda when, name: F.count_if(when).alias(name)
+    approve = F.col("action") == "approve"
+    d = decisions.groupBy("root", "path").agg(
+        of(approve, "approved"), of(approve & (F.col("note") == AUTO_NOTE), "auto_approved"), of(F.col("action") == "skip", "skipped"), of(F.col("action") == "edit", "edited"))
+    d = d.join(pending(s).select("root", "path", F.lit(1).alias("is_pending")).distinct(), ["root", "path"], "left")
+    total = [F.sum(c).alias(c) for c in DECISION_COUNTERS]
+    return d.groupBy("root").agg(*total, F.count("is_pending").alias("decided"))
+
+
+def _album_counters(counters: DataFrame, decided: DataFrame) -> DataFrame:
+    """suggestion_counters with decision_counters, for albums that have suggestions."""
+    return counters.join(decided, "root", "left").withColumn("pending_review", F.col("pending") - F.coalesce("decided", F.lit(0)))
 
 
 def _totals(albums: DataFrame, *more: Column, most: int = 15) -> DataFrame:
@@ -170,14 +180,19 @@ def _totals(albums: DataFrame, *more: Column, most: int = 15) -> DataFrame:
 
 def library_report(s: DataFrame, decisions: DataFrame, o: Options = DEFAULT) -> DataFrame:
     """One row of counters over albums, suggestions and all decision rows of albums that have suggestions."""
-    return _totals(_album_counters(s, decisions, o))
+    return _totals(_album_counters(suggestion_counters(s, o), decision_counters(s, decisions)))
+
+
+def report_of_counters(counters: DataFrame, s: DataFrame, decisions: DataFrame, scanned: DataFrame) -> DataFrame:
+    """routed_report where the suggestions' counters are stored: of s, root, path and action are read."""
+    x = scanned.select("root").distinct().join(_album_counters(counters, decision_counters(s, decisions)), "root", "full")
+    return _totals(x, F.count_if(F.col("class").isNull()).alias("skipped_unchanged"), F.count_if((F.col("class") == "mixed") & F.col("used_model")).alias("model_albums"))
 
 
 def routed_report(s: DataFrame, decisions: DataFrame, scanned: DataFrame, o: Options = DEFAULT) -> DataFrame:
     """The report of suggestions with used_model, over all scanned albums (root): an album without suggestions counts as
     skipped_unchanged and in the total; model_albums are the mixed ones that the model answered."""
-    x = scanned.select("root").distinct().join(_album_counters(s, decisions, o), "root", "full")
-    return _totals(x, F.count_if(F.col("class").isNull()).alias("skipped_unchanged"), F.count_if((F.col("class") == "mixed") & F.col("used_model")).alias("model_albums"))
+    return report_of_counters(suggestion_counters(s, o), s, decisions, scanned)
 
 
 def top_issues(flagged: DataFrame, column: str, most: int = 15) -> DataFrame:
@@ -186,10 +201,10 @@ def top_issues(flagged: DataFrame, column: str, most: int = 15) -> DataFrame:
     return x.orderBy(F.desc("n"), "flag").limit(most)
 
 
-def export_rows(s: DataFrame) -> DataFrame:
+def export_rows(s: DataFrame, base: str = LIBRARY) -> DataFrame:
     """Pending rows as the export has them behind root and pos: text columns, empty for null, confidence with two decimals."""
     show = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return pending(s).select("root", "pos", album_id(F.col("root")).alias("album_id"), F.col("path").alias("track_path"), "source", F.format_string("%.2f", "confidence").alias("confidence"),
+    return pending(s).select("root", "pos", album_id(F.col("root"), base).alias("album_id"), F.col("path").alias("track_path"), "source", F.format_string("%.2f", "confidence").alias("confidence"),
                              *map(show, ("current_title", "proposed_title", "current_artist", "proposed_artist")), F.array_join("issue_flags", ";").alias("issue_flags"), "reason")
 
 

@@ -1,4 +1,4 @@
-"""What the jobs read and write: file listings, scan generations, review sheets, nested documents and their reload.
+"""What the jobs read and write: file listings, review sheets, nested documents and their reload.
 
 Every sink takes a folder that executors share, and writes as many files as its input has partitions.
 """
@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.albums import albums, changed_albums
 from ..operators.decisions import export_rows, review_rows
 from ..operators.tags import EXTENSIONS, flatten_tags, listed_files
 
@@ -36,27 +35,6 @@ def with_tags(files: DataFrame, records: DataFrame) -> DataFrame:
     return files.join(flatten_tags(records.select("path", "raw_tags")), "path", "left")
 
 
-def write_scan(tracks: DataFrame, before: DataFrame, folder: str, scan: int) -> None:
-    """Albums that are new or changed against before (root, fingerprint), and their tracks, as generation scan of a folder.
-
-    A generation is written under its own number, so a job that is run again overwrites what it wrote itself only. Tracks
-    come first: an album counts as scanned when its row is there. Albums that are gone have a row without a fingerprint.
-    """
-    found = albums(tracks)
-    changed = changed_albums(found.select("root", "fingerprint"), before).filter("status <> 'unchanged'").select("root")
-    gone = before.select("root").join(found, "root", "left_anti")
-    tracks.join(changed, "root", "left_semi").write.mode("overwrite").parquet(f"{folder}/tracks/scan={scan}")
-    found.join(changed, "root", "left_semi").unionByName(gone, allowMissingColumns=True).write.mode("overwrite").parquet(f"{folder}/albums/scan={scan}")
-
-
-def read_scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Albums and tracks of a folder of generations: of each album what was written last, unless it is gone."""
-    found = spark.read.parquet(f"{folder}/albums")
-    last = found.groupBy("root").agg(F.max("scan").alias("scan"))
-    latest = found.join(last, ["root", "scan"], "left_semi").filter("fingerprint is not null")
-    return latest, spark.read.parquet(f"{folder}/tracks").join(latest.select("root", "scan"), ["root", "scan"], "left_semi")
-
-
 def _write_csv(rows: DataFrame, folder: str, order: tuple[str, ...], keep: Column | None = None) -> int:
     """Rows in order as CSV parts with a header and RFC quotes; returns their number, observed while they are written."""
     seen = Observation()
