@@ -1,7 +1,8 @@
 """Album facts: positions, samples, probe scores, majority values, common prefixes, fingerprints.
 
-An album is the folder (root) of its tracks. All of an album's facts need its tracks together, so every operator shuffles
-by root, and facts of the same shuffle are window aggregates rather than joins.
+An album is the folder (root) of its tracks. Places in an album are ranks, which a folder of any size gets in parts (see
+ranks); all other facts are aggregates that Spark adds up before it shuffles, and joined to the tracks, where a folder of a
+great share of them is split.
 """
 
 from __future__ import annotations
@@ -9,22 +10,22 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.flags import detect_issues
 from ..options import DEFAULT, HARD, PREFIX_SEPARATORS, SOFT, Options
-
+from ..stored import store
+from .ranks import LARGE, ranked
 
 
 def _order() -> list[Column]:
     return [F.coalesce("disc_number", F.lit(0)), F.coalesce("track_number", F.lit(0)), F.lower("filename"), F.col("filename")]
 
 
-def positioned(tracks: DataFrame) -> DataFrame:
+def positioned(tracks: DataFrame, large: int = LARGE) -> DataFrame:
     """pos (from 0, in track order) and n (tracks of the album)."""
-    return tracks.withColumn("pos", F.row_number().over(W.partitionBy("root").orderBy(*_order())) - 1).withColumn("n", F.count("*").over(W.partitionBy("root")))
+    return ranked(tracks, "root", _order(), large)
 
 
 def in_sample(o: Options = DEFAULT) -> Column:
@@ -55,8 +56,13 @@ def probe_scores(tracks: DataFrame, o: Options = DEFAULT) -> DataFrame:
 
 def majority(tracks: DataFrame, column: str, trimmed: bool = False) -> DataFrame:
     """root and the album's most frequent value that is not empty; ties: the first in track order."""
+    return _majority(positioned(tracks), column, trimmed)
+
+
+def _majority(x: DataFrame, column: str, trimmed: bool = False) -> DataFrame:
+    """majority of tracks with pos."""
     value = X.ustrip(F.col(column)) if trimmed else F.col(column)
-    x = positioned(tracks).withColumn("value", value).filter("value is not null and value <> ''")
+    x = x.withColumn("value", value).filter("value is not null and value <> ''")
     x = x.groupBy("root", "value").agg(F.count("*").alias("k"), F.min("pos").alias("first"))
     return x.groupBy("root").agg(F.max_by("value", F.struct("k", -F.col("first"))).alias(column))
 
@@ -75,10 +81,16 @@ def common_prefix(tracks: DataFrame) -> DataFrame:
     Each title gives all its cuts, so that counting cuts counts the titles that start with them: no title is held
     against another. Ties: more titles, then the earlier track.
     """
-    x = positioned(tracks).withColumn("t", X.ustrip(X.strip_track_number(X.text(F.col("title")))))
-    x = x.filter("t <> ''").select("root", "pos", "t", F.count("*").over(W.partitionBy("root")).alias("titles"))
-    x = x.filter("titles >= 3").withColumn("prefix", F.explode(F.concat(*map(_cuts, PREFIX_SEPARATORS)))).filter(F.length("prefix") >= 4)
-    x = x.groupBy("root", F.lower("prefix").alias("low")).agg(F.count("*").alias("support"), F.first("titles").alias("titles"), F.min(F.struct("pos", "prefix")).alias("one"))
+    return _common_prefix(positioned(tracks))
+
+
+def _common_prefix(x: DataFrame) -> DataFrame:
+    """common_prefix of tracks with pos."""
+    x = x.select("root", "pos", X.ustrip(X.strip_track_number(X.text(F.col("title")))).alias("t")).filter("t <> ''")
+    titles = x.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("titles")).filter("titles >= 3")
+    x = x.withColumn("prefix", F.explode(F.concat(*map(_cuts, PREFIX_SEPARATORS)))).filter(F.length("prefix") >= 4)
+    x = x.groupBy("root", F.lower("prefix").alias("low")).agg(F.count("*").alias("support"), F.min(F.struct("pos", "prefix")).alias("one"))
+    x = x.join(titles, F.col("root").eqNullSafe(F.col("of")))
     x = x.filter(F.col("support") >= F.greatest(F.lit(2), F.floor(F.col("titles") * 0.6)))
     best = F.max_by(F.struct(F.col("one.prefix").alias("album_prefix"), "support"), F.struct(F.length("one.prefix"), "support", -F.col("one.pos"))).alias("best")
     return x.groupBy("root").agg(best).select("root", "best.album_prefix", "best.support")
@@ -92,24 +104,29 @@ def split_hint() -> Column:
 
 
 def with_album_facts(tracks: DataFrame, o: Options = DEFAULT) -> DataFrame:
-    """Tracks with pos, n, split_hints, filename_hints, allow_split, album_prefix, majority_artist, prefix_artist."""
-    whole = W.partitionBy("root")
-    x = positioned(tracks)
-    x = x.withColumn("split_hints", F.count_if(in_sample(o) & split_hint()).over(whole))
-    x = x.withColumn("filename_hints", F.count_if(X.parse_filename(F.col("filename"), F.lit(False)).isNotNull()).over(whole))
-    x = x.withColumn("allow_split", (F.col("split_hints") >= 2) | (F.col("filename_hints") >= 2))
-    # the majority value by aggregates of the same shuffle: how often a value occurs, ties to the first in track order
-    x = x.withColumn("value", F.nullif(X.ustrip(F.col("album_artist")), F.lit("")))
-    same = W.partitionBy("root", "value")
-    x = x.withColumn("k", F.count("*").over(same)).withColumn("first", F.min("pos").over(same))
-    best = F.max(F.when(F.col("value").isNotNull(), F.struct("k", -F.col("first"), "value"))).over(whole)
-    x = x.withColumn("majority_artist", best["value"]).drop("value", "k", "first")
-    return x.join(common_prefix(tracks).drop("support"), "root", "left").withColumn("prefix_artist", X.leftmost_segment(F.col("album_prefix")))
+    """Tracks with pos, n, split_hints, filename_hints, allow_split, album_prefix, majority_artist, prefix_artist.
+
+    Tracks with their positions are stored, as the facts and the tracks that they are joined to are read from them.
+    """
+    x = store(positioned(tracks))
+    facts = _support(x, o)
+    for more in (_majority(x, "album_artist", trimmed=True).withColumnRenamed("album_artist", "majority_artist"), _common_prefix(x).drop("support")):
+        facts = joined_facts(facts, more)
+    return joined_facts(x, facts).withColumn("prefix_artist", X.leftmost_segment(F.col("album_prefix")))
+
+
+def joined_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows (with root) and facts of their albums, one row for each root, null too."""
+    return rows.join(facts.withColumnRenamed("root", "__root"), F.col("root").eqNullSafe(F.col("__root")), "left").drop("__root")
 
 
 def support(tracks: DataFrame, o: Options = DEFAULT) -> DataFrame:
     """root, split_hints, filename_hints, allow_split."""
-    x = positioned(tracks).groupBy("root").agg(
+    return _support(positioned(tracks), o)
+
+
+def _support(x: DataFrame, o: Options) -> DataFrame:
+    x = x.groupBy("root").agg(
         F.count_if(in_sample(o) & split_hint()).alias("split_hints"),
         F.count_if(X.parse_filename(F.col("filename"), F.lit(False)).isNotNull()).alias("filename_hints"))
     return x.withColumn("allow_split", (F.col("split_hints") >= 2) | (F.col("filename_hints") >= 2))

@@ -3,25 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.flags import has_any, is_generic, is_unreadable
 from ..options import BLOCKING, DEFAULT, HARD, MANUAL, SOFT, Options
-from .albums import in_sample
+from ..stored import store
+from .albums import in_sample, joined_facts
 
 
-def with_classes(candidates: DataFrame, o: Options = DEFAULT) -> DataFrame:
-    """Candidates with their album's score, class and reason, all by aggregates over the album's one shuffle."""
-    whole = W.partitionBy("root")
+def classes(candidates: DataFrame, o: Options = DEFAULT) -> DataFrame:
+    """root, score, class, class_reason: one row for each album, by aggregates of its candidates."""
     count = lambda names: F.size(F.array_intersect("original_flags", F.array(*map(F.lit, names))))
-    x = candidates.withColumn("cost", F.when(in_sample(o), count(HARD) * 0.4 + count(SOFT) * 0.1))
+    cost = F.when(in_sample(o), count(HARD) * 0.4 + count(SOFT) * 0.1)
     changed = F.col("proposed_title").isNotNull() | F.col("proposed_artist").isNotNull()
-    x = x.withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - F.sum("cost").over(whole) / F.count("cost").over(whole)), 3))
-    x = x.withColumn("any_change", F.bool_or(changed).over(whole)).withColumn("confident", F.bool_and(F.col("confidence") >= 0.75).over(whole))
-    x = x.withColumn("blocked", F.bool_or(has_any(F.col("remaining_flags"), BLOCKING)).over(whole))
-    x = x.withColumn("bad", F.count_if(has_any(F.col("remaining_flags"), ("unreadable_title", "generic_track_name"))).over(whole))
+    x = candidates.groupBy("root").agg(
+        F.round(F.greatest(F.lit(0.0), 1 - F.sum(cost) / F.count(cost)), 3).alias("score"), F.bool_or(changed).alias("any_change"),
+        F.bool_and(F.col("confidence") >= 0.75).alias("confident"), F.bool_or(has_any(F.col("remaining_flags"), BLOCKING)).alias("blocked"),
+        F.count_if(has_any(F.col("remaining_flags"), ("unreadable_title", "generic_track_name"))).alias("bad"), F.count("*").alias("n"))
     score = F.format_string("%.2f", "score")
     clean, fixed = f"{o.clean_threshold:.2f}", f"{o.deterministic_threshold:.2f}"
     kind = (F.when((F.col("score") >= o.clean_threshold) & ~F.col("any_change"), "clean")
@@ -35,17 +34,17 @@ def with_classes(candidates: DataFrame, o: Options = DEFAULT) -> DataFrame:
               .when(F.col("class") == "deterministic", F.concat(F.lit("probe "), score, F.lit(f" ≥ deterministic_threshold {fixed}; all candidates confident and no blocking remaining flags")))
               .when(F.col("class") == "broken", "majority of tracks have unreadable/generic titles after deterministic pass")
               .otherwise(F.when(mixed == "", "mixed evidence").otherwise(mixed)))
-    return x.withColumn("class_reason", reason).drop("cost", "any_change", "confident", "blocked", "bad")
-
+    return x.select("root", "score", "class", reason.alias("class_reason"))
 
-def classes(candidates: DataFrame, o: Options = DEFAULT) -> DataFrame:
-    """root, score, class, class_reason: one row for each album."""
-    return with_classes(candidates, o).groupBy("root").agg(F.first("score").alias("score"), F.first("class").alias("class"), F.first("class_reason").alias("class_reason"))
 
+def suggestions(candidates: DataFrame, o: Options = DEFAULT, keep_clean: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A suggestion for every track: kept as it is in clean albums (unless keep_clean is off), else what the rules propose.
 
-def suggestions(candidates: DataFrame, o: Options = DEFAULT, keep_clean: bool = True) -> DataFrame:
-    """A suggestion for every track: kept as it is in clean albums (unless keep_clean is off), else what the rules propose."""
-    x = with_classes(candidates, o)
+    Candidates are stored, as their albums' classes are worked out from them all and joined to each. carry: columns of the
+    candidates that stay.
+    """
+    x = store(candidates.select("root", "path", "pos", "n", "ext", "title", "artist", "proposed_title", "proposed_artist", "original_flags", "remaining_flags", "confidence", "notes", *[c for c in carry if c != "n"]))
+    x = joined_facts(x, classes(x, o))
     clean = (F.col("class") == "clean") & F.lit(keep_clean)
     changed = F.col("proposed_title").isNotNull() | F.col("proposed_artist").isNotNull()
     action = (F.when(clean, "keep").when(changed, "propose_fix")
@@ -57,7 +56,7 @@ def suggestions(candidates: DataFrame, o: Options = DEFAULT, keep_clean: bool =
         action.alias("action"), F.col("remaining_flags").alias("issue_flags"), "original_flags", "remaining_flags",
         F.when(clean, 1.0).otherwise(F.col("confidence")).alias("confidence"),
         F.when(clean, "album probe clean; no change needed").when(F.size("notes") == 0, "no changes proposed").otherwise(F.array_join("notes", "; ")).alias("reason"),
-        F.when(clean, "none").otherwise("deterministic").alias("source"))
+        F.when(clean, "none").otherwise("deterministic").alias("source"), *carry)
 
 
 def changes(proposed: Column, current: Column) -> Column:
