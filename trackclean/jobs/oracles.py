@@ -436,6 +436,10 @@ def _more() -> dict[str, str]:
         "decision_log": decided_chain().sql(f"SELECT path, action, final_title, final_artist, note, ord FROM (SELECT *, row_number() OVER (PARTITION BY root, path ORDER BY ord DESC) AS r FROM dec) WHERE r = 1 UNION ALL SELECT path, 'approve', NULL, NULL, 'auto-approved', (SELECT max(ord) + 1 FROM dec) FROM open WHERE {SAFE}"),
         "orphan_decisions": f"SELECT path, action, ord FROM ({DUCK_DECISIONS}) d WHERE path NOT IN (SELECT path FROM ({DUCK_TRACKS}))",
         "document_reload": valid_chain().sql(f"SELECT path, cast(pos // 2 as int) AS part, class, pos, proposed_title, action, {text('issue_flags')}, {text('remaining_flags')}, downgraded_from, {text('validator_notes')}, confidence, source FROM val WHERE NOT regexp_matches(root, '7$')"),
+        "document_quarantine": valid_chain().sql("""SELECT root, part, CASE right(root, 1) WHEN '1' THEN 'part 0: unknown action' WHEN '2' THEN 'part 0: proposed_artist is not a text' WHEN '3' THEN 'part 0: track_path is not a text'
+          WHEN '4' THEN 'part 0: score is not a number' WHEN '5' THEN 'part 0: not JSON' ELSE 'parts are missing' END AS reason FROM (
+          SELECT root, cast(pos // 2 as int) AS part, bool_or(pos >= 2) OVER (PARTITION BY root) AS several, bool_or(pos < 2 AND proposed_artist IS NOT NULL) OVER (PARTITION BY root) AS named, right(root, 1) AS d FROM val)
+          WHERE d IN ('1', '3', '4', '5') OR d = '2' AND named OR d = '6' AND several AND part <> 1 GROUP BY root, part"""),
         "decision_reload": f"SELECT path, action, final_title, note, cast(2 as bigint) AS ord FROM ({DUCK_DECISIONS}) WHERE NOT regexp_matches(root, '7$') AND ord % 3 <> 0",
         "routed_suggestions": routed_chain().sql("SELECT path, class, proposed_title, action, confidence, source, reason, used_model FROM val"),
         "routed_report": changed_only.sql(f"""SELECT a.*, r.*, d.*,
@@ -454,3 +458,4 @@ def _more() -> dict[str, str]:
 
 
 ORACLE_SQL: dict[str, str] = _queries() | _more()
+ORACLE_SQL |= {"apply_audit_bucketed": ORACLE_SQL["apply_audit"], "apply_audit_written": ORACLE_SQL["apply_audit"], "streamed_decisions": ORACLE_SQL["latest_decisions"]}

@@ -12,8 +12,9 @@ from ..functions import text as X
 from ..functions.flags import detect_issues, is_generic, is_unreadable
 from ..operators import albums, decisions, modelio, normalize, suggest, tags
 from ..options import DEFAULT
-from ..sources import files, generations, tables
+from ..sources import bucketed, files, generations, tables
 from ..stored import new_folder, store
+from ..streaming.decisions import follow_decisions, followed
 from .oracles import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +195,20 @@ def reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_documents(docs.withColumn("doc", cut)).select("path", "part", "class", "pos", "proposed_title", "action", joined("issue_flags"), joined("remaining_flags"), "downgraded_from", joined("validator_notes"), "confidence", "source")
 
 
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of two tracks, the first of each album spoilt by the last digit of its folder, and what is rejected then:
+    all documents of the album."""
+    docs = files.documents(valid(spark, sf_dir), 2)
+    spoilt = (F.when(F.col("root").endswith("1"), F.regexp_replace("doc", '"action":"[a-z_]+"', '"action":"nonsense"'))
+              .when(F.col("root").endswith("2"), F.regexp_replace("doc", '"proposed_artist":"[^"]*"', '"proposed_artist":7'))
+              .when(F.col("root").endswith("3"), F.replace("doc", F.lit('"track_path"'), F.lit('"path"')))
+              .when(F.col("root").endswith("4"), F.regexp_replace("doc", '"score":[0-9.]+', '"score":"high"'))
+              .when(F.col("root").endswith("5"), F.lit("{")).otherwise(F.col("doc")))
+    docs = docs.withColumn("doc", F.when(F.col("part") == 0, spoilt).otherwise(F.col("doc")))
+    docs = docs.filter(~(F.col("root").endswith("6") & (F.col("part") == 1)))
+    return files.rejected_documents(docs).select("root", "part", "reason")
+
+
 def reloaded_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions written as lists and read again, with lists that are none and items that are no decisions."""
     d = tables.decisions(spark, sf_dir).withColumnRenamed("path", "track_path")
@@ -203,6 +218,33 @@ def reloaded_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_decisions(d.select("root", doc.alias("doc"))).select("path", "action", "final_title", "note", "ord")
 
 
+def streamed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions as a stream of four batches, dealt by a hash, so that later decisions may come before earlier ones."""
+    folder = new_folder(spark, "stream")
+    d = tables.decisions(spark, sf_dir)
+    d.repartition(4, "ord").write.parquet(f"{folder}/log")
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    follow_decisions(stream, f"{folder}/last", f"{folder}/checkpoint").awaitTermination()
+    return followed(spark, f"{folder}/last")
+
+
+def audit_of_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit from tables that are stored in buckets of tracks."""
+    name, buckets = new_folder(spark, "t").rsplit("-", 1)[1], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = bucketed.save(valid(spark, sf_dir), f"suggestions_{name}", buckets)
+    d = bucketed.save(tables.decisions(spark, sf_dir), f"decisions_{name}", buckets)
+    return decisions.apply_audit(s, d, dry_run=False).drop("root")
+
+
+def written_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit as it is written and read again, after a dry run into the same folder."""
+    folder, d = new_folder(spark, "audit"), tables.decisions(spark, sf_dir)
+    s = store(valid(spark, sf_dir))
+    files.write_audit(decisions.apply_audit(s, d), folder)
+    files.write_audit(decisions.apply_audit(s, d, dry_run=False), folder)
+    return spark.read.parquet(folder).drop("root")
+
+
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.decisions(spark, sf_dir)
     return decisions.decision_log(d, decisions.auto_approve(valid(spark, sf_dir), d, least=0.9)).drop("root")
@@ -265,8 +307,11 @@ QUERIES: dict[str, Query] = {
     "selected_albums": named_albums,
     "auto_approve": lambda spark, d: decisions.auto_approve(valid(spark, d), tables.decisions(spark, d), least=0.9).drop("root"),
     "cascade_decisions": cascaded,
+    "streamed_decisions": streamed_decisions,
     "latest_decisions": lambda spark, d: decisions.latest(tables.decisions(spark, d)),
     "apply_audit": audit,
+    "apply_audit_bucketed": audit_of_buckets,
+    "apply_audit_written": written_audit,
     "apply_counters": lambda spark, d: decisions.apply_counters(valid(spark, d), tables.decisions(spark, d), dry_run=False),
     "cleaned_tracks": cleaned,
     "library_report": lambda spark, d: issues_shown(decisions.library_report(valid(spark, d), tables.decisions(spark, d))),
@@ -286,6 +331,7 @@ QUERIES: dict[str, Query] = {
     "decision_log": decision_log,
     "orphan_decisions": lambda spark, d: decisions.orphan_decisions(valid(spark, d), tables.decisions(spark, d)).select("path", "action", "ord"),
     "document_reload": reloaded,
+    "document_quarantine": quarantined,
     "decision_reload": reloaded_decisions,
     "routed_suggestions": lambda spark, d: routed(spark, d).select("path", "class", "proposed_title", "action", "confidence", "source", "reason", "used_model"),
     "routed_report": routed_report,
