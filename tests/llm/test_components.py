@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 from trackclean.llm.components import components
+from trackclean.llm.neardup import joined_components
 
 
 def test_unsettled_components_are_not_returned(spark):
@@ -8,3 +11,13 @@ def test_unsettled_components_are_not_returned(spark):
     with pytest.raises(RuntimeError):
         components(links, rounds=2)
     assert {r.component for r in components(links).collect()} == {0}
+
+
+def test_more_links_join_components(spark):
+    rng = random.Random(5)
+    some = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+    more = [(rng.randrange(80), rng.randrange(80)) for _ in range(20)]
+    table = lambda links: spark.createDataFrame([x for x in links if x[0] != x[1]], "a long, b long")
+    got = joined_components(components(table(some)), table(more))
+    want = components(table(some + more))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
