@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..options import DEFAULT, Options
 from .text import GENERIC, SPACES, WS, blank, is_symbolic, lstrip, rstrip, text, ustrip
 
+#: Patterns of the defects that are told by one.
 NUMBERED = rf"^{WS}*[0-9]{{1,3}}{WS}*[-._)\]{SPACES}]"
 TEMPO_MARK = rf"(?i)[{SPACES}\-(\[]+[0-9]{{2,3}}{WS}*bpm\b"
 DASHES = rf"{WS}-{WS}[^\n]*{WS}-{WS}"

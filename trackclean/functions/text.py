@@ -13,6 +13,8 @@ SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 WS = f"[{SPACES}]"
 #: The same characters one by one, for trimming.
 BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: The characters trimmed at edges, and the patterns of names that say nothing, numbers, tempo marks, mixes and
+#: file names. They accept what the rules are defined to accept; white space is spelled out as Java needs it.
 EDGE = " -_:"
 GENERIC = rf"(?i)^{WS}*(?:track{WS}*[0-9]+|untitled(?:{WS}*[0-9]+)?|audio{WS}*track{WS}*[0-9]+|t[0-9]+|[0-9]{{1,3}}){WS}*$"
 NUMBER = rf"^(?:{WS}*[0-9]{{1,3}}{WS}*[-._)\]]{WS}*|{WS}*[0-9]{{1,3}}{WS}+)"

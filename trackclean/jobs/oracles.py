@@ -202,7 +202,7 @@ def candidate_chain() -> Chain:
     seg = "CASE " + " ".join(f"WHEN contains(album_prefix, {q(s)}) THEN {strip(f'split_part(album_prefix, {q(s)}, 1)')}" for s in PREFIX_SEPARATORS) + " END"
     c.then(f"SELECT h.*, split_hints >= 2 OR filename_hints >= 2 AS allow_split, album_prefix, v AS majority_artist, CASE WHEN length({seg}) >= 2 THEN {seg} END AS prefix_artist FROM h JOIN hinted USING (root) LEFT JOIN prefixes USING (root) LEFT JOIN major USING (root)")
     c.then(f"SELECT *, coalesce(title, '') AS t, coalesce(artist, '') AS a, {detect('title', 'artist')} AS original_flags, CASE WHEN {blank('title')} OR {like('coalesce(title, ' + q('') + ')', X.GENERIC)} THEN {filename('stem', 'allow_split')} END AS file FROM {{0}}")
-    c.then(f"SELECT * REPLACE (coalesce(file.title, t) AS t, CASE WHEN {blank('a')} AND file.artist IS NOT NULL THEN file.artist ELSE a END AS a), CASE WHEN file IS NULL THEN cast([] as varchar[]) WHEN {blank('a')} AND file.artist IS NOT NULL THEN ['title from filename', 'artist from filename'] ELSE ['title from filename'] END AS notes FROM {{0}}")
+    c.then(f"SELECT * REPLACE (coalesce(file.title, t) AS t, CASE WHEN {blank('a')} AND file.artist IS NOT NULL THEN file.artist ELSE a END AS a), CASE WHEN file IS NULL THEN cast([] as varchar[]) WHEN {blank('a')} AND file.artist IS NOT NULL THEN ['title from filename: ' || file.title, 'artist from filename: ' || file.artist] ELSE ['title from filename: ' || file.title] END AS notes FROM {{0}}")
 
     def step(value: str, note: str) -> None:
         c.then(f"SELECT *, {value} AS new FROM {{0}}")
@@ -215,7 +215,7 @@ def candidate_chain() -> Chain:
     rest = after("t", "length(album_prefix)")
     step(f"CASE WHEN coalesce(starts_with(lower(t), lower(album_prefix)) AND NOT {blank(rest)}, false) THEN {rest} ELSE t END", "stripped album prefix")
     back = f"(before <> t AND {blank('a')} AND prefix_artist IS NOT NULL)"
-    c.then(f"SELECT * REPLACE (CASE WHEN {back} THEN prefix_artist ELSE a END AS a, CASE WHEN {back} THEN list_append(notes, 'artist from album prefix') ELSE notes END AS notes) FROM {{0}}")
+    c.then(f"SELECT * REPLACE (CASE WHEN {back} THEN prefix_artist ELSE a END AS a, CASE WHEN {back} THEN list_append(notes, 'artist from album prefix: ' || prefix_artist) ELSE notes END AS notes) FROM {{0}}")
     step(artist_prefix("t", ("a", "majority_artist")), "stripped artist prefix")
     step(junk_prefix("t"), "stripped junk prefix")
     step(junk_suffix("t"), "stripped junk suffix")
@@ -226,7 +226,7 @@ def candidate_chain() -> Chain:
     step(original_mix("t"), "stripped original mix")
     left, right = strip("split_part(t, ' - ', 1)"), strip("substr(t, strpos(t, ' - ') + 3)")
     fit = f"allow_split AND ({blank('a')} OR lower({strip('a')}) = lower({strip('t')})) AND contains(t, ' - ') AND length({left}) >= 2 AND length({right}) >= 2 AND NOT contains({right}, ' - ')"
-    c.then(f"SELECT * REPLACE (CASE WHEN {fit} THEN {left} ELSE a END AS a, CASE WHEN {fit} THEN {right} ELSE t END AS t, CASE WHEN {fit} THEN list_append(notes, 'split artist from title') ELSE notes END AS notes) FROM {{0}}")
+    c.then(f"SELECT * REPLACE (CASE WHEN {fit} THEN {left} ELSE a END AS a, CASE WHEN {fit} THEN {right} ELSE t END AS t, CASE WHEN {fit} THEN list_append(notes, CASE WHEN {blank('a')} THEN 'artist from title: ' ELSE 'artist was the title, now: ' END || {left}) ELSE notes END AS notes) FROM {{0}}")
     c.then(f"SELECT * REPLACE ({squeeze('t')} AS t, {squeeze('a')} AS a) FROM {{0}}")
     t_case = f"({like('t', '\\p{L}')} AND NOT {symbolic('t')} AND (t = lower(t) OR t = upper(t) AND length(t) > 3))"
     a_case = f"({like('a', '\\p{L}')} AND NOT {like('a', '[0-9]')} AND a = lower(a) AND a <> upper(a))"

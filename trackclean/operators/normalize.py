@@ -25,7 +25,8 @@ def normalize(x: DataFrame, o: Options = DEFAULT) -> DataFrame:
     x = x.withColumn("original_flags", detect_issues(F.col("title"), F.col("artist"), o))
     x = x.withColumn("file", F.when(X.blank(t) | is_generic(t), X.parse_filename(F.col("filename"), F.col("allow_split"))))
     fill = X.blank(a) & F.col("file.artist").isNotNull()
-    x = x.withColumn("notes", F.array_compact(F.array(F.when(F.col("file").isNotNull(), F.lit("title from filename")), F.when(F.coalesce(fill, F.lit(False)), F.lit("artist from filename")))))
+    said = lambda what, value: F.concat(F.lit(f"{what}: "), F.col(value))
+    x = x.withColumn("notes", F.array_compact(F.array(F.when(F.col("file").isNotNull(), said("title from filename", "file.title")), F.when(F.coalesce(fill, F.lit(False)), said("artist from filename", "file.artist")))))
     x = x.withColumn("a", F.when(F.coalesce(fill, F.lit(False)), F.col("file.artist")).otherwise(a)).withColumn("t", F.coalesce("file.title", "t"))
     x = _step(x, X.strip_track_number(t), F.lit("stripped track number"))
     x = x.withColumn("sep", X.normalize_separators(t, o))
@@ -33,7 +34,7 @@ def normalize(x: DataFrame, o: Options = DEFAULT) -> DataFrame:
     x = x.withColumn("before", t)
     x = _step(x, X.strip_literal_prefix(t, F.col("album_prefix")), F.lit("stripped album prefix"))
     back = (F.col("before") != t) & X.blank(a) & F.col("prefix_artist").isNotNull()
-    x = x.withColumn("notes", F.when(back, F.array_append("notes", F.lit("artist from album prefix"))).otherwise(F.col("notes"))).withColumn("a", F.when(back, F.col("prefix_artist")).otherwise(a))
+    x = x.withColumn("notes", F.when(back, F.array_append("notes", said("artist from album prefix", "prefix_artist"))).otherwise(F.col("notes"))).withColumn("a", F.when(back, F.col("prefix_artist")).otherwise(a))
     x = _step(x, X.strip_artist_prefix(t, a, F.col("majority_artist")), F.lit("stripped artist prefix"))
     x = _step(x, X.strip_junk_prefix(t, o), F.lit("stripped junk prefix"))
     x = _step(x, X.strip_junk_suffix(t, o), F.lit("stripped junk suffix"))
@@ -43,7 +44,8 @@ def normalize(x: DataFrame, o: Options = DEFAULT) -> DataFrame:
         x = _step(x, X.strip_original_mix(t), F.lit("stripped original mix"))
     same = F.lower(X.ustrip(a)) == F.lower(X.ustrip(t))
     x = x.withColumn("two", F.when(F.col("allow_split") & (X.blank(a) | same), X.split_artist_title(t)))
-    x = x.withColumn("notes", F.when(F.col("two").isNotNull(), F.array_append("notes", F.lit("split artist from title"))).otherwise(F.col("notes")))
+    split = F.when(X.blank(a), said("artist from title", "two.artist")).otherwise(said("artist was the title, now", "two.artist"))
+    x = x.withColumn("notes", F.when(F.col("two").isNotNull(), F.array_append("notes", split)).otherwise(F.col("notes")))
     x = x.withColumn("a", F.coalesce("two.artist", "a")).withColumn("t", F.coalesce("two.title", "t"))
     x = x.withColumn("t", X.squeeze(t)).withColumn("a", X.squeeze(a))
     x = x.withColumn("t", F.when(X.needs_title_case(t), X.smart_title_case(t)).otherwise(t)).withColumn("a", F.when(X.needs_artist_case(a), X.smart_title_case(a)).otherwise(a))

@@ -21,6 +21,7 @@ def classes(candidates: DataFrame, o: Options = DEFAULT) -> DataFrame:
         F.round(F.greatest(F.lit(0.0), 1 - F.sum(cost) / F.count(cost)), 3).alias("score"), F.bool_or(changed).alias("any_change"),
         F.bool_and(F.col("confidence") >= 0.75).alias("confident"), F.bool_or(has_any(F.col("remaining_flags"), BLOCKING)).alias("blocked"),
         F.count_if(has_any(F.col("remaining_flags"), ("unreadable_title", "generic_track_name"))).alias("bad"), F.count("*").alias("n"))
+    # The wording of reasons, which reviewers and reports see.
     score = F.format_string("%.2f", "score")
     clean, fixed = f"{o.clean_threshold:.2f}", f"{o.deterministic_threshold:.2f}"
     kind = (F.when((F.col("score") >= o.clean_threshold) & ~F.col("any_change"), "clean")
