@@ -57,7 +57,7 @@ def spectral_peaks(samples: np.ndarray) -> np.ndarray:
     0 where a frame has fewer).
 
     Samples are centred and padded with silence to whole frames; frames overlap by FRAME - HOP. Of a plateau its first bin
-    counts. Strengths are rounded to two places, so that equal samples give equal peaks on every machine.
+    counts. Strengths are rounded to two places, which settles most ties; peaks closer than that may differ between machines.
     """
     n = max(1, -(-max(0, len(samples) - FRAME) // HOP) + 1)
     x = np.zeros((n - 1) * HOP + FRAME, np.float32)
