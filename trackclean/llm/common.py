@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,16 +38,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
-#: Folders of the tables that were stored and not yet let go.
-_stored: list[str] = []
+#: Folders of the tables that each open own_tables has stored, the innermost last.
+_owners: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, outer: bool = False) -> DataFrame:
     """The table written as Parquet to the shared folder and read again: it cuts the lineage, and a lost executor costs no
-    recomputation of what led to it."""
+    recomputation of what led to it. It is gone at the end of own_tables, or with outer of the own_tables around that."""
     where = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    owners = _owners.get()[:-1] if outer else _owners.get()
+    if owners:
+        owners[-1].append(where)
     df.write.parquet(where)
-    _stored.append(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
@@ -52,18 +57,19 @@ def store(df: DataFrame) -> DataFrame:
 cut = store
 
 
-def let_go(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Delete the stored tables from number since on, but for the last keep: nothing reads them any more."""
-    gone = _stored[since : len(_stored) - keep]
-    for where in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _stored.remove(where)
-
-
-def stored() -> int:
-    """How many stored tables there are: where let_go may start."""
-    return len(_stored)
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """What is stored within is deleted at the end, however it ends; of this thread's work only, and not what a query that
+    is returned from within still has to read: that is to be stored with outer."""
+    mine: list[str] = []
+    token = _owners.set((*_owners.get(), mine))
+    try:
+        yield
+    finally:
+        _owners.reset(token)
+        for where in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(c: Column) -> Column:

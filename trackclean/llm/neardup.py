@@ -225,7 +225,7 @@ def joined_components(found: DataFrame, more: DataFrame) -> DataFrame:
     x = more.join(to("a", "x"), "a", "left").join(to("b", "y"), "b", "left").select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     x = cut(x)
     links = x.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    into = cut(components(links).select(F.col("node").alias("of"), F.col("component").alias("into")))
+    into = components(links).select(F.col("node").alias("of"), F.col("component").alias("into"))
     alone = x.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("component")), F.struct(F.col("b").alias("node"), F.col("y").alias("component")))).alias("e")).select("e.*").distinct()
     every = found.unionByName(alone.join(found, "node", "left_anti"))
     return every.join(into, F.col("component") == F.col("of"), "left").select("node", F.coalesce("into", "component").alias("component"))
@@ -248,7 +248,7 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = classes.join(held.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id"), "text_hash")
     texts = store(texts_of(docs.select("doc_id", "text"), wanted))
     links = cut(verified(held.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), texts))
-    found = cut(components(links))
+    found = components(links)
     place = held.filter("node <> pivot").join(found, "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     place = cut(place)
     open_bands = cut(place.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band"))
