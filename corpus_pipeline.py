@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackclean.llm import mixing, neardup, packing, quality, substrings
-from trackclean.llm.common import WORD, join_same, let_go, read_table, store, stored
+from trackclean.llm.common import WORD, join_same, own_tables, read_table, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -75,10 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what a stage returns is written to the shared folder before the next one reads it.
     What a stage stored on its way is deleted when its result has been written."""
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        since = stored()
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = store(docs)
-            let_go(spark, since, keep=1)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with own_tables(spark):
+            docs = store(stage(spark, docs, sf_dir), outer=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
