@@ -87,11 +87,12 @@ def apply_audit(s: DataFrame, decisions: DataFrame, dry_run: bool = True) -> Dat
     Values that stay as they are are not written; blank values are refused, dry run or not; other formats than those that
     can be written fail when it is no dry run. What was attempted is kept where it failed. Null and empty are different.
     """
-    return _audited(s, decisions, dry_run, "inner").drop("current_title", "current_artist")
+    return _audited(s, decisions, dry_run, "inner").drop("current_title", "current_artist", "suggested")
 
 
 def _audited(s: DataFrame, decisions: DataFrame, dry_run: bool, how: str) -> DataFrame:
-    """The audit's rows, or by a left join one row at least for every suggestion, whose decision may be null."""
+    """The audit's rows, or by a full join those of suggestions without a decision, and of decisions without a suggestion
+    (suggested is false), too."""
     x = s.join(decisions.select("root", "path", "ord", F.col("action").alias("decision"), "final_title", "final_artist"), ["root", "path"], how)
     manual = F.col("action") == MANUAL
 
@@ -114,7 +115,7 @@ def _audited(s: DataFrame, decisions: DataFrame, dry_run: bool, how: str) -> Dat
     tried = ~skip
     return x.select("root", "path", "ord", "decision", F.when(tried, F.col("wt")).alias("applied_title"), F.when(tried, F.col("wa")).alias("applied_artist"),
                     F.col("current_title").alias("previous_title"), F.col("current_artist").alias("previous_artist"), ok.alias("success"), "note", F.lit(dry_run).alias("dry_run"),
-                    "current_title", "current_artist")
+                    "current_title", "current_artist", F.col("source").isNotNull().alias("suggested"))
 
 
 def cleaned_tracks(tracks: DataFrame, audit: DataFrame) -> DataFrame:
@@ -128,13 +129,14 @@ def cleaned_tracks(tracks: DataFrame, audit: DataFrame) -> DataFrame:
 def apply_counters(s: DataFrame, decisions: DataFrame, dry_run: bool = True) -> DataFrame:
     """One row: albums, those with any decision and those without, rows that went well and that failed.
 
-    A decision counts for its album even if its track has no suggestion. The suggestions are gone through once.
+    A decision counts for its album even if its track has no suggestion. Suggestions and decisions are gone through once.
     """
-    x = _audited(s, decisions, dry_run, "left").join(decisions.select("root", F.lit(True).alias("has")).distinct(), "root", "left")
+    x = _audited(s, decisions, dry_run, "full")
     made = F.col("decision").isNotNull()
-    x = x.groupBy("root").agg(F.bool_or("has").alias("has"), F.count_if(made & F.col("success")).alias("ok"), F.count_if(made & ~F.col("success")).alias("failed"))
+    counted = made & F.col("suggested")
+    x = x.groupBy("root").agg(F.bool_or("suggested").alias("any"), F.bool_or(made).alias("has"), F.count_if(counted & F.col("success")).alias("ok"), F.count_if(counted & ~F.col("success")).alias("failed")).filter("any")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
-    return x.agg(F.count("*").alias("albums"), F.count_if("has").alias("albums_applied"), F.count_if(F.col("has").isNull()).alias("albums_no_decisions"), total("ok"), total("failed"))
+    return x.agg(F.count("*").alias("albums"), F.count_if("has").alias("albums_applied"), F.count_if(~F.col("has")).alias("albums_no_decisions"), total("ok"), total("failed"))
 
 
 ROW_COUNTERS = ("total_tracks", "proposed", "unreadable", "low_confidence")

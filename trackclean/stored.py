@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from types import TracebackType
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
     return where
 
@@ -28,14 +31,36 @@ def new_folder(spark: SparkSession, kind: str = "table") -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame) -> DataFrame:
-    """The table written as Parquet to the shared folder and read again: what reads it twice does not work it out twice, and
-    a lost executor costs no recomputation of what led to it."""
+#: Folders of the tables that each open own_tables has stored, the innermost last.
+_owners: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
+
+
+def store(df: DataFrame, outer: bool = False) -> DataFrame:
+    """The table written as Parquet to the shared folder and read again: it cuts the lineage, what reads it twice does not
+    work it out twice, and a lost executor costs no recomputation of what led to it. It is gone at the end of own_tables, or
+    with outer of the own_tables around that."""
     where = new_folder(df.sparkSession)
+    owners = _owners.get()[:-1] if outer else _owners.get()
+    if owners:
+        owners[-1].append(where)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """What is stored within is deleted at the end, however it ends; of this thread's work only, and not what a query that
+    is returned from within still has to read: that is to be stored with outer."""
+    mine: list[str] = []
+    token = _owners.set((*_owners.get(), mine))
+    try:
+        yield
+    finally:
+        _owners.reset(token)
+        for where in mine:
+            Files(spark, where).delete(where)
+
+
 class Files:
     """What is needed of the file system of a path, whichever it is."""
 
@@ -85,23 +110,3 @@ class Files:
             raise
         return True
 
-
-class Run:
-    """Tables stored by one run, deleted when it ends, however it ends: with Run(spark) as run: run.store(df)."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.folder = new_folder(spark, "run")
-        self.files = Files(spark, self.folder)
-        self.count = 0
-
-    def store(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        where = f"{self.folder}/{self.count}"
-        df.write.parquet(where)
-        return df.sparkSession.read.schema(df.schema).parquet(where)
-
-    def __enter__(self) -> Run:
-        return self
-
-    def __exit__(self, kind: type[BaseException] | None, value: BaseException | None, trace: TracebackType | None) -> None:
-        self.files.delete(self.folder)
