@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stored import own_tables, store
+from ..stored import shared_folder as ensure_checkpoint_dir
+
+__all__ = ["WORD", "WORD_BYTES", "cut", "ensure_checkpoint_dir", "join_same", "lower_ascii", "own_tables", "read_table", "shuffle_parts", "store"]
+
 #: A word is a run of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_BYTES = rb"[^\x20\x09-\x0D]+"
@@ -23,55 +23,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is set, on a local master, a folder of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = found.get() if found.isDefined() else None
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-#: Folders of the tables that each open own_tables has stored, the innermost last.
-_owners: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
-
-
-def store(df: DataFrame, outer: bool = False) -> DataFrame:
-    """The table written as Parquet to the shared folder and read again: it cuts the lineage, and a lost executor costs no
-    recomputation of what led to it. It is gone at the end of own_tables, or with outer of the own_tables around that."""
-    where = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    owners = _owners.get()[:-1] if outer else _owners.get()
-    if owners:
-        owners[-1].append(where)
-    df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
-#: Small tables are cut the same way.
+#: Small tables are cut the same way as large ones are stored.
 cut = store
 
 
-@contextmanager
-def own_tables(spark: SparkSession) -> Iterator[None]:
-    """What is stored within is deleted at the end, however it ends; of this thread's work only, and not what a query that
-    is returned from within still has to read: that is to be stored with outer."""
-    mine: list[str] = []
-    token = _owners.set((*_owners.get(), mine))
-    try:
-        yield
-    finally:
-        _owners.reset(token)
-        for where in mine:
-            path = spark._jvm.org.apache.hadoop.fs.Path(where)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
