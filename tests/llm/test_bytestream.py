@@ -83,6 +83,31 @@ def test_stream_scores(spark, monkeypatch):
     assert {r.doc_id: r.score for r in bytestream.score_texts(docs).collect()} == pytest.approx({r.doc_id: r.score for r in got})
 
 
+def test_texts_in_pieces(spark, monkeypatch):
+    """Long texts are coded in pieces; cuts fall into runs of white space, before the end, and behind a word without any."""
+    rows = [(i, t or "") for i, t in ((r[0], r[1]) for r in sample_rows())]
+    rows += [(9001, " \t\n" * 40 + "a b  c" * 90 + " " * 64), (9002, "q" * 300), (9003, "q" * 64 + " "), (9004, " " * 200), (9005, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    whole = {r.doc_id: r for r in bytestream.score_texts(docs).collect()}
+    monkeypatch.setattr(bytestream, "SLICE_BYTES", 100)
+    got = bytestream.score_texts(docs, piece_bytes=64).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        w = whole[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (w.n_tokens, w.n_known, w.train_tokens)
+        assert (r.base_score, r.score, r.bits_per_byte) == pytest.approx((w.base_score, w.score, w.bits_per_byte), rel=1e-6)
+
+
+def test_pieces_are_the_stream():
+    for text in (b"", b"   ", b"ab cd  ef\n" * 50, b"x" * 500, b"x" * 64 + b" " + b"y" * 63 + b" "):
+        buf = np.frombuffer(text, np.uint8)
+        want = bytestream.stream_keys(buf, np.array([0, len(buf)]))[0].tolist()
+        for size in (1, 5, 64, 1000):
+            parts = list(bytestream.coded_pieces(buf, np.array([0, len(buf)]), size))
+            assert [k for p in parts for k in p[3].tolist()] == want
+            assert b"".join(p[1].tobytes() for p in parts) == text
+
+
 def test_chances_sum_to_one():
     context = np.array([1, 2, 3, 0x7A7A7A7A7A7A], np.int64) << 20
     keys = np.sort(np.concatenate([(c << 8) | np.arange(256) for c in context]))

@@ -7,7 +7,8 @@ estimates and mixing are those of ctw.
 Blocks of documents count their distinct (context, byte) pairs and ask for the pairs' chances; the tree is split by the
 last two bytes of context. Asks and answers are sorted arrays, one for each block and branch, so that a pair takes a few
 bytes on disk. Every group has a bound: a block its bytes of text, a branch's sums JOINED rows at once and its answers
-those of JOINED blocks. What is sent to all tasks is the top of the tree, of 256 * 255 nodes at most.
+those of JOINED blocks. What is sent to all tasks is the top of the tree, of 256 * 255 nodes at most. Long texts are coded
+in pieces, each of which starts with the last bytes of the stream before it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from xxhash import xxh3_64_intdigest
 
 from .common import shuffle_parts, store
 from .ctw import DEPTH, branch_top, log10_chances, top_of_tree
-from .shingles import LOWER, distinct_words, mix, raw, word_spans
+from .shingles import LOWER, SPACE, distinct_words, mix, raw, word_spans
 from .tokens import balanced
 
 GAP, STOP = 0x20, 0x0A
@@ -33,6 +34,10 @@ END = bytes([STOP])
 #: About so many bytes of text are a block of documents, so many a row of packed texts.
 BLOCK_BYTES = 32 << 20
 SLICE_BYTES = 1 << 19
+#: A long text is coded in pieces of about so many bytes, cut behind white space; a longer word is a piece of its own.
+PIECE_BYTES = 1 << 20
+#: What stands in front of a text.
+LEAD = bytes(DEPTH - 1) + bytes([GAP])
 #: So many pairs are gathered before equal ones are added up.
 PENDING = 500_000
 #: Branches of the tree for each partition of a shuffle; blocks whose asks of a branch are taken together.
@@ -69,18 +74,45 @@ def unpacked(table: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray, np
         yield doc, np.array(held, bool), buf, np.append(0, np.cumsum(sizes)).astype(np.int64)
 
 
-def stream_keys(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text number) of each byte of the texts' streams."""
+def cut_pieces(buf: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(number of the first text, bytes, offsets, whether texts end there): all texts, or each one in pieces of its own."""
+    if len(buf) <= most:
+        yield 0, buf, offsets, True
+        return
+    for i, (at, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        while True:
+            stop = at + most
+            while stop < end and not (space := np.flatnonzero(SPACE[buf[stop : min(stop + (1 << 16), end)]])).size:
+                stop += 1 << 16
+            stop = stop + int(space[0]) + 1 if stop < end else end
+            yield i, buf[at:stop], np.array([0, stop - at]), stop == end
+            if stop == end:
+                break
+            at = stop
+
+
+def coded_pieces(buf: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the first text, bytes, offsets, keys, each key's text number) of the texts' pieces, in order."""
+    lead = LEAD
+    for first, part, within, last in cut_pieces(buf, offsets, most):
+        keys, text, tail = stream_keys(part, within, lead, last)
+        yield first, part, within, keys, text
+        lead = LEAD if last else tail
+
+
+def stream_keys(buf: np.ndarray, offsets: np.ndarray, lead: bytes = LEAD, last: bool = True) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(key, text number) of each byte of the texts' streams, and the last DEPTH bytes of them. last: the texts end here."""
     starts, ends, text = word_spans(buf, offsets)
     size, texts = ends - starts, len(offsets) - 1
-    ahead = np.cumsum(size) - size + np.arange(len(size)) + (DEPTH + 1) * text + DEPTH
+    ahead = np.cumsum(size) - size + np.arange(len(size)) + (DEPTH + last) * text + DEPTH
     words = np.bincount(text, minlength=texts)
-    length = np.bincount(text, weights=size, minlength=texts).astype(np.int64) + words + DEPTH + 1
+    length = np.bincount(text, weights=size, minlength=texts).astype(np.int64) + words + DEPTH + last
     stop = np.cumsum(length)
     stream = np.zeros(int(stop[-1]) if texts else 0, np.uint8)
-    stream[stop - length + DEPTH - 1] = GAP
+    stream[(stop - length)[:, None] + np.arange(DEPTH)] = np.frombuffer(lead, np.uint8)
     stream[ahead + size] = GAP
-    stream[stop - 1] = STOP
+    if last:
+        stream[stop - 1] = STOP
     nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     stream[np.repeat(ahead, size) + nth] = buf[np.repeat(starts, size) + nth]
     key = stream.astype(np.uint64)
@@ -88,7 +120,7 @@ def stream_keys(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         key[d:] |= stream[:-d].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - d))
     coded = np.ones(len(stream), bool)
     coded[((stop - length)[:, None] + np.arange(DEPTH)).ravel()] = False
-    return key[coded].view(np.int64), np.repeat(np.arange(texts), length - DEPTH)
+    return key[coded].view(np.int64), np.repeat(np.arange(texts), length - DEPTH), stream[-DEPTH:].tobytes()
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -145,7 +177,7 @@ def hashes(words: pa.Array, seed: int) -> np.ndarray:
     return np.fromiter((xxh3_64_intdigest(w, seed) for part in few for w in part), np.uint64, len(words)).view(np.int64)
 
 
-def block_asks(table: pa.Table, parts: int) -> pa.Table:
+def block_asks(table: pa.Table, parts: int, most: int) -> pa.Table:
     """What a block asks for: its distinct words and, by branch, its pairs, with their counts in training rows.
 
     A word's answer comes under a hash, whose seed is the first that tells all words of the block apart. The end of a text
@@ -155,12 +187,13 @@ def block_asks(table: pa.Table, parts: int) -> pa.Table:
 
     def pairs() -> Iterable[tuple[np.ndarray, np.ndarray]]:
         for _, held, buf, offsets in unpacked(table):
-            starts, ends, text = word_spans(buf, offsets)
-            found, nth = distinct_words(buf, starts, ends)
-            n = np.bincount(nth, weights=~held[text], minlength=len(found)).astype(np.int64)
-            words.append(pa.table([pa.concat_arrays([found, pa.array([END], pa.large_binary())]), pa.array(np.append(n, (~held).sum()))], ["word", "n"]))
-            keys, text = stream_keys(buf, offsets)
-            yield counted(keys, ~held[text])
+            words.append(pa.table([pa.array([END], pa.large_binary()), pa.array([(~held).sum()], pa.int64())], ["word", "n"]))
+            for first, part, within, keys, of in coded_pieces(buf, offsets, most):
+                starts, ends, text = word_spans(part, within)
+                found, nth = distinct_words(part, starts, ends)
+                n = np.bincount(nth, weights=~held[first + text], minlength=len(found)).astype(np.int64)
+                words.append(pa.table([found, pa.array(n)], ["word", "n"]))
+                yield counted(keys, ~held[first + of])
 
     keys, n = added(pairs())
     branch = (mix((keys >> (8 * (DEPTH - 1))).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
@@ -235,7 +268,7 @@ def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return at[coded.indices.to_numpy()]
 
 
-def document_scores(table: pa.Table, replies: pa.Table, total: int) -> pa.Table:
+def document_scores(table: pa.Table, replies: pa.Table, total: int, most: int) -> pa.Table:
     """The block's documents with the sums over their words and over their streams' bytes; total: N + V + 1."""
     word = pc.is_valid(replies.column("hash"))
     known, c, seed = (pc.filter(replies.column(k), word).to_numpy() for k in ("hash", "c", "seed"))
@@ -252,27 +285,33 @@ def document_scores(table: pa.Table, replies: pa.Table, total: int) -> pa.Table:
     del order
     parts = []
     for doc, held, buf, offsets in unpacked(table):
-        starts, ends, text = word_spans(buf, offsets)
-        found, nth = distinct_words(buf, starts, ends)
-        at = np.searchsorted(known, hashes(found, seed))[nth]
-        summed = lambda weights: np.bincount(text, weights=weights, minlength=len(doc))  # noqa: E731, B023
-        key, of = stream_keys(buf, offsets)
-        score = np.bincount(of, weights=chance[places(keys, key)], minlength=len(doc))
-        coded = np.bincount(of, minlength=len(doc))
+        n_words, n_known, summed, score, coded = np.zeros((5, len(doc)))
+        for first, part, within, keys_of, of in coded_pieces(buf, offsets, most):
+            starts, ends, text = word_spans(part, within)
+            found, nth = distinct_words(part, starts, ends)
+            at = np.searchsorted(known, hashes(found, seed))[nth]
+            texts = len(within) - 1
+            here = slice(first, first + texts)
+            n_words[here] += np.bincount(text, minlength=texts)
+            n_known[here] += np.bincount(text, weights=c[at] > 0, minlength=texts)
+            summed[here] += np.bincount(text, weights=base[at], minlength=texts)
+            score[here] += np.bincount(of, weights=chance[places(keys, keys_of)], minlength=texts)
+            coded[here] += np.bincount(of, minlength=texts)
         parts.append(pa.table([
-            pa.array(doc, pa.int64()), pa.array(held), pa.array(np.bincount(text, minlength=len(doc)) + 1),
-            pa.array(summed(c[at] > 0).astype(np.int64) + int(c[end] > 0)), pa.array(summed(base[at]) + base[end]), pa.array(score),
+            pa.array(doc, pa.int64()), pa.array(held), pa.array(n_words.astype(np.int64) + 1),
+            pa.array(n_known.astype(np.int64) + int(c[end] > 0)), pa.array(summed + base[end]), pa.array(score),
             pa.array(-score / np.log10(2) / coded),
         ], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]))
     return pa.concat_tables(parts)
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row's whole text.
 
     The tree and the word counts are of the rows that are not held out. bits_per_byte is the code length of a byte of the
     text's stream. Null and empty texts are an end alone; equal texts score alike; null doc_ids count by the empty string;
     with no training rows every chance is even; other columns are ignored. Runs of white space are coded as one space.
+    A text of more than piece_bytes is coded in pieces, with the same result; a block still holds whole texts. A word is never cut.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     rows = store(packed(docs).withColumn("piece", F.monotonically_increasing_id()))
@@ -282,7 +321,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     start = F.xxhash64(F.shiftright("piece", 33))
     rows = rows.withColumn("block", F.pmod(F.pmod(start, F.lit(blocks)) + F.col("piece").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(blocks)))
     parts = BRANCHES * shuffle_parts(docs.sparkSession)
-    asked = store(rows.groupBy("block").applyInArrow(lambda t: block_asks(t, parts), "block long, seed int, hash long, word binary, n long, branch int, keys binary, counts binary"))
+    asked = store(rows.groupBy("block").applyInArrow(lambda t: block_asks(t, parts, piece_bytes), "block long, seed int, hash long, word binary, n long, branch int, keys binary, counts binary"))
     by_word = asked.filter("word is not null").select("block", "seed", "hash", "word", "n")
     words = store(by_word.groupBy("word").agg(F.sum("n").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
@@ -290,6 +329,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
     chances = pair_chances(asked.filter("keys is not null").select("block", "branch", "keys", "counts"), blocks)
     replies = replies.unionByName(chances, allowMissingColumns=True)
     out = rows.drop("piece").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        lambda texts, answers: document_scores(texts, answers, n + v + 1),
+        lambda texts, answers: document_scores(texts, answers, n + v + 1, piece_bytes),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
