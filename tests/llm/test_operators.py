@@ -200,6 +200,13 @@ def test_factors_by_definition():
     assert m.scores(x)[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
 
 
+def test_common_words_are_the_languages_own(spark):
+    """In lower case, ties by code point, of letters only; a null language is one of its own; fewer words than bins."""
+    rows = [("en", "The the THE and And a_b | | | | 12 12"), ("en", None), (None, "y x é é"), ("xx", "1 2 3"), ("zz", " ".join(c * 2 for i, c in enumerate("abcdefghij") for _ in range(20 - i)))]
+    got = {r.lang: r.common for r in quality.common_words(spark.createDataFrame(rows, "lang string, text string").repartition(3)).collect()}
+    assert got == {"en": ["the", "and"], None: ["é", "x", "y"], "zz": [c * 2 for c in "abcdefgh"]}
+
+
 def test_quality_counts(docs, texts):
     for r in quality.quality_rules(docs).collect():
         t = texts[r.doc_id]

@@ -40,7 +40,6 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN u ON p.source
 
 def quality_sql() -> str:
     bins, classes = quality.BINS, quality.CLASSES
-    word = lambda i: "CASE " + " ".join(f"WHEN lang = '{k}' THEN '{v[i]}'" for k, v in quality.COMMON.items()) + " END"
     names = [f"c{i}" for i in range(classes)], [f"b{i}" for i in range(bins + 1)]
 
     def distance(columns: list[str]) -> str:
@@ -53,14 +52,16 @@ def quality_sql() -> str:
 
     sums = ", ".join(f"sum({c}) AS r{c}" for c in [*names[0], *names[1]])
     return f"""
-WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words, regexp_replace(coalesce(text, ''), '[a-z\\x20\\x09-\\x0D]+', '', 'g') AS rest FROM documents),
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS lower_words, regexp_replace(coalesce(text, ''), '[a-z\\x20\\x09-\\x0D]+', '', 'g') AS rest FROM documents),
+w AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS nth FROM (SELECT lang, unnest(lower_words) AS word FROM d) WHERE regexp_full_match(word, '{quality.LETTERS}') GROUP BY lang, word),
+t AS (SELECT lang AS of_lang, list(word ORDER BY nth) AS common FROM w WHERE nth <= {bins} GROUP BY lang),
 v AS (SELECT id, unnest(range(1, len(words) - {quality.WINDOW - 2})) AS i, words FROM d WHERE len(words) >= {quality.WINDOW}),
 g AS (SELECT id, i, count(*) OVER (PARTITION BY id, array_to_string(words[i:i + {quality.WINDOW - 1}], ' ')) AS n FROM v),
 r AS (SELECT id, count(DISTINCT k) AS n_repeat_words FROM (SELECT id, unnest(range(i, i + {quality.WINDOW})) AS k FROM g WHERE n > 1) GROUP BY id),
 m AS (SELECT doc_id, lang, len(words) AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars, len(regexp_extract_all(rest, '{quality.SYMBOLS}')) AS n_symbols,
   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')))) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) AS chars, length(rest) AS n_rest, len(regexp_extract_all(rest, '[A-Z]')) AS upper_, len(regexp_extract_all(rest, '[0-9]')) AS digit_, len(regexp_extract_all(rest, '[\\x00-\\x7F]')) AS ascii_,
-  {", ".join(f"len(list_filter(words, lambda x: x = {word(i)})) AS b{i}" for i in range(bins))} FROM d LEFT JOIN r USING (id)),
+  {", ".join(f"len(list_filter(lower_words, lambda x: x = common[{i + 1}])) AS b{i}" for i in range(bins))} FROM d LEFT JOIN r USING (id) LEFT JOIN t ON lang IS NOT DISTINCT FROM of_lang),
 h AS (SELECT *, word_chars - n_rest AS c0, upper_ AS c1, digit_ AS c2, chars - word_chars AS c3, n_symbols AS c4, ascii_ - upper_ - digit_ - n_symbols AS c5, n_rest - ascii_ AS c6, n_words - ({" + ".join(f"b{i}" for i in range(bins))}) AS b{bins} FROM m),
 e AS (SELECT lang, sum(n_words) AS r_words, {sums} FROM h GROUP BY lang),
 x AS (SELECT h.*, e.* EXCLUDE (lang) FROM h JOIN e ON h.lang IS NOT DISTINCT FROM e.lang),

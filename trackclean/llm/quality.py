@@ -2,7 +2,8 @@
 
 A document's histogram of character classes and its histogram of common words are held against the reference of its
 language by the Jensen-Shannon distance (the square root of the divergence in bits, 0 to 1). The references are the
-corpus's own: all documents' histograms, summed by language. Short documents are not judged by a histogram that they are
+corpus's own: all documents' histograms, summed by language; a language's common words are its most frequent ones in all
+documents, in lower case. Short documents are not judged by a histogram that they are
 too short for.
 """
 
@@ -11,19 +12,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, join_same
+from .common import WORD, cut, join_same, lower_ascii
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Frequent function words, the bins of the word histogram by language (all other words are one more bin).
-COMMON = {
-    "en": "the of and to in is a that".split(),
-    "fr": "de la le les et des en un".split(),
-    "de": "der die und das von mit den zu".split(),
-    "es": "de la el que en los y las".split(),
-}
+#: Words that can be common ones: of letters, and characters beyond ASCII.
+LETTERS = r"[^\x00-\x60\x7B-\x7F]+"
+#: Bins of the word histogram: so many of the language's most frequent words; all other words are one more bin.
 BINS = 8
 CLASSES = 7
 
@@ -67,18 +64,31 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def measured(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def common_words(docs: DataFrame) -> DataFrame:
+    """lang, common: each language's BINS most frequent words in lower case, ties by code point.
+
+    Words are counted before they are shuffled, and of each partition only its first BINS words go on to the ranking, so
+    that a language of a great share is no large group. A language without such words has no row.
+    """
+    x = docs.select(F.col("lang").cast("string").alias("lang"), F.explode(split_words(lower_ascii(F.col("text")))).alias("word"))
+    x = x.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("word").rlike(f"^{LETTERS}$"))
+    x = x.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("nth") <= BINS)
+    return x.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("nth", "word")))["word"].alias("common"))
+
+
+def measured(docs: DataFrame, common: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang, carried (the columns in carry), the base counts and the two histograms of every document; null texts have no words.
 
     classes: a-z, A-Z, 0-9, white space, symbols, ASCII beyond those, other characters. Only the second and later ones
-    are counted one by one, in what is left without a-z and white space. bins: BINS function words of the row's
-    language, then all other words.
+    are counted one by one, in what is left without a-z and white space. bins: the common words of the row's language
+    (common_words) in any case, then all other words.
     """
     x = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0), *carry).alias("carried"))
-    x = x.withColumn("words", split_words(F.col("text")))
+    x = join_same(x, common, ["lang"], "left")
+    x = x.withColumn("words", split_words(F.col("text"))).withColumn("lower", split_words(lower_ascii(F.col("text"))))
     x = x.withColumn("hashes", window_hashes(F.col("words"))).withColumn("rest", F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", ""))
     x = x.withColumn("lines", F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD)))
-    word = lambda i: reduce(lambda rest, k: F.when(F.col("lang") == k, F.lit(COMMON[k][i])).otherwise(rest), COMMON, F.lit("\n"))
+    word = lambda i: F.coalesce(F.get("common", F.lit(i)), F.lit("\n"))
     long = lambda c: c.cast("long")
     x = x.select(
         "doc_id", "lang", "carried",
@@ -90,7 +100,7 @@ def measured(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         long(F.char_length("text")).alias("chars"),
         long(F.char_length("rest")).alias("n_rest"),
         *[long(F.regexp_count("rest", F.lit(p))).alias(k) for k, p in (("upper", "[A-Z]"), ("digit", "[0-9]"), ("ascii", r"[\x00-\x7F]"))],
-        *[long(F.size("words") - F.size(F.array_remove("words", word(i)))).alias(f"b{i}") for i in range(BINS)],
+        *[long(F.size("lower") - F.size(F.array_remove("lower", word(i)))).alias(f"b{i}") for i in range(BINS)],
     )
     lower, other = F.col("word_chars") - F.col("n_rest"), F.col("n_rest") - F.col("ascii")
     x = x.withColumn("classes", F.array(lower, "upper", "digit", F.col("chars") - F.col("word_chars"), "n_symbols", F.col("ascii") - F.col("upper") - F.col("digit") - F.col("n_symbols"), other))
@@ -124,7 +134,7 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     little text judge nothing. Null texts count as empty (no words: base_failed); null languages are a language of their
     own; equal rows are judged alike; other columns are ignored.
     """
-    counts = cut(measured(docs, carry))
+    counts = cut(measured(docs, cut(common_words(docs)), carry))
     x = join_same(counts, cut(references(counts)), ["lang"])
     doubles = lambda c: F.col(c).cast("array<double>")
     enough = F.col("r_words") >= MIN_REFERENCE_WORDS
