@@ -5,7 +5,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from xxhash import xxh3_64_intdigest
 
 from trackclean.llm import bytestream, ctw, queries
 
@@ -140,3 +142,44 @@ def test_branches_without_training_text(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([(None, None), (None, "a b")], "doc_id long, text string")
     assert bytestream.score_texts(docs.limit(0)).count() == 0 and bytestream.score_texts(docs).count() == 2
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """Only long words are hashed one by one; hashes do not depend on a word's neighbours, and a seed changes them."""
+    alone = []
+    monkeypatch.setattr(bytestream, "xxh3_64_intdigest", lambda w, seed: alone.append(w) or xxh3_64_intdigest(w, seed))
+    words = [b"a", b"b", b"ab", b"ba", b"\0", b"\0\0", b"x" * 64, b"x" * 65, b"y" * 100_000] + [b"%d" % i for i in range(40_000)]
+    got = bytestream.hashes(pa.array(words, pa.large_binary()), 0).tolist()
+    assert alone == [b"x" * 65, b"y" * 100_000] and len(set(got)) == len(words)
+    assert [bytestream.hashes(pa.array([w]), 0).tolist()[0] for w in words[:20]] == got[:20]
+    assert not set(got) & set(bytestream.hashes(pa.array(words), 1).tolist())
+    assert len(bytestream.hashes(pa.array([], pa.binary()), 0)) == 0
+
+
+def test_words_of_one_hash_get_another_seed(monkeypatch):
+    words = pa.array([b"a", b"b", b"c"])
+    monkeypatch.setattr(bytestream, "hashes", lambda w, seed: np.array([[5, 7, 5], [1, 1, 2], [3, 2, 1]][seed]))
+    seed, found = bytestream.telling(words)
+    assert (seed, found.tolist()) == (2, [3, 2, 1])
+
+
+@pytest.mark.parametrize("texts", (1, 256, 257, 700))
+def test_chances_of_many_texts(texts):
+    """More texts than are summed together, some without a key; keys of all 56 bits."""
+    rng = np.random.default_rng(texts)
+    keys = np.unique(np.append(rng.integers(0, 1 << 56, 500), [0, (1 << 56) - 1]))
+    chance = -rng.random(len(keys)).astype(np.float32)
+    text = np.sort(rng.choice(np.arange(0, texts, 1 + (texts > 1)), 3000))
+    at = rng.integers(0, len(keys), 3000)
+    want = np.bincount(text, weights=chance[at], minlength=texts)
+    assert bytestream.summed_chances(keys, chance, keys[at], text, texts) == pytest.approx(want)
+
+
+def test_asks_do_not_depend_on_how_much_is_sorted_at_once(spark, monkeypatch):
+    rows = [(r[0], r[1]) for r in sample_rows()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {r.doc_id: r.score for r in bytestream.score_texts(docs).collect()}
+    monkeypatch.setattr(bytestream, "SORTED", 500)
+    monkeypatch.setattr(bytestream, "PENDING", 100)
+    monkeypatch.setattr(bytestream, "SLICE_BYTES", 2000)
+    assert {r.doc_id: r.score for r in bytestream.score_texts(docs).collect()} == pytest.approx(want)

@@ -14,6 +14,7 @@ in pieces, each of which starts with the last bytes of the stream before it.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -26,7 +27,7 @@ from xxhash import xxh3_64_intdigest
 
 from .common import shuffle_parts, store
 from .ctw import DEPTH, branch_top, log10_chances, top_of_tree
-from .shingles import LOWER, SPACE, distinct_words, mix, raw, word_spans
+from .shingles import BYTE, LOWER, SPACE, distinct_words, mix, raw, word_spans
 from .tokens import balanced
 
 GAP, STOP = 0x20, 0x0A
@@ -38,8 +39,11 @@ SLICE_BYTES = 1 << 19
 PIECE_BYTES = 1 << 20
 #: What stands in front of a text.
 LEAD = bytes(DEPTH - 1) + bytes([GAP])
-#: So many pairs are gathered before equal ones are added up.
+#: So many bytes' keys are sorted at once; so many pairs, or half as many as there are sums, are gathered before equal ones are added up.
+SORTED = 1 << 20
 PENDING = 500_000
+#: Words of so many bytes at most are hashed together.
+SHORT = 64
 #: Branches of the tree for each partition of a shuffle; blocks whose asks of a branch are taken together.
 BRANCHES = 4
 JOINED = 512
@@ -142,6 +146,13 @@ def unsqueezed_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueezed(data, np.int64))
 
 
+def beginnings(x: np.ndarray) -> np.ndarray:
+    """Which of a sorted array's values differ from the one before."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
 def added(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct keys of parts of sorted distinct keys and counts, and the sums of their counts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -149,32 +160,59 @@ def added(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     def collapse() -> None:
         keys = np.concatenate([h[0] for h in held]) if held else np.empty(0, np.int64)
         keys.sort()
-        keys = keys[np.diff(keys, prepend=-1) > 0]
+        keys = keys[beginnings(keys)]
         total = np.zeros(len(keys), np.int64)
         for k, n in held:
-            total[np.searchsorted(keys, k)] += n
+            for i in range(0, len(k), 1 << 17):
+                total[np.searchsorted(keys, k[i : i + (1 << 17)])] += n[i : i + (1 << 17)]
         held[:] = [(keys, total)]
 
     for part in parts:
         held.append(part)
-        if sum(len(h[0]) for h in held[1:]) > PENDING:
+        if sum(len(h[0]) for h in held[1:]) > max(PENDING, len(held[0][0]) // 2):
             collapse()
     collapse()
     return held[0]
 
 
-def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct keys and how often they are in training texts; a key has 56 bits, so there is room for a mark."""
-    marked = np.sort(keys << 1 | train)
+def counted(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys and how often they are in training texts. marked: twice the key, and one more in a training
+    text; a key has 56 bits, so there is room."""
+    marked = np.sort(marked)
     keys = marked >> 1
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    first = np.flatnonzero(beginnings(keys))
     return keys[first], np.add.reduceat(marked & 1, first) if len(first) else first
 
 
+@lru_cache(maxsize=8)
+def multipliers(seed: int) -> np.ndarray:
+    """An odd random number for each place in a short word."""
+    return np.random.default_rng([20240229, seed]).integers(0, 1 << 63, SHORT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def hashes(words: pa.Array, seed: int) -> np.ndarray:
-    """64-bit hashes of words; few are Python objects at once."""
-    few = (words.slice(k, 1 << 14).to_pylist() for k in range(0, len(words), 1 << 14))
-    return np.fromiter((xxh3_64_intdigest(w, seed) for part in few for w in part), np.uint64, len(words)).view(np.int64)
+    """64-bit hashes of words: the sum of each byte's number times its place's, mixed; of long words XXH3."""
+    out = np.empty(len(words), np.uint64)
+    short = pc.binary_length(words).to_numpy(zero_copy_only=False) <= SHORT
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxh3_64_intdigest(words[i].as_py(), seed)
+    few = words if short.all() else words.filter(pa.array(short))
+    sums = [np.empty(0, np.uint64)]
+    for k in range(0, len(few), 1 << 14):
+        buf, offsets = raw(few.slice(k, 1 << 14))
+        nth = np.arange(len(buf)) - np.repeat(offsets[:-1], np.diff(offsets))
+        total = np.append(np.uint64(0), np.cumsum(BYTE[buf] * multipliers(seed)[nth]))
+        sums.append(mix(total[offsets[1:]] - total[offsets[:-1]]))
+    out[short] = np.concatenate(sums)
+    return out.view(np.int64)
+
+
+def telling(words: pa.Array) -> tuple[int, np.ndarray]:
+    """The first seed that tells all words apart, and their hashes."""
+    for seed in count():
+        found = hashes(words, seed)
+        if beginnings(np.sort(found)).all():
+            return seed, found
 
 
 def block_asks(table: pa.Table, parts: int, most: int) -> pa.Table:
@@ -183,27 +221,36 @@ def block_asks(table: pa.Table, parts: int, most: int) -> pa.Table:
     A word's answer comes under a hash, whose seed is the first that tells all words of the block apart. The end of a text
     counts as a word, the line feed.
     """
-    words: list[pa.Table] = []
+    words: list[pa.Array] = []
+    counts: list[np.ndarray] = []
 
     def pairs() -> Iterable[tuple[np.ndarray, np.ndarray]]:
+        marked: list[np.ndarray] = []
         for _, held, buf, offsets in unpacked(table):
-            words.append(pa.table([pa.array([END], pa.large_binary()), pa.array([(~held).sum()], pa.int64())], ["word", "n"]))
+            words.append(pa.array([END], pa.large_binary()))
+            counts.append(np.array([(~held).sum()]))
             for first, part, within, keys, of in coded_pieces(buf, offsets, most):
                 starts, ends, text = word_spans(part, within)
                 found, nth = distinct_words(part, starts, ends)
-                n = np.bincount(nth, weights=~held[first + text], minlength=len(found)).astype(np.int64)
-                words.append(pa.table([found, pa.array(n)], ["word", "n"]))
-                yield counted(keys, ~held[first + of])
+                words.append(found)
+                counts.append(np.bincount(nth, weights=~held[first + text], minlength=len(found)))
+                marked.append(keys << 1 | ~held[first + of])
+                if sum(map(len, marked)) >= SORTED:
+                    yield counted(np.concatenate(marked))
+                    marked.clear()
+        if marked:
+            yield counted(np.concatenate(marked))
 
     keys, n = added(pairs())
-    branch = (mix((keys >> (8 * (DEPTH - 1))).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    branch = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(parts)).astype(np.int32)[keys >> (8 * (DEPTH - 1))]
     order = np.argsort(branch, kind="stable")
     rows = [(int(branch[at[0]]), squeezed_keys(keys[at]), squeezed(n[at])) for at in np.split(order, np.flatnonzero(np.diff(branch[order])) + 1)]
     mine = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["branch", "keys", "counts"])
-    theirs = pa.concat_tables(words).group_by("word", use_threads=False).aggregate([("n", "sum")])
-    word = theirs.column("word").combine_chunks()
-    seed = next(k for k in count() if len(np.unique(hashes(word, k))) == len(word))
-    theirs = pa.table([word.cast(pa.binary()), pa.array(hashes(word, seed)), theirs.column("n_sum")], ["word", "hash", "n"])
+    coded = pa.concat_arrays(words).dictionary_encode()
+    word = coded.dictionary
+    n = np.bincount(coded.indices.to_numpy(), weights=np.concatenate(counts), minlength=len(word)).astype(np.int64)
+    seed, found = telling(word)
+    theirs = pa.table([word.cast(pa.binary()), pa.array(found), pa.array(n)], ["word", "hash", "n"])
     both = pa.concat_tables([mine, theirs], promote_options="default")
     same = lambda x, kind: pa.array(np.full(both.num_rows, x, kind))
     both = both.append_column("block", same(table.column("block")[0].as_py(), np.int64)).append_column("seed", same(seed, np.int32))
@@ -258,14 +305,20 @@ def pair_chances(asked: DataFrame, blocks: int) -> DataFrame:
     return fitted.groupBy("branch", "share").cogroup(wanted.groupBy("branch", "share")).applyInArrow(answer, "block long, keys binary, chances binary")
 
 
-def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each of wanted is in the sorted keys: distinct ones are looked for in order, as that stays in the cache."""
-    coded = pa.array(wanted).dictionary_encode()
-    distinct = coded.dictionary.to_numpy()
-    order = np.argsort(distinct)
-    at = np.empty(len(distinct), np.int64)
-    at[order] = np.searchsorted(keys, distinct[order])
-    return at[coded.indices.to_numpy()]
+def summed_chances(keys: np.ndarray, chance: np.ndarray, wanted: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """The sum of each text's chances; keys: sorted, chance: theirs, wanted: keys with their text numbers, which ascend.
+
+    256 texts at a time: a key has 56 bits, so that it is sorted with its text's number, and each distinct one looked for once.
+    """
+    out = np.zeros(texts)
+    for first in range(0, texts, 256):
+        part = slice(*np.searchsorted(text, (first, first + 256)))
+        both = np.sort(wanted[part].view(np.uint64) << np.uint64(8) | (text[part] - first).astype(np.uint64))
+        key = (both >> np.uint64(8)).view(np.int64)
+        new = np.flatnonzero(beginnings(key))
+        found = np.repeat(chance[np.searchsorted(keys, key[new])], np.diff(np.append(new, len(key))))
+        out[first : first + 256] = np.bincount((both & np.uint64(255)).view(np.int64), weights=found, minlength=min(256, texts - first))
+    return out
 
 
 def document_scores(table: pa.Table, replies: pa.Table, total: int, most: int) -> pa.Table:
@@ -295,7 +348,7 @@ def document_scores(table: pa.Table, replies: pa.Table, total: int, most: int) -
             n_words[here] += np.bincount(text, minlength=texts)
             n_known[here] += np.bincount(text, weights=c[at] > 0, minlength=texts)
             summed[here] += np.bincount(text, weights=base[at], minlength=texts)
-            score[here] += np.bincount(of, weights=chance[places(keys, keys_of)], minlength=texts)
+            score[here] += summed_chances(keys, chance, keys_of, of, texts)
             coded[here] += np.bincount(of, minlength=texts)
         parts.append(pa.table([
             pa.array(doc, pa.int64()), pa.array(held), pa.array(n_words.astype(np.int64) + 1),
