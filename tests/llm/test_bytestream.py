@@ -1,12 +1,14 @@
 """The byte stream's scores against a plain tree, and that words are not scored apart from their neighbours."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from xxhash import xxh3_64_intdigest
 
 from trackclean.llm import bytestream, ctw, queries
@@ -183,3 +185,61 @@ def test_asks_do_not_depend_on_how_much_is_sorted_at_once(spark, monkeypatch):
     monkeypatch.setattr(bytestream, "PENDING", 100)
     monkeypatch.setattr(bytestream, "SLICE_BYTES", 2000)
     assert {r.doc_id: r.score for r in bytestream.score_texts(docs).collect()} == pytest.approx(want)
+
+
+def test_sums_are_added_to_in_chunks(monkeypatch):
+    """Adding to many sums takes little more than they and what waits to be added, not copies of them all."""
+    monkeypatch.setattr(bytestream, "PENDING", 50_000)
+    monkeypatch.setattr(bytestream, "CHUNK", 10_000)
+    rng = np.random.default_rng(5)
+    parts = [np.sort(rng.choice(500_000, 20_000, replace=False)) for _ in range(150)]
+    want = np.bincount(np.concatenate(parts), minlength=500_000)
+    tracemalloc.start()
+    keys, n = bytestream.added((p, np.ones(len(p), np.int64)) for p in parts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys.tolist() == np.flatnonzero(want).tolist() and n.tolist() == want[want > 0].tolist()
+    assert most < 2 * (keys.nbytes + n.nbytes)
+    keys, n = bytestream.added(iter([]))
+    assert len(keys) == len(n) == 0
+
+
+def test_asks_of_a_block(monkeypatch):
+    """Words of many slices are not all held until the end, and asks are handed over in parts."""
+    held_words = []
+    concat = pa.concat_arrays
+    monkeypatch.setattr(bytestream.pa, "concat_arrays", lambda x: held_words.append(sum(map(len, x))) or concat(x))
+    monkeypatch.setattr(bytestream, "PENDING", 500)
+    monkeypatch.setattr(bytestream, "HANDED", 100)
+    texts = ["".join(f"w{(i * j) % 300} " for j in range(200)) for i in range(1, 60)]
+    held = [i % 3 == 0 for i in range(len(texts))]
+    pack = zstandard.ZstdCompressor()
+    rows = [[7, [i], [h], [len(t)], pack.compress(t.encode())] for i, (t, h) in enumerate(zip(texts, held, strict=True))]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(["block", "doc_id", "held_out", "sizes", "texts"], r, strict=True)) for r in part]) for part in (rows[:20], rows[20:])]
+    got = list(bytestream.block_asks(iter(batches), 12, 1 << 20))
+    assert max(held_words) < 1500 and max(b.num_rows for b in got) <= 100 and all(b.schema == bytestream.ASKS for b in got)
+    asks = [r for b in got for r in b.to_pylist()]
+    assert {(r["block"], r["seed"]) for r in asks} == {(7, 0)}
+    words, keys = Counter(), Counter()
+    for t, h in zip(texts, held, strict=True):
+        for w in [*t.encode().split(), b"\n"]:
+            words[w] += not h
+        for context, byte in pairs(t):
+            keys[int.from_bytes(bytes([*context, byte]))] += not h
+    assert {r["word"]: r["n"] for r in asks if r["word"] is not None} == dict(words)
+    assert sum(r["word"] is not None for r in asks) == len(words) == len({r["hash"] for r in asks if r["word"] is not None})
+    found = [(r["branch"], bytestream.unsqueezed_keys(r["keys"]), bytestream.unsqueezed(r["counts"], np.int64)) for r in asks if r["keys"] is not None]
+    assert {k: n for _, x, y in found for k, n in zip(x.tolist(), y.tolist(), strict=True)} == dict(keys)
+    assert sum(len(x) for _, x, _ in found) == len(keys) and len({b for b, _, _ in found}) == len(found)
+    assert all((np.diff(x) > 0).all() for _, x, _ in found)
+    of = {}
+    assert all(of.setdefault(c, b) == b for b, x, _ in found for c in (x >> 40).tolist())
+
+
+def test_answers_of_all_branches_are_put_in_order():
+    rng = np.random.default_rng(11)
+    keys = np.unique(np.append(rng.integers(0, 1 << 56, 900) & ~(63 << 50), [0, (1 << 56) - 1]))
+    chance = -rng.random(len(keys)).astype(np.float32)
+    rows = [(bytestream.squeezed_keys(keys[at]), bytestream.squeezed(chance[at])) for _, at in bytestream.branches_of(keys, 7)]
+    got = bytestream.gathered(pa.table(dict(zip(("keys", "chances"), map(list, zip(*rows, strict=True)), strict=True))))
+    assert got[0].tolist() == keys.tolist() and got[1].tolist() == chance.tolist()

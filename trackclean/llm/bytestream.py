@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +39,22 @@ SLICE_BYTES = 1 << 19
 PIECE_BYTES = 1 << 20
 #: What stands in front of a text.
 LEAD = bytes(DEPTH - 1) + bytes([GAP])
-#: So many bytes' keys are sorted at once; so many pairs, or half as many as there are sums, are gathered before equal ones are added up.
+#: So many bytes' keys are sorted at once; so many pairs or words, or a quarter as many as there are sums, are gathered before
+#: equal ones are added up. Sums are arrays of about so many keys, which are added to one after another.
 SORTED = 1 << 20
 PENDING = 500_000
+CHUNK = 1 << 16
+#: Words of a block's asks that are handed over at once.
+HANDED = 1 << 16
 #: Words of so many bytes at most are hashed together.
 SHORT = 64
 #: Branches of the tree for each partition of a shuffle; blocks whose asks of a branch are taken together.
 BRANCHES = 4
 JOINED = 512
+#: A key's last two bytes of context, by which the tree is split, stand above so many bits.
+ABOVE = 8 * (DEPTH - 1)
+#: What a block asks for.
+ASKS = pa.schema([("block", pa.int64()), ("seed", pa.int32()), ("hash", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("branch", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def is_held_out(c: Column) -> Column:
@@ -69,7 +77,7 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id array<long>, held_out array<boolean>, sizes array<long>, texts binary")
 
 
-def unpacked(table: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+def unpacked(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_ids, held_out, bytes, offsets) of each row."""
     unpack = zstandard.ZstdDecompressor()
     for i in range(table.num_rows):
@@ -99,9 +107,9 @@ def coded_pieces(buf: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tu
     """(number of the first text, bytes, offsets, keys, each key's text number) of the texts' pieces, in order."""
     lead = LEAD
     for first, part, within, last in cut_pieces(buf, offsets, most):
-        keys, text, tail = stream_keys(part, within, lead, last)
-        yield first, part, within, keys, text
-        lead = LEAD if last else tail
+        coded = [*stream_keys(part, within, lead, last)]
+        lead = LEAD if last else coded[2]
+        yield first, part, within, coded.pop(0), coded.pop(0)  # nothing is kept of them here
 
 
 def stream_keys(buf: np.ndarray, offsets: np.ndarray, lead: bytes = LEAD, last: bool = True) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -153,35 +161,78 @@ def beginnings(x: np.ndarray) -> np.ndarray:
     return new
 
 
-def added(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct keys of parts of sorted distinct keys and counts, and the sums of their counts."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    keys = np.concatenate([k for k, _ in parts])
+    keys.sort()
+    keys = keys[beginnings(keys)]
+    total = np.zeros(len(keys), np.int64)
+    for k, n in parts:
+        for i in range(0, len(k), 1 << 17):
+            total[np.searchsorted(keys, k[i : i + (1 << 17)])] += n[i : i + (1 << 17)]
+    return keys, total
+
+
+def added(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """summed of any number of parts: sums are held in chunks by ascending keys, so that adding to them copies one at a time."""
+    held = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
 
     def collapse() -> None:
-        keys = np.concatenate([h[0] for h in held]) if held else np.empty(0, np.int64)
-        keys.sort()
-        keys = keys[beginnings(keys)]
-        total = np.zeros(len(keys), np.int64)
-        for k, n in held:
-            for i in range(0, len(k), 1 << 17):
-                total[np.searchsorted(keys, k[i : i + (1 << 17)])] += n[i : i + (1 << 17)]
-        held[:] = [(keys, total)]
+        keys, n = summed(pending)
+        pending.clear()
+        ends = np.searchsorted(keys, [k[0] for k, _ in held[1:]]).tolist()
+        grown = []
+        for i, (start, end) in enumerate(pairwise([0, *ends, len(keys)])):
+            chunk, held[i] = held[i], held[0]
+            if end > start:
+                chunk = summed([chunk, (keys[start:end], n[start:end])])
+            if len(chunk[0]) > 2 * CHUNK:
+                grown += [tuple(x[at : at + CHUNK].copy() for x in chunk) for at in range(0, len(chunk[0]), CHUNK)]
+            else:
+                grown.append(chunk)
+        held[:] = grown
 
     for part in parts:
-        held.append(part)
-        if sum(len(h[0]) for h in held[1:]) > max(PENDING, len(held[0][0]) // 2):
+        pending.append(part)
+        if sum(len(k) for k, _ in pending) > max(PENDING, sum(len(k) for k, _ in held) // 4):
             collapse()
-    collapse()
-    return held[0]
+    if pending:
+        collapse()
+    keys = np.concatenate([k for k, _ in held])
+    held[:] = [(keys, n) for _, n in held]
+    return keys, np.concatenate([n for _, n in held])
+
+
+class WordCounts:
+    """Distinct words and the sums of their counts. Words wait until there are many of them, then equal ones become one."""
+
+    def __init__(self) -> None:
+        self.words, self.counts = [pa.array([], pa.large_binary())], [np.empty(0, np.int64)]
+
+    def add(self, words: pa.Array, counts: np.ndarray) -> None:
+        self.words.append(words)
+        self.counts.append(counts)
+        if sum(map(len, self.words[1:])) > max(PENDING, len(self.words[0]) // 4):
+            self.collapse()
+
+    def collapse(self) -> tuple[pa.Array, np.ndarray]:
+        coded = pa.concat_arrays(self.words).dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), weights=np.concatenate(self.counts), minlength=len(coded.dictionary))
+        self.words, self.counts = [coded.dictionary], [n.astype(np.int64)]
+        del coded
+        pa.default_memory_pool().release_unused()
+        return self.words[0], self.counts[0]
 
 
 def counted(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct keys and how often they are in training texts. marked: twice the key, and one more in a training
-    text; a key has 56 bits, so there is room."""
-    marked = np.sort(marked)
+    text; a key has 56 bits, so there is room. marked is worked on in place."""
+    marked.sort()
     keys = marked >> 1
+    marked &= 1
     first = np.flatnonzero(beginnings(keys))
-    return keys[first], np.add.reduceat(marked & 1, first) if len(first) else first
+    return keys[first], np.add.reduceat(marked, first) if len(first) else first
 
 
 @lru_cache(maxsize=8)
@@ -215,46 +266,60 @@ def telling(words: pa.Array) -> tuple[int, np.ndarray]:
             return seed, found
 
 
-def block_asks(table: pa.Table, parts: int, most: int) -> pa.Table:
+def branches_of(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(branch, places of its keys) of sorted keys, for each branch of parts that has some."""
+    bounds = np.searchsorted(keys, np.arange((1 << 16) + 1) << ABOVE)
+    there = np.flatnonzero(np.diff(bounds))
+    branch = (mix(there.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    for one in np.unique(branch).tolist():
+        yield one, np.concatenate([np.arange(bounds[c], bounds[c + 1]) for c in there[branch == one].tolist()])
+
+
+def block_asks(batches: Iterable[pa.RecordBatch], parts: int, most: int) -> Iterator[pa.RecordBatch]:
     """What a block asks for: its distinct words and, by branch, its pairs, with their counts in training rows.
 
     A word's answer comes under a hash, whose seed is the first that tells all words of the block apart. The end of a text
     counts as a word, the line feed.
     """
-    words: list[pa.Array] = []
-    counts: list[np.ndarray] = []
+    words = WordCounts()
+    block = None
 
-    def pairs() -> Iterable[tuple[np.ndarray, np.ndarray]]:
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nonlocal block
         marked: list[np.ndarray] = []
-        for _, held, buf, offsets in unpacked(table):
-            words.append(pa.array([END], pa.large_binary()))
-            counts.append(np.array([(~held).sum()]))
-            for first, part, within, keys, of in coded_pieces(buf, offsets, most):
-                starts, ends, text = word_spans(part, within)
-                found, nth = distinct_words(part, starts, ends)
-                words.append(found)
-                counts.append(np.bincount(nth, weights=~held[first + text], minlength=len(found)))
-                marked.append(keys << 1 | ~held[first + of])
-                if sum(map(len, marked)) >= SORTED:
-                    yield counted(np.concatenate(marked))
-                    marked.clear()
+        for batch in batches:
+            block = batch.column("block")[0].as_py()
+            for _, held, buf, offsets in unpacked(batch):
+                words.add(pa.array([END], pa.large_binary()), np.array([(~held).sum()]))
+                for first, part, within, keys, of in coded_pieces(buf, offsets, most):
+                    starts, ends, text = word_spans(part, within)
+                    found, nth = distinct_words(part, starts, ends)
+                    words.add(found, np.bincount(nth, weights=~held[first + text], minlength=len(found)))
+                    marked.append(keys << 1 | ~held[first + of])
+                    del starts, ends, text, found, nth, keys, of
+                    if sum(map(len, marked)) >= SORTED:
+                        both = np.concatenate(marked)
+                        marked.clear()
+                        yield counted(both)
+                        del both
         if marked:
             yield counted(np.concatenate(marked))
 
+    def asks(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns |= {"block": pa.array(np.full(rows, block, np.int64)), "seed": pa.array(np.full(rows, seed, np.int32))}
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in ASKS], schema=ASKS)
+
     keys, n = added(pairs())
-    branch = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(parts)).astype(np.int32)[keys >> (8 * (DEPTH - 1))]
-    order = np.argsort(branch, kind="stable")
-    rows = [(int(branch[at[0]]), squeezed_keys(keys[at]), squeezed(n[at])) for at in np.split(order, np.flatnonzero(np.diff(branch[order])) + 1)]
-    mine = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["branch", "keys", "counts"])
-    coded = pa.concat_arrays(words).dictionary_encode()
-    word = coded.dictionary
-    n = np.bincount(coded.indices.to_numpy(), weights=np.concatenate(counts), minlength=len(word)).astype(np.int64)
+    rows = [(branch, squeezed_keys(keys[at]), squeezed(n[at])) for branch, at in branches_of(keys, parts)]
+    del keys, n
+    word, n = words.collapse()
+    del words
     seed, found = telling(word)
-    theirs = pa.table([word.cast(pa.binary()), pa.array(found), pa.array(n)], ["word", "hash", "n"])
-    both = pa.concat_tables([mine, theirs], promote_options="default")
-    same = lambda x, kind: pa.array(np.full(both.num_rows, x, kind))
-    both = both.append_column("block", same(table.column("block")[0].as_py(), np.int64)).append_column("seed", same(seed, np.int32))
-    return both.select(["block", "seed", "hash", "word", "n", "branch", "keys", "counts"])
+    for k in range(0, len(word), HANDED):
+        some = word.slice(k, HANDED)
+        yield asks(len(some), word=some.cast(pa.binary()), hash=pa.array(found[k : k + HANDED]), n=pa.array(n[k : k + HANDED]))
+    columns = {f: pa.array(x, ASKS.field(f).type) for f, x in zip(("branch", "keys", "counts"), zip(*rows, strict=True), strict=True)}
+    yield asks(len(rows), **columns)
 
 
 def tree_of(asked: DataFrame, blocks: int) -> DataFrame:
@@ -321,6 +386,23 @@ def summed_chances(keys: np.ndarray, chance: np.ndarray, wanted: np.ndarray, tex
     return out
 
 
+def gathered(pairs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys of all rows of pairs (keys, chances), and their chances. A row's keys are sorted, and keys of the same
+    two last bytes of context are in one row: so each run of those is put to its place, one row after another."""
+    rows = [(pairs.column("keys")[i].as_py(), pairs.column("chances")[i].as_py()) for i in range(pairs.num_rows)]
+    size = np.zeros(1 << 16, np.int64)
+    for k, _ in rows:
+        size += np.bincount(unsqueezed_keys(k) >> ABOVE, minlength=len(size))
+    start = np.cumsum(size) - size
+    keys, chance = np.empty(int(size.sum()), np.int64), np.empty(int(size.sum()), np.float32)
+    for k, c in rows:
+        part = unsqueezed_keys(k)
+        first = np.flatnonzero(beginnings(part >> ABOVE))
+        to = np.arange(len(part)) + np.repeat(start[part[first] >> ABOVE] - first, np.diff(np.append(first, len(part))))
+        keys[to], chance[to] = part, unsqueezed(c, np.float32)
+    return keys, chance
+
+
 def document_scores(table: pa.Table, replies: pa.Table, total: int, most: int) -> pa.Table:
     """The block's documents with the sums over their words and over their streams' bytes; total: N + V + 1."""
     word = pc.is_valid(replies.column("hash"))
@@ -329,13 +411,8 @@ def document_scores(table: pa.Table, replies: pa.Table, total: int, most: int) -
     known, c, seed = known[order], c[order], int(seed[0])
     base = np.log10((c + 1) / total)
     end = int(np.searchsorted(known, hashes(pa.array([END]), seed)[0]))
-    pairs = replies.select(["keys", "chances"]).filter(pc.is_valid(replies.column("keys")))
-    keys = np.concatenate([unsqueezed_keys(pairs.column("keys")[i].as_py()) for i in range(pairs.num_rows)])
-    chance = np.concatenate([unsqueezed(pairs.column("chances")[i].as_py(), np.float32) for i in range(pairs.num_rows)])
-    del pairs
-    order = np.argsort(keys)
-    keys, chance = keys[order], chance[order]
-    del order
+    del order, word
+    keys, chance = gathered(replies.select(["keys", "chances"]).filter(pc.is_valid(replies.column("keys"))))
     parts = []
     for doc, held, buf, offsets in unpacked(table):
         n_words, n_known, summed, score, coded = np.zeros((5, len(doc)))
@@ -374,7 +451,11 @@ def score_texts(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     start = F.xxhash64(F.shiftright("piece", 33))
     rows = rows.withColumn("block", F.pmod(F.pmod(start, F.lit(blocks)) + F.col("piece").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(blocks)))
     parts = BRANCHES * shuffle_parts(docs.sparkSession)
-    asked = store(rows.groupBy("block").applyInArrow(lambda t: block_asks(t, parts, piece_bytes), "block long, seed int, hash long, word binary, n long, branch int, keys binary, counts binary"))
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return block_asks(batches, parts, piece_bytes)
+
+    asked = store(rows.groupBy("block").applyInArrow(asks, "block long, seed int, hash long, word binary, n long, branch int, keys binary, counts binary"))
     by_word = asked.filter("word is not null").select("block", "seed", "hash", "word", "n")
     words = store(by_word.groupBy("word").agg(F.sum("n").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
