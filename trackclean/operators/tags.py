@@ -17,8 +17,8 @@ def flatten_tags(records: DataFrame) -> DataFrame:
     """
     entries = F.transform(F.map_entries("raw_tags"), lambda e: F.struct(F.lower(e["key"]).alias("key"), ustrip(F.get(e["value"], F.lit(0))).alias("value")))
     entries = F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != "")
-    x = records.withColumn("tags", entries)
-    last = lambda k: F.try_element_at(F.filter("tags", lambda e: e["key"] == k), F.lit(-1))["value"]
+    x = records.withColumn("tags", F.reverse(entries))
+    last = lambda k: F.get("tags.value", F.array_position("tags.key", F.lit(k)).cast("int") - 1)
     return x.select(
         *[c for c in records.columns if c != "raw_tags"], last("title").alias("title"), last("artist").alias("artist"), last("album").alias("album"),
         F.coalesce(last("albumartist"), last("album_artist")).alias("album_artist"), int_ish(last("tracknumber")).alias("track_number"),
